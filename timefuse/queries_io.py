@@ -1 +1,272 @@
-"""Registered queries: sources, sinks, forecasting plans, streaming."""
+"""Registered queries: sources, sinks, stored state, forecasting plans, streaming.
+
+Queries that exercise a source or sink first write a table derived from the
+input tables with Spark into a fresh folder under the session's shared
+checkpoint folder, then read it back through the operator under test.
+"""
+
+from __future__ import annotations
+
+import datetime as _dt
+
+from pyspark.sql import functions as F
+
+from .functions import timeparse as tp
+from .operators import align, linear
+from .plans import forecast, preprocess
+from .queries_model import LIN_SQL, LIN_X, LIN_Y
+from .registry import register
+from .session import scratch_path
+from .sources import scan, sinks
+from .streaming import files as streams
+from .tables import load, r6, rounded
+
+AS_OF = "2024-01-20 12:00:00"
+EV_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+CSV_TS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+def events_model(spark, sf):
+    """value ~ hour of day, fitted on the whole events table."""
+    ev = tp.calendar_parts(load(spark, sf, "events"))
+    coefs, _ = linear.fit_linear_multi(ev, ["hour"], ["value"])
+    return ev, coefs
+
+
+EV_MODEL_CTE = "m AS (SELECT regr_intercept(value, hour(ts)) AS a, regr_slope(value, hour(ts)) AS b FROM events)"
+
+
+def write_events_csv(spark, sf, partition_by, extra=None):
+    """A CSV tree derived from ``events`` (Spark-written, partitioned)."""
+    root = scratch_path(spark, "csv-tree")
+    ev = load(spark, sf, "events").withColumn("yr", F.year("ts"))
+    if extra:
+        ev = ev.withColumns(extra)
+    ev.write.option("header", True).option("timestampNTZFormat", CSV_TS) \
+      .partitionBy(*partition_by).csv(f"{root}/events_csv")
+    return root
+
+
+# ---------------------------------------------------------------------------
+# Sources (S1, S2, S7, S8, S9)
+# ---------------------------------------------------------------------------
+SPARK_LAYOUT = {"events": r"/events_csv/event_type=(?<category>[^/]+)/yr=(?<year>\d{4})/[^/]+\.csv$"}
+
+
+@register("scan_dispatch", """
+SELECT event_id, ts, user_id, value, props, 'events' AS source, event_type AS category, CAST(year(ts) AS INTEGER) AS year FROM events
+""")
+def q_scan_dispatch(spark, sf):
+    root = write_events_csv(spark, sf, ["event_type", "yr"])
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, value double, props string"
+    df = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv") \
+        .option("timestampNTZFormat", CSV_TS).schema(schema).csv(root)
+    path = F.url_decode(F.col("_metadata.file_path"))
+    source, category, year, matched = scan.dispatch_columns(path, SPARK_LAYOUT)
+    out = df.withColumns({"source": source, "category": category, "year": year, "_m": matched}).where("_m")
+    return out.select("event_id", "ts", "user_id", "value", "props", "source", "category", "year")
+
+
+@register("year_from_content", """
+SELECT event_id, event_type AS category, CAST(year(ts) AS INTEGER) AS year FROM events
+""")
+def q_year_from_content(spark, sf):
+    root = write_events_csv(spark, sf, ["event_type"], {"dt": F.unix_seconds(F.col("ts").cast("timestamp"))})
+    df = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv") \
+        .schema("event_id bigint, dt bigint").csv(root)
+    path = F.url_decode(F.col("_metadata.file_path"))
+    df = df.withColumns({"category": F.regexp_extract(path, r"/event_type=([^/]+)/", 1),
+                         "source_file": F.col("_metadata.file_path")})
+    return scan.year_from_content(df, epoch_cols=("dt",)).select("event_id", "category", "year")
+
+
+@register("load_for_date", """
+SELECT TIMESTAMP '2024-01-10 00:00:00' AS ts, round(avg(value), 6) + 0.0 AS value, round(avg(user_id), 6) + 0.0 AS user_id
+FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11'
+""")
+def q_load_for_date(spark, sf):
+    out = scan.load_for_date(load(spark, sf, "events"), "2024-01-10",
+                             aggregate=lambda d: align.daily_mean(d, cols=["value", "user_id"]))
+    return rounded(out, ["value", "user_id"])
+
+
+@register("latest_predictions", """
+SELECT * FROM orders WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders) ORDER BY o_orderkey LIMIT 5
+""")
+def q_latest_predictions(spark, sf):
+    return sinks.latest_predictions(load(spark, sf, "orders"), "o_orderdate", ["o_orderkey"], 5)
+
+
+def _save_models(spark, sf, path):
+    li = load(spark, sf, "lineitem")
+    early = li.where(F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz"))
+    old, _ = linear.fit_linear_multi(early, LIN_X, LIN_Y)
+    sinks.sink_model_state(spark, path, old, None, '{"targets": []}', version=0)
+    coefs, _ = linear.fit_linear_multi(li, LIN_X, LIN_Y)
+    from .operators.encode import fit_scaler
+    sinks.sink_model_state(spark, path, coefs, fit_scaler(li, LIN_X),
+                           '{"targets": ["l_extendedprice", "l_tax"], "numeric": ["l_quantity"]}', version=1)
+
+
+@register("load_model_state", LIN_SQL)
+def q_load_model_state(spark, sf):
+    path = scratch_path(spark, "model")
+    _save_models(spark, sf, path)
+    table, _ = sinks.load_model_state(spark, path)
+    return table.withColumn("coef", r6("coef"))
+
+
+@register("sink_model_state", f"SELECT *, 1 AS version FROM ({LIN_SQL})")
+def q_sink_model_state(spark, sf):
+    path = scratch_path(spark, "model")
+    _save_models(spark, sf, path)
+    c = spark.read.parquet(f"{path}/coefficients").where("version = 1")
+    return c.select("target", "term", r6("coef").alias("coef"), "version")
+
+
+# ---------------------------------------------------------------------------
+# Forecasting plans (M5-M8, M11) and sinks (K1-K3)
+# ---------------------------------------------------------------------------
+PERIODS_SQL = ", ".join(f"('{n}', {d})" for n, d in forecast.FORECAST_PERIODS)
+FORECAST_SQL = f"""
+WITH {EV_MODEL_CTE}, p AS (SELECT * FROM (VALUES {PERIODS_SQL}) p(forecast_period, days_ahead))
+SELECT round(m.a + m.b * hour(e.ts), 6) + 0.0 AS value, p.forecast_period, e.ts AS timestamp,
+       CAST(CAST(TIMESTAMP '{AS_OF}' AS DATE) + p.days_ahead AS TIMESTAMP) AS forecast_date,
+       TIMESTAMP '{AS_OF}' AS run_ts
+FROM events e, m, p WHERE e.ts < CAST(CAST(TIMESTAMP '{AS_OF}' AS DATE) + p.days_ahead AS TIMESTAMP)
+"""
+
+
+def _forecasts(spark, sf):
+    ev, coefs = events_model(spark, sf)
+    out = forecast.forecast_periods(ev, coefs, spark, AS_OF, run_ts=AS_OF)
+    return out.withColumn("value", r6("value"))
+
+
+@register("forecast_periods", FORECAST_SQL)
+def q_forecast_periods(spark, sf):
+    return _forecasts(spark, sf)
+
+
+@register("sink_forecast_append", FORECAST_SQL)
+def q_sink_forecast_append(spark, sf):
+    path = scratch_path(spark, "forecasts")
+    sinks.sink_forecast_append(_forecasts(spark, sf), path)
+    return spark.read.parquet(path).select("value", "forecast_period", "timestamp", "forecast_date", "run_ts")
+
+
+HORIZON_START_SQL = "(SELECT date_trunc('hour', max(ts)) + INTERVAL 1 HOUR AS st FROM events)"
+FUTURE_SQL = f"""
+SELECT datetime, CAST(hour(datetime) AS INTEGER) AS hour, CAST(day(datetime) AS INTEGER) AS day,
+       CAST(month(datetime) AS INTEGER) AS month, CAST(isodow(datetime) - 1 AS INTEGER) AS weekday
+FROM (SELECT CAST(unnest(generate_series(st, st + INTERVAL {forecast.HORIZON_HOURS - 1} HOUR, INTERVAL 1 HOUR)) AS TIMESTAMP) AS datetime
+      FROM {HORIZON_START_SQL})
+"""
+
+
+def _horizon_start(spark, sf):
+    ev = load(spark, sf, "events")
+    return ev.agg((F.date_trunc("hour", F.max("ts")) + F.expr("INTERVAL 1 HOUR")).cast("timestamp_ntz").alias("start"))
+
+
+@register("future_hours", FUTURE_SQL)
+def q_future_hours(spark, sf):
+    return forecast.future_hours(spark, _horizon_start(spark, sf))
+
+
+HORIZON_SQL = f"""
+WITH {EV_MODEL_CTE}, f AS ({FUTURE_SQL})
+SELECT f.datetime, round(m.a + m.b * f.hour, 6) + 0.0 AS value, 0.0 AS humidity FROM f, m
+"""
+
+
+def _horizon(spark, sf):
+    _, coefs = events_model(spark, sf)
+    out = forecast.forecast_horizon(spark, _horizon_start(spark, sf), coefs, ["hour"], ["value", "humidity"])
+    return out.withColumn("value", r6("value"))
+
+
+@register("forecast_horizon", HORIZON_SQL)
+def q_forecast_horizon(spark, sf):
+    return _horizon(spark, sf)
+
+
+@register("sink_json_by_time", HORIZON_SQL)
+def q_sink_json_by_time(spark, sf):
+    path = scratch_path(spark, "horizon-json")
+    sinks.sink_json_by_time(_horizon(spark, sf), path)
+    return sinks.read_json_by_time(spark, path, "value double, humidity double")
+
+
+@register("predict_for_date", f"""
+WITH {EV_MODEL_CTE}
+SELECT e.ts, round(m.a + m.b * hour(e.ts), 6) + 0.0 AS value FROM events e, m
+WHERE e.ts >= TIMESTAMP '2024-01-10' AND e.ts < TIMESTAMP '2024-01-11' ORDER BY e.ts LIMIT 1
+""")
+def q_predict_for_date(spark, sf):
+    _, coefs = events_model(spark, sf)
+    out = forecast.predict_for_date(load(spark, sf, "events"), "2024-01-10", coefs, prepare=tp.calendar_parts)
+    return out.withColumn("value", r6("value"))
+
+
+@register("sink_prediction_by_day", """
+WITH m AS (SELECT regr_intercept(l_extendedprice, l_quantity) AS a1, regr_slope(l_extendedprice, l_quantity) AS b1 FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(a1 + b1 * l_quantity, 6) + 0.0 AS l_extendedprice,
+       DATE '2024-01-20' AS run_date, 'lineitem.parquet' AS source_file FROM lineitem, m
+""")
+def q_sink_prediction_by_day(spark, sf):
+    li = load(spark, sf, "lineitem")
+    coefs, _ = linear.fit_linear_multi(li, LIN_X, ["l_extendedprice"])
+    pred = linear.predict_linear(li.select("l_orderkey", "l_linenumber", "l_quantity"), coefs) \
+        .withColumns({"run_date": F.lit(_dt.date(2024, 1, 20)), "source_file": F.lit("lineitem.parquet")}) \
+        .select("l_orderkey", "l_linenumber", r6("l_extendedprice").alias("l_extendedprice"), "run_date", "source_file")
+    path = scratch_path(spark, "predictions")
+    sinks.sink_prediction_by_day(pred, path)
+    sinks.sink_prediction_by_day(pred, path)  # a replay replaces its partition, no duplicates
+    return spark.read.option("basePath", path).parquet(path) \
+        .select("l_orderkey", "l_linenumber", "l_extendedprice", F.col("run_date").cast("date"), "source_file")
+
+
+@register("preprocess")
+def q_preprocess(spark, sf):
+    ev = load(spark, sf, "events")
+    roles = preprocess.Roles(targets=["value"], numeric=["user_id"], categorical=["event_type"], text=["props"],
+                             time_key="ts", order_by=["ts", "event_id"])
+    state = preprocess.fit(ev, roles)
+    return preprocess.transform(ev, state, keep=["event_id", "ts"])
+
+
+# ---------------------------------------------------------------------------
+# Streaming (L1, L2): a CSV directory derived from events, read as a stream
+# ---------------------------------------------------------------------------
+@register("stream_score_files", f"""
+WITH {EV_MODEL_CTE}
+SELECT e.event_id, e.ts, round(m.a + m.b * hour(e.ts), 6) + 0.0 AS pred_value FROM events e, m
+""")
+def q_stream_score_files(spark, sf):
+    _, coefs = events_model(spark, sf)
+    root = write_events_csv(spark, sf, ["event_type"])
+    sink, ckpt = scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-ckpt")
+    q = streams.stream_score_files(spark, f"{root}/events_csv", _stream_schema(), coefs, tp.calendar_parts,
+                                   sink, ckpt, max_files=4, options={"timestampNTZFormat": CSV_TS})
+    q.awaitTermination()
+    return spark.read.parquet(sink).select("event_id", "ts", r6("pred_value").alias("pred_value"))
+
+
+def _stream_schema():
+    return "event_id bigint, ts timestamp_ntz, user_id bigint, value double, props string, yr int"
+
+
+@register("stream_update_model", """
+SELECT 'value' AS target, 'intercept' AS term, round(regr_intercept(value, hour(ts)), 6) + 0.0 AS coef FROM events
+UNION ALL SELECT 'value', 'hour', round(regr_slope(value, hour(ts)), 6) + 0.0 FROM events
+""")
+def q_stream_update_model(spark, sf):
+    root = write_events_csv(spark, sf, ["event_type"])
+    state, ckpt = scratch_path(spark, "stream-state"), scratch_path(spark, "stream-ckpt")
+    q = streams.stream_update_model(spark, f"{root}/events_csv", _stream_schema(), ["hour"], ["value"],
+                                    tp.calendar_parts, state, ckpt, max_files=4,
+                                    options={"timestampNTZFormat": CSV_TS})
+    q.awaitTermination()
+    coefs = streams.model_from_state(spark, state, ["hour"], ["value"])
+    return linear.coefficients_frame(spark, coefs).withColumn("coef", r6("coef"))

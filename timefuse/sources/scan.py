@@ -16,39 +16,52 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 # Fixed values from the reference: the file-name shapes of its three source
-# directories (no year, `<prefix>_events_<year>.csv`, `<category>-<year>.csv`).
-BASE_FILE_REGEX = r"^(?<name>[^/]+)\.csv$"
-EVENTS_FILE_REGEX = r"^(?<prefix>[A-Za-z]+)_events_(?<year>\d{4})\.csv$"
-CATEGORY_FILE_REGEX = r"^(?<category>[A-Za-z]+)-(?<year>\d{4})\.csv$"
+# directories (no year, `<prefix>_events_<year>.csv`, `<category>-<year>.csv`)
+# are built by ``reference_patterns`` below.
 
 
 def dispatch_columns(file_path, patterns: dict[str, str]):
-    """(category, year, matched) columns for a file path.
+    """(source, category, year, matched) columns for a file path.
 
-    ``patterns`` maps a parent directory name to a Java regex over the file
-    name with optional named groups ``category`` and ``year``.
+    ``patterns`` maps a source name to a Java regex over the file path with
+    optional named groups ``category`` and ``year``; the first source whose
+    pattern matches wins (e.g. ``/Space Data/(?<prefix>...)_events_(?<year>...)\\.csv$``,
+    or the ``key=value`` directories a partitioned Spark write leaves).
     """
-    name = F.regexp_extract(file_path, r"([^/]+)$", 1)
-    parent = F.regexp_extract(file_path, r"([^/]+)/[^/]+$", 1)
     matched = F.lit(False)
+    source = F.lit(None).cast("string")
     category = F.lit(None).cast("string")
     year = F.lit(None).cast("int")
-    for directory, rx in reversed(list(patterns.items())):
-        is_dir = parent == F.lit(directory)
-        hit = is_dir & name.rlike(rx)
-        matched = F.when(is_dir, name.rlike(rx)).otherwise(matched)
+    for name, rx in reversed(list(patterns.items())):
+        hit = file_path.rlike(rx)
+        matched = matched | hit
+        source = F.when(hit, F.lit(name)).otherwise(source)
         if "(?<category>" in rx:
-            category = F.when(hit, F.regexp_extract(name, rx, _group_index(rx, "category"))).otherwise(category)
+            category = F.when(hit, F.regexp_extract(file_path, rx, _group_index(rx, "category"))).otherwise(category)
+        else:
+            category = F.when(hit, F.lit(None).cast("string")).otherwise(category)
         if "(?<year>" in rx:
-            year = F.when(hit, F.regexp_extract(name, rx, _group_index(rx, "year")).try_cast("int")).otherwise(year)
-    return category, year, matched
+            year = F.when(hit, F.regexp_extract(file_path, rx, _group_index(rx, "year")).try_cast("int")).otherwise(year)
+        else:
+            year = F.when(hit, F.lit(None).cast("int")).otherwise(year)
+    return source, category, year, matched
+
+
+def reference_patterns(base_dir: str, events_dir: str, category_dir: str) -> dict[str, str]:
+    """The three source shapes of the reference, rooted at the given directory names."""
+    import re as _re
+    return {
+        "base": "/" + _re.escape(base_dir) + "/[^/]+\\.csv$",
+        "events": "/" + _re.escape(events_dir) + "/[A-Za-z]+_events_(?<year>\\d{4})\\.csv$",
+        "category": "/" + _re.escape(category_dir) + "/(?<category>[A-Za-z]+)-(?<year>\\d{4})\\.csv$",
+    }
 
 
 def _group_index(rx: str, group: str) -> int:
     """Position of a named group among the capturing groups of ``rx``."""
     import re as _re
     idx = 0
-    for m in _re.finditer(r"\((?!\?[:=!<]|\?<[=!])(\?<(\w+)>)?", rx):
+    for m in _re.finditer(r"(?<!\\)\((?!\?[:=!]|\?<[=!])(\?<(\w+)>)?", rx):
         idx += 1
         if m.group(2) == group:
             return idx
@@ -56,16 +69,18 @@ def _group_index(rx: str, group: str) -> int:
 
 
 def scan_csv_tree(spark: SparkSession, root: str, patterns: dict[str, str],
-                  schema: StructType | None = None) -> DataFrame:
-    """Recursive CSV scan of ``root``; keeps files matching their
-    directory's pattern and adds ``category``, ``year``, ``source_file``."""
+                  schema: StructType | str | None = None) -> DataFrame:
+    """Recursive CSV scan of ``root``; keeps files whose path matches a
+    source pattern and adds ``source``, ``category``, ``year``, ``source_file``."""
     reader = spark.read.option("header", True).option("recursiveFileLookup", True) \
         .option("pathGlobFilter", "*.csv").option("mode", "PERMISSIVE")
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     df = reader.csv(root)
-    path = F.col("_metadata.file_path")
-    category, year, matched = dispatch_columns(path, patterns)
-    return df.withColumns({"category": category, "year": year,
+    # the metadata path is a URI: undo the percent-encoding (spaces in
+    # directory names) before matching
+    path = F.url_decode(F.col("_metadata.file_path"))
+    source, category, year, matched = dispatch_columns(path, patterns)
+    return df.withColumns({"source": source, "category": category, "year": year,
                            "source_file": F.col("_metadata.file_name"), "_matched": matched}) \
              .where("_matched").drop("_matched")
 
@@ -77,8 +92,10 @@ def year_from_content(df: DataFrame, epoch_cols=("dt", "UNIX_TIMESTAMP"), file_c
     col = next((c for c in epoch_cols if c in df.columns), None)
     if col is None:
         return df.limit(0)
-    order = F.col(order_col) if order_col else F.monotonically_increasing_id()
-    per_file = df.where(F.col(col).isNotNull()) \
+    # row position within a file: the scan order (ids grow with the split offset)
+    src = df if order_col else df.withColumn("_row", F.monotonically_increasing_id())
+    order = F.col(order_col or "_row")
+    per_file = src.where(F.col(col).isNotNull()) \
         .groupBy(file_col).agg(F.min_by(F.year(F.timestamp_seconds(F.col(col).cast("bigint"))), order).alias("_y"))
     out = df.join(per_file, file_col, "inner")
     return out.withColumn("year", F.coalesce(F.col("year"), F.col("_y")) if "year" in df.columns
