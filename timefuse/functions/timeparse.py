@@ -267,10 +267,68 @@ FALLBACK_PATTERNS = [
 ]
 
 
-def parse_multi_format(c: Column, formats: list[str] | None = None) -> Column:
-    """First matching format of the ordered list, as TIMESTAMP (UTC)."""
+def _shape_tokens(fmt: str) -> list[list[str]]:
+    """Shape classes of a format: numeric directives -> '9', words -> 'a';
+    a zone offset has three spellings (Z, +hhmm, +hh:mm)."""
+    out: list[list[str]] = [[]]
+    for kind, v in _tokens(fmt):
+        if kind == "dir" and v in _NUMERIC:
+            piece = ["9"]
+        elif kind == "dir" and v == "z":
+            piece = None
+        elif kind == "dir" or v.isalpha():
+            piece = ["a"]
+        else:
+            piece = [" " if v.isspace() else v]
+        if piece is None:
+            out = [o + alt for o in out for alt in (["a"], ["+", "9"], ["+", "9", ":", "9"], ["-", "9"],
+                                                     ["-", "9", ":", "9"])]
+        else:
+            out = [o + piece for o in out]
+    return out
+
+
+def format_shapes(fmt: str) -> list[str]:
+    """Shape keys (runs of a class collapsed) a text in ``fmt`` can have."""
+    keys = []
+    for toks in _shape_tokens(fmt):
+        key = []
+        for t in toks:
+            if key and t in ("9", "a") and key[-1] == t:
+                continue
+            key.append(t)
+        keys.append("".join(key))
+    return keys
+
+
+def shape_key(c: Column) -> Column:
+    """Cheap structural key of a text: digit runs -> 9, letter runs -> a."""
+    return F.regexp_replace(F.regexp_replace(c, r"[0-9]+", "9"), r"[A-Za-z]+", "a")
+
+
+def _dispatch(c: Column, key: Column, fmts: list[str], parse_one) -> Column:
+    by_shape: dict[str, list[str]] = {}
+    for f in fmts:
+        for k in format_shapes(f):
+            by_shape.setdefault(k, [])
+            if f not in by_shape[k]:
+                by_shape[k].append(f)
+    expr = None
+    for k, fs in by_shape.items():
+        val = F.coalesce(*[parse_one(c, f) for f in fs]) if len(fs) > 1 else parse_one(c, fs[0])
+        expr = F.when(key == F.lit(k), val) if expr is None else expr.when(key == F.lit(k), val)
+    return expr
+
+
+def parse_multi_format(c: Column, formats: list[str] | None = None, key: Column | None = None) -> Column:
+    """First matching format of the ordered list, as TIMESTAMP (UTC).
+
+    A row only tries the formats whose shape equals its shape key (in list
+    order), and each of those only after its guard regex matched, so the
+    result is the first match of the whole list at the cost of one or two
+    parse attempts."""
     fmts = formats if formats is not None else reachable_formats()
-    return F.coalesce(*[_parse_one(c, f) for f in fmts])
+    return _dispatch(c, key if key is not None else shape_key(c), fmts, _parse_one)
 
 
 def parse_fallback(c: Column) -> Column:
@@ -287,7 +345,7 @@ def parse_time_text(c: Column, hourly_suffix: bool = True) -> Column:
     s = c.cast("string")
     if hourly_suffix:
         s = strip_utc_suffix(s)
-    s = normalize_separators(s)
+    s = F.regexp_replace(normalize_separators(s), r"\s+", " ")
     ts = F.coalesce(parse_epoch(s), _in_range(parse_multi_format(s)), _in_range(parse_fallback(s)))
     return ts.cast("timestamp_ntz")
 
@@ -304,25 +362,31 @@ def truncate_seconds(c: Column) -> Column:
 def parse_time_column(df, col: str, out: str = "ts", hourly_suffix: bool = True, drop_null: bool = False):
     """Parse ``col`` into ``out`` (UTC, full precision) as a DataFrame step.
 
-    The cleaned text is projected once as its own column, so the many format
-    guards all read that column instead of repeating the cleaning expression
-    (which would blow up generated code for a computed input).
+    The cleaned text and its shape key are projected once as their own
+    columns, so the format branches read those columns instead of repeating
+    the cleaning expressions (which would also blow up generated code).
     """
-    tmp = f"_{out}_text"
+    tmp, key = f"_{out}_text", f"_{out}_shape"
     s = df[col].cast("string")
     if hourly_suffix:
         s = strip_utc_suffix(s)
-    staged = df.withColumn(tmp, normalize_separators(s))
+    s = F.regexp_replace(normalize_separators(s), r"\s+", " ")
+    staged = df.withColumn(tmp, s).withColumn(key, shape_key(F.col(tmp)))
     t = F.col(tmp)
-    ts = F.coalesce(parse_epoch(t), _in_range(parse_multi_format(t)), _in_range(parse_fallback(t)))
+    # each parser's result is its own column: the range check reads it three
+    # times, which on an inline expression would re-run the parse each time
+    p_multi, p_fb = f"_{out}_multi", f"_{out}_fallback"
+    staged = staged.withColumns({p_multi: parse_multi_format(t, key=F.col(key)), p_fb: parse_fallback(t)})
+    ts = F.coalesce(parse_epoch(t), _in_range(F.col(p_multi)), _in_range(F.col(p_fb)))
     ts = ts.cast("timestamp_ntz")
     keep = [F.col(f"`{c}`") for c in df.columns if c != out]
+    staged = staged.withColumn(out, ts).drop(tmp, key, p_multi, p_fb)
     if drop_null:
         # rows without a time drop out through an explode of a null-free
         # one-element array: a Filter would be pushed below the projection and
         # would inline (and run) the whole parse expression a second time
-        return staged.select(*keep, F.explode(F.array_compact(F.array(ts))).alias(out))
-    return staged.select(*keep, ts.alias(out))
+        return staged.select(*keep, F.explode(F.array_compact(F.array(F.col(out)))).alias(out))
+    return staged.select(*keep, F.col(out))
 
 
 def standardize_time(df, col: str, out: str = "ts", hourly_suffix: bool = True, as_text: bool = False):

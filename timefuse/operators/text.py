@@ -9,7 +9,7 @@ vocabulary.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed value: the token rule (two or more word characters, Unicode aware).
@@ -17,17 +17,29 @@ TOKEN_REGEX = r"[\p{L}\p{N}_]{2,}"
 
 
 def tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, term) per token. ``explode_outer`` + a null filter, because for a
+    plain ``explode`` Catalyst adds a ``size(tokens) > 0`` filter that would
+    run the tokenizer a second time."""
     toks = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TOKEN_REGEX), 0)
-    return df.select(id_col, F.explode(toks).alias("term"))
+    return df.select(id_col, F.explode_outer(toks).alias("term")).where(F.col("term").isNotNull())
 
 
 def tfidf(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, weight) for every term of every row."""
-    tf = tokens(df, id_col, text_col).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, term, weight) for every term of every row.
+
+    The rows are hash-partitioned by id once (moving the text, which is
+    smaller than its token stream); term counts per row, the per-row norm
+    window and the output then all keep that partitioning, so the only other
+    exchange is the small per-term document-frequency aggregate. Its join is
+    left to AQE: broadcast when the vocabulary is small, otherwise a
+    sort-merge join whose hot terms AQE splits (skew join).
+    """
+    docs = df.select(id_col, text_col).repartition(id_col)
+    tf = tokens(docs, id_col, text_col).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n_docs = df.agg(F.count(F.lit(1)).alias("n_docs"))  # one row
     idf = dfreq.crossJoin(F.broadcast(n_docs)) \
                .select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
     w = tf.join(idf, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norms, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
+    return w.select(id_col, "term", (F.col("w") / norm).alias("weight"))

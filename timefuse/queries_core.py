@@ -9,7 +9,7 @@ from .functions import columns as fc
 from .functions import jsoncols as fj
 from .functions import timeparse as tp
 from .operators import align, filters, schema
-from .registry import register
+from .catalog import register
 from .sources import scan
 from .tables import load, r6, rounded
 

@@ -15,7 +15,7 @@ from .functions import timeparse as tp
 from .operators import align, linear
 from .plans import forecast, preprocess
 from .queries_model import LIN_SQL, LIN_X, LIN_Y
-from .registry import register
+from .catalog import register
 from .session import scratch_path
 from .sources import scan, sinks
 from .streaming import files as streams

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .operators import encode, evaluate, impute, linear, profile, text
 from .queries_core import EVENTS_GAPPY_SQL, UNION_SQL, cust_supp, events_gappy
-from .registry import register
+from .catalog import register
 from .sources import scan
 from .tables import load, r6, rounded
 

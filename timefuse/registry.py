@@ -1,34 +1,15 @@
 """Registered queries over the input tables and their DuckDB oracle SQL.
 
 Each query reads whole tables (no id subsets, no row caps); doubles are
-rounded to 6 places on both sides so the engines compare equal.
+rounded to 6 places on both sides so the engines compare equal. Importing
+this module loads every query module.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import queries_core  # noqa: F401
+from . import queries_io  # noqa: F401
+from . import queries_model  # noqa: F401
+from .catalog import ORACLE, QUERIES, register
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from .tables import load, r6, rounded
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(key: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[key] = fn
-        if sql is not None:
-            ORACLE[key] = sql.strip()
-        return fn
-    return deco
-
-
-# modules holding the query definitions register themselves on import
-from . import queries_core  # noqa: E402,F401
-from . import queries_model  # noqa: E402,F401
-from . import queries_io  # noqa: E402,F401
-
-__all__ = ["QUERIES", "ORACLE", "register", "load", "r6", "rounded", "F"]
+__all__ = ["QUERIES", "ORACLE", "register"]
