@@ -31,40 +31,92 @@ def long_values(df: DataFrame, cols: list[str], group: str = "column_name", valu
                                           for c in cols])).alias("_kv")).select("_kv.*")
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> DataFrame:
+def _ranked_values(long: DataFrame, group_cols: list[str]) -> DataFrame:
+    """(group..., value, lo_rank, hi_rank): 0-based rank range of each distinct
+    value inside its group, from the range-partitioned running count."""
+    counts = long.groupBy(*group_cols, "value").agg(F.count(F.lit(1)).alias("cnt"))
+    ranked = prefix_sums(counts, [*group_cols, "value"], ["cnt"])
+    n = counts.groupBy(*group_cols).agg(F.sum("cnt").alias("n"))
+    w = Window.orderBy(*group_cols).rowsBetween(Window.unboundedPreceding, -1)
+    off = n.withColumn("off", F.coalesce(F.sum("n").over(w), F.lit(0)))  # one row per group
+    return ranked.join(F.broadcast(off.select(*group_cols, "off")), group_cols) \
+                 .select(*group_cols, "value", (F.col("cum_cnt") - F.col("off") - F.col("cnt")).alias("lo_rank"),
+                         (F.col("cum_cnt") - F.col("off") - 1).alias("hi_rank"))
+
+
+def _values_at(ranked: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """Interpolated quantile for each target row (keys, q, r_lo, r_hi, frac)."""
+    def value_at(rank_col: str, out: str) -> DataFrame:
+        r, t = ranked.alias("r"), F.broadcast(targets.alias("t"))  # targets: (#columns x #quantiles) rows
+        cond = F.lit(True)
+        for k in keys:
+            cond = cond & (F.col(f"r.{k}") == F.col(f"t.{k}"))
+        cond = cond & (F.col(f"t.{rank_col}") >= F.col("r.lo_rank")) & (F.col(f"t.{rank_col}") <= F.col("r.hi_rank"))
+        return r.join(t, cond).select(F.col("t.column_name").alias("column_name"), F.col("t.q").alias("q"),
+                                      F.col("t.frac").alias("frac"), F.col("r.value").alias(out))
+    res = value_at("r_lo", "v_lo").join(value_at("r_hi", "v_hi").drop("frac"), ["column_name", "q"])
+    return res.select("column_name", "q", (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("quantile"))
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], accuracy: int = 10000) -> DataFrame:
     """Exact linear-interpolation quantiles of several columns.
 
-    Values are reduced to (column, value, multiplicity) by a partial
-    aggregate, their running counts come from the range-partitioned prefix
-    sum (no single-partition sort), and each wanted rank is found by a join
-    with the small (column, quantile) table. Output: column_name, q, quantile.
+    ``percentile_approx`` (rank error <= n / accuracy) brackets every wanted
+    rank; one aggregate counts the rows below each bracket; only the rows in
+    a bracket (a few per ten thousand) are reduced to (value, multiplicity),
+    ranked by the range-partitioned running count and joined with the small
+    (column, quantile) table. Small inputs, or a bracket that misses its rank,
+    take the same path over all values. Nothing is gathered into one task.
+    Output: column_name, q, quantile.
     """
+    spark = df.sparkSession
     long = long_values(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    ranked = prefix_sums(counts, ["column_name", "value"], ["cnt"])
-    n = counts.groupBy("column_name").agg(F.sum("cnt").alias("n"))
-    # global running count -> running count inside the column
-    w = Window.orderBy("column_name").rowsBetween(Window.unboundedPreceding, -1)
-    off = n.withColumn("off", F.coalesce(F.sum("n").over(w), F.lit(0)))  # one row per column
-    ranked = ranked.join(F.broadcast(off), "column_name") \
-                   .withColumns({"hi_rank": F.col("cum_cnt") - F.col("off") - 1,
-                                 "lo_rank": F.col("cum_cnt") - F.col("off") - F.col("cnt")})
-    qdf = df.sparkSession.createDataFrame([(float(q),) for q in qs], "q double")
-    targets = off.crossJoin(qdf).withColumn("pos", F.col("q") * (F.col("n") - 1)) \
-                 .withColumns({"r_lo": F.floor("pos"), "r_hi": F.ceil("pos"), "frac": F.col("pos") - F.floor("pos")})
-    # targets has (#columns x #quantiles) rows: a proven small broadcast side
-    t = targets.select("column_name", "q", "r_lo", "r_hi", "frac")
-    rk = ranked.select("column_name", "value", "lo_rank", "hi_rank")
-
-    def value_at(rank_col: str, out: str) -> DataFrame:
-        r, tt = rk.alias("r"), F.broadcast(t.alias("t"))
-        cond = (F.col("r.column_name") == F.col("t.column_name")) & \
-               (F.col(f"t.{rank_col}") >= F.col("r.lo_rank")) & (F.col(f"t.{rank_col}") <= F.col("r.hi_rank"))
-        return r.join(tt, cond).select(F.col("t.column_name").alias("column_name"), F.col("t.q").alias("q"),
-                                       F.col("t.frac").alias("frac"), F.col("r.value").alias(out))
-
-    res = value_at("r_lo", "v_lo").join(value_at("r_hi", "v_hi").drop("frac"), ["column_name", "q"])
-    return res.select("column_name", "q", (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("quantile"))
+    margin = 3.0 / accuracy
+    lo_q = [max(0.0, q - margin) for q in qs]
+    hi_q = [min(1.0, q + margin) for q in qs]
+    stats = {r.column_name: r for r in long.groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx("value", [*lo_q, *hi_q], accuracy).alias("b")).collect()}
+    rows = []
+    for c in cols:
+        st = stats.get(c)
+        if st is None:
+            continue
+        for i, q in enumerate(qs):
+            pos = q * (st.n - 1)
+            rows.append((c, i, float(q), int(pos // 1), int(-(-pos // 1)), float(pos - pos // 1),
+                         float(st.b[i]), float(st.b[len(qs) + i])))
+    if not rows:
+        return spark.createDataFrame([], "column_name string, q double, quantile double")
+    tdf = spark.createDataFrame(rows, "column_name string, qi int, q double, r_lo long, r_hi long, frac double, "
+                                      "b_lo double, b_hi double")
+    small = sum(st.n for st in stats.values()) <= 4 * accuracy
+    if not small:
+        # one pass: rows below each bracket, rows inside it
+        aggs = []
+        for k, (c, _, _, _, _, _, blo, bhi) in enumerate(rows):
+            is_col = F.col("column_name") == c
+            aggs.append(F.count(F.when(is_col & (F.col("value") < blo), 1)).alias(f"below{k}"))
+            aggs.append(F.count(F.when(is_col & F.col("value").between(blo, bhi), 1)).alias(f"inside{k}"))
+        cnt = long.agg(*aggs).first()
+        ok = True
+        offs = []
+        for k, (c, i, q, r_lo, r_hi, frac, blo, bhi) in enumerate(rows):
+            below, inside = cnt[f"below{k}"], cnt[f"inside{k}"]
+            ok = ok and below <= r_lo and r_hi < below + inside
+            offs.append(below)
+        if ok:
+            # rows of each bracket, tagged with the bracket's index
+            tags = F.array_compact(F.array(*[F.when((F.col("column_name") == c) & F.col("value").between(blo, bhi), F.lit(k))
+                                             for k, (c, i, q, _, _, _, blo, bhi) in enumerate(rows)]))
+            inside = long.select("column_name", "value", F.explode(tags).alias("bk"))
+            ranked = _ranked_values(inside, ["bk"])
+            shifted = spark.createDataFrame(
+                [(k, c, q, r_lo - offs[k], r_hi - offs[k], frac) for k, (c, i, q, r_lo, r_hi, frac, _, _) in enumerate(rows)],
+                "bk int, column_name string, q double, r_lo long, r_hi long, frac double")
+            return _values_at(ranked, shifted, ["bk"])
+    ranked = _ranked_values(long, ["column_name"])
+    return _values_at(ranked, tdf.select("column_name", "q", "r_lo", "r_hi", "frac"), ["column_name"])
 
 
 def target_describe(df: DataFrame, cols: list[str]) -> DataFrame:
