@@ -38,8 +38,11 @@ def daily_mean(df: DataFrame, key: str = "ts", cols: list[str] | None = None) ->
     cols = cols if cols is not None else numeric_columns(df, exclude=(key,))
     src = df.where(F.col(key).isNotNull()).withColumn(DAY, F.to_date(key))
     agg = src.groupBy(DAY).agg(*[_mean(src, c) for c in cols])
-    spine = agg.agg(F.min(DAY).alias("lo"), F.max(DAY).alias("hi")) \
-               .select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias(DAY))
+    # first and last day from min/max of the raw key (to_date is monotone): a
+    # scan pruned to the key column only, answered from file footers where
+    # the source supports aggregate pushdown
+    spine = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")) \
+              .select(F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"), F.expr("INTERVAL 1 DAY"))).alias(DAY))
     out = spine.join(agg, DAY, "left")
     return out.select(F.col(DAY).cast("timestamp_ntz").alias(key), *cols)
 

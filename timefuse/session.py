@@ -20,6 +20,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
+    # MIN/MAX/COUNT of raw columns from Parquet footers (e.g. the day spine)
+    "spark.sql.parquet.aggregatePushdown": "true",
     "spark.ui.enabled": "false",
     "spark.driver.memory": "8g",
     "spark.ui.showConsoleProgress": "false",
