@@ -228,13 +228,28 @@ def q_sink_prediction_by_day(spark, sf):
         .select("l_orderkey", "l_linenumber", "l_extendedprice", F.col("run_date").cast("date"), "source_file")
 
 
-@register("preprocess")
+_PRE_NUM = ["user_id", "props", "year", "month", "day", "hour", "day_of_week"]
+_PRE_CATS = ["click", "error", "purchase", "signup", "view"]
+PREPROCESS_SQL = r"""
+WITH e AS (SELECT event_id, ts, CAST(user_id AS DOUBLE) AS user_id,
+                  TRY_CAST(regexp_extract(props, '(\d+)', 1) AS DOUBLE) AS props,
+                  CAST(year(ts) AS DOUBLE) AS year, CAST(month(ts) AS DOUBLE) AS month, CAST(day(ts) AS DOUBLE) AS day,
+                  CAST(hour(ts) AS DOUBLE) AS hour, CAST(isodow(ts) - 1 AS DOUBLE) AS day_of_week, event_type, value
+           FROM events)
+SELECT event_id, ts, """ + ", ".join(
+    f"round(({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1), 6) + 0.0 AS {c}" for c in _PRE_NUM) \
+    + ", " + ", ".join(f"CASE WHEN event_type = '{v}' THEN 1.0 ELSE 0.0 END AS event_type_{v}" for v in _PRE_CATS) \
+    + ", value FROM e"
+
+
+@register("preprocess", PREPROCESS_SQL)
 def q_preprocess(spark, sf):
     ev = load(spark, sf, "events")
     roles = preprocess.Roles(targets=["value"], numeric=["user_id"], categorical=["event_type"], text=["props"],
                              time_key="ts", order_by=["ts", "event_id"])
     state = preprocess.fit(ev, roles)
-    return preprocess.transform(ev, state, keep=["event_id", "ts"])
+    out = preprocess.transform(ev, state, keep=["event_id", "ts"])
+    return rounded(out, [c for c in state.features if c in _PRE_NUM])
 
 
 # ---------------------------------------------------------------------------
