@@ -156,3 +156,25 @@ def test_exact_quantiles_bracket_path(spark, accuracy):
     for c, arr in (("x", np.array(vals)), ("y", -np.array(vals))):
         for q in qs:
             assert got[(c, q)] == pytest.approx(np.quantile(arr, q)), (c, q)
+
+
+def test_hot_key_spreads_over_partitions(spark):
+    """A third of the rows share one timestamp; range partitioning on
+    (ts, id) still spreads them, and the fill stays exact."""
+    import datetime as dt
+    rnd = random.Random(7)
+    hot = dt.datetime(2024, 1, 1, 12)
+    rows = []
+    for i in range(3000):
+        ts = hot if i % 3 == 0 else hot + dt.timedelta(seconds=rnd.randint(-50000, 50000))
+        rows.append((i, ts, None if rnd.random() < 0.5 else float(i)))
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz, v double")
+    parts = ordered.ordered_partitions(df, ["ts", "id"], 6).groupBy("_pid").count().collect()
+    sizes = sorted(r["count"] for r in parts)
+    assert len(sizes) == 6 and sizes[-1] < 2 * (3000 / 6)
+    got = {r.id: r.v for r in ordered.fill_ordered(df, ["v"], ["ts", "id"], "forward", 6).collect()}
+    last, want = None, {}
+    for i, ts, v in sorted(rows, key=lambda r: (r[1], r[0])):
+        last = v if v is not None else last
+        want[i] = last
+    assert got == want

@@ -17,6 +17,13 @@ from pyspark.sql import functions as F
 from ..operators import linear
 
 
+def _trigger(writer, interval: str | None):
+    """``interval=None``: process what is there and stop (tests, backfills);
+    otherwise a micro-batch every ``interval`` (e.g. "1 minute"), as a
+    watched directory needs."""
+    return writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=interval)
+
+
 def file_stream(spark: SparkSession, directory: str, schema: str, max_files: int | None = None,
                 options: dict | None = None) -> DataFrame:
     r = spark.readStream.schema(schema).option("header", True).option("recursiveFileLookup", True) \
@@ -28,7 +35,8 @@ def file_stream(spark: SparkSession, directory: str, schema: str, max_files: int
 
 def stream_score_files(spark: SparkSession, directory: str, schema: str, coefs: dict,
                        prepare: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str,
-                       require: str = "ts", max_files: int | None = None, options: dict | None = None):
+                       require: str = "ts", max_files: int | None = None, options: dict | None = None,
+                       interval: str | None = None):
     """L1: every new file -> prepare (fit-free) -> predict -> append by batch."""
     stream = file_stream(spark, directory, schema, max_files, options)
 
@@ -40,13 +48,13 @@ def stream_score_files(spark: SparkSession, directory: str, schema: str, coefs:
               .write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
               .partitionBy("batch_id").parquet(sink)
 
-    return stream.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint) \
-                 .trigger(availableNow=True).start()
+    return _trigger(stream.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint), interval).start()
 
 
 def stream_update_model(spark: SparkSession, directory: str, schema: str, features: list[str],
                         targets: list[str], prepare: Callable[[DataFrame], DataFrame], state_path: str,
-                        checkpoint: str, max_files: int | None = None, options: dict | None = None):
+                        checkpoint: str, max_files: int | None = None, options: dict | None = None,
+                        interval: str | None = None):
     """L2: each batch's sufficient statistics stored under its batch id; the
     model is the solve of their sum (exact, replay-safe)."""
     stream = file_stream(spark, directory, schema, max_files, options)
@@ -59,8 +67,7 @@ def stream_update_model(spark: SparkSession, directory: str, schema: str, featur
               .write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
               .partitionBy("batch_id").parquet(state_path)
 
-    return stream.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint) \
-                 .trigger(availableNow=True).start()
+    return _trigger(stream.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint), interval).start()
 
 
 def model_from_state(spark: SparkSession, state_path: str, features: list[str], targets: list[str]):
