@@ -46,3 +46,37 @@ def test_year_from_content(spark, tmp_path):
         .withColumn("source_file", F.col("_metadata.file_name"))
     got = sorted((r.source_file, r.year) for r in scan.year_from_content(df, ("dt",)).select("source_file", "year").distinct().collect())
     assert got == [("a.csv", 2024), ("b.csv", 2023)]
+
+
+def test_load_and_combine_reference_layout(spark, tmp_path):
+    from timefuse.plans.combine import load_and_combine
+    root = str(tmp_path)
+    hours = ["2024-01-01 %02d:00:00 +0000 UTC" % h for h in range(24)] + \
+            ["2024-01-02 %02d:00:00 +0000 UTC" % h for h in range(24)]
+    lines = ["dt,dt_iso,temp,humidity,sea_level"]
+    for i, h in enumerate(hours):
+        lines.append(f"{1704067200 + 3600 * i},{h},{i * 0.5},{50 + i % 7},{'' if i else 1000}")
+    _write(f"{root}/Weather/Toronto.csv", "\n".join(lines) + "\n")
+    _write(f"{root}/Space Data/space_events_2024.csv",
+           "startTime,kp_18\n2024-01-01T03:00Z,2\n2024-01-01T09:00Z,4\n2024-01-02T01:00Z,6\n")
+    _write(f"{root}/Near Earth Space Data/CME-2024.csv",
+           "startTime,speed,halfAngle\n2024-01-01T05:00Z,400,10\n2024-01-01T07:00Z,600,30\n")
+    _write(f"{root}/Near Earth Space Data/FLR-2024.csv", "peakTime,flrID\n2024-01-02T02:00Z,x\n")
+    _write(f"{root}/Near Earth Space Data/XYZ-2024.csv", "startTime,speed\n2024-01-01T05:00Z,999\n")
+    res = load_and_combine(spark, f"{root}/Weather", f"{root}/Space Data", f"{root}/Near Earth Space Data",
+                           targets=["humidity"], categories=["CME", "FLR"])
+    rows = {r.ts.hour + 24 * (r.ts.day - 1): r for r in res.data.collect()}
+    assert len(rows) == 48
+    assert "sea_level" not in res.data.columns            # > 50 % null: dropped
+    assert rows[0].space_kp_18 == 3.0 and rows[30].space_kp_18 == 6.0
+    assert rows[5].near_earth_CME_speed == 500.0 and rows[5].near_earth_CME_half_angle == 20.0
+    assert rows[30].near_earth_CME_speed is None
+    assert res.targets == [] and [r.target for r in res.thin_targets.collect()] == ["humidity"]  # 48 < 100 values
+
+
+def test_reference_json_features(spark):
+    from timefuse.functions.jsoncols import extract_reference_json_features
+    df = spark.createDataFrame([("[{'latitude': 1.5, 'longitude': -2.0}]", '[{"speed": 700.0}]'),
+                                ("None", "[]")], "impact_list string, cme_analyses string")
+    got = [(r.impact_latitude, r.impact_longitude, r.cme_speed) for r in extract_reference_json_features(df).collect()]
+    assert got == [(1.5, -2.0, 700.0), (None, None, None)]

@@ -69,3 +69,23 @@ def json_first_fields(arr: Column, fields: list[str], prefix: str = "") -> dict[
     """The named fields of the first array element (NULL when empty)."""
     first = F.get(arr, 0)
     return {f"{prefix}{f}": first.getField(f) for f in fields}
+
+
+# Fixed values from the reference: the JSON columns it reads (after the
+# rename) and the fields taken from their first element.
+REFERENCE_JSON_FIELDS = {
+    "impact_list": ("impact_", ["latitude", "longitude"]),
+    "cme_analyses": ("cme_", ["speed"]),
+}
+
+
+def extract_reference_json_features(df: DataFrame) -> DataFrame:
+    """X17 for the reference's columns: ``impact_latitude``,
+    ``impact_longitude`` from ``impact_list`` and ``cme_speed`` from
+    ``cme_analyses`` (lenient parse; missing or broken -> NULL)."""
+    out = df
+    for col, (prefix, fields) in REFERENCE_JSON_FIELDS.items():
+        if col in df.columns:
+            arr = parse_json_lenient(F.col(col), "struct<" + ", ".join(f"{f}: double" for f in fields) + ">")
+            out = out.withColumns(json_first_fields(arr, fields, prefix))
+    return out

@@ -73,15 +73,17 @@ def prefix_columns(df: DataFrame, prefix: str, key: str = "ts") -> DataFrame:
 
 
 def multi_left_join(base: DataFrame, sources: list[tuple[str, DataFrame]], key: str = "ts",
-                    null_safe: bool = False) -> DataFrame:
+                    null_safe: bool = False, skip_empty: bool = False) -> DataFrame:
     """J1 (+J3): base left-joined to each source on equal time, in order.
 
     Right columns are prefixed by the source name up front, so names never
-    collide; fan-out of several right rows per key is kept.
+    collide; fan-out of several right rows per key is kept. ``skip_empty``
+    leaves out sources without rows (as the reference does); it costs one
+    ``isEmpty`` probe (a limit-1 job) per source.
     """
     out = base
     for name, src in sources:
-        if src is None:
+        if src is None or (skip_empty and src.isEmpty()):
             continue
         right = prefix_columns(src, name, key).withColumnRenamed(key, "_rk")
         cond = out[key].eqNullSafe(right["_rk"]) if null_safe else out[key] == right["_rk"]

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as fc
+from ..functions.jsoncols import REFERENCE_JSON_FIELDS, extract_reference_json_features
 from ..functions import timeparse as tp
 from ..operators import encode, profile
 from ..operators.impute import fill_both
@@ -59,7 +60,7 @@ class PreprocessState:
 
 
 def _base_features(df: DataFrame, roles: Roles, link_cols, digit_cols) -> DataFrame:
-    out = df
+    out = extract_reference_json_features(df)
     if roles.time_key in df.columns:
         out = tp.calendar_parts(out, roles.time_key)
     out = out.withColumns({c: fc.link_flag(F.col(c)).cast("double") for c in link_cols if c in out.columns})
@@ -69,14 +70,16 @@ def _base_features(df: DataFrame, roles: Roles, link_cols, digit_cols) -> DataFr
 
 def fit(df: DataFrame, roles: Roles) -> PreprocessState:
     """Decide link/digit columns, scaler statistics and category lists."""
-    text = [c for c in roles.text if c in df.columns]
+    text = [c for c in roles.text if c in df.columns and c not in REFERENCE_JSON_FIELDS]
     links = []
     if text:
         flags = profile.contains_any(df, text).collect()
         links = [r.column_name for r in flags if r.has_marker]
     digits = [c for c in text if c not in links]
     base = _base_features(df, roles, links, digits)
-    numeric = [c for c in [*roles.numeric, *links, *digits] if c in base.columns and c not in roles.targets]
+    json_feats = [f"{p}{f}" for c, (p, fs) in REFERENCE_JSON_FIELDS.items() if c in df.columns for f in fs]
+    numeric = [c for c in [*roles.numeric, *json_feats, *links, *digits]
+               if c in base.columns and c not in roles.targets]
     if roles.time_key in df.columns:
         numeric += [c for c in CALENDAR if c not in numeric]
     scaler = encode.fit_scaler(base, numeric) if numeric else {}
@@ -92,6 +95,7 @@ def transform(df: DataFrame, state: PreprocessState, fill: bool = True, keep: li
     numeric = list(state.scaler)
     out = out.withColumns({c: F.lit(0.0) for c in numeric if c not in out.columns})
     out = out.withColumns({c: F.lit("missing") for c in state.categories if c not in out.columns})
+    out = out.drop(*[c for c in REFERENCE_JSON_FIELDS if c in out.columns])
     if fill and all(c in out.columns for c in roles.order_by):
         out = fill_both(out, numeric, roles.order_by)
     out = encode.standard_scale(out, state.scaler)
