@@ -178,3 +178,14 @@ def test_hot_key_spreads_over_partitions(spark):
         last = v if v is not None else last
         want[i] = last
     assert got == want
+
+
+def test_wide_path_agrees_with_statistics(spark):
+    rnd = random.Random(12)
+    rows = [(a, b, 1.5 * a - 0.5 * b + 2 + rnd.gauss(0, 0.01)) for a, b in
+            ((rnd.random(), rnd.random()) for _ in range(300))]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    exact, _ = linear.fit_linear_multi(df, ["a", "b"], ["y"])
+    wide = linear.fit_linear_wide(df, ["a", "b"], ["y"])
+    for k in ("intercept", "a", "b"):
+        assert wide["y"][k] == pytest.approx(exact["y"][k], abs=1e-3)

@@ -92,8 +92,32 @@ def coefficients_frame(spark: SparkSession, coefs: dict[str, dict[str, float]])
     return spark.createDataFrame(rows, "target string, term string, coef double")
 
 
+# Above this many features the (p+1)^2 statistics and the driver solve stop
+# being small; the fit then runs as distributed L-BFGS (pyspark.ml).
+WIDE_FEATURES = 1000
+
+
+def fit_linear_wide(df: DataFrame, features: list[str], targets: list[str], ridge: float = 0.0):
+    """Wide or sparse inputs: ``pyspark.ml`` LinearRegression (L-BFGS), one
+    distributed optimisation per target; same least-squares objective."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    data = VectorAssembler(inputCols=features, outputCol="_x").transform(df.where(_row_mask(features, targets)))
+    out = {}
+    for t in targets:
+        m = LinearRegression(featuresCol="_x", labelCol=t, regParam=ridge, elasticNetParam=0.0,
+                             solver="l-bfgs", standardization=False).fit(data)
+        out[t] = {INTERCEPT: float(m.intercept), **{f: float(b) for f, b in zip(features, m.coefficients.toArray())}}
+    return out
+
+
 def fit_linear_multi(df: DataFrame, features: list[str], targets: list[str], ridge: float = 0.0):
-    """M1: one least-squares model per target; returns (coefs, stats frame)."""
+    """M1: one least-squares model per target; returns (coefs, stats frame).
+
+    Up to ``WIDE_FEATURES`` features: one aggregate of mergeable statistics
+    and an exact solve; beyond that: distributed L-BFGS (stats frame None)."""
+    if len(features) > WIDE_FEATURES:
+        return fit_linear_wide(df, features, targets, ridge), None
     stats = gram_stats(df, features, targets)
     return solve(stats.collect(), features, targets, ridge), stats
 
