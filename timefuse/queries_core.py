@@ -196,8 +196,11 @@ def _expected_sql(ts: str, idx: str) -> str:
 def render_round_robin(ts_col: str, idx_col: str):
     """Text of ``ts_col`` in the format chosen by ``idx_col`` (one per row)."""
     ts = F.col(ts_col).cast("timestamp")
-    return F.coalesce(*[F.when(F.col(idx_col) == i, F.date_format(ts, tp.render_pattern(f)))
-                        for i, f in enumerate(_FMTS)])
+    expr = None
+    for i, f in enumerate(_FMTS):
+        text = F.date_format(ts, tp.render_pattern(f))
+        expr = F.when(F.col(idx_col) == i, text) if expr is None else expr.when(F.col(idx_col) == i, text)
+    return expr
 
 
 @register("parse_multi_format", f"""

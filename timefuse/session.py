@@ -22,6 +22,10 @@ DEFAULT_CONF = {
     "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
     # MIN/MAX/COUNT of raw columns from Parquet footers (e.g. the day spine)
     "spark.sql.parquet.aggregatePushdown": "true",
+    # HotSpot does not JIT methods above 8000 bytecodes; wider generated code
+    # (the 57-format time parser, wide feature projections) falls back to
+    # Spark's split/interpreted path instead of running un-compiled bytecode
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.ui.enabled": "false",
     "spark.driver.memory": "8g",
     "spark.ui.showConsoleProgress": "false",
