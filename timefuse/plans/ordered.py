@@ -25,19 +25,16 @@ from ..session import ensure_checkpoint_dir
 PID = "_pid"
 
 
-def _num_partitions(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def ordered_partitions(df: DataFrame, order_cols: list[str], num_partitions: int | None = None) -> DataFrame:
-    """Range-partition on ``order_cols``, tag the partition id, checkpoint."""
+    """Range-partition on ``order_cols``, tag the partition id, checkpoint.
+
+    Without an explicit count the exchange uses the session's shuffle
+    partitions and AQE may coalesce them to fit the data; coalescing only
+    merges neighbouring ranges, so partition ids stay in key order."""
     ensure_checkpoint_dir(df.sparkSession)
-    p = _num_partitions(df, num_partitions)
-    d = df.repartitionByRange(p, *[F.col(c).asc_nulls_first() for c in order_cols]) \
-          .withColumn(PID, F.spark_partition_id())
-    return d.checkpoint(eager=True)
+    keys = [F.col(c).asc_nulls_first() for c in order_cols]
+    d = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    return d.withColumn(PID, F.spark_partition_id()).checkpoint(eager=True)
 
 
 def _offsets(summary: DataFrame, cols: list[str], how: str) -> DataFrame:

@@ -32,6 +32,25 @@ DEFAULT_CONF = {
 }
 
 
+# settings that are fixed when the JVM starts; everything else in
+# DEFAULT_CONF can also be applied to a session someone else created
+STATIC_CONF = {"spark.ui.enabled", "spark.ui.showConsoleProgress", "spark.driver.memory"}
+
+
+def apply_sql_defaults(spark: SparkSession) -> SparkSession:
+    """Apply the runtime SQL settings the library relies on (UTC zone, AQE
+    with skew-join handling, generated-method cap) to an existing session,
+    and make sure a checkpoint folder is known."""
+    for k, v in DEFAULT_CONF.items():
+        if k not in STATIC_CONF:
+            try:
+                spark.conf.set(k, v)
+            except Exception:  # noqa: BLE001 - a static or locked setting stays as the cluster set it
+                pass
+    ensure_checkpoint_dir(spark)
+    return spark
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "timefuse", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the library defaults."""
@@ -46,11 +65,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    # The session may have existed already; the UTC zone is what every
-    # operator relies on, so it is pinned every time.
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    ensure_checkpoint_dir(spark)
-    return spark
+    # the session may have existed already: pin the settings every time
+    return apply_sql_defaults(spark)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
