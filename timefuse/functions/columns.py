@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 # first-digit-run rule applied to every other text column.
 LINK_MARKER = "http"
 DIGIT_RUN = r"(\d+)"
-# A plain decimal number as a strict numeric parser reads it (no type
-# suffixes such as 1d / 1f, which Spark's cast would accept).
-NUMERIC_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+# A plain decimal number or an infinity, as a strict numeric parser reads it
+# (no type suffixes such as 1d / 1f, which Spark's cast would accept).
+NUMERIC_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
 
 
 def link_flag(c: Column) -> Column:

@@ -38,9 +38,12 @@ def forecast_periods(data: DataFrame, coefs: dict, spark: SparkSession, as_of, k
     scored = linear.predict_linear(data, coefs)
     run = run_ts if run_ts is not None else F.current_timestamp().cast("timestamp_ntz")
     targets = list(coefs)
+    # as in the reference: targets, period, ``timestamp`` = the run time,
+    # ``forecast_date``; the scored row's own time is kept as ``key``
     return scored.join(periods, F.col(key) < F.col("forecast_date")) \
-                 .select(*targets, "forecast_period", F.col(key).alias("timestamp"), "forecast_date",
-                         (run if hasattr(run, "_jc") else F.lit(run).cast("timestamp_ntz")).alias("run_ts"))
+                 .select(*targets, "forecast_period",
+                         (run if hasattr(run, "_jc") else F.lit(run).cast("timestamp_ntz")).alias("timestamp"),
+                         "forecast_date", F.col(key))
 
 
 def future_hours(spark: SparkSession, start, hours: int = HORIZON_HOURS) -> DataFrame:

@@ -131,9 +131,8 @@ def q_sink_model_state(spark, sf):
 PERIODS_SQL = ", ".join(f"('{n}', {d})" for n, d in forecast.FORECAST_PERIODS)
 FORECAST_SQL = f"""
 WITH {EV_MODEL_CTE}, p AS (SELECT * FROM (VALUES {PERIODS_SQL}) p(forecast_period, days_ahead))
-SELECT round(m.a + m.b * hour(e.ts), 6) + 0.0 AS value, p.forecast_period, e.ts AS timestamp,
-       CAST(CAST(TIMESTAMP '{AS_OF}' AS DATE) + p.days_ahead AS TIMESTAMP) AS forecast_date,
-       TIMESTAMP '{AS_OF}' AS run_ts
+SELECT round(m.a + m.b * hour(e.ts), 6) + 0.0 AS value, p.forecast_period, TIMESTAMP '{AS_OF}' AS timestamp,
+       CAST(CAST(TIMESTAMP '{AS_OF}' AS DATE) + p.days_ahead AS TIMESTAMP) AS forecast_date, e.ts
 FROM events e, m, p WHERE e.ts < CAST(CAST(TIMESTAMP '{AS_OF}' AS DATE) + p.days_ahead AS TIMESTAMP)
 """
 
@@ -153,7 +152,7 @@ def q_forecast_periods(spark, sf):
 def q_sink_forecast_append(spark, sf):
     path = scratch_path(spark, "forecasts")
     sinks.sink_forecast_append(_forecasts(spark, sf), path)
-    return spark.read.parquet(path).select("value", "forecast_period", "timestamp", "forecast_date", "run_ts")
+    return spark.read.parquet(path).select("value", "forecast_period", "timestamp", "forecast_date", "ts")
 
 
 HORIZON_START_SQL = "(SELECT date_trunc('hour', max(ts)) + INTERVAL 1 HOUR AS st FROM events)"
