@@ -263,7 +263,8 @@ def q_stream_score_files(spark, sf):
     root = write_events_csv(spark, sf, ["event_type"])
     sink, ckpt = scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-ckpt")
     q = streams.stream_score_files(spark, f"{root}/events_csv", _stream_schema(), coefs, tp.calendar_parts,
-                                   sink, ckpt, max_files=4, options={"timestampNTZFormat": CSV_TS})
+                                   sink, ckpt, max_files=4, options={"timestampNTZFormat": CSV_TS},
+                                   keep=["event_id", "ts"])
     q.awaitTermination()
     return spark.read.parquet(sink).select("event_id", "ts", r6("pred_value").alias("pred_value"))
 

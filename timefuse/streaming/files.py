@@ -30,23 +30,32 @@ def file_stream(spark: SparkSession, directory: str, schema: str, max_files: int
         .option("pathGlobFilter", "*.csv").options(**(options or {}))
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.csv(directory).withColumn("source_file", F.col("_metadata.file_name"))
+    return r.csv(directory).withColumns({"source_file": F.col("_metadata.file_name"),
+                                         # basenames repeat across directories; the sink keys on the path
+                                         "source_id": F.xxhash64(F.col("_metadata.file_path"))})
 
 
 def stream_score_files(spark: SparkSession, directory: str, schema: str, coefs: dict,
                        prepare: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str,
                        require: str = "ts", max_files: int | None = None, options: dict | None = None,
-                       interval: str | None = None):
-    """L1: every new file -> prepare (fit-free) -> predict -> append by batch."""
+                       interval: str | None = None, keep: list[str] | None = None):
+    """L1: every new file -> prepare (fit-free) -> predict -> the per-day
+    prediction sink (K2): predicted targets, ``timestamp`` (run time),
+    ``source_file``, under ``run_date``/``source_id`` (a hash of the full
+    path). A file arrives in exactly one micro-batch, so a replayed batch
+    overwrites its own partitions (dynamic overwrite) instead of appending
+    twice."""
+    from ..sources.sinks import sink_prediction_by_day
     stream = file_stream(spark, directory, schema, max_files, options)
 
     def score(batch: DataFrame, batch_id: int) -> None:
         if require not in batch.columns:
             return
         scored = linear.predict_linear(prepare(batch.where(F.col(require).isNotNull())), coefs, prefix="pred_")
-        scored.withColumn("batch_id", F.lit(batch_id)) \
-              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-              .partitionBy("batch_id").parquet(sink)
+        out = scored.select(*(keep or []), *[f"pred_{t}" for t in coefs],
+                            F.current_timestamp().cast("timestamp_ntz").alias("timestamp"), "source_file",
+                            "source_id", F.current_date().alias("run_date"))
+        sink_prediction_by_day(out, sink, source_col="source_id")
 
     return _trigger(stream.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint), interval).start()
 
