@@ -27,19 +27,18 @@ def fill_both(df: DataFrame, cols: list[str], order_by: list[str]) -> DataFrame:
 
 
 def impute_mean(df: DataFrame, cols: list[str]) -> DataFrame:
-    """NULL -> column mean (one aggregate, broadcast one row)."""
-    means = column_means(df, cols).select(*[F.col(c).alias(f"_m_{c}") for c in cols])
-    return df.crossJoin(F.broadcast(means)) \
-             .withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in cols}) \
-             .drop(*[f"_m_{c}" for c in cols])
+    """NULL -> column mean (one aggregate; the one-row result is inlined)."""
+    means = column_means(df, cols).first()  # one row
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(means[c]).cast("double")) for c in cols})
 
 
 def impute_mode(df: DataFrame, cols: list[str]) -> DataFrame:
     """NULL category -> most frequent value (ties -> smallest)."""
     out = df
     for c in cols:
-        m = mode_value(df, c).select(F.col(c).alias(f"_mode_{c}"))
-        out = out.crossJoin(F.broadcast(m)).withColumn(c, F.coalesce(F.col(c), F.col(f"_mode_{c}"))).drop(f"_mode_{c}")
+        m = mode_value(df, c).first()  # one value
+        if m is not None and m[c] is not None:
+            out = out.withColumn(c, F.coalesce(F.col(c), F.lit(m[c]).cast(df.schema[c].dataType)))
     return out
 
 

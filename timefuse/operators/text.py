@@ -37,9 +37,8 @@ def tfidf(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     docs = df.select(id_col, text_col).repartition(id_col)
     tf = tokens(docs, id_col, text_col).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n_docs = df.agg(F.count(F.lit(1)).alias("n_docs"))  # one row
-    idf = dfreq.crossJoin(F.broadcast(n_docs)) \
-               .select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    n_docs = df.count()  # a metadata-level count for Parquet sources
+    idf = dfreq.select("term", (F.log(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
     w = tf.join(idf, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return w.select(id_col, "term", (F.col("w") / norm).alias("weight"))

@@ -1,8 +1,8 @@
 """Scoring plans (M5-M8): one date, fixed horizons, the next 8,760 hours.
 
-The periods table has four rows and the future-hours table is generated by
-``spark.range`` on the executors; both are joined without shuffling the
-data. The prepared data is built once and reused by all periods in one job.
+The four periods are a literal array each row filters and explodes, and the
+future hours are generated by ``spark.range`` on the executors; neither needs
+a join or a shuffle of the data, and all periods are scored in one pass.
 """
 
 from __future__ import annotations
@@ -32,18 +32,23 @@ def forecast_periods(data: DataFrame, coefs: dict, spark: SparkSession, as_of, k
                      run_ts=None) -> DataFrame:
     """M6: for each period, the rows before its start date scored and tagged.
 
-    One job: the 4-row periods table is broadcast and joined on
-    ``key < forecast_date`` (a nested-loop join against 4 rows)."""
-    periods = F.broadcast(periods_table(spark, as_of))
+    One pass, no join: each row carries the fixed list of the four periods
+    and keeps (explodes) those whose start lies after the row."""
+    a = as_of if hasattr(as_of, "_jc") else F.lit(as_of).cast("timestamp_ntz")
+    periods = F.array(*[F.struct(F.lit(name).alias("forecast_period"),
+                                 tp.horizon_start(a, days).alias("forecast_date"))
+                        for name, days in FORECAST_PERIODS])
     scored = linear.predict_linear(data, coefs)
     run = run_ts if run_ts is not None else F.current_timestamp().cast("timestamp_ntz")
     targets = list(coefs)
+    row_ts = F.col(key)
+    mine = F.filter(periods, lambda p: row_ts < p["forecast_date"])
     # as in the reference: targets, period, ``timestamp`` = the run time,
     # ``forecast_date``; the scored row's own time is kept as ``key``
-    return scored.join(periods, F.col(key) < F.col("forecast_date")) \
-                 .select(*targets, "forecast_period",
+    return scored.select(*targets, key, F.explode(mine).alias("_p")) \
+                 .select(*targets, F.col("_p.forecast_period").alias("forecast_period"),
                          (run if hasattr(run, "_jc") else F.lit(run).cast("timestamp_ntz")).alias("timestamp"),
-                         "forecast_date", F.col(key))
+                         F.col("_p.forecast_date").alias("forecast_date"), F.col(key))
 
 
 def future_hours(spark: SparkSession, start, hours: int = HORIZON_HOURS) -> DataFrame:
@@ -51,10 +56,8 @@ def future_hours(spark: SparkSession, start, hours: int = HORIZON_HOURS) -> Data
     with hour, day, month, weekday (Monday = 0)."""
     base = spark.range(hours).withColumnRenamed("id", "h")
     if isinstance(start, DataFrame):
-        base = base.crossJoin(F.broadcast(start.select(F.col(start.columns[0]).alias("_start"))))
-        s = F.col("_start")
-    else:
-        s = F.lit(start).cast("timestamp_ntz")
+        start = start.first()[0]  # one value
+    s = F.lit(start).cast("timestamp_ntz")
     dt = (s + F.make_dt_interval(hours=F.col("h").cast("int"))).cast("timestamp_ntz")
     out = base.select(dt.alias("datetime"))
     return out.withColumns({"hour": F.hour("datetime"), "day": F.dayofmonth("datetime"),

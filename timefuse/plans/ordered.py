@@ -102,10 +102,8 @@ def fill_ordered(df: DataFrame, cols: list[str], order_cols: list[str], directio
     if direction == "both":
         # after a forward pass only the rows before the first non-null stay
         # null; their backward value is the global first non-null
-        first = d.agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), key)).alias(f"_g_{c}") for c in cols])
-        out = out.crossJoin(F.broadcast(first)) \
-                 .withColumns({c: F.coalesce(F.col(c), F.col(f"_g_{c}")) for c in cols}) \
-                 .drop(*[f"_g_{c}" for c in cols])
+        first = d.agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), key)).alias(c) for c in cols]).first()
+        out = out.withColumns({c: F.coalesce(F.col(c), F.lit(first[c]).cast(d.schema[c].dataType)) for c in cols})
     elif direction == "backward":
         summ = d.groupBy(PID).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), key)).alias(c) for c in cols])
         carry = _offsets(summ, cols, "first").select(PID, *[F.col(c).alias(f"_cb_{c}") for c in cols])
