@@ -52,15 +52,16 @@ def read_json_by_time(spark: SparkSession, path: str, schema: str, key: str = "d
 
 def sink_model_state(spark: SparkSession, path: str, coefs: dict, scaler: dict | None, roles_json: str,
                      version: int) -> None:
-    """K4: coefficients, scaler statistics and roles under a version column."""
+    """K4: coefficients, scaler statistics and roles under a version column;
+    saving a version again replaces it (dynamic partition overwrite)."""
+    def put(df: DataFrame, name: str) -> None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+          .partitionBy("version").parquet(f"{path}/{name}")
     rows = [(version, t, term, v) for t, cs in coefs.items() for term, v in cs.items()]
-    spark.createDataFrame(rows, "version int, target string, term string, coef double") \
-         .write.mode("append").partitionBy("version").parquet(f"{path}/coefficients")
+    put(spark.createDataFrame(rows, "version int, target string, term string, coef double"), "coefficients")
     srows = [(version, c, float(m), float(s)) for c, (m, s) in (scaler or {}).items()]
-    spark.createDataFrame(srows, "version int, column_name string, mean double, std double") \
-         .write.mode("append").partitionBy("version").parquet(f"{path}/scaler")
-    spark.createDataFrame([(version, roles_json)], "version int, roles string") \
-         .write.mode("append").partitionBy("version").parquet(f"{path}/roles")
+    put(spark.createDataFrame(srows, "version int, column_name string, mean double, std double"), "scaler")
+    put(spark.createDataFrame([(version, roles_json)], "version int, roles string"), "roles")
 
 
 def load_model_state(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
