@@ -375,12 +375,15 @@ def parse_time_column(df, col: str, out: str = "ts", hourly_suffix: bool = True,
     t = F.col(tmp)
     # each parser's result is its own column: the range check reads it three
     # times, which on an inline expression would re-run the parse each time
-    p_multi, p_fb = f"_{out}_multi", f"_{out}_fallback"
-    staged = staged.withColumns({p_multi: parse_multi_format(t, key=F.col(key)), p_fb: parse_fallback(t)})
-    ts = F.coalesce(parse_epoch(t), _in_range(F.col(p_multi)), _in_range(F.col(p_fb)))
+    p_multi = f"_{out}_multi"
+    staged = staged.withColumn(p_multi, parse_multi_format(t, key=F.col(key)))
+    # the fallback shapes only run for rows nothing else parsed (coalesce is lazy)
+    fb = parse_fallback(t)
+    ts = F.coalesce(parse_epoch(t), _in_range(F.col(p_multi)), F.when(fb.between(F.lit(MIN_TS).cast("timestamp"),
+                                                                                 F.lit(MAX_TS).cast("timestamp")), fb))
     ts = ts.cast("timestamp_ntz")
     keep = [F.col(f"`{c}`") for c in df.columns if c != out]
-    staged = staged.withColumn(out, ts).drop(tmp, key, p_multi, p_fb)
+    staged = staged.withColumn(out, ts).drop(tmp, key, p_multi)
     if drop_null:
         # rows without a time drop out through an explode of a null-free
         # one-element array: a Filter would be pushed below the projection and
