@@ -80,3 +80,24 @@ def test_reference_json_features(spark):
                                 ("None", "[]")], "impact_list string, cme_analyses string")
     got = [(r.impact_latitude, r.impact_longitude, r.cme_speed) for r in extract_reference_json_features(df).collect()]
     assert got == [(1.5, -2.0, 700.0), (None, None, None)]
+
+
+def test_stream_then_reprocess_modified_file(spark, tmp_path):
+    from timefuse.functions import timeparse as tp
+    from timefuse.streaming import files as streams
+    src = f"{tmp_path}/in"
+    _write(f"{src}/a.csv", "id,ts,x\n1,2024-01-01 01:00:00,1.0\n2,2024-01-01 02:00:00,2.0\n")
+    _write(f"{src}/b.csv", "id,ts,x\n3,2024-01-01 03:00:00,3.0\n")
+    schema_ = "id int, ts timestamp_ntz, x double"
+    coefs = {"y": {"intercept": 1.0, "x": 2.0}}
+    sink = f"{tmp_path}/sink"
+    q = streams.stream_score_files(spark, src, schema_, coefs, lambda d: d, sink, f"{tmp_path}/ckpt",
+                                   keep=["id"], options={"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"})
+    q.awaitTermination()
+    got = {r.id: r.pred_y for r in spark.read.parquet(sink).collect()}
+    assert got == {1: 3.0, 2: 5.0, 3: 7.0}
+    _write(f"{src}/a.csv", "id,ts,x\n1,2024-01-01 01:00:00,10.0\n")  # file changed in place
+    streams.reprocess_files(spark, [f"{src}/a.csv"], schema_, coefs, lambda d: d, sink, keep=["id"],
+                            options={"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"})
+    rows = spark.read.parquet(sink).collect()
+    assert sorted((r.id, r.pred_y, r.source_file) for r in rows) == [(1, 21.0, "a.csv"), (3, 7.0, "b.csv")]

@@ -35,13 +35,22 @@ def file_stream(spark: SparkSession, directory: str, schema: str, max_files: int
                                          "source_id": F.xxhash64(F.col("_metadata.file_path"))})
 
 
+def score_batch(batch: DataFrame, coefs: dict, prepare: Callable[[DataFrame], DataFrame],
+                require: str = "ts", keep: list[str] | None = None) -> DataFrame:
+    """Prepared, scored rows in the sink's shape: kept columns, predicted
+    targets, ``timestamp`` (run time), ``source_file``, ``source_id``, ``run_date``."""
+    scored = linear.predict_linear(prepare(batch.where(F.col(require).isNotNull())), coefs, prefix="pred_")
+    return scored.select(*(keep or []), *[f"pred_{t}" for t in coefs],
+                         F.current_timestamp().cast("timestamp_ntz").alias("timestamp"), "source_file",
+                         "source_id", F.current_date().alias("run_date"))
+
+
 def stream_score_files(spark: SparkSession, directory: str, schema: str, coefs: dict,
                        prepare: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str,
                        require: str = "ts", max_files: int | None = None, options: dict | None = None,
                        interval: str | None = None, keep: list[str] | None = None):
     """L1: every new file -> prepare (fit-free) -> predict -> the per-day
-    prediction sink (K2): predicted targets, ``timestamp`` (run time),
-    ``source_file``, under ``run_date``/``source_id`` (a hash of the full
+    prediction sink (K2) under ``run_date``/``source_id`` (a hash of the full
     path). A file arrives in exactly one micro-batch, so a replayed batch
     overwrites its own partitions (dynamic overwrite) instead of appending
     twice."""
@@ -51,15 +60,25 @@ def stream_score_files(spark: SparkSession, directory: str, schema: str, coefs:
     def score(batch: DataFrame, batch_id: int) -> None:
         if require not in batch.columns:
             return
-        scored = linear.predict_linear(prepare(batch.where(F.col(require).isNotNull())), coefs, prefix="pred_")
-        out = scored.select(*(keep or []), *[f"pred_{t}" for t in coefs],
-                            F.current_timestamp().cast("timestamp_ntz").alias("timestamp"), "source_file",
-                            "source_id", F.current_date().alias("run_date"))
-        sink_prediction_by_day(out, sink, source_col="source_id")
+        sink_prediction_by_day(score_batch(batch, coefs, prepare, require, keep), sink, source_col="source_id")
 
     return _trigger(stream.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint), interval).start()
 
 
+def reprocess_files(spark: SparkSession, paths: list[str], schema: str, coefs: dict,
+                    prepare: Callable[[DataFrame], DataFrame], sink: str, require: str = "ts",
+                    options: dict | None = None, keep: list[str] | None = None) -> None:
+    """Modified files: the stream's file source keys on the path and does not
+    read a changed file again, so changed paths are re-scored by this batch
+    job; it overwrites the same (run_date, source_id) partitions, replacing
+    the file's earlier predictions of the day instead of duplicating them."""
+    from ..sources.sinks import sink_prediction_by_day
+    batch = spark.read.schema(schema).option("header", True).options(**(options or {})).csv(paths) \
+        .withColumns({"source_file": F.col("_metadata.file_name"),
+                      "source_id": F.xxhash64(F.col("_metadata.file_path"))})
+    sink_prediction_by_day(score_batch(batch, coefs, prepare, require, keep), sink, source_col="source_id")
+
+
 def stream_update_model(spark: SparkSession, directory: str, schema: str, features: list[str],
                         targets: list[str], prepare: Callable[[DataFrame], DataFrame], state_path: str,
                         checkpoint: str, max_files: int | None = None, options: dict | None = None,
