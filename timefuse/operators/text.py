@@ -32,7 +32,9 @@ def tfidf(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     window and the output then all keep that partitioning, so the only other
     exchange is the small per-term document-frequency aggregate. Its join is
     left to AQE: broadcast when the vocabulary is small, otherwise a
-    sort-merge join whose hot terms AQE splits (skew join).
+    sort-merge join whose hot terms AQE splits (skew join). (A window over
+    the term would count document frequency without the second branch, but
+    it puts every row of a common term into one task.)
     """
     docs = df.select(id_col, text_col).repartition(id_col)
     tf = tokens(docs, id_col, text_col).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
