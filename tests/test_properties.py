@@ -189,3 +189,15 @@ def test_wide_path_agrees_with_statistics(spark):
     wide = linear.fit_linear_wide(df, ["a", "b"], ["y"])
     for k in ("intercept", "a", "b"):
         assert wide["y"][k] == pytest.approx(exact["y"][k], abs=1e-3)
+
+
+def test_empty_inputs(spark):
+    e = spark.createDataFrame([], "id long, ts timestamp_ntz, v double, y int, c string")
+    assert align.daily_mean(e, cols=["v"]).count() == 0
+    assert ordered.fill_ordered(e, ["v"], ["ts", "id"], "both").count() == 0
+    assert ordered.fill_ordered(e, ["v"], ["ts", "id"], "backward").count() == 0
+    assert profile.exact_quantiles(e, ["v"], [0.5]).count() == 0
+    assert evaluate.roc_auc(e, "y", "v").first().auc is None
+    assert encode.category_codes(e, "c").count() == 0
+    coefs, _ = linear.fit_linear_multi(e, ["v"], ["y"])
+    assert coefs["y"]["v"] is None
