@@ -54,7 +54,8 @@ def _values_at(ranked: DataFrame, targets: DataFrame, keys: list[str]) -> DataFr
         cond = cond & (F.col(f"t.{rank_col}") >= F.col("r.lo_rank")) & (F.col(f"t.{rank_col}") <= F.col("r.hi_rank"))
         return r.join(t, cond).select(F.col("t.column_name").alias("column_name"), F.col("t.q").alias("q"),
                                       F.col("t.frac").alias("frac"), F.col("r.value").alias(out))
-    res = value_at("r_lo", "v_lo").join(value_at("r_hi", "v_hi").drop("frac"), ["column_name", "q"])
+    # both sides hold one row per (column, quantile): a proven small broadcast
+    res = value_at("r_lo", "v_lo").join(F.broadcast(value_at("r_hi", "v_hi").drop("frac")), ["column_name", "q"])
     return res.select("column_name", "q", (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("quantile"))
 
 
@@ -130,7 +131,7 @@ def target_describe(df: DataFrame, cols: list[str]) -> DataFrame:
     q = exact_quantiles(df, cols, [0.25, 0.5, 0.75]) \
         .groupBy("column_name").pivot("q", [0.25, 0.5, 0.75]).agg(F.first("quantile"))
     q = q.withColumnsRenamed({"0.25": "p25", "0.5": "p50", "0.75": "p75"})
-    return basic.join(q, "column_name", "left")
+    return basic.join(F.broadcast(q), "column_name", "left")  # one row per column
 
 
 def describe_strings(df: DataFrame, cols: list[str]) -> DataFrame:
