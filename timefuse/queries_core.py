@@ -207,7 +207,7 @@ def render_round_robin(ts_col: str, idx_col: str):
 SELECT event_id, CAST(event_id % {_N_FMT} AS INTEGER) AS fmt, {_expected_sql("ts", f"event_id % {_N_FMT}")} AS parsed FROM events
 """)
 def q_parse_multi_format(spark, sf):
-    ev = load(spark, sf, "events").withColumn("fmt", (F.col("event_id") % _N_FMT).cast("int"))
+    ev = scan.spread(load(spark, sf, "events")).withColumn("fmt", (F.col("event_id") % _N_FMT).cast("int"))
     staged = ev.select("event_id", "fmt", render_round_robin("ts", "fmt").alias("text"))
     return tp.parse_time_column(staged, "text", "parsed").select("event_id", "fmt", "parsed")
 
@@ -217,7 +217,7 @@ SELECT event_id, CASE event_id % 3 WHEN 0 THEN date_trunc('minute', ts) WHEN 1 T
                  ELSE date_trunc('second', ts) END AS parsed FROM events
 """)
 def q_parse_fallback(spark, sf):
-    ev = load(spark, sf, "events")
+    ev = scan.spread(load(spark, sf, "events"))
     ts = F.col("ts").cast("timestamp")
     k = F.col("event_id") % 3
     text = F.when(k == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm'Z'")) \
@@ -231,7 +231,7 @@ SELECT o_orderkey, date_trunc('second', {_expected_sql("o_orderdate", f"o_orderk
 FROM orders WHERE o_orderstatus <> 'P'
 """)
 def q_standardize_time(spark, sf):
-    o = load(spark, sf, "orders").withColumn("fmt", (F.col("o_orderkey") % _N_FMT).cast("int"))
+    o = scan.spread(load(spark, sf, "orders")).withColumn("fmt", (F.col("o_orderkey") % _N_FMT).cast("int"))
     # pending orders carry no usable date: their text is 'nan' and the row drops
     text = F.when(F.col("o_orderstatus") == "P", F.lit("nan")).otherwise(render_round_robin("o_orderdate", "fmt"))
     o = o.select("o_orderkey", text.alias("date_text"))
