@@ -44,6 +44,17 @@ def _ranked_values(long: DataFrame, group_cols: list[str]) -> DataFrame:
                          (F.col("cum_cnt") - F.col("off") - 1).alias("hi_rank"))
 
 
+def _ranked_in_brackets(inside: DataFrame) -> DataFrame:
+    """(bk, value, lo_rank, hi_rank) of the rows of each bracket, by a window
+    per bracket. Duplicates collapse to (value, multiplicity) on the map side
+    first; the caller has checked that no bracket holds more rows than a
+    task can sort."""
+    counts = inside.groupBy("bk", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    w = Window.partitionBy("bk").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.sum("cnt").over(w)
+    return counts.select("bk", "value", (upto - F.col("cnt")).alias("lo_rank"), (upto - 1).alias("hi_rank"))
+
+
 def _values_at(ranked: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     """Interpolated quantile for each target row (keys, q, r_lo, r_hi, frac)."""
     def value_at(rank_col: str, out: str) -> DataFrame:
@@ -59,15 +70,19 @@ def _values_at(ranked: DataFrame, targets: DataFrame, keys: list[str]) -> DataFr
     return res.select("column_name", "q", (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("quantile"))
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], accuracy: int = 10000) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], accuracy: int = 10000,
+                    max_bracket_rows: int = 4_000_000) -> DataFrame:
     """Exact linear-interpolation quantiles of several columns.
 
     ``percentile_approx`` (rank error <= n / accuracy) brackets every wanted
     rank; one aggregate counts the rows below each bracket; only the rows in
     a bracket (a few per ten thousand) are reduced to (value, multiplicity),
-    ranked by the range-partitioned running count and joined with the small
-    (column, quantile) table. Small inputs, or a bracket that misses its rank,
-    take the same path over all values. Nothing is gathered into one task.
+    ranked and joined with the small (column, quantile) table. Brackets whose
+    exact row count (known from the counting pass) is at most
+    ``max_bracket_rows`` are ranked by a window per bracket; larger ones by the
+    range-partitioned running count. Small inputs, or a bracket that misses
+    its rank, take the ordered path over all values. Nothing unbounded is
+    gathered into one task.
     Output: column_name, q, quantile.
     """
     spark = df.sparkSession
@@ -111,7 +126,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], accuracy: i
             tags = F.array_compact(F.array(*[F.when((F.col("column_name") == c) & F.col("value").between(blo, bhi), F.lit(k))
                                              for k, (c, i, q, _, _, _, blo, bhi) in enumerate(rows)]))
             inside = long.select("column_name", "value", F.explode(tags).alias("bk"))
-            ranked = _ranked_values(inside, ["bk"])
+            widest = max(cnt[f"inside{k}"] for k in range(len(rows)))
+            ranked = _ranked_in_brackets(inside) if widest <= max_bracket_rows else _ranked_values(inside, ["bk"])
             shifted = spark.createDataFrame(
                 [(k, c, q, r_lo - offs[k], r_hi - offs[k], frac) for k, (c, i, q, r_lo, r_hi, frac, _, _) in enumerate(rows)],
                 "bk int, column_name string, q double, r_lo long, r_hi long, frac double")

@@ -27,7 +27,7 @@ DESC_COLS = ["o_totalprice", "o_custkey"]
        round(quantile_cont({c}, 0.25), 6) + 0.0 AS p25, round(quantile_cont({c}, 0.5), 6) + 0.0 AS p50,
        round(quantile_cont({c}, 0.75), 6) + 0.0 AS p75, round(max({c}), 6) + 0.0 AS max FROM orders""" for c in DESC_COLS]))
 def q_target_describe(spark, sf):
-    d = profile.target_describe(load(spark, sf, "orders"), DESC_COLS)
+    d = profile.target_describe(scan.spread(load(spark, sf, "orders")), DESC_COLS)
     return rounded(d, ["mean", "std", "min", "p25", "p50", "p75", "max"])
 
 
