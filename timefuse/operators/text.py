@@ -16,21 +16,28 @@ from pyspark.sql import functions as F
 TOKEN_REGEX = r"[\p{L}\p{N}_]{2,}"
 
 
+def token_array(text_col: str):
+    """The tokens of a text as one array (lower case, in text order)."""
+    return F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TOKEN_REGEX), 0)
+
+
 def tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term) per token. ``explode_outer`` + a null filter, because for a
     plain ``explode`` Catalyst adds a ``size(tokens) > 0`` filter that would
     run the tokenizer a second time."""
-    toks = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TOKEN_REGEX), 0)
-    return df.select(id_col, F.explode_outer(toks).alias("term")).where(F.col("term").isNotNull())
+    return df.select(id_col, F.explode_outer(token_array(text_col)).alias("term")).where(F.col("term").isNotNull())
 
 
 def tfidf(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, weight) for every term of every row.
+    """(id, term, weight) for every term of every row; each row is one
+    document and ``id_col`` names it.
 
     The rows are hash-partitioned by id once (moving the text, which is
     smaller than its token stream); term counts per row, the per-row norm
     window and the output then all keep that partitioning, so the only other
-    exchange is the small per-term document-frequency aggregate. Its join is
+    exchange is the small per-term document-frequency aggregate. A row holds
+    a whole document, so that branch counts the distinct terms of each row's
+    token array and skips the (id, term) aggregate. Its join is
     left to AQE: broadcast when the vocabulary is small, otherwise a
     sort-merge join whose hot terms AQE splits (skew join). (A window over
     the term would count document frequency without the second branch, but
@@ -38,7 +45,8 @@ def tfidf(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     docs = df.select(id_col, text_col).repartition(id_col)
     tf = tokens(docs, id_col, text_col).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    per_doc = docs.select(F.explode_outer(F.array_distinct(token_array(text_col))).alias("term"))
+    dfreq = per_doc.where(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n_docs = df.count()  # a metadata-level count for Parquet sources
     idf = dfreq.select("term", (F.log(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
     w = tf.join(idf, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
