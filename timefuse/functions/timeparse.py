@@ -331,6 +331,20 @@ def parse_multi_format(c: Column, formats: list[str] | None = None, key: Column
     return _dispatch(c, key if key is not None else shape_key(c), fmts, _parse_one)
 
 
+def jvm_id() -> int:
+    """Identity of the running JVM, for caches of built Column expressions."""
+    from pyspark import SparkContext
+    return id(SparkContext._jvm)
+
+
+@lru_cache(maxsize=64)
+def _multi_format_by_name(text_col: str, key_col: str, formats: tuple[str, ...], jvm: int) -> Column:
+    """The X4 expression over named columns, built once per JVM: it has a few
+    hundred nodes and each costs a gateway call, while the result is only an
+    unresolved expression that any DataFrame with those columns can reuse."""
+    return parse_multi_format(F.col(text_col), list(formats), key=F.col(key_col))
+
+
 def parse_fallback(c: Column) -> Column:
     """The extra shapes a generic parser accepts; else NULL."""
     out = []
@@ -376,7 +390,7 @@ def parse_time_column(df, col: str, out: str = "ts", hourly_suffix: bool = True,
     # each parser's result is its own column: the range check reads it three
     # times, which on an inline expression would re-run the parse each time
     p_multi = f"_{out}_multi"
-    staged = staged.withColumn(p_multi, parse_multi_format(t, key=F.col(key)))
+    staged = staged.withColumn(p_multi, _multi_format_by_name(tmp, key, tuple(reachable_formats()), jvm_id()))
     # the fallback shapes only run for rows nothing else parsed (coalesce is lazy)
     fb = parse_fallback(t)
     ts = F.coalesce(parse_epoch(t), _in_range(F.col(p_multi)), F.when(fb.between(F.lit(MIN_TS).cast("timestamp"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -195,6 +197,11 @@ def _expected_sql(ts: str, idx: str) -> str:
 
 def render_round_robin(ts_col: str, idx_col: str):
     """Text of ``ts_col`` in the format chosen by ``idx_col`` (one per row)."""
+    return _render_round_robin(ts_col, idx_col, tp.jvm_id())
+
+
+@lru_cache(maxsize=16)
+def _render_round_robin(ts_col: str, idx_col: str, jvm: int):
     ts = F.col(ts_col).cast("timestamp")
     expr = None
     for i, f in enumerate(_FMTS):
