@@ -203,3 +203,13 @@ def test_empty_inputs(spark):
     assert encode.category_codes(e, "c").count() == 0
     coefs, _ = linear.fit_linear_multi(e, ["v"], ["y"])
     assert coefs["y"]["v"] is None
+
+
+@pytest.mark.parametrize("direction", ["forward", "backward", "both"])
+def test_fills_use_running_frames(spark, direction):
+    """A frame that ends at UNBOUNDED FOLLOWING is re-evaluated for every row
+    (quadratic in the partition size); fills must only use running frames."""
+    df, _ = _series(spark, n=50)
+    plan = ordered.fill_ordered(df, ["v"], ["t", "id"], direction, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan
+    assert "unboundedfollowing" not in plan.lower()

@@ -40,7 +40,10 @@ def ordered_partitions(df: DataFrame, order_cols: list[str], num_partitions: int
 def _offsets(summary: DataFrame, cols: list[str], how: str) -> DataFrame:
     """Exclusive carry across partitions on the P-row summary."""
     w = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    wf = Window.orderBy(PID).rowsBetween(1, Window.unboundedFollowing)
+    # "first after" as "last before" in reverse order: Spark re-evaluates a
+    # frame that ends at UNBOUNDED FOLLOWING for every row (quadratic), while a
+    # frame that starts at UNBOUNDED PRECEDING grows incrementally
+    wf = Window.orderBy(F.col(PID).desc()).rowsBetween(Window.unboundedPreceding, -1)
     exprs = []
     for c in cols:
         if how == "sum":
@@ -48,7 +51,7 @@ def _offsets(summary: DataFrame, cols: list[str], how: str) -> DataFrame:
         elif how == "last":
             exprs.append(F.last(c, ignorenulls=True).over(w).alias(c))
         elif how == "first":
-            exprs.append(F.first(c, ignorenulls=True).over(wf).alias(c))
+            exprs.append(F.last(c, ignorenulls=True).over(wf).alias(c))
     return summary.select(PID, *exprs)
 
 
@@ -90,7 +93,10 @@ def fill_ordered(df: DataFrame, cols: list[str], order_cols: list[str], directio
     order = [F.col(c) for c in order_cols]
     key = F.struct(*order)
     wf = Window.partitionBy(PID).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wb = Window.partitionBy(PID).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # backward = forward over the reversed order (see ``_offsets``): a running
+    # frame, not one re-evaluated per row up to UNBOUNDED FOLLOWING
+    reverse = [F.col(c).desc_nulls_last() for c in order_cols]
+    wb = Window.partitionBy(PID).orderBy(*reverse).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = d
     if direction in ("forward", "both"):
         summ = d.groupBy(PID).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), key)).alias(c) for c in cols])
@@ -107,7 +113,7 @@ def fill_ordered(df: DataFrame, cols: list[str], order_cols: list[str], directio
     elif direction == "backward":
         summ = d.groupBy(PID).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), key)).alias(c) for c in cols])
         carry = _offsets(summ, cols, "first").select(PID, *[F.col(c).alias(f"_cb_{c}") for c in cols])
-        out = out.withColumns({c: F.first(c, ignorenulls=True).over(wb) for c in cols}) \
+        out = out.withColumns({c: F.last(c, ignorenulls=True).over(wb) for c in cols}) \
                  .join(F.broadcast(carry), PID, "left") \
                  .withColumns({c: F.coalesce(F.col(c), F.col(f"_cb_{c}")) for c in cols}) \
                  .drop(*[f"_cb_{c}" for c in cols])
