@@ -361,7 +361,7 @@ SELECT event_id, CASE WHEN json_valid(j) THEN CAST(json_extract(CASE WHEN starts
 FROM r
 """)
 def q_parse_json_lenient(spark, sf):
-    ev = load(spark, sf, "events")
+    ev = scan.spread(load(spark, sf, "events"))
     arr = fj.parse_json_lenient(broken_props(ev), "struct<k: bigint>")
     return ev.select("event_id", F.get(arr, 0).getField("k").alias("k"))
 
@@ -372,7 +372,7 @@ UNION ALL
 SELECT 'event_type', bool_and(json_valid(event_type) AND (starts_with(trim(event_type), '{') OR starts_with(trim(event_type), '['))) FROM events
 """)
 def q_parse_json_strict(spark, sf):
-    return fj.json_column_decisions(load(spark, sf, "events"), ["props", "event_type"], "struct<k: bigint>")
+    return fj.json_column_decisions(scan.spread(load(spark, sf, "events")), ["props", "event_type"], "struct<k: bigint>")
 
 
 @register("json_first_fields", """
