@@ -145,42 +145,54 @@ def fit_sgd_budget(df: DataFrame, features: list[str], targets: list[str], itera
     """M2: full-batch gradient steps on standardised features until the
     iteration budget (and optional wall-clock budget) ends.
 
-    Each step is one Spark aggregate of the gradient for all targets; the
-    features are cached once. Returns (coefs in original units, losses)."""
+    On standardised columns the mean squared error and its gradient depend on
+    the data only through the covariances of the features with each other and
+    with the targets. One aggregate (partial on every partition) of means,
+    population standard deviations and covariances is therefore the only
+    pass over the data; every step after it is exact arithmetic on those
+    (p+1)-sized moments. Returns (coefs in original units, losses)."""
     import time
 
-    from .encode import fit_scaler
-    m = _row_mask(features, targets)
-    data = df.where(m).select(*features, *targets).cache()
-    sx = fit_scaler(data, features)
-    sy = fit_scaler(data, targets)
-    z = {f: (F.col(f).cast("double") - sx[f][0]) / (sx[f][1] or 1.0) for f in features}
-    zy = {t: (F.col(t).cast("double") - sy[t][0]) / (sy[t][1] or 1.0) for t in targets}
-    w = {t: np.zeros(len(features) + 1) for t in targets}
+    data = df.where(_row_mask(features, targets))
+    x = {c: F.col(c).cast("double") for c in [*features, *targets]}
+    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs += [F.avg(x[c]).alias(f"mean_{i}") for i, c in enumerate([*features, *targets])]
+    aggs += [F.stddev_pop(x[c]).alias(f"std_{i}") for i, c in enumerate([*features, *targets])]
+    p = len(features)
+    aggs += [F.covar_pop(x[features[a]], x[features[b]]).alias(f"cxx_{a}_{b}") for a in range(p) for b in range(a, p)]
+    aggs += [F.covar_pop(x[features[a]], x[t]).alias(f"cxy_{a}_{k}") for a in range(p) for k, t in enumerate(targets)]
+    aggs += [F.var_pop(x[t]).alias(f"vy_{k}") for k, t in enumerate(targets)]
+    r = data.agg(*aggs).first()
+    if not r["n"]:
+        return {t: {INTERCEPT: None, **{f: None for f in features}} for t in targets}, []
+    mean = {c: r[f"mean_{i}"] for i, c in enumerate([*features, *targets])}
+    # a constant column is divided by 1, as the scaler does
+    scale = {c: (r[f"std_{i}"] or 1.0) for i, c in enumerate([*features, *targets])}
+    cz = np.zeros((p, p))  # E[z_a z_b]
+    for a in range(p):
+        for b in range(a, p):
+            cz[a, b] = cz[b, a] = r[f"cxx_{a}_{b}"] / (scale[features[a]] * scale[features[b]])
+    czy = {t: np.array([r[f"cxy_{a}_{k}"] / (scale[features[a]] * scale[t]) for a in range(p)])
+           for k, t in enumerate(targets)}  # E[z_a z_y]
+    vzy = {t: r[f"vy_{k}"] / (scale[t] * scale[t]) for k, t in enumerate(targets)}  # E[z_y^2]
+    w = {t: np.zeros(p + 1) for t in targets}
     losses = []
     start = time.time()
     for it in range(iterations):
-        aggs = []
-        for t in targets:
-            pred = F.lit(float(w[t][0]))
-            for k, f in enumerate(features):
-                pred = pred + F.lit(float(w[t][k + 1])) * z[f]
-            err = pred - zy[t]
-            aggs.append(F.avg(err).alias(f"g0_{t}"))
-            aggs += [F.avg(err * z[f]).alias(f"g{k + 1}_{t}") for k, f in enumerate(features)]
-            aggs.append(F.avg(err * err).alias(f"loss_{t}"))
-        g = data.agg(*aggs).first().asDict()
-        losses.append(sum(g[f"loss_{t}"] for t in targets))
         step = learning_rate / (it + 1) ** 0.25
+        total = 0.0
         for t in targets:
-            w[t] = w[t] - step * np.array([g[f"g{k}_{t}"] for k in range(len(features) + 1)])
+            w0, wv = w[t][0], w[t][1:]
+            # err = w0 + w.z - z_y, and every z has mean 0
+            total += w0 * w0 + float(wv @ cz @ wv) - 2.0 * float(wv @ czy[t]) + vzy[t]
+            grad = np.concatenate([[w0], cz @ wv - czy[t]])
+            w[t] = w[t] - step * grad
+        losses.append(total)
         if seconds is not None and time.time() - start > seconds:
             break
-    data.unpersist()
     coefs = {}
     for t in targets:
-        my, syd = sy[t][0], (sy[t][1] or 1.0)
-        slopes = {f: syd * w[t][k + 1] / (sx[f][1] or 1.0) for k, f in enumerate(features)}
-        b0 = my + syd * w[t][0] - sum(slopes[f] * sx[f][0] for f in features)
+        slopes = {f: scale[t] * w[t][k + 1] / scale[f] for k, f in enumerate(features)}
+        b0 = mean[t] + scale[t] * w[t][0] - sum(slopes[f] * mean[f] for f in features)
         coefs[t] = {INTERCEPT: float(b0), **{f: float(v) for f, v in slopes.items()}}
     return coefs, losses
