@@ -42,10 +42,13 @@ def impute_mode(df: DataFrame, cols: list[str]) -> DataFrame:
     return out
 
 
-def regression_fill_model(df: DataFrame, col: str, predictors: list[str]) -> dict[str, float] | None:
+def regression_fill_model(df: DataFrame, col: str, predictors: list[str],
+                          means: dict[str, float] | None = None) -> dict[str, float] | None:
     """Linear model of ``col`` on ``predictors`` (their NULLs read as their
-    mean), fitted on the rows where ``col`` is known; None without such rows."""
-    means = column_means(df, predictors).first().asDict() if predictors else {}
+    mean), fitted on the rows where ``col`` is known; None without such rows.
+    ``means`` may hold the predictor means already (one aggregate for all)."""
+    if means is None:
+        means = column_means(df, predictors).first().asDict() if predictors else {}
     filled = df.withColumns({p: F.coalesce(F.col(p).cast("double"), F.lit(means[p])) for p in predictors
                              if means.get(p) is not None})
     usable = [p for p in predictors if means.get(p) is not None]
@@ -62,9 +65,12 @@ def impute_regression(df: DataFrame, cols: list[str], predictors: list[str] | No
     """NULL numeric cells predicted by a regression on the other numeric
     columns; columns without any known value are left as they are."""
     out = df
+    pool = predictors if predictors is not None else numeric_columns(df)
+    # every model reads the means of the same (original) frame: one aggregate
+    means_all = column_means(df, pool).first().asDict() if pool else {}
     for c in cols:
-        preds = [p for p in (predictors if predictors is not None else numeric_columns(df)) if p != c]
-        model = regression_fill_model(df, c, preds)
+        preds = [p for p in pool if p != c]
+        model = regression_fill_model(df, c, preds, {p: means_all[p] for p in preds})
         if model is None:
             continue
         means = model.pop("_means")
