@@ -56,17 +56,23 @@ def _ranked_in_brackets(inside: DataFrame) -> DataFrame:
 
 
 def _values_at(ranked: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
-    """Interpolated quantile for each target row (keys, q, r_lo, r_hi, frac)."""
-    def value_at(rank_col: str, out: str) -> DataFrame:
-        r, t = ranked.alias("r"), F.broadcast(targets.alias("t"))  # targets: (#columns x #quantiles) rows
-        cond = F.lit(True)
-        for k in keys:
-            cond = cond & (F.col(f"r.{k}") == F.col(f"t.{k}"))
-        cond = cond & (F.col(f"t.{rank_col}") >= F.col("r.lo_rank")) & (F.col(f"t.{rank_col}") <= F.col("r.hi_rank"))
-        return r.join(t, cond).select(F.col("t.column_name").alias("column_name"), F.col("t.q").alias("q"),
-                                      F.col("t.frac").alias("frac"), F.col("r.value").alias(out))
-    # both sides hold one row per (column, quantile): a proven small broadcast
-    res = value_at("r_lo", "v_lo").join(F.broadcast(value_at("r_hi", "v_hi").drop("frac")), ["column_name", "q"])
+    """Interpolated quantile for each target row (keys, q, r_lo, r_hi, frac).
+
+    One join finds the ranked rows holding either wanted rank; the targets
+    are (#columns x #quantiles) rows, a proven small broadcast. The pick of
+    the two values is an aggregate over at most two rows per target."""
+    r, t = ranked.alias("r"), F.broadcast(targets.alias("t"))
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & (F.col(f"r.{k}") == F.col(f"t.{k}"))
+
+    def holds(rank_col: str):
+        return (F.col(f"t.{rank_col}") >= F.col("r.lo_rank")) & (F.col(f"t.{rank_col}") <= F.col("r.hi_rank"))
+
+    hits = r.join(t, cond & (holds("r_lo") | holds("r_hi"))).select(
+        F.col("t.column_name").alias("column_name"), F.col("t.q").alias("q"), F.col("t.frac").alias("frac"),
+        F.when(holds("r_lo"), F.col("r.value")).alias("v_lo"), F.when(holds("r_hi"), F.col("r.value")).alias("v_hi"))
+    res = hits.groupBy("column_name", "q", "frac").agg(F.max("v_lo").alias("v_lo"), F.max("v_hi").alias("v_hi"))
     return res.select("column_name", "q", (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("quantile"))
 
 
