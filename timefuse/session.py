@@ -8,6 +8,7 @@ settings.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -73,7 +74,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     On a cluster ``spark.checkpoint.dir`` points to shared storage and is used
-    as given. Only when it is unset (local tests) a folder is created.
+    as given. Only a local master, which has no other machines, gets a folder
+    of its own when it is unset; elsewhere that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -81,6 +83,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="timefuse-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
