@@ -8,10 +8,10 @@ columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from timefuse.llm import host_rules, simhash
+from timefuse.llm import host_rules, simhash, tiling
 from timefuse.llm.common import written
+from timefuse.llm.queries import encoded
 from timefuse.tables import load
 
 
@@ -25,7 +25,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(spark, docs)
 
 
-STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_dedup)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that reproduce no benchmark item."""
+    return tiling.clean(spark, docs, load(spark, sf_dir, "benchmark"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number of tokens and digests of the ids and of their decoding."""
+    return encoded(docs)
+
+
+STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_dedup),
+          ("decontamination", decontaminate), ("byte_bpe", tokenize)]
 
 #: SQL cannot express token ids or string tiling; tests hold the rows against brute force
 ORACLE_SQL = None

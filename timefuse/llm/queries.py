@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from ..tables import load
-from . import host_rules, simhash
+from . import bpe, host_rules, simhash, tiling, token_scan
+
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+SEPARATOR = 50_256
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -72,3 +78,32 @@ def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures, base verdict and kept of every document."""
     out = host_rules.with_verdicts(spark, load(spark, sf_dir, "documents"), extra=["doc_id", "source"])
     return out.select("doc_id", *host_rules.MEASURES, "base_failed", "kept")
+
+
+@query("op3_token_scan")
+def op3_token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files written from all documents."""
+    path = scratch_path(spark, "token-files")
+    token_scan.write_token_files(load(spark, sf_dir, "documents"), path, VOCABULARY, public_tokenizers.PATTERN, SEPARATOR)
+    return token_scan.documents(spark, path, SEPARATOR).select("doc_id", "n_tokens")
+
+
+def encoded(docs: DataFrame) -> DataFrame:
+    """Digests of the token ids and of what they decode to."""
+    ids = bpe.encode(docs.select("doc_id", "text"), VOCABULARY, public_tokenizers.PATTERN)
+    return bpe.decode(ids, VOCABULARY).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op6_byte_bpe")
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and their decoding."""
+    return encoded(load(spark, sf_dir, "documents"))
+
+
+@query("op9_string_tiling")
+def op9_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item whose tiles cover enough of the item."""
+    found = tiling.matches(spark, load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_tiles", "covered", "item_words", "coverage")

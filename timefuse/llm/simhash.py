@@ -195,8 +195,11 @@ def keep_one(spark: SparkSession, df: DataFrame, text: str = "text", id_col: str
     """The rows of ``df`` that represent their component: those with its
     smallest id, and one row of each repeated id. Rows without an id cannot be
     told apart by one and stay."""
-    found = written(spark, near_duplicates(spark, df, text, id_col), "components")
-    kept = found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("__rows"))
-    rows = df.drop("__rows").join(kept, id_col)
-    once = rows.filter("__rows = 1").unionByName(rows.filter("__rows > 1").dropDuplicates([id_col]))
-    return once.unionByName(df.filter(F.col(id_col).isNull()).withColumn("__rows", F.lit(0).cast("bigint"))).select(df.columns)
+    found = near_duplicates(spark, df, text, id_col)
+    kept = written(spark, found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col)
+                   .agg(F.count("*").alias("__rows")), "kept")
+    once = df.join(kept.filter("__rows = 1").select(id_col), id_col, "left_semi")
+    if (kept.agg(F.max("__rows")).first()[0] or 0) > 1:
+        again = df.join(kept.filter("__rows > 1").select(id_col), id_col, "left_semi")
+        once = once.unionByName(again.dropDuplicates([id_col]))
+    return once.unionByName(df.filter(F.col(id_col).isNull()))
