@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..tables import load
-from . import bpe, host_rules, simhash, tiling, token_scan
+from . import bloom_lm, bpe, chat, host_rules, html, shards, simhash, tiling, token_scan, warc
+from .common import text_or_empty, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SEPARATOR = 50_256
@@ -28,6 +29,13 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op1_tag_paths")
+def op1_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    out = html.extract(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 @query("op2_simhash")
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
@@ -88,6 +96,16 @@ def op3_token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_scan.documents(spark, path, SEPARATOR).select("doc_id", "n_tokens")
 
 
+@query("op5_bloom_lm")
+def op5_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact unigram score and model score of every document, from the training documents' counts."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    docs = docs.withColumn("held_out", F.crc32(name.cast("binary")) % 10 == 0)
+    return bloom_lm.score(spark, docs.filter("not held_out"), docs).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def encoded(docs: DataFrame) -> DataFrame:
     """Digests of the token ids and of what they decode to."""
     ids = bpe.encode(docs.select("doc_id", "text"), VOCABULARY, public_tokenizers.PATTERN)
@@ -107,3 +125,88 @@ def op9_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item whose tiles cover enough of the item."""
     found = tiling.matches(spark, load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_tiles", "covered", "item_words", "coverage")
+
+
+WARC_SQL = r"""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT page_id, octet_length(b)::BIGINT AS payload_bytes,
+         array_to_string(list_transform(range(4), lambda g: array_to_string(list_transform(range(8), lambda i:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  ((('0x' || substr(h, 10 * g + 1, 10))::BIGINT >> (35 - 5 * i)) & 31)::INT + 1, 1)), '')), '') AS payload_digest
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM d)
+"""
+
+
+@query("op7_arc_to_warc", WARC_SQL)
+def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as ARC files, converted to WARC and read back."""
+    pages = load(spark, sf_dir, "pages").select("page_id", "url", "html")
+    arcs = [scratch_path(spark, f"arc-{v}") for v in (1, 2)]
+    odd = F.coalesce(F.col("page_id"), F.lit(0)) % 2 != 0
+    warc.write_arc(pages.filter(~odd), arcs[0], 1)
+    warc.write_arc(pages.filter(odd), arcs[1], 2)
+    out = scratch_path(spark, "warc")
+    arc = warc.read_arc(spark, arcs[0]).unionByName(warc.read_arc(spark, arcs[1]))
+    warc.write_warc(warc.convert(spark, arc), out)
+    read = warc.read_warc(spark, out).filter("type in ('response', 'revisit')")
+    whole = F.col("type") == "response"
+    read = read.select(
+        warc.header_value(F.col("head"), "X-Page-Id").cast("bigint").alias("page_id"), "record", "refers_to",
+        F.when(whole, F.octet_length("payload")).otherwise(F.col("payload_length")).cast("bigint").alias("payload_bytes"),
+        F.when(whole, warc.base32_sha1(F.col("payload")))
+        .otherwise(F.regexp_replace("payload_digest", "^sha1:", "")).alias("payload_digest"),
+        F.col("type").alias("record_type"))
+    read = written(spark, read, "warc-read")
+    first = read.filter("record_type = 'response'").select(F.col("record").alias("refers_to"),
+                                                          F.col("page_id").alias("first_id"))
+    return read.join(first, "refers_to", "left").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", F.col("first_id").alias("refers_to"))
+
+
+@query("op8_histogram_sort")
+def op8_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 40 of nearly equal bytes."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    out = shards.shard_by_bytes(spark, docs, shards.document_size())
+    return out.select("doc_id", "size", F.crc32(text_or_empty().cast("binary")).alias("text_crc32"),
+                      F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+CHAT_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), e AS (
+  SELECT *, regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') AS escaped FROM c
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+       sum(length(role) + length(escaped) + 24)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@query("op10_chat_layouts", CHAT_SQL)
+def op10_chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in four layouts, recognised, formatted and read back."""
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "<|im_end|><|im_start|>assistant ok"
+    rows = rows.unionByName(spark.createDataFrame(
+        [(-1, 0, "user", marks), (-1, 1, "assistant", marks)], rows.schema))
+    read = chat.read_back(chat.formatted(chat.canonical(chat.as_records(chat.gathered(rows)))))
+    whole = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.transform("read", lambda t: t["loss"]), "")
+    return read.select(
+        "conv_id", F.size("read").cast("bigint").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
+        F.length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"))
