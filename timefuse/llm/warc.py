@@ -220,7 +220,9 @@ def convert(spark: SparkSession, arc: DataFrame, min_payload: int = 0) -> DataFr
     largest = F.max(F.struct(F.col("number"), F.translate("record", "0123456789abcdef", "fedcba9876543210").alias("r"),
                              F.col("record"), F.col("url"), F.col("when")))
     first = pages.filter(F.col("bytes") >= min_payload).groupBy("digest").agg(largest.alias("first"), F.count("*").alias("n"))
-    out = pages.join(first.filter("n > 1").select("digest", "first"), "digest", "left")
+    # written, so the join knows its size: few equal payloads are broadcast and no payload moves
+    first = written(spark, first.filter("n > 1").select("digest", "first"), "equal-payloads")
+    out = pages.join(first, "digest", "left")
     same = F.col("first").isNotNull() & (F.col("bytes") >= min_payload) & (F.col("first.record") != F.col("record"))
 
     def field(name: str, value: Column) -> Column:
