@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import slices, text_or_empty
 
 #: entries of the per-worker memories of pieces and token pairs; they are emptied when full
 MEMORY = 1 << 19
@@ -156,7 +156,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     unsigned 32-bit integers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
-        for b in batches:
+        for b in slices(batches):
             packed = pa.array([enc.encode(t) for t in b.column(b.num_columns - 1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], packed], names=out_names)
 
@@ -170,8 +170,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Add ``decoded``, the bytes that the packed ids stand for (null: null)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            tokens = _tokens(path)
+        tokens = _tokens(path)
+        for b in slices(batches):
             column = b.column(at).to_pylist()
             out = [None if x is None else b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist()))
                    for x in column]

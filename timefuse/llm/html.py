@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: a path is content from this part of the page's highest value on
 PART = 0.15
 #: and with no larger share of link text
@@ -202,7 +204,7 @@ def main_text(html: str | None) -> str:
 def extract(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     """Replace the ``html`` column by ``text``, the main text of each page."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = pa.array([main_text(h) for h in b.column(b.num_columns - 1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], names=names)
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import slices, text_or_empty
 
 MIN_MATCH = 5
 MIN_COVERAGE = 0.5
@@ -205,7 +205,7 @@ def matches(spark: SparkSession, docs: DataFrame, items: DataFrame, min_coverage
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = _index_of(shared, min_match)
-            for b in batches:
+            for b in slices(batches):
                 rows = [{"doc_id": doc_id, **row} for doc_id, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
                         for row in _searched(index, t, min_coverage)]
                 if rows:
@@ -227,7 +227,7 @@ def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, min_coverage:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = _index_of(shared, min_match)
-            for b in batches:
+            for b in slices(batches):
                 stays = [not any(True for _ in _searched(index, t or "", min_coverage))
                          for t in b.column(at).to_pylist()]
                 yield b.filter(pa.array(stays, pa.bool_()))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import text_or_empty
+from .common import slices, text_or_empty
 
 DIGITS, BASE_BITS = 5, 13
 #: set in the first digit of a document whose number is null
@@ -52,7 +52,7 @@ def write_token_files(df: DataFrame, path: str, vocabulary: str, pattern: str, s
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, pattern, "<u2")
-        for b in batches:
+        for b in slices(batches):
             numbers, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_digits(n) + enc.encode(t) for n, t in zip(numbers, texts)], pa.binary())], names=["value"])
