@@ -108,14 +108,15 @@ def with_verdicts(spark: SparkSession, df: DataFrame, text: str = "text", host:
     input columns to carry (all by default).
 
     The measured rows are written once, so the host aggregate and the result
-    do not compute them twice. The verdict table is joined on the host without
-    a hint: Catalyst broadcasts it where its size allows and AQE splits a hot
-    host otherwise.
+    do not compute them twice. The verdict table is written too, so its size is
+    known when the join is planned: it is broadcast while small, and the rows do
+    not move; beyond that both sides are shuffled and AQE splits a hot host.
     """
     carried = [c for c in (df.columns if extra is None else extra)]
     carried = [c for c in dict.fromkeys([*carried, host]) if c not in (*MEASURES, "base_failed")]
     judged = written(spark, measures(df, text).select(*carried, *MEASURES, "base_failed"), "measures")
-    verdicts = host_verdicts(judged, host).select(F.col("host").alias("__host"), "host_rate", "host_rejected")
+    verdicts = written(spark, host_verdicts(judged, host).select(
+        F.col("host").alias("__host"), "host_rate", "host_rejected"), "verdicts")
     out = judged.drop("host_rate", "host_rejected", "kept")
     out = out.join(verdicts, F.col(host).eqNullSafe(F.col("__host")), "left").drop("__host")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
