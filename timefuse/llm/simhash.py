@@ -168,7 +168,8 @@ def links(spark: SparkSession, distinct: DataFrame, dense: int = DENSE) -> DataF
     pairs = buckets.filter("n = 2").select("a", "b").filter(near)
     larger = buckets.agg(F.max("n")).first()[0] or 0
     if larger > 2:
-        members = written(spark, keyed.join(buckets.filter("n > 2").select("key", "n"), "key"), "members")
+        members = written(spark, keyed.join(buckets.filter("n > 2").select("key", "n").hint("merge"), "key"),
+                          "members")
         joined = members.filter(F.col("n") <= dense)
         left, right = joined.select("key", F.col("fp").alias("a")), joined.select("key", F.col("fp").alias("b"))
         pairs = pairs.unionByName(left.join(right, "key").filter(F.col("a") < F.col("b")).filter(near).select("a", "b"))
@@ -198,8 +199,9 @@ def keep_one(spark: SparkSession, df: DataFrame, text: str = "text", id_col: str
     found = near_duplicates(spark, df, text, id_col)
     kept = written(spark, found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col)
                    .agg(F.count("*").alias("__rows")), "kept")
-    once = df.join(kept.filter("__rows = 1").select(id_col), id_col, "left_semi")
+    # the ids kept grow with the input: never broadcast
+    once = df.join(kept.filter("__rows = 1").select(id_col).hint("merge"), id_col, "left_semi")
     if (kept.agg(F.max("__rows")).first()[0] or 0) > 1:
-        again = df.join(kept.filter("__rows > 1").select(id_col), id_col, "left_semi")
+        again = df.join(kept.filter("__rows > 1").select(id_col).hint("merge"), id_col, "left_semi")
         once = once.unionByName(again.dropDuplicates([id_col]))
     return once.unionByName(df.filter(F.col(id_col).isNull()))
