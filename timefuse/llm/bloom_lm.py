@@ -29,6 +29,7 @@ names are replaced.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -262,16 +263,16 @@ def _looked_up(keys: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.nd
     return np.where(words[at] == keys, counts[at], 0)
 
 
-_filter: dict[int, tuple] = {}
+_filter: dict[str, tuple] = {}
 
 
 def _model_of(shared) -> tuple:
-    key = getattr(shared, "id", id(shared))
-    if key not in _filter:
+    """The filter and the frequent words, unpacked once per worker and model."""
+    name, parts, bits, words, counts = shared.value
+    if name not in _filter:
         _filter.clear()
-        parts, bits, words, counts = shared.value
-        _filter[key] = (Filter(parts, bits), words, counts)
-    return _filter[key]
+        _filter[name] = (Filter(parts, bits), words, counts)
+    return _filter[name]
 
 
 def score(spark: SparkSession, train: DataFrame, docs: DataFrame, text: str = "text", mu: float = MU,
@@ -282,7 +283,7 @@ def score(spark: SparkSession, train: DataFrame, docs: DataFrame, text: str = "t
     sums = model.agg(F.sum("n"), F.sum("types")).first()
     total, types = int(sums[0] or 0), int(sums[1] or 0)
     parts = [tuple(r) for r in model.select("segment", "bits", "part").collect()]  # FILTER_BYTES at most
-    shared = spark.sparkContext.broadcast((parts, bits, *_frequent(model, total)))
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, parts, bits, *_frequent(model, total)))
     del parts
     weight = total + ADD * (types + 1)
     added = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -345,7 +346,7 @@ def score(spark: SparkSession, train: DataFrame, docs: DataFrame, text: str = "t
         n = len(docs_)
         return pa.table({"row": docs_.astype(np.int64),
                          "known": np.bincount(which, exact > 0, n).astype(np.int64),
-                         "base": np.bincount(which, np.log10((exact + ADD) / weight), n)})
+                         "base": np.bincount(which, np.log10((exact + ADD) / weight), n).astype(np.float64)})
 
     rare = scored.filter("__segment is not null").select(
         F.col("__segment").alias("segment"), F.col("__rows").alias("rows"), F.col("__words").alias("words"))

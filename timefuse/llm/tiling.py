@@ -21,6 +21,7 @@ rows without an id keep a null id; other columns are not read.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -150,15 +151,21 @@ class Index:
             yield owner, np.insert(cover, gaps, -1), np.insert(ids[cover], gaps, -1), len(w)
 
 
-_index: dict[int, Index] = {}
+_index: dict[str, Index] = {}
+
+
+def _shared(spark: SparkSession, block: list[tuple[int | None, str]]):
+    """A block of items for all workers, with a name by which a worker keeps its index."""
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, block))
 
 
 def _index_of(shared, min_match: int) -> Index:
-    key = shared.id if hasattr(shared, "id") else id(shared)
-    if key not in _index:
-        _index.clear()
-        _index[key] = Index(shared.value, min_match)
-    return _index[key]
+    name, block = shared.value
+    if name not in _index:
+        if len(_index) >= 4:
+            _index.clear()
+        _index[name] = Index(block, min_match)
+    return _index[name]
 
 
 SCHEMA = ("doc_id bigint, item_id bigint, n_tiles int, covered int, item_words int, coverage double, "
@@ -201,7 +208,7 @@ def matches(spark: SparkSession, docs: DataFrame, items: DataFrame, min_coverage
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text).alias("__text"))
     out = None
     for block in _blocks(items, item_text, item_id, block_words):
-        shared = spark.sparkContext.broadcast(block)
+        shared = _shared(spark, block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = _index_of(shared, min_match)
@@ -223,7 +230,7 @@ def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, min_coverage:
     columns: a filter of each block of items in turn, without a shuffle."""
     at = docs.columns.index(text)
     for block in _blocks(items, item_text, item_id, block_words):
-        shared = spark.sparkContext.broadcast(block)
+        shared = _shared(spark, block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = _index_of(shared, min_match)
