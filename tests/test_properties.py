@@ -213,3 +213,30 @@ def test_fills_use_running_frames(spark, direction):
     plan = ordered.fill_ordered(df, ["v"], ["t", "id"], direction, 3)._jdf.queryExecution().executedPlan().toString()
     assert "Window" in plan
     assert "unboundedfollowing" not in plan.lower()
+
+
+def test_strict_json_cells(spark):
+    from timefuse.functions import jsoncols
+    cells = {'{"a":1} junk': False, "[1,2] x": False, "12": True, '"s"': True, '{"a":1}': True, "": False, "1,2": False,
+             "}": False, "nul": False, "[1]": True, None: None}
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    assert {r.c: r.ok for r in df.select("c", jsoncols.is_json_text(F.col("c")).alias("ok")).collect()} == cells
+
+
+def test_numeric_modes_tie_by_value(spark):
+    df = spark.createDataFrame([(11452,), (2338,), (2338,), (11452,), (9,)], "v bigint")
+    from timefuse.operators import profile
+    assert profile.mode_values(df, ["v"]).first().mode == "2338"
+
+
+def test_auc_without_labelled_rows(spark):
+    from timefuse.operators import evaluate
+    df = spark.createDataFrame([(None, 0.5)], "label int, score double")
+    assert evaluate.roc_auc_ovr(df, "label", "score").first().auc is None
+
+
+def test_scaler_is_fitted_on_filled_columns(spark):
+    from timefuse.plans import preprocess
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([1.0, None, None, None, 9.0])], "k int, v double")
+    state = preprocess.fit(df, preprocess.Roles(numeric=["v"], categorical=[], text=[], targets=[], order_by=["k"]))
+    assert abs(state.scaler["v"][0] - 2.6) < 1e-9

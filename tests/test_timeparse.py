@@ -79,3 +79,18 @@ def test_round_trip_any_format(spark, ts, k):
     if fmt.startswith("%m-%d-%Y") and ts.day <= 12:  # read day-first, as the reference does
         want = ts.replace(month=ts.day, day=ts.month, microsecond=0)
     assert got == want, (fmt, ts)
+
+
+@pytest.mark.parametrize("text, want", [
+    ("000001700000000", "2023-11-14 22:13:20"), ("9" * 20, None), ("253402300800", None),
+    ("2023-08-15T13:45:30.123456789Z", "2023-08-15 13:45:30.123456"), ("2023-08-15T13:45:30.1234567", "2023-08-15 13:45:30.123456"),
+    ("2023-08-15T13:45:30.5", "2023-08-15 13:45:30.500000"), ("2023-08-15 1:45 PM", "2023-08-15 13:45:00"),
+    ("8/15/2023 1:45:30 PM", "2023-08-15 13:45:30"), ("08-15-2023 13:45:30.250", "2023-08-15 13:45:30.250000"),
+    ("Aug 15 2023", "2023-08-15 00:00:00"), ("15 Aug 2023", "2023-08-15 00:00:00"),
+    ("August 15, 2023", "2023-08-15 00:00:00"), ("Tue, 15 Aug 2023 13:45:30 GMT", "2023-08-15 13:45:30"),
+    ("2023-08-15T13", "2023-08-15 13:00:00"), ("2023-08", "2023-08-01 00:00:00"), ("no date 12", None)])
+def test_texts_beyond_the_list(spark, text, want):
+    from timefuse.functions import timeparse
+    df = spark.createDataFrame([(text,)], "c string")
+    got = df.select(timeparse.parse_time_text(F.col("c")).alias("t")).first().t
+    assert (None if got is None else str(got)) == want

@@ -32,8 +32,11 @@ def _as_array_schema(schema):
 
 
 def is_json_text(c: Column) -> Column:
-    """Cell is a well-formed JSON object or array (NULL stays NULL)."""
-    return F.json_object_keys(c).isNotNull() | F.json_array_length(c).isNotNull()
+    """Cell is one whole JSON value, scalars included. A parse alone would let
+    text after the value pass; inside an array and inside an object it can't."""
+    in_array = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    return F.when(c.isNotNull(), in_array.isNotNull() & in_object.isNotNull())
 
 
 def parse_json_lenient(c: Column, element_schema: StructType) -> Column:

@@ -202,7 +202,7 @@ def compile_format(fmt: str):
                 regex.append(rx)
         elif v == "f":
             spark.append("SSSSSS")
-            regex.append(r"\d{1,6}")
+            regex.append(r"\d{1,9}")
         elif v == "B":
             spark.append("MMMM")
             regex.append("(?i:" + "|".join(_MONTHS) + ")")
@@ -242,9 +242,15 @@ def _in_range(ts: Column) -> Column:
 
 
 def parse_epoch(c: Column) -> Column:
-    """An all-digit text is seconds since the epoch (range-checked)."""
-    return _in_range(F.when(c.rlike(r"^\d{1,11}$"),
-                            F.timestamp_seconds(c.try_cast("bigint"))))
+    """An all-digit text, of any number of digits, is seconds since the epoch (range-checked)."""
+    seconds = c.try_cast("bigint")
+    # beyond the year 9999 nothing is in range, and the conversion would overflow
+    return _in_range(F.when(c.rlike(r"^\d+$") & (seconds <= 253_402_300_799), F.timestamp_seconds(seconds)))
+
+
+def _microseconds(c: Column) -> Column:
+    """Fractions of seven to nine digits cut to the six that a timestamp holds."""
+    return F.regexp_replace(c, r"([.,]\d{6})\d{1,3}(?!\d)", "$1")
 
 
 def _parse_one(c: Column, fmt: str) -> Column:
@@ -252,18 +258,32 @@ def _parse_one(c: Column, fmt: str) -> Column:
     target = c
     if day_regex:
         target = F.regexp_replace(c, "^" + day_regex + r"[, ]*", "")
+    if "%f" in fmt:
+        target = _microseconds(target)
     parsed = [F.try_to_timestamp(target, F.lit(p)) for p in patterns]
     value = parsed[0] if len(parsed) == 1 else F.coalesce(*parsed)
     return F.when(c.rlike(guard), value)
 
 
-# Fallback shapes a general parser still reads (X5): minute-precision ISO
-# with a zone letter, month-first dashed dates, 14-digit compact stamps.
+# Fallback shapes a general parser still reads (X5), after ``/`` became ``-``:
+# ISO with less or more than seconds, month-first dashed dates, half-day
+# clocks, month names in either order (weekday and GMT optional), 14-digit stamps.
+_MONTH_NAME = "[A-Za-z]{3,9}"
+_CLOCK = r"(?: \d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d{1,9})?)?)?"
 FALLBACK_PATTERNS = [
     (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}(?:Z|[+-]\d{2}:?\d{2})$", ["yyyy-M-d'T'H:mXXX", "yyyy-M-d'T'H:mXX"]),
     (r"^\d{1,2}-\d{1,2}-\d{4}$", ["M-d-yyyy"]),
     (r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{1,2}$", ["M-d-yyyy H:m"]),
     (r"^\d{14}$", ["yyyyMMddHHmmss"]),
+    (r"^\d{4}-\d{1,2}$", ["yyyy-M"]),
+    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}(?::\d{1,2}(?::\d{1,2}(?:\.\d{1,9})?)?)?$",
+     ["yyyy-M-d'T'H[:m[:s[.SSSSSS]]]", "yyyy-M-d'T'H:m:s.S", "yyyy-M-d'T'H:m:s.SSS"]),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}(?::\d{1,2})? ?(?i:am|pm)$", ["yyyy-M-d h:m[:s][ ]a"]),
+    (r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{1,2}(?::\d{1,2})? ?(?i:am|pm)$", ["M-d-yyyy h:m[:s][ ]a"]),
+    (r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{1,2}:\d{1,2}(?:\.\d{1,9})?$", ["M-d-yyyy H:m:s[.SSSSSS]", "M-d-yyyy H:m:s.SSS",
+                                                                         "M-d-yyyy H:m:s.S"]),
+    (rf"^{_MONTH_NAME} \d{{1,2}},? \d{{4}}{_CLOCK}$", ["MMM d[,] yyyy[ H:m[:s]]", "MMMM d[,] yyyy[ H:m[:s]]"]),
+    (rf"^\d{{1,2}} {_MONTH_NAME} \d{{4}}{_CLOCK}$", ["d MMM yyyy[ H:m[:s]]", "d MMMM yyyy[ H:m[:s]]"]),
 ]
 
 
@@ -346,12 +366,19 @@ def _multi_format_by_name(text_col: str, key_col: str, formats: tuple[str, ...],
 
 
 def parse_fallback(c: Column) -> Column:
-    """The extra shapes a generic parser accepts; else NULL."""
-    out = []
-    for guard, pats in FALLBACK_PATTERNS:
-        vals = [F.try_to_timestamp(c, F.lit(p)) for p in pats]
-        out.append(F.when(c.rlike(guard), vals[0] if len(vals) == 1 else F.coalesce(*vals)))
-    return F.coalesce(*out)
+    """The extra shapes a generic parser accepts; else NULL.
+
+    Few texts come here, so the shapes are tried inside a lambda over the one
+    cleaned text: it is cleaned once, and the generated code of the whole
+    parser stays small."""
+    # "Tue, 15 Aug 2023 13:45:30 GMT": the weekday and the zero zone say nothing more
+    cleaned = _microseconds(F.regexp_replace(c, r"^[A-Za-z]{3,9}, (?=\d)| (?:GMT|UTC)$", ""))
+
+    def tried(x: Column) -> Column:
+        return F.coalesce(*[F.when(x.rlike(guard), F.coalesce(*[F.try_to_timestamp(x, F.lit(p)) for p in pats]))
+                            for guard, pats in FALLBACK_PATTERNS])
+
+    return F.get(F.transform(F.array(cleaned), tried), F.lit(0))
 
 
 def parse_time_text(c: Column, hourly_suffix: bool = True) -> Column:

@@ -31,6 +31,8 @@ def roc_auc_ovr(df: DataFrame, label: str, score: str) -> DataFrame:
     """M9 for more than two classes: one-vs-rest per class, then the macro mean."""
     classes = [r[0] for r in df.where(F.col(label).isNotNull()).select(label).distinct().collect()]
     parts = [roc_auc(df, label, score, c).select(F.lit(str(c)).alias("class"), "auc") for c in classes]
+    if not parts:  # no labelled row: no class, no score
+        return df.limit(0).agg(F.avg(F.lit(None).cast("double")).alias("auc"))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)

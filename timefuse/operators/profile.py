@@ -214,10 +214,14 @@ def mode_values(df: DataFrame, cols: list[str]) -> DataFrame:
     Value counts are a partial+final aggregate on (column, value); the pick is
     a second aggregate per column, so no column is collected into one task.
     """
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
-                                          for c in cols])).alias("_kv")).select("_kv.*").where(F.col("value").isNotNull())
-    vc = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("freq"))
-    return vc.groupBy("column_name").agg(F.min_by("value", F.struct(-F.col("freq"), F.col("value"))).alias("mode"),
+    numeric = {f.name for f in df.schema if isinstance(f.dataType, NumericType)}
+    # numbers tie by value, everything else by text
+    long = df.select(F.explode(F.array(*[F.struct(
+        F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"),
+        (F.col(c) if c in numeric else F.lit(None)).cast("double").alias("number")) for c in cols])).alias("_kv")) \
+        .select("_kv.*").where(F.col("value").isNotNull())
+    vc = long.groupBy("column_name", "value", "number").agg(F.count(F.lit(1)).alias("freq"))
+    return vc.groupBy("column_name").agg(F.min_by("value", F.struct(-F.col("freq"), F.col("number"), F.col("value"))).alias("mode"),
                                          F.max("freq").alias("freq"))
 
 

@@ -68,7 +68,7 @@ def _base_features(df: DataFrame, roles: Roles, link_cols, digit_cols) -> DataFr
     return out
 
 
-def fit(df: DataFrame, roles: Roles) -> PreprocessState:
+def fit(df: DataFrame, roles: Roles, fill: bool = True) -> PreprocessState:
     """Decide link/digit columns, scaler statistics and category lists."""
     text = [c for c in roles.text if c in df.columns and c not in REFERENCE_JSON_FIELDS]
     links = []
@@ -82,7 +82,10 @@ def fit(df: DataFrame, roles: Roles) -> PreprocessState:
                if c in base.columns and c not in roles.targets]
     if roles.time_key in df.columns:
         numeric += [c for c in CALENDAR if c not in numeric]
-    scaler = encode.fit_scaler(base, numeric) if numeric else {}
+    # the scaler sees what transform scales: the filled columns
+    ordered = fill and numeric and all(c in base.columns for c in roles.order_by)
+    filled = fill_both(base, numeric, roles.order_by) if ordered else base
+    scaler = encode.fit_scaler(filled, numeric) if numeric else {}
     cats = {c: encode.fitted_categories(base, c) for c in roles.categorical if c in base.columns}
     features = [*numeric, *[f"{c}_{v}" for c, vs in cats.items() for v in vs]]
     return PreprocessState(roles, links, digits, scaler, cats, features)

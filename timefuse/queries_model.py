@@ -90,7 +90,7 @@ MODE_COLS = ["o_orderstatus", "o_orderpriority", "o_custkey"]
 
 @register("mode_value", _union_all([
     f"""SELECT * FROM (SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS mode, count(*) AS freq FROM orders
-        WHERE {c} IS NOT NULL GROUP BY CAST({c} AS VARCHAR) ORDER BY count(*) DESC, CAST({c} AS VARCHAR) LIMIT 1)"""
+        WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"""
     for c in MODE_COLS]))
 def q_mode_value(spark, sf):
     return profile.mode_values(load(spark, sf, "orders"), MODE_COLS)

@@ -52,8 +52,8 @@ def reference_patterns(base_dir: str, events_dir: str, category_dir: str) -> dic
     import re as _re
     return {
         "base": "/" + _re.escape(base_dir) + "/[^/]+\\.csv$",
-        "events": "/" + _re.escape(events_dir) + "/[A-Za-z]+_events_(?<year>\\d{4})\\.csv$",
-        "category": "/" + _re.escape(category_dir) + "/(?<category>[A-Za-z]+)-(?<year>\\d{4})\\.csv$",
+        "events": "/" + _re.escape(events_dir) + "/\\w+_events_(?<year>\\d{4})\\.csv$",
+        "category": "/" + _re.escape(category_dir) + "/(?<category>\\w+)-(?<year>\\d{4})\\.csv$",
     }
 
 
