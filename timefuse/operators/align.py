@@ -2,9 +2,9 @@
 
 The daily tables hold one row per day between the first and last day, so
 their size is bounded by the time span, not by the data volume. Joins are
-written as plain equi-joins; AQE sees the runtime size of the aggregated side
-and turns the join into a broadcast when it is under the threshold, so a hot
-day on the big side is never shuffled.
+written as plain equi-joins: while the daily side's estimate is under the
+broadcast threshold the big side does not move; beyond it the big side is
+shuffled before AQE sees the true size.
 """
 
 from __future__ import annotations
