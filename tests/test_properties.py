@@ -182,15 +182,38 @@ def test_hot_key_spreads_over_partitions(spark):
     assert got == want
 
 
-def test_wide_path_agrees_with_statistics(spark):
-    rnd = random.Random(12)
-    rows = [(a, b, 1.5 * a - 0.5 * b + 2 + rnd.gauss(0, 0.01)) for a, b in
-            ((rnd.random(), rnd.random()) for _ in range(300))]
-    df = spark.createDataFrame(rows, "a double, b double, y double")
-    exact, _ = linear.fit_linear_multi(df, ["a", "b"], ["y"])
-    wide = linear.fit_linear_wide(df, ["a", "b"], ["y"])
-    for k in ("intercept", "a", "b"):
-        assert wide["y"][k] == pytest.approx(exact["y"][k], abs=1e-3)
+def test_wide_fit_equals_numpy(spark):
+    import numpy as np
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1000, 200))
+    y = x @ rng.normal(size=200) + 3 + rng.normal(size=1000) * 0.01
+    names = [f"f{i}" for i in range(200)]
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)],
+                               ", ".join(f"{c} double" for c in [*names, "y"])).repartition(4)
+    got, _ = linear.fit_linear_multi(df, names, ["y"])
+    want = np.linalg.lstsq(np.column_stack([np.ones(1000), x]), y, rcond=None)[0]
+    assert [got["y"][k] for k in ["intercept", *names]] == pytest.approx(want.tolist(), abs=1e-8)
+
+
+def test_large_offsets_keep_their_digits(spark):
+    rows = [(1.7e9 + i, float(i // 50 % 7), 2 * (1.7e9 + i) + 3 * (i // 50 % 7), None if i % 5 else 1.0) for i in range(500)]
+    df = spark.createDataFrame(rows, "epoch double, hour double, y double, constant double")
+    coefs, _ = linear.fit_linear_multi(df.repartition(5), ["epoch", "hour"], ["y"])
+    assert coefs["y"]["epoch"] == pytest.approx(2.0, abs=1e-9)
+    assert coefs["y"]["hour"] == pytest.approx(3.0, abs=1e-7)
+    _, first = linear.fit_linear_multi(df.where("epoch < 1.7e9 + 100"), ["epoch", "hour"], ["y"])
+    merged, _ = linear.partial_fit(first, df.where("epoch >= 1.7e9 + 100"), ["epoch", "hour"], ["y"])
+    assert merged["y"]["epoch"] == pytest.approx(2.0, abs=1e-9)
+    assert linear.fit_linear_multi(df, ["constant"], ["y"])[0]["y"]["constant"] == 0.0
+
+
+def test_all_columns_imputed_from_one_pass(spark):
+    from timefuse.operators import impute
+    rows = [(float(i), 2.0 * i + 1 if i % 3 else None, -1.0 * i if i % 4 else float("nan"), None) for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, none double")
+    got = impute.impute_regression(df, ["a", "b", "c", "none"], ["a"]).collect()
+    for i, r in enumerate(got, 1):
+        assert (r.a, r.b, r.c, r.none) == (float(i), pytest.approx(2.0 * i + 1), pytest.approx(-1.0 * i), None)
 
 
 def test_empty_inputs(spark):

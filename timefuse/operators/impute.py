@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordered import fill_ordered
-from .linear import INTERCEPT, gram_stats, solve
-from .profile import column_means, mode_value
+from .linear import INTERCEPT, Group, group_stats, solve
+from .profile import column_means, mode_values
 from .schema import add_default_columns, numeric_columns, string_columns
 
 
@@ -33,53 +33,48 @@ def impute_mean(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def impute_mode(df: DataFrame, cols: list[str]) -> DataFrame:
-    """NULL category -> most frequent value (ties -> smallest)."""
-    out = df
-    for c in cols:
-        m = mode_value(df, c).first()  # one value
-        if m is not None and m[c] is not None:
-            out = out.withColumn(c, F.coalesce(F.col(c), F.lit(m[c]).cast(df.schema[c].dataType)))
-    return out
+    """NULL category -> most frequent value (ties -> smallest), all columns from one aggregate."""
+    modes = {r["column_name"]: r["mode"] for r in mode_values(df, cols).collect()} if cols else {}  # one row per column
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(m).cast(df.schema[c].dataType)) for c, m in modes.items()})
 
 
-def regression_fill_model(df: DataFrame, col: str, predictors: list[str],
-                          means: dict[str, float] | None = None) -> dict[str, float] | None:
-    """Linear model of ``col`` on ``predictors`` (their NULLs read as their
-    mean), fitted on the rows where ``col`` is known; None without such rows.
-    ``means`` may hold the predictor means already (one aggregate for all)."""
-    if means is None:
-        means = column_means(df, predictors).first().asDict() if predictors else {}
-    filled = df.withColumns({p: F.coalesce(F.col(p).cast("double"), F.lit(means[p])) for p in predictors
-                             if means.get(p) is not None})
-    usable = [p for p in predictors if means.get(p) is not None]
-    stats = gram_stats(filled, usable, [col]).collect()
-    n = next((r["value"] for r in stats if r["stat"] == "n"), 0.0)
-    if not n:
-        return None
-    coefs = solve(stats, usable, [col])[col]
-    coefs["_means"] = {p: means[p] for p in usable}
-    return coefs
+#: values (columns squared, over the models of one pass) that a task holds for I1
+MODEL_CELLS = 1 << 24
 
 
 def impute_regression(df: DataFrame, cols: list[str], predictors: list[str] | None = None) -> DataFrame:
     """NULL numeric cells predicted by a regression on the other numeric
-    columns; columns without any known value are left as they are."""
-    out = df
+    columns (their NULLs read as their mean), fitted on the rows where the
+    column is known; columns without any known value are left as they are.
+
+    One aggregate gives the means and the columns that need a model at all, and
+    one pass the statistics of all models (a further pass for each
+    ``MODEL_CELLS`` values of them)."""
     pool = predictors if predictors is not None else numeric_columns(df)
-    # every model reads the means of the same (original) frame: one aggregate
-    means_all = column_means(df, pool).first().asDict() if pool else {}
-    for c in cols:
-        preds = [p for p in pool if p != c]
-        model = regression_fill_model(df, c, preds, {p: means_all[p] for p in preds})
-        if model is None:
-            continue
-        means = model.pop("_means")
-        e = F.lit(model[INTERCEPT])
-        for p, b in model.items():
-            if p != INTERCEPT:
-                e = e + F.lit(b) * F.coalesce(F.col(p).cast("double"), F.lit(means[p]))
-        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), e))
-    return out
+    names = list(dict.fromkeys([*cols, *pool]))
+    if not names:
+        return df
+    value = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in names}
+    r = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(value[c]).alias(f"m{i}") for i, c in enumerate(names)],
+               *[F.count(value[c]).alias(f"k{i}") for i, c in enumerate(names)]).first()
+    means = {c: r[f"m{i}"] for i, c in enumerate(names) if r[f"k{i}"]}
+    wanted = [c for i, c in enumerate(names) if c in cols and 0 < r[f"k{i}"] < r["n"]]
+    if not wanted:
+        return df.withColumns({c: F.col(f"`{c}`").cast("double") for c in cols if c in means})
+    usable = [p for p in pool if p in means]
+    groups = [Group(c, [*[p for p in usable if p != c], c], [c], {p: means[p] for p in usable if p != c}) for c in wanted]
+    block = max(1, MODEL_CELLS // (len(usable) + 1) ** 2)
+    filled = {c: value[c] for c in cols if c in means}
+    for i in range(0, len(groups), block):
+        rows = group_stats(df, groups[i:i + block]).collect()  # model size
+        for g in groups[i:i + block]:
+            c, preds = g.model, g.columns[:-1]
+            model = solve([x for x in rows if x["model"] == c], preds, [c])[c]
+            e = F.lit(model[INTERCEPT])
+            for p in preds:
+                e = e + F.lit(model[p]) * F.coalesce(value[p], F.lit(means[p]))
+            filled[c] = F.coalesce(value[c], e)
+    return df.withColumns(filled)
 
 
 def fill_missing_columns(df: DataFrame, numeric: list[str], categorical: list[str],

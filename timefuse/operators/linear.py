@@ -1,88 +1,153 @@
 """Linear models from mergeable sufficient statistics (M1-M4) and the
 budgeted gradient fit (M2).
 
-The data pass is one aggregate of sums (n, x, x x', y, x y) over all rows -
-partial on every partition, merged by Spark - so a fit touches the data once
-and the statistics of two batches add up to those of their union (exact
-incremental update, M3). Only the small (p+1) x (p+1) solve runs on the
-driver. Scoring is a generated Column dot product (whole-stage codegen, no UDF).
+The data pass gathers, per task, the row count, the column means and the
+co-moments around those means (sums of products of deviations, one matrix
+product per Arrow batch). Counts, means and co-moments of two parts merge
+exactly into those of their union, so a fit touches the data once at any number
+of columns, batches add up (M3), and large offsets such as epoch seconds cost
+no accuracy, since no raw square is ever summed. Tasks hand on one row per
+column; those are merged in two steps, so no merge sees more than
+``MERGE_TASKS`` tasks' rows or one row per such bucket. Only the final
+statistics, of the model's size, reach the driver for the solve. Scoring is a
+generated Column dot product (whole-stage codegen, no UDF).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 INTERCEPT = "intercept"
-
-
-def _row_mask(features: list[str], targets: list[str]) -> Column:
-    cond = F.lit(True)
-    for c in [*features, *targets]:
-        cond = cond & F.col(c).isNotNull()
-    return cond
+#: tasks whose statistics are merged together in the first step
+MERGE_TASKS = 256
+STATE = "model string, pos int, column string, n double, means array<double>, co array<double>"
+
+
+@dataclass
+class Group:
+    """A set of columns whose joint statistics are wanted over the rows where
+    the ``required`` ones are known; ``fill`` replaces unknown other cells."""
+    model: str
+    columns: list[str]
+    required: list[str]
+    fill: dict[str, float]
+
+
+def _merged(n: np.ndarray, means: np.ndarray, co: np.ndarray, pos: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Count, means and co-moments of one column (``pos``) with all, over several parts."""
+    total = n.sum()
+    if total == 0:
+        return 0.0, np.zeros(means.shape[1]), np.zeros(co.shape[1])
+    mean = n @ means / total
+    away = means - mean
+    return total, mean, co.sum(axis=0) + (n * away[:, pos]) @ away
+
+
+def _combine(parts: DataFrame, keys: list[str]) -> DataFrame:
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        n, mean, co = _merged(pdf["n"].to_numpy(), np.stack(pdf["means"]), np.stack(pdf["co"]), int(first["pos"]))
+        return pd.DataFrame({"model": [first["model"]], "pos": [first["pos"]], "column": [first["column"]],
+                             "n": [n], "means": [mean.tolist()], "co": [co.tolist()]})
+
+    return parts.groupBy("model", "pos", *keys).applyInPandas(merge, STATE)
+
+
+def group_stats(df: DataFrame, groups: list[Group]) -> DataFrame:
+    """Statistics (``STATE``) of several groups of columns in one pass over ``df``."""
+    columns = list(dict.fromkeys(c for g in groups for c in g.columns))
+    at = {c: i for i, c in enumerate(columns)}
+    plans = [(g.model, g.columns, [at[c] for c in g.columns], [at[c] for c in g.required],
+              np.array([g.fill.get(c, np.nan) for c in g.columns])) for g in groups]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = [None] * len(plans)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            task = b.column(len(columns))[0].as_py()
+            values = np.column_stack([b.column(i).to_numpy(zero_copy_only=False).astype(float)
+                                      for i in range(len(columns))])
+            known = np.isfinite(values)
+            for k, (_, _, mine, required, fill) in enumerate(plans):
+                rows = known[:, required].all(axis=1)
+                z = np.where(known[rows][:, mine], values[rows][:, mine], fill)
+                z = z[np.isfinite(z).all(axis=1)]
+                if not len(z):
+                    continue
+                mean = z.mean(axis=0)
+                away = z - mean
+                n, co = float(len(z)), away.T @ away
+                if held[k] is not None:
+                    n0, mean0, co0 = held[k]
+                    gap = mean - mean0
+                    co = co0 + co + np.outer(gap, gap) * (n0 * n / (n0 + n))
+                    mean, n = mean0 + gap * (n / (n0 + n)), n0 + n
+                held[k] = (n, mean, co)
+        for (model, names, _, _, _), stats in zip(plans, held):
+            if stats is None:
+                continue
+            n, mean, co = stats
+            m = len(names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([model] * m), pa.array(range(m), pa.int32()), pa.array(names), pa.array([n] * m),
+                 pa.array([mean] * m, pa.list_(pa.float64())), pa.array(list(co), pa.list_(pa.float64())),
+                 pa.array([task // MERGE_TASKS] * m, pa.int32())],
+                names=["model", "pos", "column", "n", "means", "co", "part"])
+
+    src = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)],
+                    F.spark_partition_id().alias("task"))
+    parts = src.mapInArrow(run, f"{STATE}, part int")
+    return _combine(_combine(parts, ["part"]), [])
 
 
 def gram_stats(df: DataFrame, features: list[str], targets: list[str]) -> DataFrame:
-    """Sufficient statistics as a long table (stat, i, j, value).
-
-    Rows with a NULL feature or target are left out (the reference drops
-    them before fitting)."""
-    m = _row_mask(features, targets)
-    x = [F.when(m, F.col(c).cast("double")) for c in features]
-    y = [F.when(m, F.col(c).cast("double")) for c in targets]
-    aggs = [F.count(F.when(m, F.lit(1))).cast("double").alias("n")]
-    names = [("n", "", "")]
-    for i, xi in enumerate(x):
-        aggs.append(F.sum(xi).alias(f"x_{i}"))
-        names.append(("x", features[i], ""))
-        for j in range(i, len(x)):
-            aggs.append(F.sum(xi * x[j]).alias(f"xx_{i}_{j}"))
-            names.append(("xx", features[i], features[j]))
-        for k, yk in enumerate(y):
-            aggs.append(F.sum(xi * yk).alias(f"xy_{i}_{k}"))
-            names.append(("xy", features[i], targets[k]))
-    for k, yk in enumerate(y):
-        aggs.append(F.sum(yk).alias(f"y_{k}"))
-        names.append(("y", targets[k], ""))
-        aggs.append(F.sum(yk * yk).alias(f"yy_{k}"))
-        names.append(("yy", targets[k], targets[k]))
-    row = df.agg(*[a.alias(f"a{k}") for k, a in enumerate(aggs)])
-    parts = ", ".join(f"'{s}', '{i}', '{j}', coalesce(a{k}, 0D)" for k, (s, i, j) in enumerate(names))
-    return row.selectExpr(f"stack({len(names)}, {parts}) as (stat, i, j, value)")
+    """Statistics of features and targets, one row per column (``STATE``).
+
+    Rows with a NULL, NaN or infinite feature or target are left out (the
+    reference drops them before fitting)."""
+    columns = [*features, *targets]
+    return group_stats(df, [Group("", columns, columns, {})])
 
 
 def merge_stats(*stats: DataFrame) -> DataFrame:
-    """M3: statistics of several batches = their sum (order-free, exact)."""
+    """M3: statistics of several batches merged into those of their union."""
     u = stats[0]
     for s in stats[1:]:
         u = u.unionByName(s)
-    return u.groupBy("stat", "i", "j").agg(F.sum("value").alias("value"))
+    return _combine(u, [])
 
 
 def solve(stats_rows, features: list[str], targets: list[str], ridge: float = 0.0) -> dict[str, dict[str, float]]:
-    """Least squares (ridge on the slopes, intercept free) from the statistics."""
-    s = {(r["stat"], r["i"], r["j"]): r["value"] for r in stats_rows}
+    """Least squares (ridge on the slopes, intercept free) from the statistics.
+
+    Columns are brought to unit scale for the solve; a column that does not
+    vary gets the slope 0, and dependent columns share theirs (least norm)."""
+    rows = sorted(stats_rows, key=lambda r: r["pos"])
     p = len(features)
-    n = s.get(("n", "", ""), 0.0)
+    n = rows[0]["n"] if rows else 0.0
     if n <= 0:
         return {t: {INTERCEPT: None, **{f: None for f in features}} for t in targets}
-    sx = np.array([s[("x", f, "")] for f in features])
-    sxx = np.zeros((p, p))
-    for a in range(p):
-        for b in range(a, p):
-            sxx[a, b] = sxx[b, a] = s[("xx", features[a], features[b])]
-    mx = sx / n
-    cxx = sxx - n * np.outer(mx, mx) + ridge * np.eye(p)
+    mean = np.array(rows[0]["means"])
+    co = np.array([r["co"] for r in rows])
+    mx, cxx = mean[:p], co[:p, :p]
+    var = np.diag(cxx).copy() if p else np.zeros(0)
+    still = var <= n * (1e-14 * np.abs(mx)) ** 2
+    scale = np.where(still, 1.0, np.sqrt(np.where(still, 1.0, var + ridge)))
+    a = (cxx + ridge * np.eye(p)) / np.outer(scale, scale)
+    a[still, :] = a[:, still] = 0.0
     out = {}
-    for t in targets:
-        sy = s[("y", t, "")]
-        sxy = np.array([s[("xy", f, t)] for f in features])
-        cxy = sxy - n * mx * (sy / n)
-        beta = np.linalg.lstsq(cxx, cxy, rcond=None)[0] if p else np.zeros(0)
-        b0 = sy / n - float(mx @ beta) if p else sy / n
-        out[t] = {INTERCEPT: float(b0), **{f: float(b) for f, b in zip(features, beta)}}
+    for k, t in enumerate(targets):
+        cxy = np.where(still, 0.0, co[:p, p + k] / scale)
+        beta = np.linalg.lstsq(a, cxy, rcond=None)[0] / scale if p else np.zeros(0)
+        out[t] = {INTERCEPT: float(mean[p + k] - mx @ beta), **{f: float(b) for f, b in zip(features, beta)}}
     return out
 
 
@@ -92,32 +157,8 @@ def coefficients_frame(spark: SparkSession, coefs: dict[str, dict[str, float]])
     return spark.createDataFrame(rows, "target string, term string, coef double")
 
 
-# Above this many features the (p+1)^2 statistics and the driver solve stop
-# being small; the fit then runs as distributed L-BFGS (pyspark.ml).
-WIDE_FEATURES = 1000
-
-
-def fit_linear_wide(df: DataFrame, features: list[str], targets: list[str], ridge: float = 0.0):
-    """Wide or sparse inputs: ``pyspark.ml`` LinearRegression (L-BFGS), one
-    distributed optimisation per target; same least-squares objective."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-    data = VectorAssembler(inputCols=features, outputCol="_x").transform(df.where(_row_mask(features, targets)))
-    out = {}
-    for t in targets:
-        m = LinearRegression(featuresCol="_x", labelCol=t, regParam=ridge, elasticNetParam=0.0,
-                             solver="l-bfgs", standardization=False).fit(data)
-        out[t] = {INTERCEPT: float(m.intercept), **{f: float(b) for f, b in zip(features, m.coefficients.toArray())}}
-    return out
-
-
 def fit_linear_multi(df: DataFrame, features: list[str], targets: list[str], ridge: float = 0.0):
-    """M1: one least-squares model per target; returns (coefs, stats frame).
-
-    Up to ``WIDE_FEATURES`` features: one aggregate of mergeable statistics
-    and an exact solve; beyond that: distributed L-BFGS (stats frame None)."""
-    if len(features) > WIDE_FEATURES:
-        return fit_linear_wide(df, features, targets, ridge), None
+    """M1: one least-squares model per target; returns (coefs, stats frame)."""
     stats = gram_stats(df, features, targets)
     return solve(stats.collect(), features, targets, ridge), stats
 
@@ -147,34 +188,24 @@ def fit_sgd_budget(df: DataFrame, features: list[str], targets: list[str], itera
 
     On standardised columns the mean squared error and its gradient depend on
     the data only through the covariances of the features with each other and
-    with the targets. One aggregate (partial on every partition) of means,
-    population standard deviations and covariances is therefore the only
-    pass over the data; every step after it is exact arithmetic on those
+    with the targets, so the statistics of one pass (``gram_stats``) are all
+    that is read; every step after it is exact arithmetic on those
     (p+1)-sized moments. Returns (coefs in original units, losses)."""
     import time
 
-    data = df.where(_row_mask(features, targets))
-    x = {c: F.col(c).cast("double") for c in [*features, *targets]}
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.avg(x[c]).alias(f"mean_{i}") for i, c in enumerate([*features, *targets])]
-    aggs += [F.stddev_pop(x[c]).alias(f"std_{i}") for i, c in enumerate([*features, *targets])]
-    p = len(features)
-    aggs += [F.covar_pop(x[features[a]], x[features[b]]).alias(f"cxx_{a}_{b}") for a in range(p) for b in range(a, p)]
-    aggs += [F.covar_pop(x[features[a]], x[t]).alias(f"cxy_{a}_{k}") for a in range(p) for k, t in enumerate(targets)]
-    aggs += [F.var_pop(x[t]).alias(f"vy_{k}") for k, t in enumerate(targets)]
-    r = data.agg(*aggs).first()
-    if not r["n"]:
+    rows = sorted(gram_stats(df, features, targets).collect(), key=lambda r: r["pos"])
+    if not rows:
         return {t: {INTERCEPT: None, **{f: None for f in features}} for t in targets}, []
-    mean = {c: r[f"mean_{i}"] for i, c in enumerate([*features, *targets])}
+    p, columns = len(features), [*features, *targets]
+    mean = dict(zip(columns, rows[0]["means"]))
+    cov = np.array([r["co"] for r in rows]) / rows[0]["n"]
     # a constant column is divided by 1, as the scaler does
-    scale = {c: (r[f"std_{i}"] or 1.0) for i, c in enumerate([*features, *targets])}
-    cz = np.zeros((p, p))  # E[z_a z_b]
-    for a in range(p):
-        for b in range(a, p):
-            cz[a, b] = cz[b, a] = r[f"cxx_{a}_{b}"] / (scale[features[a]] * scale[features[b]])
-    czy = {t: np.array([r[f"cxy_{a}_{k}"] / (scale[features[a]] * scale[t]) for a in range(p)])
-           for k, t in enumerate(targets)}  # E[z_a z_y]
-    vzy = {t: r[f"vy_{k}"] / (scale[t] * scale[t]) for k, t in enumerate(targets)}  # E[z_y^2]
+    spread = np.where(np.diag(cov) > 0, np.sqrt(np.diag(cov)), 1.0)
+    scale = dict(zip(columns, spread))
+    z = cov / np.outer(spread, spread)
+    cz = z[:p, :p]  # E[z_a z_b]
+    czy = {t: z[:p, p + k] for k, t in enumerate(targets)}  # E[z_a z_y]
+    vzy = {t: z[p + k, p + k] for k, t in enumerate(targets)}  # E[z_y^2]
     w = {t: np.zeros(p + 1) for t in targets}
     losses = []
     start = time.time()

@@ -329,11 +329,52 @@ def q_predict_linear(spark, sf):
     return rounded(out.drop("l_quantity"), ["pred_l_extendedprice", "pred_l_tax"])
 
 
-@register("fit_sgd_budget")
+SGD_STEPS, SGD_RATE = 20, 0.1
+
+
+def _sgd_sql(t):
+    """Gradient steps on the standardised column: the slope's recursion on the correlation."""
+    return f"""(WITH RECURSIVE m AS (SELECT avg(l_quantity) AS mx, avg({t}) AS my, stddev_pop(l_quantity) AS sx, stddev_pop({t}) AS sy,
+                       corr(l_quantity, {t}) AS c FROM lineitem WHERE l_quantity IS NOT NULL AND {t} IS NOT NULL),
+    w AS (SELECT 0 AS k, CAST(0 AS DOUBLE) AS w UNION ALL
+          SELECT k + 1, w - {SGD_RATE} / pow(k + 1, 0.25) * (w - c) FROM w, m WHERE k < {SGD_STEPS}),
+    f AS (SELECT sy * w / sx AS slope, mx, my FROM w, m WHERE k = {SGD_STEPS})
+    SELECT '{t}' AS target, 'intercept' AS term, round(my - slope * mx, 6) + 0.0 AS coef FROM f
+    UNION ALL SELECT '{t}', 'l_quantity', round(slope, 6) + 0.0 FROM f)"""
+
+
+@register("fit_sgd_budget", "SELECT * FROM " + " UNION ALL SELECT * FROM ".join(_sgd_sql(t) for t in LIN_Y))
 def q_fit_sgd_budget(spark, sf):
-    coefs, losses = linear.fit_sgd_budget(load(spark, sf, "lineitem"), LIN_X, LIN_Y, iterations=20)
-    rows = [(i, float(v)) for i, v in enumerate(losses)]
-    return spark.createDataFrame(rows, "iteration int, loss double")
+    coefs, _ = linear.fit_sgd_budget(load(spark, sf, "lineitem"), LIN_X, LIN_Y, iterations=SGD_STEPS, learning_rate=SGD_RATE)
+    return linear.coefficients_frame(spark, coefs).withColumn("coef", r6("coef"))
+
+
+# Two predictors, one with the large offset of epoch seconds: the normal
+# equations of the centred columns, written out.
+_LIN2_SQL = """
+WITH d AS (SELECT CAST(floor(epoch(ts)) AS DOUBLE) AS x1, CAST(hour(ts) AS DOUBLE) AS x2, value AS y FROM events
+           WHERE ts IS NOT NULL AND value IS NOT NULL),
+m AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, var_pop(x1) AS v1, var_pop(x2) AS v2,
+             covar_pop(x1, x2) AS c12, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2 FROM d),
+b AS (SELECT (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2, * FROM m)
+SELECT 'value' AS target, 'intercept' AS term, round(my - b1 * (m1 - 1.7e9) - b2 * m2, 4) + 0.0 AS coef FROM b
+UNION ALL SELECT 'value', 'day', round(b1 * 86400, 6) + 0.0 FROM b
+UNION ALL SELECT 'value', 'hour', round(b2, 6) + 0.0 FROM b
+"""
+
+
+@register("fit_linear_two_features", _LIN2_SQL)
+def q_fit_linear_two_features(spark, sf):
+    """Epoch seconds and hour as predictors; the slope is given per day and
+    the intercept at epoch 1.7e9, where its digits mean something."""
+    ev = load(spark, sf, "events").select(
+        F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("epoch"), F.hour("ts").alias("hour"), "value")
+    c = linear.fit_linear_multi(ev, ["epoch", "hour"], ["value"])[0]["value"]
+    at = None if c["epoch"] is None else c["intercept"] + 1.7e9 * c["epoch"]
+    rows = [("value", "intercept", None if at is None else round(at, 4) + 0.0),
+            ("value", "day", None if at is None else round(c["epoch"] * 86400, 6) + 0.0),
+            ("value", "hour", None if at is None else round(c["hour"], 6) + 0.0)]
+    return spark.createDataFrame(rows, "target string, term string, coef double")
 
 
 # ---------------------------------------------------------------------------
