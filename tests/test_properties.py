@@ -263,3 +263,38 @@ def test_scaler_is_fitted_on_filled_columns(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate([1.0, None, None, None, 9.0])], "k int, v double")
     state = preprocess.fit(df, preprocess.Roles(numeric=["v"], categorical=[], text=[], targets=[], order_by=["k"]))
     assert abs(state.scaler["v"][0] - 2.6) < 1e-9
+
+
+def test_joins_leave_the_base_in_place(spark):
+    """Right sides are broadcast by their counted size, whatever the planner's threshold."""
+    base = spark.range(1000).select("id", F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(id % 9)").alias("ts"))
+    daily = align.daily_mean(base, cols=["id"])
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        for out in (align.multi_left_join(base, [("d", daily)]), align.align_left_join(base, daily, "d"),
+                    align.null_safe_left_join(base, daily, "d")):
+            assert out.count() == 1000
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_null_safe_join_beyond_the_broadcast_bound(spark):
+    base = spark.createDataFrame([(i, "a" if i % 3 else None) for i in range(30)], "id int, k string")
+    for rows in ([("a", 1), (None, 2), ("z", 3)], [("a", 1)], [("a", 1), (None, 2), (None, 4)]):
+        right = spark.createDataFrame(rows, "k string, v int")
+        got = [sorted((r.id, r.k, r.r_v or 0) for r in align.null_safe_left_join(base, right, "r", "k", cells).collect())
+               for cells in (0, 1 << 20)]
+        want = sorted((b.id, b.k, v or 0) for b in base.collect() for v in ([v for k, v in rows if k == b.k] or [None]))
+        assert got[0] == got[1] == want
+
+
+def test_nan_is_unknown_in_profiles(spark):
+    from timefuse.operators import profile
+    df = spark.createDataFrame([(1.0, 2.0), (float("nan"), 4.0), (3.0, 6.0), (5.0, float("nan"))], "a double, b double")
+    got = {r.column_name: r for r in profile.target_describe(df, ["a", "b"]).collect()}
+    assert (got["a"]["count"], got["a"]["mean"], got["a"]["max"]) == (3, 3.0, 5.0)
+    assert {r.column_name: r.null_pct for r in profile.null_ratio(df).collect()} == {"a": 25.0, "b": 25.0}
+    assert profile.target_correlations(df, ["a"], ["b"]).where("column_name = 'b'").first().corr == pytest.approx(1.0)

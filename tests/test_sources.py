@@ -101,21 +101,3 @@ def test_stream_then_reprocess_modified_file(spark, tmp_path):
                             options={"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"})
     rows = spark.read.parquet(sink).collect()
     assert sorted((r.id, r.pred_y, r.source_file) for r in rows) == [(1, 21.0, "a.csv"), (3, 7.0, "b.csv")]
-
-
-def test_spread_only_under_split_scans(spark, tmp_path):
-    """A one-file, one-row-group scan is dealt over the session's parallelism
-    with every row kept; a scan that already has enough splits is untouched."""
-    cores = spark.sparkContext.defaultParallelism
-    one = str(tmp_path / "one")
-    spark.range(1000).coalesce(1).write.parquet(one)
-    single = spark.read.parquet(one)
-    assert single.rdd.getNumPartitions() == 1
-    spread = scan.spread(single)
-    assert spread.rdd.getNumPartitions() == cores
-    assert sorted(r.id for r in spread.collect()) == list(range(1000))
-    many = str(tmp_path / "many")
-    spark.range(1000).repartition(cores * 4).write.parquet(many)
-    wide = spark.read.parquet(many)
-    assert wide.rdd.getNumPartitions() >= cores
-    assert scan.spread(wide) is wide

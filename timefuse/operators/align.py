@@ -1,18 +1,20 @@
 """Resampling to a daily grid and the time joins.
 
 The daily tables hold one row per day between the first and last day, so
-their size is bounded by the time span, not by the data volume. Joins are
-written as plain equi-joins: while the daily side's estimate is under the
-broadcast threshold the big side does not move; beyond it the big side is
-shuffled before AQE sees the true size.
+their size is bounded by the time span, not by the data volume. Joins write
+the right side as a small table first. It is broadcast when its counted size is
+within ``BROADCAST_CELLS``, and the big side then stays where it is; a larger
+one is joined by an ordinary shuffle join, in which the NULL keys of a null-safe
+join are kept apart (see ``multi_left_join``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from ..session import written
 from .schema import numeric_columns
 
 # Fixed values from the reference: event categories that have a time keeper
@@ -23,6 +25,8 @@ REFERENCE_CATEGORIES = [
 ]
 
 DAY = "_day"
+#: rows x columns of a right side that is broadcast (64 MB of numbers)
+BROADCAST_CELLS = 8 << 20
 
 
 def _mean(df: DataFrame, c: str):
@@ -34,17 +38,20 @@ def _mean(df: DataFrame, c: str):
 
 
 def daily_mean(df: DataFrame, key: str = "ts", cols: list[str] | None = None) -> DataFrame:
-    """A1: mean of every numeric column per UTC day, empty days as NULL rows."""
+    """A1: mean of every numeric column per UTC day, empty days as NULL rows.
+
+    One scan: the empty days come from the gap between a day and the next in
+    the aggregate, a window over one row per day (the calendar bounds it, not
+    the data). Without numeric columns the days alone are returned."""
     cols = cols if cols is not None else numeric_columns(df, exclude=(key,))
     src = df.where(F.col(key).isNotNull()).withColumn(DAY, F.to_date(key))
-    agg = src.groupBy(DAY).agg(*[_mean(src, c) for c in cols])
-    # first and last day from min/max of the raw key (to_date is monotone): a
-    # scan pruned to the key column only, answered from file footers where
-    # the source supports aggregate pushdown
-    spine = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")) \
-              .select(F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"), F.expr("INTERVAL 1 DAY"))).alias(DAY))
-    out = spine.join(agg, DAY, "left")
-    return out.select(F.col(DAY).cast("timestamp_ntz").alias(key), *cols)
+    # the count keeps the aggregate valid without numeric columns
+    agg = src.groupBy(DAY).agg(F.count(F.lit(1)).alias("_n"), *[_mean(src, c) for c in cols])
+    last = F.date_sub(F.lead(DAY).over(Window.orderBy(DAY)), 1)
+    days = agg.withColumn("_to", F.coalesce(last, F.col(DAY))) \
+              .select("*", F.explode(F.sequence(DAY, "_to", F.expr("INTERVAL 1 DAY"))).alias("_d"))
+    seen = F.col("_d") == F.col(DAY)
+    return days.select(F.col("_d").cast("timestamp_ntz").alias(key), *[F.when(seen, F.col(c)).alias(c) for c in cols])
 
 
 def daily_mean_by_category(df: DataFrame, category: str, key: str = "ts", year: str | None = None,
@@ -72,35 +79,57 @@ def prefix_columns(df: DataFrame, prefix: str, key: str = "ts") -> DataFrame:
     return df.select(*[F.col(c) if c == key else F.col(c).alias(f"{prefix}_{c}") for c in df.columns])
 
 
+def _right_side(base: DataFrame, right: DataFrame, most_cells: int) -> tuple[DataFrame, bool]:
+    """The right side as a written table, and whether its counted size allows a broadcast."""
+    table = written(base.sparkSession, right, "join-side")
+    small = table.count() * max(1, len(table.columns)) <= most_cells
+    return (F.broadcast(table) if small else table), small
+
+
 def multi_left_join(base: DataFrame, sources: list[tuple[str, DataFrame]], key: str = "ts",
-                    null_safe: bool = False, skip_empty: bool = False) -> DataFrame:
+                    null_safe: bool = False, skip_empty: bool = False,
+                    broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
     """J1 (+J3): base left-joined to each source on equal time, in order.
 
     Right columns are prefixed by the source name up front, so names never
     collide; fan-out of several right rows per key is kept. ``skip_empty``
-    leaves out sources without rows (as the reference does); it costs one
-    ``isEmpty`` probe (a limit-1 job) per source.
-    """
+    leaves out sources without rows (as the reference does). Right sides within
+    ``broadcast_cells`` are broadcast, so the base is never shuffled for them.
+    Beyond that, a null-safe join takes the base rows without a key out of the
+    shuffle: they have one partner set, which is joined to them as its own
+    (broadcast) side when it is a single row, as after an aggregate."""
     out = base
     for name, src in sources:
         if src is None or (skip_empty and src.isEmpty()):
             continue
-        right = prefix_columns(src, name, key).withColumnRenamed(key, "_rk")
-        cond = out[key].eqNullSafe(right["_rk"]) if null_safe else out[key] == right["_rk"]
-        out = out.join(right, cond, "left").drop("_rk")
+        right, small = _right_side(base, prefix_columns(src, name, key).withColumnRenamed(key, "_rk"), broadcast_cells)
+        if small or not null_safe:
+            cond = out[key].eqNullSafe(right["_rk"]) if null_safe else out[key] == right["_rk"]
+            out = out.join(right, cond, "left").drop("_rk")
+            continue
+        keyed = out.join(right, out[key] == right["_rk"], "left").drop("_rk")
+        unkeyed = right.where("_rk IS NULL")
+        if unkeyed.limit(2).count() < 2:
+            only = unkeyed.first()
+            filler = [F.lit(only[c] if only else None).cast(right.schema[c].dataType).alias(c)
+                      for c in right.columns if c != "_rk"]
+            out = keyed.where(F.col(key).isNotNull()).unionByName(out.where(F.col(key).isNull()).select("*", *filler))
+        else:
+            out = out.join(right, out[key].eqNullSafe(right["_rk"]), "left").drop("_rk")
     return out
 
 
 def align_left_join(base: DataFrame, daily: DataFrame, name: str, key: str = "ts",
-                    grain: str = "day") -> DataFrame:
+                    grain: str = "day", broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
     """Each base row joined to the aggregate of its day (or other grain)."""
     def bucket(c):
         return F.to_date(c) if grain == "day" else F.date_trunc(grain, c).cast("timestamp_ntz")
     right = prefix_columns(daily, name, key)
-    right = right.withColumn("_g", bucket(F.col(key))).drop(key)
+    right, _ = _right_side(base, right.withColumn("_g", bucket(F.col(key))).drop(key), broadcast_cells)
     return base.withColumn("_g", bucket(F.col(key))).join(right, "_g", "left").drop("_g")
 
 
-def null_safe_left_join(base: DataFrame, other: DataFrame, name: str, key: str = "ts") -> DataFrame:
+def null_safe_left_join(base: DataFrame, other: DataFrame, name: str, key: str = "ts",
+                        broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
     """Left join where NULL keys match NULL keys (as pandas merge does)."""
-    return multi_left_join(base, [(name, other)], key, null_safe=True)
+    return multi_left_join(base, [(name, other)], key, null_safe=True, broadcast_cells=broadcast_cells)

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, NumericType, StringType
+from pyspark.sql.types import BooleanType, DoubleType, FloatType, NumericType, StringType
 
 from ..plans.ordered import prefix_sums
 
@@ -143,7 +143,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], accuracy: i
 
 
 def target_describe(df: DataFrame, cols: list[str]) -> DataFrame:
-    """A3: count, mean, std (sample), min, 25/50/75 %, max per numeric column."""
+    """A3: count, mean, std (sample), min, 25/50/75 %, max per numeric column; NaN is unknown."""
+    df = nan_to_null(df, cols)
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
@@ -174,10 +175,17 @@ def guarded_corr(x, y):
     return F.covar_samp(x, y) / F.nullif(sx * sy, F.lit(0.0))
 
 
+def nan_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """NaN cells of floating-point columns as NULL: both mean "unknown"."""
+    floats = [f.name for f in df.schema if isinstance(f.dataType, (DoubleType, FloatType)) and (cols is None or f.name in cols)]
+    return df.withColumns({c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in floats}) if floats else df
+
+
 def target_correlations(df: DataFrame, targets: list[str], features: list[str]) -> DataFrame:
     """A4: correlation of each target with every target and numeric feature,
-    one aggregate for all pairs; (target, column_name, corr)."""
+    one aggregate for all pairs; (target, column_name, corr). NaN is unknown."""
     cols = list(dict.fromkeys([*targets, *features]))
+    df = nan_to_null(df, cols)
     pairs = [(t, c) for t in targets for c in cols]
     row = df.agg(*[guarded_corr(F.col(t).cast("double"), F.col(c).cast("double")).alias(f"c{i}")
                    for i, (t, c) in enumerate(pairs)])
@@ -195,8 +203,9 @@ def rank_correlations(corrs: DataFrame) -> DataFrame:
 
 
 def null_ratio(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """A5: percent null per column, one pass."""
+    """A5: percent null (or NaN) per column, one pass."""
     cols = cols or df.columns
+    df = nan_to_null(df, cols)
     row = df.agg(*[(F.avg(F.col(f"`{c}`").isNull().cast("double")) * 100).alias(f"r{i}") for i, c in enumerate(cols)])
     return _stack(row, cols, {"null_pct": "r{i}"})
 
@@ -232,7 +241,8 @@ def mode_value(df: DataFrame, col: str):
 
 
 def column_means(df: DataFrame, cols: list[str]) -> DataFrame:
-    """A8 (one row, one column per input column)."""
+    """A8 (one row, one column per input column); NaN is skipped like NULL."""
+    df = nan_to_null(df, cols)
     return df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols])
 
 
@@ -243,7 +253,8 @@ def contains_any(df: DataFrame, cols: list[str], marker: str = "http") -> DataFr
 
 
 def scaler_stats(df: DataFrame, cols: list[str]) -> DataFrame:
-    """A10: mean and population std per column (zero std kept as 0)."""
+    """A10: mean and population std per column (zero std kept as 0); NaN is skipped like NULL."""
+    df = nan_to_null(df, cols)
     row = df.agg(*[e for i, c in enumerate(cols)
                    for e in (F.avg(F.col(c).cast("double")).alias(f"m{i}"),
                              F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}"))])

@@ -214,7 +214,7 @@ def _render_round_robin(ts_col: str, idx_col: str, jvm: int):
 SELECT event_id, CAST(event_id % {_N_FMT} AS INTEGER) AS fmt, {_expected_sql("ts", f"event_id % {_N_FMT}")} AS parsed FROM events
 """)
 def q_parse_multi_format(spark, sf):
-    ev = scan.spread(load(spark, sf, "events")).withColumn("fmt", (F.col("event_id") % _N_FMT).cast("int"))
+    ev = load(spark, sf, "events").withColumn("fmt", (F.col("event_id") % _N_FMT).cast("int"))
     staged = ev.select("event_id", "fmt", render_round_robin("ts", "fmt").alias("text"))
     return tp.parse_time_column(staged, "text", "parsed").select("event_id", "fmt", "parsed")
 
@@ -224,7 +224,7 @@ SELECT event_id, CASE event_id % 3 WHEN 0 THEN date_trunc('minute', ts) WHEN 1 T
                  ELSE date_trunc('second', ts) END AS parsed FROM events
 """)
 def q_parse_fallback(spark, sf):
-    ev = scan.spread(load(spark, sf, "events"))
+    ev = load(spark, sf, "events")
     ts = F.col("ts").cast("timestamp")
     k = F.col("event_id") % 3
     text = F.when(k == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm'Z'")) \
@@ -238,7 +238,7 @@ SELECT o_orderkey, date_trunc('second', {_expected_sql("o_orderdate", f"o_orderk
 FROM orders WHERE o_orderstatus <> 'P'
 """)
 def q_standardize_time(spark, sf):
-    o = scan.spread(load(spark, sf, "orders")).withColumn("fmt", (F.col("o_orderkey") % _N_FMT).cast("int"))
+    o = load(spark, sf, "orders").withColumn("fmt", (F.col("o_orderkey") % _N_FMT).cast("int"))
     # pending orders carry no usable date: their text is 'nan' and the row drops
     text = F.when(F.col("o_orderstatus") == "P", F.lit("nan")).otherwise(render_round_robin("o_orderdate", "fmt"))
     o = o.select("o_orderkey", text.alias("date_text"))
@@ -361,7 +361,7 @@ SELECT event_id, CASE WHEN json_valid(j) THEN CAST(json_extract(CASE WHEN starts
 FROM r
 """)
 def q_parse_json_lenient(spark, sf):
-    ev = scan.spread(load(spark, sf, "events"))
+    ev = load(spark, sf, "events")
     arr = fj.parse_json_lenient(broken_props(ev), "struct<k: bigint>")
     return ev.select("event_id", F.get(arr, 0).getField("k").alias("k"))
 
@@ -373,7 +373,7 @@ UNION ALL SELECT 'number', bool_and(json_valid(CAST(user_id AS VARCHAR))) FROM e
 UNION ALL SELECT 'trailing', bool_and(json_valid(props || CASE WHEN event_id % 7 = 3 THEN ' junk' ELSE '' END)) FROM events
 """)
 def q_parse_json_strict(spark, sf):
-    ev = scan.spread(load(spark, sf, "events")).withColumns({
+    ev = load(spark, sf, "events").withColumns({
         "number": F.col("user_id").cast("string"),
         "trailing": F.concat("props", F.when(F.col("event_id") % 7 == 3, " junk").otherwise(""))})
     return fj.json_column_decisions(ev, ["props", "event_type", "number", "trailing"], "struct<k: bigint>")

@@ -94,3 +94,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-path of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+
+
+def written(spark: SparkSession, df, name: str):
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it
+    back: it is computed once, its size is known, and a lost executor costs no
+    recomputation of it."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

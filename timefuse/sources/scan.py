@@ -102,22 +102,6 @@ def year_from_content(df: DataFrame, epoch_cols=("dt", "UNIX_TIMESTAMP"), file_c
                           else F.col("_y")).drop("_y")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over all cores before CPU-heavy row expressions.
-
-    Parquet splits at row groups, so a file written as one large row group is
-    read by one task however many cores there are. When a scan has fewer
-    splits than the session's default parallelism, its rows are dealt
-    round-robin over that many partitions (Spark sorts before a round-robin
-    exchange, so a retried task gets the same rows). A table read at cluster
-    scale has far more splits than cores and passes through unchanged, with
-    no exchange. Meant for scans: on a plain scan, counting partitions only
-    plans the read.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
     """S3: append frames of unlike schema; missing columns become NULL."""
     out = frames[0]
