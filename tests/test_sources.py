@@ -101,3 +101,18 @@ def test_stream_then_reprocess_modified_file(spark, tmp_path):
                             options={"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"})
     rows = spark.read.parquet(sink).collect()
     assert sorted((r.id, r.pred_y, r.source_file) for r in rows) == [(1, 21.0, "a.csv"), (3, 7.0, "b.csv")]
+
+
+def test_files_with_unlike_headers(spark, tmp_path):
+    _write(f"{tmp_path}/t/a-2020.csv", "alpha,beta\n1,x\nNA,nan\n")
+    _write(f"{tmp_path}/t/b b-2021.csv", "beta,alpha,more\ny,2.5,q\n")
+    _write(f"{tmp_path}/t/skipped.csv", "alpha\n9\n")
+    pats = {"t": r"/t/(?<category>[\w ]+)-(?<year>\d{4})\.csv$"}
+    got = scan.scan_csv_tree(spark, str(tmp_path), pats)
+    assert dict(got.dtypes)["alpha"] == "double"
+    assert sorted(((r.alpha, r.beta, r.more, r.category, r.year) for r in got.collect()), key=str) == sorted(
+        [(1.0, "x", None, "a", 2020), (None, None, None, "a", 2020), (2.5, "y", "q", "b b", 2021)], key=str)
+    typed = scan.scan_csv_tree(spark, str(tmp_path), pats, "beta string, alpha double")
+    assert sorted((r.alpha, r.beta) for r in typed.where("beta is not null").collect()) == [(1.0, "x"), (2.5, "y")]
+    assert scan.read_csv_by_header(spark, f"{tmp_path}/t", "none*.csv") is None
+    assert scan.scan_csv_tree(spark, str(tmp_path), {"t": "/nowhere/"}, "alpha double").count() == 0

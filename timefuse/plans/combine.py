@@ -5,21 +5,22 @@ each whitelisted event category (one row per day, columns prefixed by
 category), then the profile decisions: sparse numeric features and thin
 targets are dropped, and target correlations are reported.
 
-All sources are read by Spark in one scan per schema group: the category
-files of one category share a header, so each whitelisted category (a fixed,
-small list) is one read; the groups are appended by name.
+Every file is read by its own header (``scan.read_csv_by_header``). Each tree,
+and the combined table, is parsed once and written as Parquet, so the profile
+passes read columns and not text. A category without files adds nothing; a
+file that cannot be read is an error.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import timeparse as tp
 from ..operators import align, filters, profile, schema
+from ..session import written
 from ..sources import scan
 
 
@@ -32,64 +33,59 @@ class Combined:
     thin_targets: DataFrame
 
 
-def _read_csv(spark: SparkSession, root: str, glob: str, csv_schema=None) -> DataFrame:
-    r = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-    r = r.schema(csv_schema) if csv_schema is not None else r.option("inferSchema", True)
-    return r.csv(root).withColumn("source_file", F.col("_metadata.file_name"))
-
-
-def _prepare(df: DataFrame) -> DataFrame:
+def _prepare(spark: SparkSession, df: DataFrame | None, name: str) -> DataFrame | None:
     """Rename to the standard vocabulary (first of colliding columns wins),
-    then parse the time key and drop rows without one."""
-    df = schema.rename_columns(df)
+    parse the time key, drop rows without one, and write the result."""
+    if df is None:
+        return None
+    df = schema.rename_columns(df.drop("source_path", "source_file"))
     if "UTC_DATE" not in df.columns:
         return None
-    return tp.standardize_time(df, "UTC_DATE", "ts").drop("UTC_DATE")
+    df = df.withColumn("UTC_DATE", F.col("UTC_DATE").cast("string"))
+    return written(spark, tp.standardize_time(df, "UTC_DATE", "ts").drop("UTC_DATE"), name)
 
 
 def load_and_combine(spark: SparkSession, base_dir: str, events_dir: str | None = None,
                      category_dir: str | None = None, targets: list[str] | None = None,
-                     categories: list[str] | None = None, base_schema=None) -> Combined:
+                     categories: list[str] | None = None, base_schema=None,
+                     events_glob: str = "*_events_*.csv") -> Combined:
     """M12. ``base_schema`` (a saved StructType/DDL) skips schema inference on
     the base tree; the other trees infer once per schema group."""
     targets = schema.REFERENCE_TARGETS if targets is None else targets
     categories = align.REFERENCE_CATEGORIES if categories is None else categories
 
-    base = _prepare(_read_csv(spark, base_dir, "*.csv", base_schema))
+    base = _prepare(spark, scan.read_csv_by_header(spark, base_dir, schema=base_schema), "base-series")
     if base is None:
         raise ValueError("base series has no time column")
-    base = base.drop("source_file")
 
     sources = []
     if events_dir:
-        ev = _prepare(_read_csv(spark, events_dir, "*_events_*.csv"))
+        ev = _prepare(spark, scan.read_csv_by_header(spark, events_dir, events_glob), "events")
         if ev is not None:
-            sources.append(("space", align.daily_mean(ev.drop("source_file"))))
+            sources.append(("space", align.daily_mean(ev)))
     if category_dir:
         parts = []
         for cat in categories:
-            try:
-                raw = _read_csv(spark, category_dir, f"{cat}-*.csv")
-            except AnalysisException:  # no file of this category
-                continue
-            p = _prepare(raw)
+            p = _prepare(spark, scan.read_csv_by_header(spark, category_dir, f"{cat}-*.csv"), f"category-{cat}")
             if p is not None:
                 parts.append(p.withColumn("category", F.lit(cat)))
         if parts:
-            cat_df = scan.union_by_name(parts)
+            cat_df = scan.union_widened(parts)
             nums = schema.numeric_columns(cat_df, exclude=("ts",))
             daily = align.daily_mean_by_category(cat_df, "category", cols=nums, allowed=categories)
             # one row per day, one column per (category, measure)
-            wide = daily.groupBy("ts").pivot("category", categories) \
-                        .agg(*[F.first(c).alias(c) for c in nums])
-            if len(nums) == 1:
-                wide = wide.withColumnsRenamed({c: f"{c}_{nums[0]}" for c in categories if c in wide.columns})
-            sources.append(("near_earth", wide))
+            if nums:
+                wide = daily.groupBy("ts").pivot("category", categories) \
+                            .agg(*[F.first(c).alias(c) for c in nums])
+                if len(nums) == 1:
+                    wide = wide.withColumnsRenamed({c: f"{c}_{nums[0]}" for c in categories if c in wide.columns})
+                sources.append(("near_earth", wide))
 
     combined = base
     for name, daily in sources:
         combined = align.align_left_join(combined, daily, name)
 
+    combined = written(spark, combined, "combined")
     numeric = schema.numeric_columns(combined, exclude=("ts",))
     present_targets = [t for t in targets if t in combined.columns]
     feats = [c for c in numeric if c not in present_targets]

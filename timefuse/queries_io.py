@@ -57,16 +57,52 @@ SPARK_LAYOUT = {"events": r"/events_csv/event_type=(?<category>[^/]+)/yr=(?<year
 SELECT event_id, ts, user_id, value, props, 'events' AS source, event_type AS category, CAST(year(ts) AS INTEGER) AS year FROM events
 """)
 def q_scan_dispatch(spark, sf):
-    root = write_events_csv(spark, sf, ["event_type", "yr"])
+    """Files of one tree with their columns in two orders, one of them with an extra column."""
+    root = scratch_path(spark, "csv-tree")
+    ev = load(spark, sf, "events").withColumn("yr", F.year("ts"))
+    turned = F.col("event_type").isin("click", "purchase")
+    for part, cols in ((ev.where(turned), ["props", "value", "event_id", "user_id", "extra", "ts"]),
+                       (ev.where(~turned | F.col("event_type").isNull()), ["event_id", "ts", "user_id", "value", "props"])):
+        part.withColumn("extra", F.lit("x")).select(*cols, "event_type", "yr").write.mode("append").option("header", True) \
+            .option("timestampNTZFormat", CSV_TS).partitionBy("event_type", "yr").csv(f"{root}/events_csv")
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, value double, props string"
-    df = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv") \
-        .option("timestampNTZFormat", CSV_TS).schema(schema).csv(root)
-    path = F.url_decode(F.col("_metadata.file_path"))
-    source, category, year, matched = scan.dispatch_columns(path, SPARK_LAYOUT)
-    out = df.withColumns({"source": source, "category": category, "year": year, "_m": matched}).where("_m")
+    out = scan.scan_csv_tree(spark, root, SPARK_LAYOUT, schema, {"timestampNTZFormat": CSV_TS})
     return out.select("event_id", "ts", "user_id", "value", "props", "source", "category", "year")
 
 
+# M12 over CSV trees: orders as the base series, lineitem as the event log, both
+# in files of two column orders.
+_M12_SQL = """
+WITH ld AS (SELECT CAST(l_shipdate AS DATE) AS d, avg(l_quantity) AS l_quantity, avg(l_discount) AS l_discount FROM lineitem
+            WHERE l_shipdate IS NOT NULL GROUP BY 1),
+j AS (SELECT o_orderkey, o_totalprice, o_orderdate AS ts, round(ld.l_quantity, 6) + 0.0 AS space_l_quantity,
+             round(ld.l_discount, 6) + 0.0 AS space_l_discount
+      FROM orders LEFT JOIN ld ON CAST(o_orderdate AS DATE) = ld.d)
+SELECT * FROM j
+"""
+
+
+@register("combine_csv_trees", _M12_SQL)
+def q_combine_csv_trees(spark, sf):
+    """Base series and event log read from CSV trees, aligned by day and profiled."""
+    from .plans.combine import load_and_combine
+    root = scratch_path(spark, "csv-trees")
+
+    def put(df, path, cols):
+        df.select(*cols).write.mode("append").option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss") \
+            .option("nullValue", "NaN").csv(f"{root}/{path}")
+
+    orders = load(spark, sf, "orders").withColumnRenamed("o_orderdate", "UTC_DATE")
+    put(orders.where("o_orderkey % 2 = 0"), "base/a", ["UTC_DATE", "o_orderkey", "o_totalprice"])
+    put(orders.where("o_orderkey % 2 <> 0"), "base/b", ["o_totalprice", "UTC_DATE", "o_orderkey"])
+    li = load(spark, sf, "lineitem").withColumnRenamed("l_shipdate", "UTC_DATE")
+    put(li.where("l_orderkey % 2 = 0"), "log/even_events_2024", ["l_quantity", "UTC_DATE", "l_discount"])
+    put(li.where("l_orderkey % 2 <> 0"), "log/odd_events_2024", ["UTC_DATE", "l_discount", "l_quantity"])
+    res = load_and_combine(spark, f"{root}/base", f"{root}/log", targets=["o_totalprice"], events_glob="*.csv")
+    return res.data.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "o_totalprice", "ts",
+                           r6("space_l_quantity").alias("space_l_quantity"), r6("space_l_discount").alias("space_l_discount"))
+
+
 @register("year_from_content", """
 SELECT event_id, event_type AS category, CAST(year(ts) AS INTEGER) AS year FROM events
 """)

@@ -1,19 +1,23 @@
 """Sources (S1-S3, S5-S7).
 
-CSV trees are read in one scan per directory: Spark lists the files, the
-category and year come from ``_metadata.file_path`` by a regex chosen by the
-parent directory, and files whose name matches no pattern are dropped by a
-filter on that metadata column (no per-file Python loop, no driver listing).
+CSV trees are read in one scan per distinct header, each file by its own
+header, and appended by name: Spark lists the files and finds their first
+lines, the category and year come from ``_metadata.file_path`` by a regex
+chosen by the parent directory, and files whose name matches no pattern are
+not read (no per-file Python loop over contents).
 """
 
 from __future__ import annotations
 
+import csv
 import datetime as _dt
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (DataType, DoubleType, FloatType, NumericType, StringType, StructField,
+                               StructType)
 
 # Fixed values from the reference: the file-name shapes of its three source
 # directories (no year, `<prefix>_events_<year>.csv`, `<category>-<year>.csv`)
@@ -68,21 +72,107 @@ def _group_index(rx: str, group: str) -> int:
     raise ValueError(group)
 
 
+# The words that pandas' CSV reader takes for an unknown value.
+NULL_WORDS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+
+def headers(spark: SparkSession, root: str | list[str], glob: str = "*.csv", path_filter=None) -> dict[str, list[str]]:
+    """First line -> the files that begin with it, for all CSV files under
+    ``root`` (only those whose decoded path meets ``path_filter``).
+
+    One aggregate over the text, with one row per file out of each task; the
+    driver receives a line per file, as it does from Spark's own listing."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root) \
+        .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+                F.monotonically_increasing_id().alias("row")).where("start = 0")
+    if path_filter is not None:
+        lines = lines.where(path_filter(F.url_decode("path")))
+    found = lines.groupBy("path").agg(F.min_by("value", "row").alias("line")) \
+        .select(F.url_decode("path").alias("path"), F.regexp_replace("line", "^\uFEFF|\r$", "").alias("line"))
+    out: dict[str, list[str]] = {}
+    for r in found.orderBy("line", "path").collect():
+        out.setdefault(r.line, []).append(r.path)
+    return out
+
+
+def _by_name(line: str, wanted: StructType) -> StructType:
+    """The schema of files with this header: types by name, text for unknown
+    columns; unnamed and repeated columns are named as Spark's reader does."""
+    types = {f.name: f.dataType for f in wanted}
+    cells = next(csv.reader([line]), [])
+    often = Counter(c.lower() for c in cells)
+    names = [f"_c{i}" if not c else f"{c}{i}" if often[c.lower()] > 1 else c for i, c in enumerate(cells)]
+    return StructType([StructField(c, types.get(c, StringType())) for c in names])
+
+
+def _wider(a: DataType, b: DataType) -> DataType:
+    if a == b:
+        return a
+    if isinstance(a, NumericType) and isinstance(b, NumericType):
+        return DoubleType()
+    return StringType()
+
+
+def union_widened(frames: list[DataFrame]) -> DataFrame:
+    """Append by name; a column read with several types becomes double when all
+    are numbers, else text."""
+    types: dict[str, DataType] = {}
+    for f in frames:
+        for c in f.schema:
+            types[c.name] = _wider(types[c.name], c.dataType) if c.name in types else c.dataType
+    return union_by_name([f.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) for c in f.columns]) for f in frames])
+
+
+def read_csv_by_header(spark: SparkSession, root: str | list[str], glob: str = "*.csv",
+                       schema: StructType | str | None = None, path_filter=None,
+                       options: dict | None = None) -> DataFrame | None:
+    """All CSV files under ``root``, each read by its own header and appended
+    by name, with ``source_file`` and ``source_path``; None without any file.
+
+    ``schema`` gives types by name (columns it does not name are text) and
+    saves the pass that infers them. Words for unknown values and NaN are NULL."""
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    parts = []
+    for line, paths in headers(spark, root, glob, path_filter).items():
+        reader = spark.read.option("header", True).option("mode", "PERMISSIVE").options(**(options or {}))
+        reader = reader.option("inferSchema", True) if schema is None else reader.schema(_by_name(line, schema))
+        part = reader.csv(paths)
+        words = [f.name for f in part.schema if isinstance(f.dataType, StringType)]
+        floats = [f.name for f in part.schema if isinstance(f.dataType, (DoubleType, FloatType))]
+        cells = {c: F.when(~F.col(f"`{c}`").isin(NULL_WORDS), F.col(f"`{c}`")) for c in words}
+        cells |= {c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in floats}
+        part = part.withColumns({"source_path": F.url_decode(F.col("_metadata.file_path")),
+                                 "source_file": F.col("_metadata.file_name"), **cells})
+        if schema is None:
+            part = _numbers(part, words)
+        parts.append(part)
+    return union_widened(parts) if parts else None
+
+
+def _numbers(df: DataFrame, words: list[str]) -> DataFrame:
+    """Text columns whose known cells are all numbers (the others were words
+    for unknown values, which keep a reader from seeing numbers) as doubles."""
+    if not words:
+        return df
+    r = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(words)],
+               *[F.count(F.col(f"`{c}`").try_cast("double")).alias(f"d{i}") for i, c in enumerate(words)]).first()
+    return df.withColumns({c: F.col(f"`{c}`").try_cast("double") for i, c in enumerate(words)
+                           if 0 < r[f"n{i}"] == r[f"d{i}"]})
+
+
 def scan_csv_tree(spark: SparkSession, root: str, patterns: dict[str, str],
-                  schema: StructType | str | None = None) -> DataFrame:
+                  schema: StructType | str | None = None, options: dict | None = None) -> DataFrame:
     """Recursive CSV scan of ``root``; keeps files whose path matches a
     source pattern and adds ``source``, ``category``, ``year``, ``source_file``."""
-    reader = spark.read.option("header", True).option("recursiveFileLookup", True) \
-        .option("pathGlobFilter", "*.csv").option("mode", "PERMISSIVE")
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    df = reader.csv(root)
-    # the metadata path is a URI: undo the percent-encoding (spaces in
-    # directory names) before matching
-    path = F.url_decode(F.col("_metadata.file_path"))
-    source, category, year, matched = dispatch_columns(path, patterns)
-    return df.withColumns({"source": source, "category": category, "year": year,
-                           "source_file": F.col("_metadata.file_name"), "_matched": matched}) \
-             .where("_matched").drop("_matched")
+    df = read_csv_by_header(spark, root, "*.csv", schema, lambda path: dispatch_columns(path, patterns)[3], options)
+    if df is None:
+        wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema or StructType()
+        df = spark.createDataFrame([], wanted).withColumns(
+            {"source_path": F.lit(None).cast("string"), "source_file": F.lit(None).cast("string")})
+    source, category, year, _ = dispatch_columns(F.col("source_path"), patterns)
+    return df.withColumns({"source": source, "category": category, "year": year}).drop("source_path")
 
 
 def year_from_content(df: DataFrame, epoch_cols=("dt", "UNIX_TIMESTAMP"), file_col: str = "source_file",
