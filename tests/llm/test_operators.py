@@ -245,7 +245,8 @@ def test_filter_has_no_false_negatives():
     rng = np.random.default_rng(1)
     keys, counts = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64)), rng.integers(1, 5000, 5000)
     part = bloom_lm.fill(keys, counts, 10 * int(bloom_lm.levels(counts).sum()))
-    f = bloom_lm.Filter([(0, 10 * int(bloom_lm.levels(counts).sum()), part)], 0)
+    f = bloom_lm.Filter([(0, 10 * int(bloom_lm.levels(counts).sum()))], 0)
+    f.put(0, part)
     assert (f.counts(keys) >= bloom_lm.LEVEL_COUNT[bloom_lm.levels(counts)]).all()
     strange = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
     assert (f.counts(strange) > 0).mean() < 0.05

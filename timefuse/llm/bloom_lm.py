@@ -29,7 +29,6 @@ names are replaced.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,8 +49,12 @@ FREQUENT = 1 << 20
 SEGMENT_CHARS = 8 << 20
 #: tokens that a task counts before it hands them on
 FLUSH = 1 << 21
+#: bytes of text that a task scores at a time
+SCORED_BYTES = 2 << 20
+#: segments of counts in one Arrow batch
+SENT = 8
 #: words whose hash a worker remembers
-MEMORY = 1 << 19
+MEMORY = 1 << 18
 SEED = 7
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 #: the hash of the end of a text; a text's first word follows it
@@ -155,17 +158,21 @@ def fill(keys: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
 
 
 class Filter:
-    """All parts of the filter, one after the other."""
+    """All parts of the filter, one after the other in one array of bytes."""
 
-    def __init__(self, parts: list[tuple[int, int, bytes]], segment_bits: int) -> None:
+    def __init__(self, sizes: list[tuple[int, int]], segment_bits: int) -> None:
+        """An empty filter for parts of ``sizes``: (segment, bits)."""
         n = 1 << segment_bits
         self.shift, self.size, self.start = segment_bits, np.ones(n, dtype=np.uint64), np.zeros(n, dtype=np.int64)
-        at, runs = 1, [b"\0"]  # segments without a part share an empty byte
-        for segment, bits, data in parts:
+        at = 1  # segments without a part share an empty byte
+        for segment, bits in sizes:
             self.size[segment], self.start[segment] = bits, 8 * at
-            at += len(data)
-            runs.append(data)
-        self.data = np.frombuffer(b"".join(runs), dtype=np.uint8)
+            at += (bits + 7) // 8
+        self.data = np.zeros(at, dtype=np.uint8)
+
+    def put(self, segment: int, part: bytes) -> None:
+        at = int(self.start[segment]) >> 3
+        self.data[at:at + len(part)] = np.frombuffer(part, dtype=np.uint8)
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """The count that the filter gives each key, by repeated probes."""
@@ -193,7 +200,7 @@ def count_grams(spark: SparkSession, train: DataFrame, text: str = "text", filte
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             tokens = np.concatenate(held)
             columns = []
             for keys in (tokens, pair_hashes(tokens)):
@@ -202,9 +209,11 @@ def count_grams(spark: SparkSession, train: DataFrame, text: str = "text", filte
                 columns.append([k[a:b].astype("<u8").tobytes() for a, b in zip(cut, cut[1:])])
                 columns.append([c[a:b].astype("<u4").tobytes() for a, b in zip(cut, cut[1:])])
             some = [i for i in range(1 << bits) if columns[0][i] or columns[2][i]]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int64()), *[pa.array([c[i] for i in some], pa.binary()) for c in columns]],
-                names=["segment", "words", "word_counts", "pairs", "pair_counts"])
+            for at in range(0, len(some), SENT):
+                part = some[at:at + SENT]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part, pa.int64()), *[pa.array([c[i] for i in part], pa.binary()) for c in columns]],
+                    names=["segment", "words", "word_counts", "pairs", "pair_counts"])
 
         size = 0
         for b in batches:
@@ -212,10 +221,10 @@ def count_grams(spark: SparkSession, train: DataFrame, text: str = "text", filte
                 held.append(token_hashes(texts)[0])
                 size += len(held[-1])
                 if size >= FLUSH:
-                    yield flush()
+                    yield from flush()
                     held, size = [], 0
         if held:
-            yield flush()
+            yield from flush()
 
     runs = src.mapInArrow(count, "segment bigint, words binary, word_counts binary, pairs binary, pair_counts binary")
     part_bits = max(64, 8 * filter_bytes >> bits)
@@ -263,16 +272,12 @@ def _looked_up(keys: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.nd
     return np.where(words[at] == keys, counts[at], 0)
 
 
-_filter: dict[str, tuple] = {}
-
-
-def _model_of(shared) -> tuple:
-    """The filter and the frequent words, unpacked once per worker and model."""
-    name, parts, bits, words, counts = shared.value
-    if name not in _filter:
-        _filter.clear()
-        _filter[name] = (Filter(parts, bits), words, counts)
-    return _filter[name]
+def _gathered(model: DataFrame, segment_bits: int) -> Filter:
+    """The whole filter on the driver (``FILTER_BYTES`` at most), a partition of its parts at a time."""
+    out = Filter([tuple(r) for r in model.select("segment", "bits").collect()], segment_bits)
+    for r in model.select("segment", "part").toLocalIterator():
+        out.put(r["segment"], r["part"])
+    return out
 
 
 def score(spark: SparkSession, train: DataFrame, docs: DataFrame, text: str = "text", mu: float = MU,
@@ -282,9 +287,8 @@ def score(spark: SparkSession, train: DataFrame, docs: DataFrame, text: str = "t
     model, bits = count_grams(spark, train, text, filter_bytes, segment_chars)
     sums = model.agg(F.sum("n"), F.sum("types")).first()
     total, types = int(sums[0] or 0), int(sums[1] or 0)
-    parts = [tuple(r) for r in model.select("segment", "bits", "part").collect()]  # FILTER_BYTES at most
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, parts, bits, *_frequent(model, total)))
-    del parts
+    # a broadcast value is read by each worker from its own file, so it never is another run's
+    shared = spark.sparkContext.broadcast((_gathered(model, bits), *_frequent(model, total)))
     weight = total + ADD * (types + 1)
     added = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     rest = [c for c in docs.columns if c != text and c not in added]
@@ -299,11 +303,11 @@ def score(spark: SparkSession, train: DataFrame, docs: DataFrame, text: str = "t
     names = out_schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, often, often_counts = _model_of(shared)
+        grams, often, often_counts = shared.value
         ends = float(grams.counts(np.array([END]))[0])
         for b in batches:
             numbers = b.column(n_rest).to_numpy(zero_copy_only=False)
-            for first, texts in _texts(b, n_rest + 1):
+            for first, texts in _texts(b, n_rest + 1, SCORED_BYTES):
                 tokens, sizes = token_hashes(texts)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 words, which = np.unique(tokens, return_inverse=True)
