@@ -241,6 +241,15 @@ def test_scores_of_edge_rows(spark, docs):
     assert len(empty) == docs.count() and {r.train_tokens for r in empty} == {0}
 
 
+def test_blocks_of_the_filter_change_no_score(spark, docs):
+    model, bits = bloom_lm.count_grams(spark, docs)
+    part = sum(r.pair_bits for r in model.select("pair_bits").collect()) // 24
+    assert len(list(bloom_lm._blocks(model, "pair", bits, part))) > 2
+    one, many = ({r.doc_id: r.score for r in bloom_lm.score(spark, docs, docs, filter_bytes=size).collect()}
+                 for size in (1 << 26, part))
+    assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-6 for k in one)
+
+
 def test_filter_has_no_false_negatives():
     rng = np.random.default_rng(1)
     keys, counts = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64)), rng.integers(1, 5000, 5000)

@@ -8,10 +8,14 @@ or looks up one holds a bounded share at any size.
 The filter holds every word and pair with its count on a log scale: a key
 counted c times is inserted once for each level up to 1 + log(c) / log(STEP).
 A probe asks for level 1, 2, ... until one is missing. Each segment fills its
-own part of the filter. The whole filter has ``BITS`` bits an insertion, and
-``FILTER_BYTES`` at most, which bounds what is broadcast; where a corpus needs
-more, nothing is left out, but the rate of false answers rises (the parameter
-says how much memory the workers have for it).
+own parts of the filter, one for words and one for pairs, with ``BITS`` bits an
+insertion, so the filter grows with the corpus and is as good at any size. It
+is broadcast in blocks of neighbouring segments, ``FILTER_BYTES`` at a time.
+Each block is one pass over the documents: the blocks of words give every
+token the level of its word, one byte carried along with the text; each block
+of pairs then gives the sum of those tokens of a document whose pair it holds.
+Few large blocks cost fewer passes; the parameter says how much memory the
+workers have for one.
 
 The model: p(w | v) = (c(v w) + MU * p(w)) / (c(v) + MU) with
 p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)), all counts from the filter.
@@ -44,6 +48,7 @@ STEP = 2 ** 0.5
 MOST_LEVELS = 80
 BITS = 10
 HASHES = 4
+#: bytes of the filter that are broadcast at a time
 FILTER_BYTES = 64 << 20
 FREQUENT = 1 << 20
 SEGMENT_CHARS = 8 << 20
@@ -158,7 +163,7 @@ def fill(keys: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
 
 
 class Filter:
-    """All parts of the filter, one after the other in one array of bytes."""
+    """Parts of the filter, one after the other in one array of bytes."""
 
     def __init__(self, sizes: list[tuple[int, int]], segment_bits: int) -> None:
         """An empty filter for parts of ``sizes``: (segment, bits)."""
@@ -174,8 +179,8 @@ class Filter:
         at = int(self.start[segment]) >> 3
         self.data[at:at + len(part)] = np.frombuffer(part, dtype=np.uint8)
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The count that the filter gives each key, by repeated probes."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The level of each key by repeated probes; 0 where a key has no part here."""
         level = np.zeros(len(keys), dtype=np.int64)
         live = np.arange(len(keys))
         segment = (keys >> np.uint64(64 - self.shift)).astype(np.int64) if self.shift else np.zeros(len(keys), dtype=int)
@@ -187,12 +192,16 @@ class Filter:
             if not len(live):
                 break
             level[live] = n
-        return LEVEL_COUNT[level]
+        return level
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """The count that the filter gives each key."""
+        return LEVEL_COUNT[self.levels(keys)]
 
 
-def count_grams(spark: SparkSession, train: DataFrame, text: str = "text", filter_bytes: int = FILTER_BYTES,
+def count_grams(spark: SparkSession, train: DataFrame, text: str = "text",
                 segment_chars: int = SEGMENT_CHARS) -> tuple[DataFrame, int]:
-    """One row per segment: its words with exact counts and its part of the filter; and the segments' bits."""
+    """One row per segment: its words with exact counts and its parts of the filter; and the segments' bits."""
     src = train.select(text_or_empty(text).alias("t"))
     chars = src.agg(F.sum(F.length("t"))).first()[0] or 0
     bits = max(6, (chars // segment_chars).bit_length())
@@ -227,23 +236,23 @@ def count_grams(spark: SparkSession, train: DataFrame, text: str = "text", filte
             yield from flush()
 
     runs = src.mapInArrow(count, "segment bigint, words binary, word_counts binary, pairs binary, pair_counts binary")
-    part_bits = max(64, 8 * filter_bytes >> bits)
 
     def merge(key: tuple, group: pa.Table) -> pa.Table:
         words, word_counts = _merged(group["words"].to_pylist(), group["word_counts"].to_pylist())
         pairs, pair_counts = _merged(group["pairs"].to_pylist(), group["pair_counts"].to_pylist())
-        inserted = int(levels(word_counts).sum() + levels(pair_counts).sum())
-        size = min(max(64, BITS * inserted), part_bits)
-        part = fill(np.concatenate([words, pairs]), np.concatenate([word_counts, pair_counts]), size)
+        size = [max(64, BITS * int(levels(c).sum())) for c in (word_counts, pair_counts)]
         return pa.table({"segment": [key[0].as_py()], "words": [words.astype("<u8").tobytes()],
                          "word_counts": [word_counts.astype("<i8").tobytes()], "n": [int(word_counts.sum())],
-                         "types": [len(words)], "bits": [size], "part": [part]},
+                         "types": [len(words)], "word_bits": [size[0]], "word_part": [fill(words, word_counts, size[0])],
+                         "pair_bits": [size[1]], "pair_part": [fill(pairs, pair_counts, size[1])]},
                         schema=pa.schema([("segment", pa.int64()), ("words", pa.binary()), ("word_counts", pa.binary()),
-                                          ("n", pa.int64()), ("types", pa.int64()), ("bits", pa.int64()),
-                                          ("part", pa.binary())]))
+                                          ("n", pa.int64()), ("types", pa.int64()),
+                                          ("word_bits", pa.int64()), ("word_part", pa.binary()),
+                                          ("pair_bits", pa.int64()), ("pair_part", pa.binary())]))
 
     model = runs.groupBy("segment").applyInArrow(
-        merge, "segment bigint, words binary, word_counts binary, n bigint, types bigint, bits bigint, part binary")
+        merge, "segment bigint, words binary, word_counts binary, n bigint, types bigint, "
+               "word_bits bigint, word_part binary, pair_bits bigint, pair_part binary")
     return written(spark, model, "model"), bits
 
 
@@ -272,28 +281,65 @@ def _looked_up(keys: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.nd
     return np.where(words[at] == keys, counts[at], 0)
 
 
-def _gathered(model: DataFrame, segment_bits: int) -> Filter:
-    """The whole filter on the driver (``FILTER_BYTES`` at most), a partition of its parts at a time."""
-    out = Filter([tuple(r) for r in model.select("segment", "bits").collect()], segment_bits)
-    for r in model.select("segment", "part").toLocalIterator():
-        out.put(r["segment"], r["part"])
-    return out
+def _blocks(model: DataFrame, kind: str, segment_bits: int, filter_bytes: int) -> Iterator[tuple[int, int, Filter]]:
+    """The filter of words or pairs in blocks of ``filter_bytes`` (one segment at
+    least), each gathered on the driver when its turn comes, with the first
+    segment it answers for and the one after its last."""
+    sizes = sorted(tuple(r) for r in model.select("segment", f"{kind}_bits").collect())
+    blocks: list[list[tuple[int, int]]] = [[]]
+    held = 0
+    for segment, bits in sizes:
+        if blocks[-1] and held + bits > 8 * filter_bytes:
+            blocks.append([])
+            held = 0
+        blocks[-1].append((segment, bits))
+        held += bits
+    starts = [0, *[b[0][0] for b in blocks[1:]], 1 << segment_bits]
+    for block, low, high in zip(blocks, starts, starts[1:]):
+        out = Filter(block, segment_bits)
+        parts = model.filter((F.col("segment") >= low) & (F.col("segment") < high)).select("segment", f"{kind}_part")
+        for r in parts.toLocalIterator():
+            out.put(r[0], r[1])
+        yield low, high, out
+
+
+def _with_levels(spark: SparkSession, state: DataFrame, block: Filter) -> DataFrame:
+    """``state`` with the levels that a block of words gives added to ``__levels``."""
+    shared = spark.sparkContext.broadcast(block)
+    at = state.columns.index("__text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_of = shared.value
+        for b in batches:
+            for first, texts in _texts(b, at, SCORED_BYTES):
+                part = b.slice(first, len(texts))
+                tokens, sizes = token_hashes(texts)
+                words, which = np.unique(tokens, return_inverse=True)
+                found = words_of.levels(words).astype(np.uint8)[which]
+                ends = np.cumsum(sizes)
+                cut = [found[e - n:e] for e, n in zip(ends.tolist(), sizes.tolist())]
+                old = part.column(at + 1).to_pylist()
+                new = [(x + np.frombuffer(o, np.uint8) if o else x).tobytes() for x, o in zip(cut, old)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:at + 1], pa.array(new, pa.binary())], names=b.schema.names)
+
+    return written(spark, state.mapInArrow(run, state.schema), "levels")
 
 
 def score(spark: SparkSession, train: DataFrame, docs: DataFrame, text: str = "text", mu: float = MU,
           filter_bytes: int = FILTER_BYTES, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
     """``docs`` without the text, with ``n_tokens``, ``n_known`` (of a word seen
     in training), ``train_tokens``, ``base_score`` and ``score`` (log10)."""
-    model, bits = count_grams(spark, train, text, filter_bytes, segment_chars)
+    model, bits = count_grams(spark, train, text, segment_chars)
     sums = model.agg(F.sum("n"), F.sum("types")).first()
     total, types = int(sums[0] or 0), int(sums[1] or 0)
-    # a broadcast value is read by each worker from its own file, so it never is another run's
-    shared = spark.sparkContext.broadcast((_gathered(model, bits), *_frequent(model, total)))
     weight = total + ADD * (types + 1)
     added = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     rest = [c for c in docs.columns if c != text and c not in added]
-    src = docs.select(*rest, F.monotonically_increasing_id().alias("__row"), text_or_empty(text).alias("__text"))
-    # one pass gives both the rows of documents and, with a segment, runs of (row, word) to look up there
+    state = docs.select(*rest, F.monotonically_increasing_id().alias("__row"), text_or_empty(text).alias("__text"),
+                        F.expr("x''").alias("__levels"))
+    for _, _, block in _blocks(model, "word", bits, filter_bytes):
+        state = _with_levels(spark, state, block)
+    # the first pass over the pairs gives both the rows of documents and, with a segment, runs of (row, word) to look up there
     out_schema = docs.select(*rest).selectExpr(
         "*", "0L __row", "0L n_tokens", "0L __known", "0D __base", "0D score", "0L __segment", "x'' __rows", "x'' __words") \
         .schema
@@ -302,43 +348,78 @@ def score(spark: SparkSession, train: DataFrame, docs: DataFrame, text: str = "t
     n_rest = len(rest)
     names = out_schema.names
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, often, often_counts = shared.value
-        ends = float(grams.counts(np.array([END]))[0])
-        for b in batches:
-            numbers = b.column(n_rest).to_numpy(zero_copy_only=False)
-            for first, texts in _texts(b, n_rest + 1, SCORED_BYTES):
-                tokens, sizes = token_hashes(texts)
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                words, which = np.unique(tokens, return_inverse=True)
-                exact = _looked_up(words, often, often_counts)
-                known = (exact > 0)[which]
-                base = np.where(known, np.log10((exact + ADD) / weight)[which], 0.0)
-                about = grams.counts(words)[which]
-                pairs, place = np.unique(pair_hashes(tokens), return_inverse=True)
-                both = grams.counts(pairs)[place]
-                before = np.concatenate([[ends], about[:-1]])
-                before[tokens_begin(sizes)] = ends
-                both = np.minimum(both, np.minimum(before, about))
-                p = (both + mu * (about + ADD) / weight) / (before + mu)
-                n = len(sizes)
-                found = numbers[first:first + n]
-                yield pa.RecordBatch.from_arrays(
-                    [*b.slice(first, n).columns[:n_rest], pa.array(found), pa.array(sizes), pa.array(np.bincount(doc, known, n).astype(np.int64)),
-                     pa.array(np.bincount(doc, base, n)), pa.array(np.bincount(doc, np.log10(p), n)),
-                     pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
-                rare = np.flatnonzero(~known)
-                if len(rare):
-                    rare = rare[np.argsort(tokens[rare], kind="stable")]
-                    cut, keys, rows = _cut(tokens[rare], bits), tokens[rare].astype("<u8"), found[doc[rare]].astype("<i8")
-                    some = np.flatnonzero(cut[1:] > cut[:-1]).tolist()
+    def log_p(pairs_of: Filter, low: int, high: int, tokens: np.ndarray, sizes: np.ndarray, level: bytes) -> np.ndarray:
+        """The log10 probability of each token whose pair is in the block, and 0 of the others."""
+        about = LEVEL_COUNT[np.frombuffer(level, np.uint8)]
+        before = np.concatenate([about[-1:], about[:-1]])
+        before[tokens_begin(sizes)] = about[-1]  # the last token of all is an end
+        keys = pair_hashes(tokens)
+        segment = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        here = np.flatnonzero((segment >= low) & (segment < high))
+        pairs, place = np.unique(keys[here], return_inverse=True)
+        before, about = before[here], about[here]
+        both = np.minimum(pairs_of.counts(pairs)[place], np.minimum(before, about))
+        out = np.zeros(len(tokens))
+        out[here] = np.log10((both + mu * (about + ADD) / weight) / (before + mu))
+        return out
+
+    def first_pass(low: int, high: int, block: Filter) -> DataFrame:
+        # a broadcast value is read by each worker from its own file, so it never is another run's
+        shared = spark.sparkContext.broadcast((block, *_frequent(model, total)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pairs_of, often, often_counts = shared.value
+            for b in batches:
+                numbers = b.column(n_rest).to_numpy(zero_copy_only=False)
+                for first, texts in _texts(b, n_rest + 1, SCORED_BYTES):
+                    n = len(texts)
+                    level = b"".join(b.column(n_rest + 2).slice(first, n).to_pylist())
+                    tokens, sizes = token_hashes(texts)
+                    doc = np.repeat(np.arange(n), sizes)
+                    p = log_p(pairs_of, low, high, tokens, sizes, level)
+                    words, which = np.unique(tokens, return_inverse=True)
+                    exact = _looked_up(words, often, often_counts)
+                    known = (exact > 0)[which]
+                    base = np.where(known, np.log10((exact + ADD) / weight)[which], 0.0)
+                    found = numbers[first:first + n]
                     yield pa.RecordBatch.from_arrays(
-                        [*[pa.nulls(len(some), c.type) for c in b.columns[:n_rest]], pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()),
-                         pa.nulls(len(some), pa.float64()), pa.nulls(len(some), pa.float64()), pa.array(some, pa.int64()),
-                         pa.array([rows[cut[i]:cut[i + 1]].tobytes() for i in some], pa.binary()),
-                         pa.array([keys[cut[i]:cut[i + 1]].tobytes() for i in some], pa.binary())], names=names)
+                        [*b.slice(first, n).columns[:n_rest], pa.array(found), pa.array(sizes),
+                         pa.array(np.bincount(doc, known, n).astype(np.int64)), pa.array(np.bincount(doc, base, n)),
+                         pa.array(np.bincount(doc, p, n)),
+                         pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
+                    rare = np.flatnonzero(~known)
+                    if len(rare):
+                        rare = rare[np.argsort(tokens[rare], kind="stable")]
+                        cut, keys, rows = _cut(tokens[rare], bits), tokens[rare].astype("<u8"), found[doc[rare]].astype("<i8")
+                        some = np.flatnonzero(cut[1:] > cut[:-1]).tolist()
+                        yield pa.RecordBatch.from_arrays(
+                            [*[pa.nulls(len(some), c.type) for c in b.columns[:n_rest]],
+                             *[pa.nulls(len(some), pa.int64())] * 3, *[pa.nulls(len(some), pa.float64())] * 2,
+                             pa.array(some, pa.int64()),
+                             pa.array([rows[cut[i]:cut[i + 1]].tobytes() for i in some], pa.binary()),
+                             pa.array([keys[cut[i]:cut[i + 1]].tobytes() for i in some], pa.binary())], names=names)
+
+        return written(spark, state.mapInArrow(run, out_schema), "scored")
+
+    def next_pass(low: int, high: int, block: Filter) -> DataFrame:
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for first, texts in _texts(b, 1, SCORED_BYTES):
+                    n = len(texts)
+                    tokens, sizes = token_hashes(texts)
+                    p = log_p(shared.value, low, high, tokens, sizes, b"".join(b.column(2).slice(first, n).to_pylist()))
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).slice(first, n), pa.array(np.zeros(n, dtype=np.int64)), pa.array(np.zeros(n)),
+                         pa.array(np.bincount(np.repeat(np.arange(n), sizes), p, n))], names=["row", "known", "base", "score"])
+
+        return written(spark, state.select("__row", "__text", "__levels").mapInArrow(
+            run, "row bigint, known bigint, base double, score double"), "scored-more")
 
-    scored = written(spark, src.mapInArrow(run, out_schema), "scored")
+    blocks = _blocks(model, "pair", bits, filter_bytes)
+    scored = first_pass(*next(blocks))
+    more = [next_pass(*b) for b in blocks]
 
     def look_up(key: tuple, wanted: pa.Table, counted: pa.Table) -> pa.Table:
         rows = np.concatenate([np.frombuffer(x, "<i8") for x in wanted["rows"].to_pylist()] or [np.zeros(0, "<i8")])
@@ -355,13 +436,17 @@ def score(spark: SparkSession, train: DataFrame, docs: DataFrame, text: str = "t
     rare = scored.filter("__segment is not null").select(
         F.col("__segment").alias("segment"), F.col("__rows").alias("rows"), F.col("__words").alias("words"))
     sums = rare.groupBy("segment").cogroup(model.select("segment", "words", "word_counts").groupBy("segment")) \
-        .applyInArrow(look_up, "row bigint, known bigint, base double") \
-        .groupBy(F.col("row").alias("__row")).agg(F.sum("known").alias("__rare"), F.sum("base").alias("__rare_base"))
+        .applyInArrow(look_up, "row bigint, known bigint, base double").withColumn("score", F.lit(0.0))
+    for part in more:
+        sums = sums.unionByName(part)
+    sums = sums.groupBy(F.col("row").alias("__row")).agg(
+        F.sum("known").alias("__rare"), F.sum("base").alias("__rare_base"), F.sum("score").alias("__more"))
     out = scored.filter("__segment is null").drop("__segment", "__rows", "__words").join(sums, "__row", "left")
     return out.select(
         *rest, "n_tokens", (F.col("__known") + F.coalesce("__rare", F.lit(0))).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("__base") + F.coalesce("__rare_base", F.lit(0.0))).alias("base_score"), "score")
+        (F.col("__base") + F.coalesce("__rare_base", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("__more", F.lit(0.0))).alias("score"))
 
 
 def tokens_begin(sizes: np.ndarray) -> np.ndarray:
