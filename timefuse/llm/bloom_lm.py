@@ -85,17 +85,34 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
-def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens (each text's words, then the end) and the number of each text's tokens."""
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct tokens, the number of each token (each text's
+    words, then the end) in them, and the number of each text's tokens."""
+    ids = _Numbers()
     parts, sizes = [], np.zeros(len(texts), dtype=np.int64)
     for i, t in enumerate(texts):
         words = t.translate(LOWER_BYTES).split()
-        h = np.empty(len(words) + 1, dtype=np.uint64)
-        h[:-1] = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-        h[-1] = END
-        parts.append(h)
-        sizes[i] = len(h)
-    return np.concatenate([*parts, np.zeros(0, dtype=np.uint64)]), sizes
+        n = np.empty(len(words) + 1, dtype=np.int64)
+        n[:-1] = np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
+        n[-1] = -1  # the end is the last of the distinct tokens
+        parts.append(n)
+        sizes[i] = len(n)
+    hashes = np.empty(len(ids) + 1, dtype=np.uint64)
+    hashes[:-1] = np.fromiter(map(_hashes.__getitem__, ids), dtype=np.uint64, count=len(ids))
+    hashes[-1] = END
+    return hashes, np.concatenate([*parts, np.zeros(0, dtype=np.int64)]), sizes
+
+
+def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens (each text's words, then the end) and the number of each text's tokens."""
+    hashes, which, sizes = numbered(texts)
+    return hashes[which], sizes
 
 
 def pair_hashes(tokens: np.ndarray) -> np.ndarray:
@@ -146,9 +163,10 @@ LEVEL_COUNT = np.concatenate([[0.0], (STEP ** np.arange(MOST_LEVELS) + np.maximu
     np.ceil(STEP ** np.arange(1, MOST_LEVELS + 1)) - 1, STEP ** np.arange(MOST_LEVELS))) / 2])
 
 
-def _places(keys: np.ndarray, level: int, size: np.ndarray | int, k: int) -> np.ndarray:
+def _hashed(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where a key's places at a level begin, and how far they are apart (both before the modulus)."""
     h = mixed(keys + np.uint64(level * int(_A) & (1 << 64) - 1))
-    return (h + np.uint64(k) * (mixed(h) | np.uint64(1))) % np.asarray(size, dtype=np.uint64)
+    return h, mixed(h) | np.uint64(1)
 
 
 def fill(keys: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
@@ -156,9 +174,10 @@ def fill(keys: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
     there = np.zeros(bits, dtype=bool)
     top = levels(counts)
     for level in range(1, int(top.max(initial=0)) + 1):
-        at = keys[top >= level]
-        for k in range(HASHES):
-            there[_places(at, level, bits, k)] = True
+        place, step = _hashed(keys[top >= level], level)
+        for _ in range(HASHES):
+            there[place % np.uint64(bits)] = True
+            place += step
     return np.packbits(there, bitorder="little").tobytes()
 
 
@@ -185,10 +204,13 @@ class Filter:
         live = np.arange(len(keys))
         segment = (keys >> np.uint64(64 - self.shift)).astype(np.int64) if self.shift else np.zeros(len(keys), dtype=int)
         for n in range(1, MOST_LEVELS + 1):
-            for k in range(HASHES):
-                s = segment[live]
-                at = self.start[s] + _places(keys[live], n, self.size[s], k).astype(np.int64)
-                live = live[(self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+            place, step = _hashed(keys[live], n)
+            start, size = self.start[segment[live]], self.size[segment[live]]
+            for _ in range(HASHES):
+                at = start + (place % size).astype(np.int64)
+                there = np.flatnonzero(self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                live, start, size, step = live[there], start[there], size[there], step[there]
+                place = place[there] + step
             if not len(live):
                 break
             level[live] = n
@@ -313,8 +335,7 @@ def _with_levels(spark: SparkSession, state: DataFrame, block: Filter) -> DataFr
         for b in batches:
             for first, texts in _texts(b, at, SCORED_BYTES):
                 part = b.slice(first, len(texts))
-                tokens, sizes = token_hashes(texts)
-                words, which = np.unique(tokens, return_inverse=True)
+                words, which, sizes = numbered(texts)
                 found = words_of.levels(words).astype(np.uint8)[which]
                 ends = np.cumsum(sizes)
                 cut = [found[e - n:e] for e, n in zip(ends.tolist(), sizes.tolist())]
@@ -374,10 +395,9 @@ def score(spark: SparkSession, train: DataFrame, docs: DataFrame, text: str = "t
                 for first, texts in _texts(b, n_rest + 1, SCORED_BYTES):
                     n = len(texts)
                     level = b"".join(b.column(n_rest + 2).slice(first, n).to_pylist())
-                    tokens, sizes = token_hashes(texts)
-                    doc = np.repeat(np.arange(n), sizes)
+                    words, which, sizes = numbered(texts)
+                    tokens, doc = words[which], np.repeat(np.arange(n), sizes)
                     p = log_p(pairs_of, low, high, tokens, sizes, level)
-                    words, which = np.unique(tokens, return_inverse=True)
                     exact = _looked_up(words, often, often_counts)
                     known = (exact > 0)[which]
                     base = np.where(known, np.log10((exact + ADD) / weight)[which], 0.0)
