@@ -383,6 +383,36 @@ def test_chat_round_trip(spark):
     assert chat.as_records(chat.gathered(df.limit(0))).count() == 0
 
 
+def chat_round(df, **sizes):
+    return chat.read_back(chat.formatted(chat.canonical(chat.as_records(chat.gathered(df), **sizes))))
+
+
+@pytest.mark.parametrize("piece, run", [(3, 70), (4, 400), (1, 1)])
+def test_conversations_in_several_records(spark, piece, run):
+    texts = ["<|im_end|>" * 3, "", "é<|" * 9, "a\n\"\\", "😀" * 7, None]
+    rows = [(c, t, r, x) for c in (1, 2) for t, x in enumerate(texts * 2) for r in ("user", "assistant", "xxxhuman")]
+    rows += [(3, 0, "human", "h" * 500), (4, 0, "user", "<" * 500), (4, 1, "assistant", "|" * 500), (None, 0, "gpt", "n" * 500)]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    assert chat.as_records(chat.gathered(df), piece=piece, run=run).filter("record is null and size(parts) > 1").count() > 2
+
+    def seen(out):
+        return {r.conv_id: (r.read, r.formatted, r["mask"]) for r in out.collect()}
+
+    assert seen(chat_round(df, piece=piece, run=run)) == seen(chat_round(df))
+
+
+def test_texts_too_long_for_the_json_readers(spark):
+    n = 21_000_000
+    df = spark.range(1).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"),
+                               F.expr(f"repeat('x', {n})").alias("text"))
+    r = chat_round(df).select(F.size("read"), F.expr("length(read[0].text)"), F.expr("length(read[0].loss)"),
+                              F.length("formatted"), "layout").first()
+    assert tuple(r) == (1, n, n, n + 9 + 24, "conversations")
+    foreign = df.select(F.to_json(F.struct(F.col("text").alias("prompt"), F.lit("a").alias("completion"))).alias("record"))
+    with pytest.raises(Exception, match="cannot parse a record of 21000"):
+        chat.formatted(chat.canonical(foreign)).select(F.length("formatted")).collect()
+
+
 def test_unknown_layouts_are_reported(spark):
     df = spark.createDataFrame([('{"prompt":"p","completion":null}',), ('{"question":"p"}',), ("no json",), (None,)], "record string")
     out = chat.formatted(chat.canonical(df)).collect()

@@ -8,11 +8,18 @@ written with the marks ``<|im_start|>`` and ``<|im_end|>``; inside texts each
 no text can hold a mark and the escape can be undone. The loss mask is a list
 of run lengths, one entry a turn.
 
+Spark's JSON readers give null for a string of more than 20,000,000 characters
+and for a variant of more than 128 MiB. So a conversation of more than ``RUN``
+characters is written as several records (``parts``), its roles and texts in
+pieces of ``PIECE`` characters; ``canonical`` reads each record by itself and
+puts the pieces together again.
+
 Defined results: null texts and roles count as empty; rows of a conversation
 are ordered by turn, equal turns by role and text, repeated rows stay; a null
 id is a conversation of its own; a record whose layout no mapping knows has
-null ``layout``, ``turns`` and ``formatted``; an empty table gives an empty
-result; other columns are not carried.
+null ``layout``, ``turns`` and ``formatted``; a record of more than ``CERTAIN``
+characters that cannot be parsed is an error, since it may just be too large for
+the readers; an empty table gives an empty result; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -22,10 +29,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import let, text_or_empty
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
+#: characters of a role or text in one piece, and of a record, with TURN more for each of its turns
+PIECE, RUN, TURN = 1 << 20, 8 << 20, 64
+#: a record with no more characters than this is never too large for the readers
+CERTAIN = 10_000_000
 
 
 @dataclass(frozen=True)
@@ -69,20 +80,58 @@ LAYOUTS = (
 
 
 def fingerprint(record: Column) -> Column:
-    """Hash of the nested field paths of a JSON record (null if it is no JSON)."""
+    """Hash of the nested field paths of a JSON record (that of null if it is no JSON)."""
     schema = F.schema_of_variant(F.try_parse_json(record))
+    schema = F.when(schema.isNull() & (F.length(record) > CERTAIN), F.raise_error(F.concat(
+        F.lit("cannot parse a record of "), F.length(record).cast("string"), F.lit(
+            " characters: it is no JSON, has a string of over 20,000,000 characters or needs over 128 MiB"))
+        ).cast("string")).otherwise(schema)
     return F.xxhash64(F.regexp_replace(schema, r": (?!OBJECT|ARRAY)[A-Z_]+(\(\d+,\d+\))?", ""))
 
 
-def canonical(df: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """Add ``layout`` and ``turns`` of each record by its fingerprint."""
-    kept = df.drop("layout", "turns").withColumn("__fp", fingerprint(F.col(record)))
+def _recognised(record: Column, fp: Column, layouts: tuple[Layout, ...]) -> tuple[Column, Column]:
+    """Layout and turns of a record with the fingerprint ``fp``."""
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for x in layouts:
-        hit = F.col("__fp") == F.xxhash64(F.lit(x.shape()))
+        hit = fp == F.xxhash64(F.lit(x.shape()))
         name = F.when(hit, x.name).otherwise(name)
-        turns = F.when(hit, x.turns(F.col(record)).cast(TURNS)).otherwise(turns)
-    return kept.withColumns({"layout": name, "turns": turns}).drop("__fp")
+        turns = F.when(hit, x.turns(record).cast(TURNS)).otherwise(turns)
+    return name, turns
+
+
+def _put_together(pieces: Column) -> Column:
+    """Turns of pieces: the first piece of a turn has the number of them as ``n``, the others 0."""
+    def whole(all_: Column) -> Column:
+        first = F.filter(F.transform(all_, lambda p, i: F.struct(p["n"].alias("n"), i.alias("i"))), lambda x: x["n"] > 0)
+
+        def turn(x: Column) -> Column:
+            return let(F.slice(all_, x["i"] + 1, x["n"]), lambda ps: F.struct(
+                F.array_join(F.transform(ps, lambda p: p["turn"]["role"]), "").alias("role"),
+                F.array_join(F.transform(ps, lambda p: p["turn"]["text"]), "").alias("text")))
+
+        return F.transform(first, turn)
+
+    return let(pieces, whole)
+
+
+def canonical(df: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """Add ``layout`` and ``turns`` of each record by its fingerprint."""
+    kept = df.drop("layout", "turns").withColumn("__fp", fingerprint(F.col(record)))
+    name, turns = _recognised(F.col(record), F.col("__fp"), layouts)
+    if "parts" in df.columns:
+        def read(part: Column) -> Column:
+            def known(fp: Column) -> Column:
+                name, turns = _recognised(part["record"], fp, layouts)
+                return F.struct(name.alias("layout"), F.zip_with(
+                    turns, part["n"], lambda t, n: F.struct(t.alias("turn"), n.alias("n"))).alias("pieces"))
+
+            return let(fingerprint(part["record"]), known)
+
+        kept = kept.withColumn("__parts", F.transform("parts", read))
+        cut = F.col("parts").isNotNull()
+        name = F.when(cut, F.get("__parts", F.lit(0))["layout"]).otherwise(name)
+        turns = F.when(cut, _put_together(F.flatten(F.transform("__parts", lambda p: p["pieces"])))).otherwise(turns)
+    return kept.withColumns({"layout": name, "turns": turns}).drop("__fp", "__parts", "parts")
 
 
 def escape(text: Column) -> Column:
@@ -134,25 +183,61 @@ def gathered(rows: DataFrame, id_col: str = "conv_id") -> DataFrame:
         .withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
 
 
-def as_records(conversations: DataFrame, id_col: str = "conv_id") -> DataFrame:
+def _list_record(turns: Column, plain: Column) -> Column:
+    """A JSON record in a layout with a list of messages."""
+    def renamed(t: Column) -> Column:
+        return F.when(t["role"] == "user", "human").when(t["role"] == "assistant", "gpt").otherwise(t["role"])
+
+    messages = F.to_json(F.struct(F.transform(turns, lambda t: F.struct(
+        t["role"].alias("role"), t["text"].alias("content"))).alias("messages")))
+    conversations = F.to_json(F.struct(F.transform(turns, lambda t: F.struct(
+        renamed(t).alias("from"), t["text"].alias("value"))).alias("conversations")))
+    return F.when(plain, messages).otherwise(conversations)
+
+
+def _parts(turns: Column, even: Column, piece: int, run: int) -> Column:
+    """Records of bounded runs of a conversation's pieces, each with the ``n`` of its pieces (see ``_put_together``)."""
+    def cut(t: Column) -> Column:
+        last = F.floor((F.greatest(F.length(t["role"]), F.length(t["text"]), F.lit(1)) - 1) / piece).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
+            *[F.substr(t[f], i * piece + 1, F.lit(piece)).alias(f) for f in ("role", "text")],
+            F.when(i == 0, last + 1).otherwise(0).alias("n")))
+
+    def runs(pieces: Column) -> Column:
+        largest = F.array_max(F.transform(pieces, lambda p: F.length(p["role"]) + F.length(p["text"]) + TURN))
+        bounds = F.struct(F.greatest(F.floor(F.lit(run) / largest).cast("int"), F.lit(1)).alias("each"),
+                          (even | F.exists(pieces, lambda p: p["role"].isin("human", "gpt"))).alias("plain"))
+
+        def made(b: Column) -> Column:
+            def record(k: Column) -> Column:
+                return let(F.slice(pieces, k * b["each"] + 1, b["each"]), lambda ps: F.struct(
+                    _list_record(ps, b["plain"]).alias("record"), F.transform(ps, lambda p: p["n"]).alias("n")))
+
+            return F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / b["each"]).cast("int")), record)
+
+        return let(bounds, made)
+
+    return let(F.flatten(F.transform(turns, cut)), runs)
+
+
+def as_records(conversations: DataFrame, id_col: str = "conv_id", piece: int = PIECE, run: int = RUN) -> DataFrame:
     """JSON records in the four layouts: the roles decide where a layout has
-    fixed ones, the id otherwise."""
+    fixed ones, the id otherwise. A conversation of more than ``run`` characters
+    has no ``record`` but ``parts``, several records of pieces of it."""
     turns, roles = F.col("turns"), F.transform("turns", lambda t: t["role"])
 
     def text(i: int) -> Column:
         return F.get(turns, F.lit(i))["text"]
 
-    def renamed(t: Column) -> Column:
-        return F.when(t["role"] == "user", "human").when(t["role"] == "assistant", "gpt").otherwise(t["role"])
-
-    plain = F.to_json(F.struct(F.transform(turns, lambda t: F.struct(
-        t["role"].alias("role"), t["text"].alias("content"))).alias("messages")))
-    other = F.to_json(F.struct(F.transform(turns, lambda t: F.struct(
-        renamed(t).alias("from"), t["text"].alias("value"))).alias("conversations")))
+    even = F.coalesce(F.col(id_col), F.lit(0)) % 2 == 0
     two = F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("completion")))
     three = F.to_json(F.struct(text(0).alias("system"), text(1).alias("instruction"), text(2).alias("output")))
     named = F.exists(roles, lambda r: r.isin("human", "gpt"))
     record = F.when(roles == F.array(F.lit("user"), F.lit("assistant")), two) \
         .when(roles == F.array(F.lit("system"), F.lit("user"), F.lit("assistant")), three) \
-        .when(named | (F.coalesce(F.col(id_col), F.lit(0)) % 2 == 0), plain).otherwise(other)
-    return conversations.select(id_col, record.alias("record"))
+        .otherwise(_list_record(turns, named | even))
+    chars = F.aggregate(turns, F.lit(0).cast("bigint"), lambda n, t: n + TURN + F.coalesce(F.length(t["role"]), F.lit(0))
+                        + F.coalesce(F.length(t["text"]), F.lit(0)))
+    return conversations.withColumn("__long", chars > run).select(
+        id_col, F.when(~F.col("__long"), record).alias("record"),
+        F.when(F.col("__long"), _parts(turns, even, piece, run)).alias("parts"))
