@@ -76,6 +76,18 @@ def test_main_text_leaves_out_what_is_around():
     assert html.main_text('<a title="a>b">x</a> &lt;b&gt; &eacute;<p>unclosed "<i') .startswith("x <b> é")
 
 
+@pytest.mark.parametrize("odd", [
+    "<svg class='i'/>", "<math />", "<svg><title/><path d='M0'/><g><circle r=1></g>no</svg>", "<svg><a href=x>no</svg>",
+    "<object><p>no</p><b>no</object>", "<div><video src=x>no</div>", "<div><select><option>no<option>no</div>",
+    "<div><script>no('<p>')</div>", "<div><title>no</div>", "<canvas/>", "<noscript><p>no</noscript>",
+    "<template><div>no</div></template>", "<svg>" + "<path d='M0'>" * 3000 + "</svg>"])
+def test_embedded_elements_take_nothing_along(odd):
+    a, b, c = "First, a paragraph.", "Second, one more.", "Third, the last."
+    assert html.main_text(f"<body><article><p>{a}</p>{odd}<p>{b}</p><p>{c}</p></article>") == f"{a}\n{b}\n{c}"
+    if "div" not in odd:
+        assert html.main_text(f"<body><article><p>{a} {odd} {b}<p>{c}</article>") == f"{a} {b}\n{c}"
+
+
 def test_extract_keeps_columns_and_rows(spark):
     df = spark.createDataFrame([(1, "u", None, 7), (1, "u", "<p>a</p>", 7)], "page_id int, url string, html string, text int")
     assert sorted(map(tuple, html.extract(df).collect())) == [(1, "u", ""), (1, "u", "a")]

@@ -11,8 +11,8 @@ adverts, comments and the like, by tag, role, class or id) are left out before,
 and a page's ``article`` or ``main`` element counts for more than what is around it.
 
 Defined results: null, empty or text-free pages have an empty text; markup that
-is broken is read leniently (unclosed elements end with their parent, stray end
-tags are ignored, an unclosed comment runs to the end); repeated rows are read
+is broken is read leniently (unclosed elements end with their parent, scripts
+and the like included, stray end tags are ignored, an unclosed comment runs to the end); repeated rows are read
 one by one; other columns stay, columns with the result's names are replaced.
 """
 
@@ -42,8 +42,9 @@ KERNEL = (0.1, 0.2, 0.4, 0.2, 0.1)
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[(.*?)(?:\]\]>|\Z)|[!?][^>]*>"
                   r"|(/?)([A-Za-z][^\s/>]*)(?:((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)|([^>]*))>)", re.S)
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in
-        ("script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes", "template", "svg", "math",
-         "noscript", "select", "object", "canvas", "audio", "video")}
+        ("script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes")}
+#: left out without ending the block around them; empty when self-closed, as is all within svg and math
+_EMBEDDED = {"template", "svg", "math", "noscript", "select", "object", "canvas", "audio", "video"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins",
            "kbd", "label", "mark", "nobr", "q", "ruby", "rb", "rp", "rt", "s", "samp", "small", "span", "strike",
@@ -108,6 +109,8 @@ def blocks(html: str) -> list[tuple[str, str, bool, float]]:
 
     def close() -> None:
         nonlocal block, link
+        if stack[-1][2]:
+            return  # the block ends with what is left out, or goes on after it
         if block.parts:
             text = " ".join(unescape("".join(block.parts)).split())
             if text:
@@ -141,19 +144,26 @@ def blocks(html: str) -> list[tuple[str, str, bool, float]]:
         if tag in _INLINE:
             if tag == "br":
                 add(" ")
-            elif tag == "a":
+            elif tag == "a" and not stack[-1][2]:
                 link = not closing
             continue
         if closing:
             if tag not in ("html", "body") and any(s[0] == tag for s in stack):
                 end(tag)
-                close()
+                if tag not in _EMBEDDED:
+                    close()
             elif tag == "p":
                 close()
             continue
-        if tag in _RAW:
-            done = _RAW[tag].search(html, at)
-            at = done.end() if done else len(html)
+        if (m[4] or m[5] or "").endswith("/") and (
+                tag in _EMBEDDED or (stack[-1][2] and any(s[0] in ("svg", "math") for s in stack))):
+            continue
+        if tag in _RAW and (done := _RAW[tag].search(html, at)):
+            at = done.end()
+            continue
+        if tag in _EMBEDDED or tag in _RAW:
+            _, path, _, inside = stack[-1]
+            stack.append((tag, path, True, inside))
             continue
         if stack[-1][0] == "p":
             stack.pop()
@@ -163,12 +173,19 @@ def blocks(html: str) -> list[tuple[str, str, bool, float]]:
                 end(t, limits)
         if tag not in _VOID and not (tag in ("html", "body") and any(s[0] == tag for s in stack)):
             _, path, out_of, inside = stack[-1]
+            if out_of:
+                stack.append((tag, path, True, inside))
+                continue
             attributes = _attributes(m[4] or m[5] or "")
             name = (attributes.get("class", "").split() or [""])[0]
-            stack.append((tag, f"{path}/{tag}" + (f".{name}" if name else ""),
-                          out_of or _left_out(tag, attributes, inside), inside or tag in ("article", "main")))
+            if _left_out(tag, attributes, inside):
+                close()
+                stack.append((tag, path, True, inside))
+                continue
+            stack.append((tag, f"{path}/{tag}" + (f".{name}" if name else ""), False, inside or tag in ("article", "main")))
         close()
     add(html[at:])
+    del stack[1:]
     close()
     return out
 
