@@ -88,6 +88,31 @@ def test_embedded_elements_take_nothing_along(odd):
         assert html.main_text(f"<body><article><p>{a} {odd} {b}<p>{c}</article>") == f"{a} {b}\n{c}"
 
 
+def sentences(n, chars, marks):
+    step = chars // marks
+    return ["".join("," if i % step == step - 1 else "ab cd ef "[i % 9] for i in range(chars)).strip() + "x" for _ in range(n)]
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main><div>{}</div></main>", "<div class=post>{}</div>", "{}"])
+@pytest.mark.parametrize("n, chars, marks, items, size", [(10, 1500, 25, 40, 25), (1, 20_000, 400, 30, 40), (10, 500, 8, 50, 4)])
+def test_short_items_stay_with_long_paragraphs(wrap, n, chars, marks, items, size):
+    long, short = sentences(n, chars, marks), [f"{i:02d}" + "y" * (size - 2) for i in range(items)]
+    half = n // 2
+    listed = "<ul>" + "".join(f"<li>{x}</li>" for x in short) + "</ul>"
+    table = "<table>" + "".join("<tr>" + "".join(f"<td>{x}</td>" for x in short[i:i + 5]) + "</tr>" for i in range(0, items, 5)) + "</table>"
+    for middle in (listed, table):
+        inner = "".join(f"<p>{p}</p>" for p in long[:half]) + middle + "".join(f"<p>{p}</p>" for p in long[half:])
+        page = f"<html><body><nav><a href=x>Menu</a></nav>{wrap.format(inner)}<footer>End</footer></body></html>"
+        assert html.main_text(page) == "\n".join([*long[:half], *short, *long[half:]])
+
+
+def test_outside_the_content_the_ratio_decides():
+    long = sentences(6, 800, 20)
+    page = "<div class=post>" + "".join(f"<p>{p}</p>" for p in long) + "<ul><li>own</ul></div>" \
+        + "<div id=bottom>" + "<div>up</div>" * 40 + "</div>"
+    assert html.main_text(page) == "\n".join([*long, "own"])
+
+
 def test_extract_keeps_columns_and_rows(spark):
     df = spark.createDataFrame([(1, "u", None, 7), (1, "u", "<p>a</p>", 7)], "page_id int, url string, html string, text int")
     assert sorted(map(tuple, html.extract(df).collect())) == [(1, "u", ""), (1, "u", "a")]

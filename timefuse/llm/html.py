@@ -6,7 +6,11 @@ punctuation are set against the number of its blocks, and its share of link
 text against all of it; the two ratios are fused and smoothed over
 neighbouring blocks of the page. A path whose blocks reach a part of the
 page's highest value is content, with all its blocks, so short paragraphs go
-with long ones. Elements that say what they are (navigation, footers, forms,
+with long ones. So is every other path (of no large share of link text) inside
+the content's element, so tables and lists of short items stay whatever the
+length of the paragraphs around them: the page's ``article`` and ``main``
+elements, or without these the innermost container of most of the text found
+so. Elements that say what they are (navigation, footers, forms,
 adverts, comments and the like, by tag, role, class or id) are left out before,
 and a page's ``article`` or ``main`` element counts for more than what is around it.
 
@@ -34,6 +38,8 @@ from .common import slices
 PART = 0.15
 #: and with no larger share of link text
 MAX_LINKS = 0.6
+#: an element with more than this part of the content's text is the content's
+MOST = 0.8
 #: what lies outside the page's article or main element counts so much
 OUTSIDE = 0.1
 #: weights of a block's neighbours in smoothing
@@ -68,6 +74,8 @@ _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
            "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: never the content's element, but their parents are
+_TEXT = {"p", "li", "ul", "ol", "dt", "dd", "dl", "blockquote", "pre", "figure", "figcaption", *_HEADINGS}
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -93,19 +101,21 @@ def _left_out(tag: str, attributes: dict[str, str], inside: bool) -> bool:
 
 
 class _Block:
-    __slots__ = ("parts", "links", "path", "inside")
+    __slots__ = ("parts", "links", "path", "inside", "element")
 
-    def __init__(self, path: str, inside: bool) -> None:
+    def __init__(self, path: str, inside: bool, element: int) -> None:
         self.parts: list[str] = []
-        self.links, self.path, self.inside = 0, path, inside
+        self.links, self.path, self.inside, self.element = 0, path, inside, element
 
 
-def blocks(html: str) -> list[tuple[str, str, bool, float]]:
-    """(path, text, inside an article or main element, share of link text) of each block in page order."""
-    out: list[tuple[str, str, bool, float]] = []
-    # open elements: tag, path, left out, inside
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
-    block, link, at = _Block("", False), False, 0
+def blocks(html: str) -> tuple[list[tuple[str, str, bool, float, int]], list[tuple[int, str]]]:
+    """(path, text, inside an article or main element, share of link text, element) of each block in page order,
+    and (parent, tag) of each element that is not left out."""
+    out: list[tuple[str, str, bool, float, int]] = []
+    elements: list[tuple[int, str]] = [(0, "")]
+    # open elements: tag, path, left out, inside, number
+    stack: list[tuple[str, str, bool, bool, int]] = [("", "", False, False, 0)]
+    block, link, at = _Block("", False, 0), False, 0
 
     def close() -> None:
         nonlocal block, link
@@ -114,9 +124,9 @@ def blocks(html: str) -> list[tuple[str, str, bool, float]]:
         if block.parts:
             text = " ".join(unescape("".join(block.parts)).split())
             if text:
-                out.append((block.path, text, block.inside, min(1.0, block.links / len(text))))
-        _, path, _, inside = stack[-1]
-        block, link = _Block(path, inside), False
+                out.append((block.path, text, block.inside, min(1.0, block.links / len(text)), block.element))
+        _, path, _, inside, element = stack[-1]
+        block, link = _Block(path, inside, element), False
 
     def add(raw: str) -> None:
         if raw and not stack[-1][2]:
@@ -162,8 +172,8 @@ def blocks(html: str) -> list[tuple[str, str, bool, float]]:
             at = done.end()
             continue
         if tag in _EMBEDDED or tag in _RAW:
-            _, path, _, inside = stack[-1]
-            stack.append((tag, path, True, inside))
+            _, path, _, inside, element = stack[-1]
+            stack.append((tag, path, True, inside, element))
             continue
         if stack[-1][0] == "p":
             stack.pop()
@@ -172,50 +182,76 @@ def blocks(html: str) -> list[tuple[str, str, bool, float]]:
             for t in shut:
                 end(t, limits)
         if tag not in _VOID and not (tag in ("html", "body") and any(s[0] == tag for s in stack)):
-            _, path, out_of, inside = stack[-1]
+            _, path, out_of, inside, element = stack[-1]
             if out_of:
-                stack.append((tag, path, True, inside))
+                stack.append((tag, path, True, inside, element))
                 continue
             attributes = _attributes(m[4] or m[5] or "")
             name = (attributes.get("class", "").split() or [""])[0]
             if _left_out(tag, attributes, inside):
                 close()
-                stack.append((tag, path, True, inside))
+                stack.append((tag, path, True, inside, element))
                 continue
-            stack.append((tag, f"{path}/{tag}" + (f".{name}" if name else ""), False, inside or tag in ("article", "main")))
+            elements.append((element, tag))
+            stack.append((tag, f"{path}/{tag}" + (f".{name}" if name else ""), False,
+                          inside or tag in ("article", "main"), len(elements) - 1))
         close()
     add(html[at:])
     del stack[1:]
     close()
-    return out
+    return out, elements
+
+
+def _container(elements: list[tuple[int, str]], sizes: dict[int, int]) -> list[bool]:
+    """Which elements lie in the innermost container of most of the text, from its length by element."""
+    held = [sizes.get(e, 0) for e in range(len(elements))]
+    for e in range(len(elements) - 1, 0, -1):
+        held[elements[e][0]] += held[e]
+    # those with most of the text are nested in each other, and a parent comes before its child
+    best = max(e for e in range(len(elements)) if held[e] >= MOST * held[0])
+    while elements[best][1] in _TEXT:
+        best = elements[best][0]
+    within = [e == best for e in range(len(elements))]
+    for e in range(best + 1, len(elements)):
+        within[e] = within[elements[e][0]]
+    return within
 
 
 def main_text(html: str | None) -> str:
     """The content blocks of a page, joined by line breaks."""
-    found = blocks(html or "")
+    found, elements = blocks(html or "")
     if not found:
         return ""
     n, length, marks, links = (defaultdict(float) for _ in range(4))
-    for path, text, _, share in found:
+    for path, text, _, share, _ in found:
         n[path] += 1
         length[path] += len(text)
         marks[path] += len(_PUNCTUATION.findall(text))
         links[path] += share * len(text)
-    landmark = any(inside for _, _, inside, _ in found)
+    landmark = any(inside for _, _, inside, _, _ in found)
     fused = {p: math.log1p(length[p] / n[p]) * (1 + math.log1p(marks[p] / n[p])) * (1 - min(1, links[p] / length[p]))
              for p in n}
-    values = [fused[path] * (1 if inside or not landmark else OUTSIDE) for path, _, inside, _ in found]
+    values = [fused[path] * (1 if inside or not landmark else OUTSIDE) for path, _, inside, _, _ in found]
     half, total, count = len(KERNEL) // 2, defaultdict(float), defaultdict(int)
-    for i, (path, _, inside, _) in enumerate(found):
+    for i, (path, _, inside, _, _) in enumerate(found):
         near = [(KERNEL[j - i + half], values[j]) for j in range(max(0, i - half), min(len(found), i + half + 1))
                 if found[j][2] == inside]
         total[path] += sum(w * v for w, v in near) / sum(w for w, _ in near)
         count[path] += 1
     score = {p: total[p] / count[p] for p in total}
     least = PART * max(score.values())
-    content = {p for p in score if score[p] >= least
-               and (links[p] <= MAX_LINKS * length[p] or p.rsplit("/", 1)[-1].split(".")[0] in _HEADINGS)}
-    return "\n".join(text for path, text, _, _ in found if path in content)
+    text_like = {p for p in score if links[p] <= MAX_LINKS * length[p] or p.rsplit("/", 1)[-1].split(".")[0] in _HEADINGS}
+    content = {p for p in text_like if score[p] >= least}
+    if landmark:
+        return "\n".join(text for path, text, inside, _, _ in found if path in content or (inside and path in text_like))
+    if not content:
+        return ""
+    sizes: dict[int, int] = defaultdict(int)
+    for path, text, _, _, element in found:
+        if path in content:
+            sizes[element] += len(text)
+    within = _container(elements, sizes)
+    return "\n".join(text for path, text, _, _, e in found if path in content or (within[e] and path in text_like))
 
 
 def extract(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
