@@ -88,6 +88,23 @@ def test_embedded_elements_take_nothing_along(odd):
         assert html.main_text(f"<body><article><p>{a} {odd} {b}<p>{c}</article>") == f"{a} {b}\n{c}"
 
 
+@pytest.mark.parametrize("wrap", [
+    "<div class='widget Blog' id=Blog1>{}</div>", "<div class='elementor-widget elementor-widget-theme-post-content'>{}</div>",
+    "<div class='page right-sidebar'>{}</div>", "<article class=teaser>{}</article>", "<form id=aspnetForm>{}</form>",
+    "<div class='page fixed-header'><div class=post-hidden>{}</div></div>"])
+def test_names_of_wrappers_take_no_main_text(wrap):
+    ps = [f"Paragraph {i}, of the main text, with commas." for i in range(6)]
+    inner = "<h1>Title</h1>" + "".join(f"<p>{p}</p>" for p in ps) + "<div class=share-bar>Tell all, do.</div>"
+    page = f"<body><div class=sidebar>Side, by side.</div>{wrap.format(inner)}<div id=comments><p>First, a comment.</div>"
+    assert html.main_text(page) == "\n".join(["Title", *ps])
+
+
+def test_teasers_are_kept_if_nothing_else_is_there():
+    page = "<body>" + "".join(f"<div class=c{i}><div class=teaser>Teaser {i}, a text.</div></div>" for i in range(4))
+    assert html.main_text(page) == "\n".join(f"Teaser {i}, a text." for i in range(4))
+    assert html.main_text("<body><nav>Menu</nav><form><p>Only, a form.</form>") == "Only, a form."
+
+
 def sentences(n, chars, marks):
     step = chars // marks
     return ["".join("," if i % step == step - 1 else "ab cd ef "[i % 9] for i in range(chars)).strip() + "x" for _ in range(n)]

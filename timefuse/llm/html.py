@@ -10,14 +10,20 @@ with long ones. So is every other path (of no large share of link text) inside
 the content's element, so tables and lists of short items stay whatever the
 length of the paragraphs around them: the page's ``article`` and ``main``
 elements, or without these the innermost container of most of the text found
-so. Elements that say what they are (navigation, footers, forms,
-adverts, comments and the like, by tag, role, class or id) are left out before,
-and a page's ``article`` or ``main`` element counts for more than what is around it.
+so. What lies around a page's ``article`` or ``main`` element counts for less
+than what is in it.
+
+Elements that say what they are by tag, role or attribute (navigation, footers,
+dialogs, what is hidden and the like) are left out before. A form, or a class or
+id (sidebar, advert, comments, ...), is a hint only: elements of such a path are
+left out if they hold no more than half of the page's unlinked text, so a
+wrapper around the main text stays, as do comments longer than all the rest;
+and none is left out if no text would remain.
 
 Defined results: null, empty or text-free pages have an empty text; markup that
 is broken is read leniently (unclosed elements end with their parent, scripts
-and the like included, stray end tags are ignored, an unclosed comment runs to the end); repeated rows are read
-one by one; other columns stay, columns with the result's names are replaced.
+and the like included, stray end tags are ignored, an unclosed comment runs to
+the end); repeated rows are read one by one; other columns stay, columns with the result's names are replaced.
 """
 
 from __future__ import annotations
@@ -38,6 +44,8 @@ from .common import slices
 PART = 0.15
 #: and with no larger share of link text
 MAX_LINKS = 0.6
+#: elements whose names say so are left out up to this part of the page's text
+MINOR = 0.5
 #: an element with more than this part of the content's text is the content's
 MOST = 0.8
 #: what lies outside the page's article or main element counts so much
@@ -55,7 +63,7 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins",
            "kbd", "label", "mark", "nobr", "q", "ruby", "rb", "rp", "rt", "s", "samp", "small", "span", "strike",
            "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img", "picture", "source"}
-_LEFT_OUT = {"head", "nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "datalist", "output"}
+_LEFT_OUT = {"head", "nav", "footer", "aside", "button", "dialog", "menu", "fieldset", "datalist", "output"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog",
           "menu", "menubar", "toolbar", "tooltip", "status"}
 _NAMES = {"ad", "ads", "adv", "advert", "advertisement", "advertising", "adverts", "adsense", "sponsor", "sponsored",
@@ -92,6 +100,15 @@ def _left_out(tag: str, attributes: dict[str, str], inside: bool) -> bool:
         return True
     if attributes.get("role", "").lower() in _ROLES:
         return True
+    return False
+
+
+def _doubtful(tag: str, attributes: dict[str, str], inside: bool) -> bool:
+    """Whether a form, or the names of an element, say that it is not of the main text."""
+    if tag == "form":
+        return True
+    if tag in ("html", "body", "main"):
+        return False
     for part in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
         names = [n.lower() for n in _NAME.findall(part)]
         if not {"with", "has", "no"} & set(names) and (set(names) & _NAMES
@@ -108,11 +125,11 @@ class _Block:
         self.links, self.path, self.inside, self.element = 0, path, inside, element
 
 
-def blocks(html: str) -> tuple[list[tuple[str, str, bool, float, int]], list[tuple[int, str]]]:
+def blocks(html: str) -> tuple[list[tuple[str, str, bool, float, int]], list[tuple[int, str, str]]]:
     """(path, text, inside an article or main element, share of link text, element) of each block in page order,
-    and (parent, tag) of each element that is not left out."""
+    and (parent, tag, path if it is doubtful) of each element that is not left out."""
     out: list[tuple[str, str, bool, float, int]] = []
-    elements: list[tuple[int, str]] = [(0, "")]
+    elements: list[tuple[int, str, str]] = [(0, "", "")]
     # open elements: tag, path, left out, inside, number
     stack: list[tuple[str, str, bool, bool, int]] = [("", "", False, False, 0)]
     block, link, at = _Block("", False, 0), False, 0
@@ -192,9 +209,9 @@ def blocks(html: str) -> tuple[list[tuple[str, str, bool, float, int]], list[tup
                 close()
                 stack.append((tag, path, True, inside, element))
                 continue
-            elements.append((element, tag))
-            stack.append((tag, f"{path}/{tag}" + (f".{name}" if name else ""), False,
-                          inside or tag in ("article", "main"), len(elements) - 1))
+            path = f"{path}/{tag}" + (f".{name}" if name else "")
+            elements.append((element, tag, path if _doubtful(tag, attributes, inside) else ""))
+            stack.append((tag, path, False, inside or tag in ("article", "main"), len(elements) - 1))
         close()
     add(html[at:])
     del stack[1:]
@@ -202,11 +219,34 @@ def blocks(html: str) -> tuple[list[tuple[str, str, bool, float, int]], list[tup
     return out, elements
 
 
-def _container(elements: list[tuple[int, str]], sizes: dict[int, int]) -> list[bool]:
-    """Which elements lie in the innermost container of most of the text, from its length by element."""
+def _held(elements: list[tuple[int, str, str]], sizes: dict[int, float]) -> list[float]:
+    """The sizes within each element, from those of its own blocks."""
     held = [sizes.get(e, 0) for e in range(len(elements))]
     for e in range(len(elements) - 1, 0, -1):
         held[elements[e][0]] += held[e]
+    return held
+
+
+def _without_doubtful(found: list[tuple[str, str, bool, float, int]], elements: list[tuple[int, str, str]]) -> list:
+    """The blocks outside of the doubtful elements whose path holds a minor part of the page's text."""
+    if not any(doubt for _, _, doubt in elements):
+        return found
+    landmark = any(inside for _, _, inside, _, _ in found)
+    sizes: dict[int, float] = defaultdict(float)
+    for _, text, inside, share, e in found:
+        sizes[e] += len(text) * (1 - share) * (1 if inside or not landmark else OUTSIDE)
+    held, by_path = _held(elements, sizes), defaultdict(float)
+    for e, (_, _, doubt) in enumerate(elements):
+        by_path[doubt] += held[e]
+    out = [bool(doubt) and by_path[doubt] <= MINOR * held[0] for _, _, doubt in elements]
+    for e in range(1, len(elements)):
+        out[e] = out[e] or out[elements[e][0]]
+    return [f for f in found if not out[f[4]]] or found
+
+
+def _container(elements: list[tuple[int, str, str]], sizes: dict[int, int]) -> list[bool]:
+    """Which elements lie in the innermost container of most of the text, from its length by element."""
+    held = _held(elements, sizes)
     # those with most of the text are nested in each other, and a parent comes before its child
     best = max(e for e in range(len(elements)) if held[e] >= MOST * held[0])
     while elements[best][1] in _TEXT:
@@ -222,6 +262,7 @@ def main_text(html: str | None) -> str:
     found, elements = blocks(html or "")
     if not found:
         return ""
+    found = _without_doubtful(found, elements)
     n, length, marks, links = (defaultdict(float) for _ in range(4))
     for path, text, _, share, _ in found:
         n[path] += 1
