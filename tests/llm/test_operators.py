@@ -198,6 +198,18 @@ def test_near_duplicates_of_edge_rows(spark, docs):
     assert len(ids) == len(set(ids)) and None in ids and {1, 4, 6} <= set(ids) and not {2, 3, 5} & set(ids)
 
 
+def test_rows_of_one_id_in_two_components(spark):
+    a, b, c = (prose(i, 300) for i in (61, 62, 63))
+    # 5 is alone in two components, 7 in one and with 6 in another, 8 twice in one and once in another
+    rows = [(5, a, 1), (5, b, 2), (6, c, 3), (7, c, 4), (7, prose(64, 300), 5), (8, prose(65, 300), 6), (8, prose(65, 300), 7),
+            (8, prose(66, 300), 8), (9, b, 9), (None, a, 10)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, component int")
+    kept = simhash.keep_one(spark, df)
+    assert kept.columns == df.columns and kept.schema["doc_id"].dataType == df.schema["doc_id"].dataType
+    got = sorted(r.component for r in kept.collect())
+    assert got in ([1, 2, 3, 5, 6, 8, 10], [1, 2, 3, 5, 7, 8, 10])
+
+
 def test_fingerprint_bits():
     from xxhash import xxh64_intdigest
     text = "A b  c\td e b c"

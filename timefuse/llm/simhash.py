@@ -178,30 +178,42 @@ def links(spark: SparkSession, distinct: DataFrame, dense: int = DENSE) -> DataF
     return pairs.distinct()
 
 
-def near_duplicates(spark: SparkSession, df: DataFrame, text: str = "text", id_col: str = "doc_id",
-                    shingle: int = SHINGLE, dense: int = DENSE) -> DataFrame:
-    """``id_col, fingerprint`` (16 hex digits) and ``component_id`` (the
-    smallest id reachable by links of three bits or fewer) of every row."""
+def _labelled(spark: SparkSession, df: DataFrame, text: str, id_col: str, shingle: int,
+              dense: int) -> tuple[DataFrame, DataFrame]:
+    """``id_col, fp`` of every row, and ``fp, component, component_id`` of every fingerprint."""
     fps = written(spark, fingerprints(df, text, id_col, shingle), "fingerprints")
     distinct = written(spark, fps.groupBy("fp").agg(F.min(id_col).alias("rep")), "distinct")
     comps = connected_components(spark, links(spark, distinct, dense)).withColumnRenamed("node", "fp")
     labelled = distinct.join(comps, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_fp = labelled.join(ids, "component").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select(
+    return fps, labelled.join(ids, "component").select("fp", "component", "component_id")
+
+
+def near_duplicates(spark: SparkSession, df: DataFrame, text: str = "text", id_col: str = "doc_id",
+                    shingle: int = SHINGLE, dense: int = DENSE) -> DataFrame:
+    """``id_col, fingerprint`` (16 hex digits) and ``component_id`` (the
+    smallest id reachable by links of three bits or fewer) of every row."""
+    fps, by_fp = _labelled(spark, df, text, id_col, shingle, dense)
+    return fps.join(by_fp.drop("component"), "fp").select(
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(spark: SparkSession, df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` that represent their component: those with its
-    smallest id, and one row of each repeated id. Rows without an id cannot be
-    told apart by one and stay."""
-    found = near_duplicates(spark, df, text, id_col)
-    kept = written(spark, found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col)
-                   .agg(F.count("*").alias("__rows")), "kept")
+    """One row of each component, a row with its smallest id. Rows of a repeated
+    id are written with a number, and the first of a component's rows stays, so
+    rows of one id in two components are told apart. Rows without an id cannot
+    be told apart by one and stay."""
+    fps, by_fp = _labelled(spark, df, text, id_col, SHINGLE, DENSE)
+    first = F.coalesce((F.col(id_col) == F.col("component_id")).cast("int"), F.lit(0))
+    kept = written(spark, fps.join(by_fp, "fp").groupBy(id_col).agg(F.count("*").alias("__rows"), F.max(first).alias("__first"))
+                   .filter("__first = 1").drop("__first"), "kept")
     # the ids kept grow with the input: never broadcast
-    once = df.join(kept.filter("__rows = 1").select(id_col).hint("merge"), id_col, "left_semi")
+    once = df.join(kept.filter("__rows = 1").select(id_col).hint("merge"), id_col, "left_semi").select(df.columns)
     if (kept.agg(F.max("__rows")).first()[0] or 0) > 1:
-        again = df.join(kept.filter("__rows > 1").select(id_col).hint("merge"), id_col, "left_semi")
-        once = once.unionByName(again.dropDuplicates([id_col]))
+        again = df.join(kept.filter("__rows > 1").select(id_col).hint("merge"), id_col, "left_semi").select(df.columns)
+        again = written(spark, again.withColumn("__row", F.monotonically_increasing_id()), "repeated-ids")
+        rows = fingerprints(again, text, "__row").join(by_fp, "fp").select("__row", "component", "component_id")
+        rows = rows.join(again.select("__row", F.col(id_col).alias("__id")), "__row").filter("__id = component_id")
+        rows = written(spark, rows.groupBy("component").agg(F.min("__row").alias("__row")).select("__row"), "kept-rows")
+        once = once.unionByName(again.join(rows.hint("merge"), "__row", "left_semi").select(df.columns))
     return once.unionByName(df.filter(F.col(id_col).isNull()))
