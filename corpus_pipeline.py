@@ -8,6 +8,7 @@ columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from timefuse.llm import host_rules, simhash, tiling
 from timefuse.llm.common import written
@@ -16,8 +17,11 @@ from timefuse.tables import load
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and whose host is not rejected."""
-    return host_rules.with_verdicts(spark, docs).filter("kept").select(docs.columns)
+    """Documents that pass the base rules and whose host is not rejected, with
+    their own values in columns that are named like the verdict's."""
+    own = {c: f"__own_{c}" for c in docs.columns if c.lower() in host_rules.ADDED}
+    judged = host_rules.with_verdicts(spark, docs.withColumnsRenamed(own))
+    return judged.filter("kept").select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

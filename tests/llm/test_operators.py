@@ -523,6 +523,14 @@ def test_stages_take_edge_rows(spark, docs):
         assert corpus_pipeline.STAGES[-1][1](spark, out, SF_SMALL).columns[0] == "doc_id"
 
 
+def test_quality_hands_own_columns_on(spark):
+    rows = [(i, prose(i, 50), "a") for i in range(3)] + [(3, "junk", "a")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string").withColumns(
+        {c: F.concat(F.lit(c), F.col("doc_id")) for c in ["N_Words", *host_rules.ADDED[1:]]})
+    out = corpus_pipeline.quality(spark, df, SF_SMALL)
+    assert out.schema == df.schema and sorted(out.collect()) == sorted(df.filter("doc_id < 3").collect())
+
+
 def test_held_out_rule(spark):
     for r in queries.QUERIES["op5_bloom_lm"](spark, SF_SMALL).limit(20).collect():
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0)

@@ -26,6 +26,8 @@ HOST_FAIL_RATE = 0.8
 #: prior strength (in documents) where the hosts' rates give no estimate
 DEFAULT_STRENGTH = 10.0
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+#: all columns that ``with_verdicts`` adds
+ADDED = [*MEASURES, "base_failed", "host_rate", "host_rejected", "kept"]
 
 
 def _covered(hashes: Column) -> Column:
