@@ -359,6 +359,26 @@ def test_archives_of_edge_rows(spark):
     assert warc.read_arc(spark, arc).filter("not startswith(url, 'filedesc')").count() == 0
 
 
+def test_pages_with_the_url_of_a_version_block(spark):
+    rows = [(i, f"filedesc://page {i}", f"<p>{i}</p>") for i in range(4)] + [(4, "filedesc://", None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for version in (1, 2):
+        arc, out = scratch_path(spark, "arc"), scratch_path(spark, "warc")
+        warc.write_arc(df.coalesce(1), arc, version)
+        warc.write_warc(warc.convert(spark, warc.read_arc(spark, arc)), out)
+        got = warc.read_warc(spark, out).withColumn("id", warc.header_value(F.col("head"), "X-Page-Id")).collect()
+        assert sorted(r.id for r in got if r.type == "response") == list("01234")
+        assert [r.type for r in got if r.type != "response"] == ["warcinfo"]
+    one = b"filedesc://a 0.0.0.0 2001 text/plain 64\n1 0 x\n" + warc.ARC_FIELDS[1].encode() + b"\nab\n"
+    two = b"\nfiledesc://b 0.0.0.0 2001 text/plain 200 - - 0 - 120\n2 0 x\n" + warc.ARC_FIELDS[2].encode()
+    block = len(two.split(b"\n", 2)[2])
+    two = two.replace(b" 120\n", b" %d\n" % block)
+    one = one.replace(b" 64\n", b" %d\n" % (len(one.split(b"\n", 1)[1])))
+    page = b"\nhttp://c 0.0.0.0 2001 text/html 200 - - 0 - 2\nhi"
+    found = [(v, f["URL"], warc.VERSION_BLOCK in f, done) for _, v, f, _, done in warc.arc_records(one + two + page, False)]
+    assert found == [(1, "filedesc://a", True, True), (2, "filedesc://b", True, True), (2, "http://c", False, True)]
+
+
 def test_cut_off_and_foreign_lines():
     data = b"noise\nhttp://a 0.0.0.0 20010101000000 text/html 5\nhello\nhttp://b 0.0.0.0 2001 text/html 9\ncut"
     got = [(f["URL"], block, complete) for _, _, f, block, complete in warc.arc_records(data, False)]

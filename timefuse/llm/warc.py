@@ -36,6 +36,8 @@ ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
+#: the name under which the fields of a version block say that they are one
+VERSION_BLOCK = "Version-block"
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -125,30 +127,35 @@ class _Stream:
 
 def arc_records(content: bytes, packed: bool) -> Iterator[tuple]:
     """(place, version, fields by name, block, complete) of each record of an ARC file."""
-    stream, version, names = _Stream(content, packed), 1, ARC_FIELDS[1].split()
+    stream, version, names, opening = _Stream(content, packed), 1, ARC_FIELDS[1].split(), True
     while True:
         place, line = stream.place, stream.line()
         if line is None:
             return
         words = line.decode("utf-8", "replace").split(" ")
-        about = words[0].startswith("filedesc://")
-        if about:  # its own line has the fields of the version that it declares
-            known = [v for v, f in ARC_FIELDS.items() if len(f.split()) == len(words)]
-            version = known[0] if known else version
-            names = ARC_FIELDS[version].split()
-        if len(words) != len(names) or not words[-1].isdigit():
+        named, own = words[0].startswith("filedesc://"), names
+        if named and (opening or len(words) != len(names)):  # its own line has the fields of the version that it declares
+            own = next((f.split() for f in ARC_FIELDS.values() if len(f.split()) == len(words)), names)
+        if len(words) != len(own) or not words[-1].isdigit():
             continue
-        fields, block = dict(zip(names, words)), stream.take(int(words[-1]))
-        if about:
+        fields, block = dict(zip(own, words)), stream.take(int(words[-1]))
+        # a page may have such a url too: a version block opens the file, or declares fields further on
+        if named and not block.startswith(b"HTTP/"):
             lines = block.decode("utf-8", "replace").split("\n")
-            if lines[0][:1].isdigit() and len(lines) > 1 and lines[1].startswith("URL "):
-                version, names = int(lines[0].split(" ")[0]), lines[1].split()
+            declares = lines[0][:1].isdigit() and len(lines) > 1 and lines[1].startswith("URL ")
+            if opening or declares:
+                fields[VERSION_BLOCK] = "yes"
+                version = next((v for v, f in ARC_FIELDS.items() if f.split() == own), version)
+                names = own
+                if declares:
+                    version, names = int(lines[0].split(" ")[0]), lines[1].split()
+        opening = False
         yield place, version, fields, block, len(block) == int(words[-1])
 
 
 _ARC = pa.schema([("file", pa.string()), ("place", pa.int64()), ("version", pa.int32()), ("url", pa.string()),
                   ("ip", pa.string()), ("date", pa.string()), ("mime", pa.string()), ("status", pa.string()),
-                  ("head", pa.binary()), ("payload", pa.binary()), ("complete", pa.bool_())])
+                  ("head", pa.binary()), ("payload", pa.binary()), ("complete", pa.bool_()), ("about", pa.bool_())])
 
 
 def _batched(rows: Iterator[dict], schema: pa.Schema, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -178,7 +185,7 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of ARC files, version blocks included."""
+    """The records of ARC files, version blocks (``about``) included."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1)):
@@ -187,12 +194,13 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
                         head, payload = _parted(block)
                         yield {"file": name.rsplit("/", 1)[-1], "place": place, "version": version, "url": f["URL"],
                                "ip": f["IP-address"], "date": f["Archive-date"], "mime": f["Content-type"],
-                               "status": f.get("Result-code"), "head": head, "payload": payload, "complete": complete}
+                               "status": f.get("Result-code"), "head": head, "payload": payload, "complete": complete,
+                               "about": VERSION_BLOCK in f}
                 yield from _batched(rows(), _ARC)
 
     return _files(spark, path).mapInArrow(run, "file string, place bigint, version int, url string, ip string, "
                                                "date string, mime string, status string, head binary, payload binary, "
-                                               "complete boolean")
+                                               "complete boolean, about boolean")
 
 
 def header_value(head: Column, name: str) -> Column:
@@ -214,8 +222,7 @@ def convert(spark: SparkSession, arc: DataFrame, min_payload: int = 0) -> DataFr
         "when": F.regexp_replace(F.rpad("date", 14, "0"), r"(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d).*", "$1-$2-$3T$4:$5:$6Z"),
     })
     made = written(spark, made, "arc-records")
-    about = F.col("url").startswith("filedesc://")
-    pages = made.filter(~about)
+    pages = made.filter("not about")
     # the largest id, then the smallest identifier
     largest = F.max(F.struct(F.col("number"), F.translate("record", "0123456789abcdef", "fedcba9876543210").alias("r"),
                              F.col("record"), F.col("url"), F.col("when")))
@@ -243,7 +250,7 @@ def convert(spark: SparkSession, arc: DataFrame, min_payload: int = 0) -> DataFr
         F.when(same, revisit).otherwise(F.when(~F.col("complete"), F.lit("WARC-Truncated: unspecified\r\n")).otherwise("")),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
         field("Content-Length", F.octet_length(block)), F.lit("\r\n"))
-    info = made.filter(about).select(F.concat(
+    info = made.filter("about").select(F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: warcinfo\r\n"), field("WARC-Record-ID", F.concat(F.lit("<"), F.col("record"), F.lit(">"))),
         field("WARC-Date", F.col("when")), F.lit("Content-Type: text/plain\r\n"),
         field("Content-Length", F.col("bytes")), F.lit("\r\n"), F.col("payload").cast("string")).alias("value"))
