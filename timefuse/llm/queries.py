@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..tables import load
-from . import bloom_lm, bpe, chat, host_rules, html, shards, simhash, tiling, token_scan, warc
+from . import bloom_lm, bpe, chat, fim, host_rules, html, shards, simhash, tiling, token_scan, warc
 from .common import text_or_empty, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -210,3 +210,34 @@ def op10_chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.size("read").cast("bigint").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
         F.length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+FIM_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents
+), h AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM (SELECT *, ('0x' || substr(d, 1, 8))::BIGINT AS h1, ('0x' || substr(d, 9, 8))::BIGINT AS h2,
+               ('0x' || substr(d, 17, 8))::BIGINT AS h3, ('0x' || substr(d, 25, 8))::BIGINT AS h4 FROM t)
+), p AS (
+  SELECT *, t[1:a] AS prefix, t[a + 1:b] AS middle, t[b + 1:n] AS suffix FROM h
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a::BIGINT END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN (b - a)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+@query("op11_swar_fim", FIM_SQL)
+def op11_swar_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in fill-in-the-middle form, and the text rebuilt from it."""
+    out = fim.transform(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                      F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                      F.sha2(fim.restored().cast("binary"), 256).alias("restored_sha256"))
