@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..tables import load
-from . import bloom_lm, bpe, chat, fim, host_rules, html, shards, simhash, tiling, token_scan, warc
+from . import bloom_lm, bpe, chat, fim, host_rules, html, shards, simhash, spelling, tiling, token_scan, warc
 from .common import text_or_empty, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -241,3 +241,51 @@ def op11_swar_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
                       F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
                       F.sha2(fim.restored().cast("binary"), 256).alias("restored_sha256"))
+
+
+# crc32 byte by byte, over the 256 values of the polynomial's table
+SPELLING_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY b) AS tab FROM (
+    SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM (SELECT unnest(range(256)) AS b))
+), runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes),
+           lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM (SELECT run, n, list_transform(range(octet_length(key)), lambda i: ('0x' || hex(key)[2 * i + 1:2 * i + 2])::BIGINT) AS bytes
+        FROM (SELECT run, n, encode(coalesce(doc_id::VARCHAR, '') || ':' || run) AS key FROM runs)), crc
+), counts AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT n, CASE WHEN h % 97 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), cut AS (
+  SELECT word, n, i, word[1:i] AS a, word[i + 2:] AS b FROM (SELECT word, n, unnest(range(length(word))) AS i FROM counts)
+), near AS (
+  SELECT x.word, y.word AS other, y.n AS m FROM cut x JOIN cut y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT c.word, w.word, w.n FROM cut c JOIN counts w ON w.word = c.a || c.b
+  UNION SELECT w.word, c.word, c.n FROM cut c JOIN counts w ON w.word = c.a || c.b
+), best AS (
+  SELECT word, count(*)::BIGINT AS n_near, max(m) AS m, arg_min(other, (-m, encode(other))) AS other FROM near GROUP BY word
+), forms AS (
+  SELECT c.word, c.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 2 * n THEN other END AS form,
+         CASE WHEN m >= 2 * n THEN m END AS form_n
+  FROM counts c LEFT JOIN best ON best.word = c.word
+), chain AS (
+  SELECT word, word AS last FROM forms
+  UNION ALL SELECT chain.word, forms.form FROM chain JOIN forms ON forms.word = chain.last WHERE forms.form IS NOT NULL
+)
+SELECT f.word, n, n_near, form, form_n, r.last AS root
+FROM forms f JOIN (SELECT chain.word, chain.last FROM chain JOIN forms ON forms.word = chain.last WHERE form IS NULL) r ON r.word = f.word
+"""
+
+
+@query("op12_trie_pairs", SPELLING_SQL)
+def op12_trie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, their spelling neighbours and the form each one goes back to."""
+    out = spelling.variants(spark, load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("word", "form", "root", "n", "n_near", "form_n")
