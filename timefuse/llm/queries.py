@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..tables import load
-from . import bloom_lm, bpe, chat, fim, host_rules, html, shards, simhash, spelling, tiling, token_scan, warc
+from . import bloom_lm, bpe, chat, fim, host_rules, html, shards, simhash, spelling, substring, tiling, token_scan, warc
 from .common import text_or_empty, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -289,3 +289,32 @@ def op12_trie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents, their spelling neighbours and the form each one goes back to."""
     out = spelling.variants(spark, load(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+SUBSTRING_SQL = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), win AS (
+  SELECT rid, doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS h
+  FROM (SELECT rid, doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM t WHERE len(words) >= 50)
+), cut AS (
+  SELECT DISTINCT rid, unnest(range(i, i + 50)) AS p
+  FROM (SELECT rid, i, doc_id, min(doc_id) OVER (PARTITION BY h) AS first_id FROM win)
+  WHERE first_id < coalesce(doc_id, 9223372036854775807)
+), pos AS (
+  SELECT rid, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS p FROM t
+), kept AS (
+  SELECT pos.rid, count(*) AS n, string_agg(w, ' ' ORDER BY pos.p) AS s
+  FROM pos ANTI JOIN cut ON cut.rid = pos.rid AND cut.p = pos.p GROUP BY pos.rid
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(s, '')) AS kept_sha256
+FROM t LEFT JOIN kept ON kept.rid = t.rid
+"""
+
+
+@query("op13_suffix_automata", SUBSTRING_SQL)
+def op13_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that documents with smaller ids have."""
+    out = substring.remove_repeats(spark, load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
