@@ -94,12 +94,12 @@ def test_stream_then_reprocess_modified_file(spark, tmp_path):
     q = streams.stream_score_files(spark, src, schema_, coefs, lambda d: d, sink, f"{tmp_path}/ckpt",
                                    keep=["id"], options={"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"})
     q.awaitTermination()
-    got = {r.id: r.pred_y for r in spark.read.parquet(sink).collect()}
+    got = {r.id: r.pred_y for r in streams.read_predictions(spark, sink).collect()}
     assert got == {1: 3.0, 2: 5.0, 3: 7.0}
     _write(f"{src}/a.csv", "id,ts,x\n1,2024-01-01 01:00:00,10.0\n")  # file changed in place
     streams.reprocess_files(spark, [f"{src}/a.csv"], schema_, coefs, lambda d: d, sink, keep=["id"],
                             options={"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"})
-    rows = spark.read.parquet(sink).collect()
+    rows = streams.read_predictions(spark, sink).collect()
     assert sorted((r.id, r.pred_y, r.source_file) for r in rows) == [(1, 21.0, "a.csv"), (3, 7.0, "b.csv")]
 
 

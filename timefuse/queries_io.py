@@ -17,7 +17,7 @@ from .plans import forecast, preprocess
 from .queries_model import LIN_SQL, LIN_X, LIN_Y
 from .catalog import register
 from .session import scratch_path
-from .sources import scan, sinks
+from .sources import models, scan, sinks
 from .streaming import files as streams
 from .tables import load, r6, rounded
 
@@ -153,12 +153,27 @@ def q_load_model_state(spark, sf):
     return table.withColumn("coef", r6("coef"))
 
 
+@register("load_model_parts", f"""
+SELECT 'coefficient' AS part, target, term AS name, coef AS value, CAST(NULL AS DOUBLE) AS spread, CAST(NULL AS VARCHAR) AS text FROM ({LIN_SQL})
+UNION ALL SELECT 'scaler', NULL, 'l_quantity', round(avg(l_quantity), 6) + 0.0, round(stddev_pop(l_quantity), 6) + 0.0, NULL FROM lineitem
+UNION ALL SELECT 'roles', NULL, NULL, NULL, NULL, '{{"targets": ["l_extendedprice", "l_tax"], "numeric": ["l_quantity"]}}'
+UNION ALL SELECT 'feature', NULL, 'l_quantity', 0.0, NULL, NULL
+UNION ALL SELECT 'target', NULL, t, i, NULL, NULL FROM (VALUES ('l_extendedprice', 0.0), ('l_tax', 1.0)) v(t, i)
+""")
+def q_load_model_parts(spark, sf):
+    """Everything stored with the newest version: model, scaler, roles; nothing where nothing is stored."""
+    path = scratch_path(spark, "model")
+    assert sinks.load_model(spark, path) is None
+    _save_models(spark, sf, path)
+    return rounded(models.state_table(spark, sinks.load_model(spark, path)), ["value", "spread"])
+
+
 @register("sink_model_state", f"SELECT *, 1 AS version FROM ({LIN_SQL})")
 def q_sink_model_state(spark, sf):
     path = scratch_path(spark, "model")
     _save_models(spark, sf, path)
-    c = spark.read.parquet(f"{path}/coefficients").where("version = 1")
-    return c.select("target", "term", r6("coef").alias("coef"), "version")
+    c, _ = sinks.load_model_state(spark, path, version=1)
+    return c.select("target", "term", r6("coef").alias("coef"), F.lit(1).alias("version"))
 
 
 # ---------------------------------------------------------------------------
@@ -187,8 +202,12 @@ def q_forecast_periods(spark, sf):
 @register("sink_forecast_append", FORECAST_SQL)
 def q_sink_forecast_append(spark, sf):
     path = scratch_path(spark, "forecasts")
-    sinks.sink_forecast_append(_forecasts(spark, sf), path)
-    return spark.read.parquet(path).select("value", "forecast_period", "timestamp", "forecast_date", "ts")
+    forecasts = _forecasts(spark, sf)
+    sinks.sink_forecast_append(forecasts, path, "first")
+    sinks.sink_forecast_append(forecasts, path, "first")  # a retried append adds nothing
+    forecasts.write.partitionBy("forecast_period").parquet(f"{path}/run=r-second")  # an attempt that never got to its commit
+    sinks._ledger(spark, path).commit("begun-second", {})
+    return sinks.read_committed(spark, path).select("value", "forecast_period", "timestamp", "forecast_date", "ts")
 
 
 HORIZON_START_SQL = "(SELECT date_trunc('hour', max(ts)) + INTERVAL 1 HOUR AS st FROM events)"
@@ -256,10 +275,10 @@ def q_sink_prediction_by_day(spark, sf):
     pred = linear.predict_linear(li.select("l_orderkey", "l_linenumber", "l_quantity"), coefs) \
         .withColumns({"run_date": F.lit(_dt.date(2024, 1, 20)), "source_file": F.lit("lineitem.parquet")}) \
         .select("l_orderkey", "l_linenumber", r6("l_extendedprice").alias("l_extendedprice"), "run_date", "source_file")
-    path = scratch_path(spark, "predictions")
-    sinks.sink_prediction_by_day(pred, path)
-    sinks.sink_prediction_by_day(pred, path)  # a replay replaces its partition, no duplicates
-    return spark.read.option("basePath", path).parquet(path) \
+    path, pred = scratch_path(spark, "predictions"), pred.drop("run_date")
+    sinks.sink_run_by_day(pred, path, "lineitem-0", _dt.date(2024, 1, 20))
+    sinks.sink_run_by_day(pred, path, "lineitem-0", _dt.date(2024, 1, 21))  # a replay after midnight changes nothing
+    return sinks.read_committed(spark, path) \
         .select("l_orderkey", "l_linenumber", "l_extendedprice", F.col("run_date").cast("date"), "source_file")
 
 
@@ -297,12 +316,13 @@ SELECT e.event_id, e.ts, round(m.a + m.b * hour(e.ts), 6) + 0.0 AS pred_value FR
 def q_stream_score_files(spark, sf):
     _, coefs = events_model(spark, sf)
     root = write_events_csv(spark, sf, ["event_type"])
-    sink, ckpt = scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-ckpt")
-    q = streams.stream_score_files(spark, f"{root}/events_csv", _stream_schema(), coefs, tp.calendar_parts,
+    sink, ckpt, model = (scratch_path(spark, n) for n in ("stream-sink", "stream-ckpt", "stream-model"))
+    sinks.sink_model_state(spark, model, coefs, None, None)
+    q = streams.stream_score_files(spark, f"{root}/events_csv", _stream_schema(), model, tp.calendar_parts,
                                    sink, ckpt, max_files=4, options={"timestampNTZFormat": CSV_TS},
                                    keep=["event_id", "ts"])
     q.awaitTermination()
-    return spark.read.parquet(sink).select("event_id", "ts", r6("pred_value").alias("pred_value"))
+    return streams.read_predictions(spark, sink).select("event_id", "ts", r6("pred_value").alias("pred_value"))
 
 
 def _stream_schema():
@@ -315,10 +335,54 @@ UNION ALL SELECT 'value', 'hour', round(regr_slope(value, hour(ts)), 6) + 0.0 FR
 """)
 def q_stream_update_model(spark, sf):
     root = write_events_csv(spark, sf, ["event_type"])
-    state, ckpt = scratch_path(spark, "stream-state"), scratch_path(spark, "stream-ckpt")
+    model, ckpt = scratch_path(spark, "stream-model"), scratch_path(spark, "stream-ckpt")
     q = streams.stream_update_model(spark, f"{root}/events_csv", _stream_schema(), ["hour"], ["value"],
-                                    tp.calendar_parts, state, ckpt, max_files=4,
+                                    tp.calendar_parts, model, ckpt, max_files=4,
                                     options={"timestampNTZFormat": CSV_TS})
     q.awaitTermination()
-    coefs = streams.model_from_state(spark, state, ["hour"], ["value"])
+    coefs = streams.model_from_state(spark, model)
     return linear.coefficients_frame(spark, coefs).withColumn("coef", r6("coef"))
+
+
+# Three deliveries of the events: each is scored by the model of those before
+# it (the first by none), then taken into the model.
+_LOOP_PARTS = [("click",), ("error", "view"), ("purchase", "signup")]
+_LOOP_SQL = """
+WITH e AS (SELECT *, CASE WHEN event_type = 'click' THEN 0 WHEN event_type IN ('error', 'view') THEN 1
+                          WHEN event_type IN ('purchase', 'signup') THEN 2 END AS part FROM events),
+m AS (SELECT p.part, regr_intercept(value, hour(ts)) AS a, regr_slope(value, hour(ts)) AS b
+      FROM e JOIN (VALUES (1), (2), (3)) p(part) ON e.part < p.part GROUP BY p.part)
+SELECT 'prediction' AS kind, e.event_id, round(m.a + m.b * hour(e.ts), 6) + 0.0 AS value FROM e JOIN m ON m.part = e.part
+UNION ALL SELECT 'intercept', NULL, round(a, 6) + 0.0 FROM m WHERE part = 3
+UNION ALL SELECT 'slope', NULL, round(b, 6) + 0.0 FROM m WHERE part = 3
+UNION ALL SELECT 'version', NULL, 2.0
+"""
+
+
+@register("stream_model_loop", _LOOP_SQL)
+def q_stream_model_loop(spark, sf):
+    """The model loop over three deliveries, with every delivery's batch run once more at the end, a day later."""
+    ev = load(spark, sf, "events").withColumn("yr", F.year("ts"))
+    root, sink, ckpt, model = (scratch_path(spark, n) for n in ("csv-tree", "loop-sink", "loop-ckpt", "loop-model"))
+    options = {"timestampNTZFormat": CSV_TS}
+
+    def deliver(k):
+        ev.where(F.col("event_type").isin(*_LOOP_PARTS[k])).select("event_id", "ts", "user_id", "value", "props", "yr") \
+            .write.option("header", True).options(**options).csv(f"{root}/part-{k}")
+
+    spark.createDataFrame([], _stream_schema()).write.csv(f"{root}/none")
+    for k in range(3):
+        deliver(k)
+        streams.stream_model_loop(spark, root, _stream_schema(), ["hour"], ["value"], tp.calendar_parts, model, sink, ckpt,
+                                  options=options, keep=["event_id"]).awaitTermination()
+    for k in range(3):  # a replay of each batch
+        batch = spark.read.schema(_stream_schema()).option("header", True).options(**options).csv(f"{root}/part-{k}") \
+            .withColumns({"source_file": F.lit("again"), "source_id": F.lit(0)})
+        streams.model_batch(spark, batch, k, ["hour"], ["value"], tp.calendar_parts, model, sink, "loop",
+                            keep=["event_id"], run_date=_dt.date(2099, 1, 1))
+    state = sinks.load_model(spark, model)
+    c = state.coefs["value"]
+    parts = spark.createDataFrame([("intercept", None, c["intercept"]), ("slope", None, c["hour"]), ("version", None, float(state.version))],
+                                  "kind string, event_id bigint, value double")
+    out = streams.read_predictions(spark, sink).select(F.lit("prediction").alias("kind"), "event_id", F.col("pred_value").alias("value"))
+    return out.unionByName(parts).withColumn("value", r6("value"))
