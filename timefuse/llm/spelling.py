@@ -247,9 +247,7 @@ def variants(spark: SparkSession, docs: DataFrame, text: str = "text", id_col: s
     last word of the chain of forms."""
     words = written(spark, word_counts(docs, text, id_col, min_length, min_count), "words")
     numbered, pairs = node_pairs(spark, words)
-    numbered = written(spark, numbered, "numbered")
-    near = written(spark, neighbours(pairs), "near")
-    known = written(spark, numbered.join(near, "id", "left").select(
+    known = written(spark, numbered.join(neighbours(pairs), "id", "left").select(
         "id", "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"),
         *[F.when(F.col("best")["n"] >= ratio * F.col("n"), F.col("best")[c]).alias(a) for c, a in (("n", "form_n"), ("neg", "neg"))])
         .withColumn("form_id", -F.col("neg")).drop("neg"), "known")

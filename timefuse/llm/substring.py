@@ -203,8 +203,8 @@ def _candidates(spark: SparkSession, src: DataFrame, window: int, gram: int, hot
 def _passages(spark: SparkSession, found: DataFrame, window: int, shard_words: int) -> DataFrame:
     """``shard, key, content, owner, last, words``: each different run of words under a key of several documents."""
     runs = found.select("row", "id", F.inline("runs"))
-    distinct = written(spark, runs.groupBy("key", "content").agg(
-        F.min("id").alias("owner"), F.max("id").alias("last"), F.min(F.struct("row", "at", "n")).alias("place")), "passages")
+    distinct = runs.groupBy("key", "content").agg(
+        F.min("id").alias("owner"), F.max("id").alias("last"), F.min(F.struct("row", "at", "n")).alias("place"))
     several = distinct.groupBy("key").agg(F.min("owner").alias("a"), F.max("last").alias("b")).filter("a < b").select("key")
     distinct = written(spark, distinct.join(several, "key", "left_semi").select(
         "key", "content", "owner", "last", "place.*"), "references")
@@ -271,7 +271,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, text: str = "text", id_
     space) and ``spans`` (first word and words of each removed span) of every row."""
     src = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("id"), text_or_empty(text).alias("text"))
     found = _candidates(spark, src, window, gram, hot, bitmap_bits)
-    answers = written(spark, _matched(_passages(spark, found, window, shard_words), window), "matches")
+    answers = _matched(_passages(spark, found, window, shard_words), window)
     runs = found.select("row", "id", F.inline("runs")).join(answers, ["key", "content"])
     removed = F.filter(F.transform("owners", lambda o, i: F.when(o < F.col("id"), F.col("at") + i)), lambda x: x.isNotNull())
     removed = runs.select("row", removed.alias("at")).filter("size(at) > 0") \
