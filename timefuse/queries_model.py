@@ -405,6 +405,51 @@ def q_auc_by_target(spark, sf):
     return evaluate.auc_by_target(_auc_input(spark, sf), ["quality", "toxic"], "n_chars").withColumn("auc", r6("auc"))
 
 
+@register("roc_auc_ovr", """
+WITH d AS (SELECT lang AS y, CAST(n_chars AS DOUBLE) AS s FROM documents WHERE lang IS NOT NULL AND n_chars IS NOT NULL),
+r AS (SELECT y, (2 * rank() OVER (ORDER BY s) + count(*) OVER (PARTITION BY s) - 1) / 2.0 AS ar FROM d),
+c AS (SELECT y, CAST(count(*) AS DOUBLE) AS p, CAST((SELECT count(*) FROM d) - count(*) AS DOUBLE) AS n, sum(ar) AS sr FROM r GROUP BY y)
+SELECT round(avg((sr - p * (p + 1) / 2) / nullif(p * n, 0)), 6) + 0.0 AS auc FROM c
+""")
+def q_roc_auc_ovr(spark, sf):
+    return evaluate.roc_auc_ovr(load(spark, sf, "documents").select("lang", "n_chars"), "lang", "n_chars").withColumn("auc", r6("auc"))
+
+
+def _evaluated_auc(target, y, s, where="true"):
+    """The larger class of two against the other, the mean of all one-vs-rest AUCs of more."""
+    return f"""(WITH d AS (SELECT {y} AS y, CAST({s} AS DOUBLE) AS s FROM lineitem WHERE {where}),
+     r AS (SELECT y, (2 * rank() OVER (ORDER BY s) + count(*) OVER (PARTITION BY s) - 1) / 2.0 AS ar FROM d),
+     c AS (SELECT y, CAST(count(*) AS DOUBLE) AS p, CAST((SELECT count(*) FROM d) - count(*) AS DOUBLE) AS n, sum(ar) AS sr FROM r GROUP BY y),
+     a AS (SELECT y, (sr - p * (p + 1) / 2) / nullif(p * n, 0) AS auc FROM c)
+     SELECT '{target}' AS target, count(*) AS n_classes, CASE WHEN count(*) > 2 THEN avg(auc) ELSE arg_max(auc, y) END AS auc FROM a)"""
+
+
+_LM_SQL = """m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b1, regr_intercept(l_extendedprice, l_quantity) AS a1,
+       regr_slope(l_tax, l_quantity) AS b2, regr_intercept(l_tax, l_quantity) AS a2 FROM lineitem)"""
+
+
+@register("evaluate_model", f"""
+WITH {_LM_SQL}, e AS (
+  SELECT 'l_extendedprice' AS target, avg((l_extendedprice - a1 - b1 * l_quantity) ** 2) AS e, var_pop(l_extendedprice) AS v FROM lineitem, m
+  UNION ALL SELECT 'l_tax', avg((l_tax - a2 - b2 * l_quantity) ** 2), var_pop(l_tax) FROM lineitem, m
+  UNION ALL SELECT 'l_linenumber', avg((l_linenumber - l_discount) ** 2), var_pop(l_linenumber) FROM lineitem),
+a AS (SELECT * FROM {_evaluated_auc('l_returnflag', 'l_returnflag', 'l_quantity')} UNION ALL
+      SELECT * FROM {_evaluated_auc('l_linestatus', 'l_linestatus', 'l_discount')} UNION ALL
+      SELECT * FROM {_evaluated_auc('l_linenumber', 'l_linenumber', 'l_discount')})
+SELECT coalesce(e.target, a.target) AS target, a.n_classes, round(a.auc, 6) + 0.0 AS auc, round(sqrt(e), 6) + 0.0 AS rmse,
+       round(1 - e / nullif(v, 0), 6) + 0.0 AS r2
+FROM e FULL JOIN a ON e.target = a.target
+""")
+def q_evaluate_model(spark, sf):
+    """Each target against its own prediction: two regressions, a class of two, one of three, one of seven."""
+    li = load(spark, sf, "lineitem")
+    coefs, _ = linear.fit_linear_multi(li, LIN_X, LIN_Y)
+    pairs = {"l_extendedprice": "pred_l_extendedprice", "l_tax": "pred_l_tax", "l_returnflag": "l_quantity",
+             "l_linestatus": "l_discount", "l_linenumber": "l_discount"}
+    out = evaluate.evaluate_model(linear.predict_linear(li, coefs, prefix="pred_"), pairs, ["l_returnflag", "l_linestatus", "l_linenumber"])
+    return rounded(out, ["auc", "rmse", "r2"])
+
+
 @register("head_n", "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")
 def q_head_n(spark, sf):
     return load(spark, sf, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(5)
