@@ -457,9 +457,15 @@ WHERE NOT ((r.source = 'orders' AND r.column_name IN (SELECT column_name FROM (D
         OR (r.source = 'lineitem' AND r.column_name IN (SELECT column_name FROM (DESCRIBE lineitem))))
 """)
 def q_check_missing(spark, sf):
-    there = {s: set(load(spark, sf, s).columns) for s in REQUIRED}  # names are in the schema: no row is read
-    missing = [(s, c) for s, cols in REQUIRED.items() for c in cols if c not in there[s]]
-    return spark.createDataFrame(missing, "source string, column_name string")
+    """Required columns that the files of a CSV tree lack, by the files' headers."""
+    from .session import scratch_path
+    from .sources.probe import missing_columns
+    root, parts = scratch_path(spark, "headers"), []
+    for source, required in REQUIRED.items():
+        load(spark, sf, source).write.option("header", True).option("sep", ";").csv(f"{root}/{source}")
+        found = missing_columns(spark, f"{root}/{source}", required, options={"sep": ";"})
+        parts.append(found.select(F.lit(source).alias("source"), F.col("missing").alias("column_name")).distinct())
+    return parts[0].unionByName(parts[1])
 
 
 @register("add_default_columns", "SELECT *, 0.0 AS p_weight, 'missing' AS p_container FROM part")

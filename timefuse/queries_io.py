@@ -108,13 +108,9 @@ SELECT event_id, event_type AS category, CAST(year(ts) AS INTEGER) AS year FROM
 """)
 def q_year_from_content(spark, sf):
     root = write_events_csv(spark, sf, ["event_type"], {"dt": F.unix_seconds(F.col("ts").cast("timestamp"))})
-    # a CSV schema binds columns by position: the written order minus the partition column
-    df = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv") \
-        .schema("event_id bigint, ts string, user_id bigint, value double, props string, yr int, dt bigint").csv(root)
-    path = F.url_decode(F.col("_metadata.file_path"))
-    df = df.withColumns({"category": F.regexp_extract(path, r"/event_type=([^/]+)/", 1),
-                         "source_file": F.col("_metadata.file_path")})
-    return scan.year_from_content(df, epoch_cols=("dt",)).select("event_id", "category", "year")
+    out = scan.scan_csv_tree(spark, root, {"events": r"/events_csv/event_type=(?<category>[^/]+)/[^/]+\.csv$"},
+                             "event_id bigint, dt bigint", epoch_cols=("dt", "UNIX_TIMESTAMP"))
+    return out.select("event_id", "category", "year")
 
 
 @register("load_for_date", """

@@ -1,24 +1,30 @@
 """Sources (S1-S3, S5-S7).
 
 CSV trees are read in one scan per distinct header, each file by its own
-header, and appended by name: Spark lists the files and finds their first
-lines, the category and year come from ``_metadata.file_path`` by a regex
-chosen by the parent directory, and files whose name matches no pattern are
-not read (no per-file Python loop over contents).
+header, and appended by name: Spark lists the files, ``probe`` reads the first
+bytes of each, the category and year come from the file's path by a regex
+chosen by the parent directory (or the year from the first row), and files
+whose name matches no pattern are not read. The text is scanned once: with a
+schema lazily, without one into a Parquet table of text cells, whose columns
+then say their types in one aggregate.
 """
 
 from __future__ import annotations
 
-import csv
 import datetime as _dt
 from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (DataType, DoubleType, FloatType, NumericType, StringType, StructField,
                                StructType)
 
+from ..session import written
+from .probe import probe
+
 # Fixed values from the reference: the file-name shapes of its three source
 # directories (no year, `<prefix>_events_<year>.csv`, `<category>-<year>.csv`)
 # are built by ``reference_patterns`` below.
@@ -77,30 +83,22 @@ NULL_WORDS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-na
               "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
-def headers(spark: SparkSession, root: str | list[str], glob: str = "*.csv", path_filter=None) -> dict[str, list[str]]:
-    """First line -> the files that begin with it, for all CSV files under
-    ``root`` (only those whose decoded path meets ``path_filter``).
-
-    One aggregate over the text, with one row per file out of each task; the
-    driver receives a line per file, as it does from Spark's own listing."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root) \
-        .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
-                F.monotonically_increasing_id().alias("row")).where("start = 0")
-    if path_filter is not None:
-        lines = lines.where(path_filter(F.url_decode("path")))
-    found = lines.groupBy("path").agg(F.min_by("value", "row").alias("line")) \
-        .select(F.url_decode("path").alias("path"), F.regexp_replace("line", "^\uFEFF|\r$", "").alias("line"))
-    out: dict[str, list[str]] = {}
-    for r in found.orderBy("line", "path").collect():
-        out.setdefault(r.line, []).append(r.path)
+def headers(spark: SparkSession, root: str | list[str], glob: str = "*.csv", path_filter=None,
+            options: dict | None = None) -> dict[tuple[str, ...], list[str]]:
+    """Header -> the files that have it, for all CSV files under ``root`` (only
+    those whose decoded path meets ``path_filter``); empty files have none.
+
+    The driver receives a row per file, as it does from Spark's own listing."""
+    out: dict[tuple[str, ...], list[str]] = {}
+    for r in probe(spark, root, glob, options, path_filter=path_filter).where("header is not null").orderBy("path").collect():
+        out.setdefault(tuple(r["header"]), []).append(r["path"])
     return out
 
 
-def _by_name(line: str, wanted: StructType) -> StructType:
+def _by_name(cells: tuple[str, ...], wanted: StructType) -> StructType:
     """The schema of files with this header: types by name, text for unknown
     columns; unnamed and repeated columns are named as Spark's reader does."""
     types = {f.name: f.dataType for f in wanted}
-    cells = next(csv.reader([line]), [])
     often = Counter(c.lower() for c in cells)
     names = [f"_c{i}" if not c else f"{c}{i}" if often[c.lower()] > 1 else c for i, c in enumerate(cells)]
     return StructType([StructField(c, types.get(c, StringType())) for c in names])
@@ -130,66 +128,106 @@ def read_csv_by_header(spark: SparkSession, root: str | list[str], glob: str = "
     """All CSV files under ``root``, each read by its own header and appended
     by name, with ``source_file`` and ``source_path``; None without any file.
 
-    ``schema`` gives types by name (columns it does not name are text) and
-    saves the pass that infers them. Words for unknown values and NaN are NULL."""
+    ``schema`` gives types by name (columns it does not name are text; one that
+    no file has is an error) and saves the written table from which types are
+    learned without it. Words for unknown values and NaN are NULL. Quoted line
+    breaks need the option ``multiLine``, which keeps a file in one task."""
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
+    found = headers(spark, root, glob, path_filter, options)
+    if not found:
+        return None
+    absent = {f.name for f in schema or []} - {f.name for cells in found for f in _by_name(cells, StructType())}
+    if absent:
+        raise ValueError(f"columns that no file has: {', '.join(sorted(absent))}")
     parts = []
-    for line, paths in headers(spark, root, glob, path_filter).items():
+    for cells, paths in found.items():
         reader = spark.read.option("header", True).option("mode", "PERMISSIVE").options(**(options or {}))
-        reader = reader.option("inferSchema", True) if schema is None else reader.schema(_by_name(line, schema))
-        part = reader.csv(paths)
+        part = reader.schema(_by_name(cells, schema or StructType())).csv(paths)
         words = [f.name for f in part.schema if isinstance(f.dataType, StringType)]
         floats = [f.name for f in part.schema if isinstance(f.dataType, (DoubleType, FloatType))]
-        cells = {c: F.when(~F.col(f"`{c}`").isin(NULL_WORDS), F.col(f"`{c}`")) for c in words}
-        cells |= {c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in floats}
-        part = part.withColumns({"source_path": F.url_decode(F.col("_metadata.file_path")),
-                                 "source_file": F.col("_metadata.file_name"), **cells})
-        if schema is None:
-            part = _numbers(part, words)
-        parts.append(part)
-    return union_widened(parts) if parts else None
-
-
-def _numbers(df: DataFrame, words: list[str]) -> DataFrame:
-    """Text columns whose known cells are all numbers (the others were words
-    for unknown values, which keep a reader from seeing numbers) as doubles."""
-    if not words:
-        return df
-    r = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(words)],
-               *[F.count(F.col(f"`{c}`").try_cast("double")).alias(f"d{i}") for i, c in enumerate(words)]).first()
-    return df.withColumns({c: F.col(f"`{c}`").try_cast("double") for i, c in enumerate(words)
-                           if 0 < r[f"n{i}"] == r[f"d{i}"]})
-
-
-def scan_csv_tree(spark: SparkSession, root: str, patterns: dict[str, str],
-                  schema: StructType | str | None = None, options: dict | None = None) -> DataFrame:
+        known = {c: F.when(~F.trim(F.col(f"`{c}`")).isin(NULL_WORDS), F.col(f"`{c}`")) for c in words}
+        known |= {c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in floats}
+        parts.append(part.withColumns({"source_path": F.url_decode(F.col("_metadata.file_path")),
+                                       "source_file": F.col("_metadata.file_name"), **known}))
+    if schema is not None:
+        return union_widened(parts)
+    return typed(written(spark, union_by_name(parts), "csv-cells"), ("source_path", "source_file"))
+
+
+_WHOLE, _NUMBER, _TRUTH = r"^\s*[+-]?[0-9]{1,18}\s*$", r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$", r"(?i)^\s*(true|false)\s*$"
+
+
+def typed(cells: DataFrame, leave: tuple[str, ...] = ()) -> DataFrame:
+    """Text columns by what all their known cells are, from one aggregate:
+    whole numbers, numbers, truth values, else text."""
+    columns = [f.name for f in cells.schema if isinstance(f.dataType, StringType) and f.name not in leave]
+    if not columns:
+        return cells
+    kinds = (("bigint", _WHOLE), ("double", _NUMBER), ("boolean", _TRUTH))
+    r = cells.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(columns)],
+                  *[F.sum(F.col(f"`{c}`").rlike(rx).cast("bigint")).alias(f"{kind}{i}")
+                    for i, c in enumerate(columns) for kind, rx in kinds]).first()
+    types = {c: next((kind for kind, _ in kinds if 0 < r[f"n{i}"] == r[f"{kind}{i}"]), None) for i, c in enumerate(columns)}
+    return cells.withColumns({c: F.trim(F.col(f"`{c}`")).cast(kind) for c, kind in types.items() if kind})
+
+
+def scan_csv_tree(spark: SparkSession, root: str, patterns: dict[str, str], schema: StructType | str | None = None,
+                  options: dict | None = None, epoch_cols: tuple[str, ...] = ()) -> DataFrame:
     """Recursive CSV scan of ``root``; keeps files whose path matches a
-    source pattern and adds ``source``, ``category``, ``year``, ``source_file``."""
+    source pattern and adds ``source``, ``category``, ``year``, ``source_file``.
+    With ``epoch_cols``, files without a year in their name take it from their
+    first known epoch (S2), and those without one drop out."""
     df = read_csv_by_header(spark, root, "*.csv", schema, lambda path: dispatch_columns(path, patterns)[3], options)
     if df is None:
         wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema or StructType()
         df = spark.createDataFrame([], wanted).withColumns(
             {"source_path": F.lit(None).cast("string"), "source_file": F.lit(None).cast("string")})
     source, category, year, _ = dispatch_columns(F.col("source_path"), patterns)
-    return df.withColumns({"source": source, "category": category, "year": year}).drop("source_path")
+    df = df.withColumns({"source": source, "category": category, "year": year})
+    if epoch_cols:
+        unnamed = lambda path: dispatch_columns(path, patterns)[3] & dispatch_columns(path, patterns)[2].isNull()
+        years = probe(spark, root, "*.csv", options, epoch_cols, unnamed).where("year is not null")
+        df = _with_years(df, years.select(F.col("path").alias("source_path"), F.col("year").alias("_y")), "source_path")
+    return df.drop("source_path")
+
+
+#: files whose years are sent to all tasks; 32 MB at 300 bytes a path
+YEAR_FILES = 100_000
+
+
+def _with_years(df: DataFrame, years: DataFrame, file_col: str) -> DataFrame:
+    """Fill ``year`` by file from ``years`` (``file_col, _y``), and drop rows without any."""
+    years = written(df.sparkSession, years, "file-years")  # one row a file
+    if years.count() <= YEAR_FILES:
+        years = F.broadcast(years)
+    year = F.coalesce(F.col("year"), F.col("_y")) if "year" in df.columns else F.col("_y")
+    return df.join(years, file_col, "left").withColumn("year", year).drop("_y").where("year is not null")
+
+
+def _position(df: DataFrame) -> Column:
+    """Where a row is in its file: the start of its block, then its place there
+    (rows of a block are in one task, in their order)."""
+    try:
+        block = df.select("_metadata.file_block_start") and F.col("_metadata.file_block_start")
+    except (AnalysisException, Py4JJavaError):
+        raise ValueError("the rows' order is not known: give order_col, or a file scan") from None
+    return F.struct(block.alias("block"), F.monotonically_increasing_id().alias("line"))
 
 
 def year_from_content(df: DataFrame, epoch_cols=("dt", "UNIX_TIMESTAMP"), file_col: str = "source_file",
                       order_col: str | None = None) -> DataFrame:
-    """For files without a year in the name, the year of the first row's
-    epoch value (per file); files without any epoch value drop out."""
+    """S2 on rows read already: for files without a year in the name, the year
+    of the file's first known epoch; files without any drop out. Files on
+    storage are better served by ``scan_csv_tree(epoch_cols=...)``, which reads
+    their first bytes only."""
     col = next((c for c in epoch_cols if c in df.columns), None)
     if col is None:
         return df.limit(0)
-    # row position within a file: the scan order (ids grow with the split offset)
-    src = df if order_col else df.withColumn("_row", F.monotonically_increasing_id())
-    order = F.col(order_col or "_row")
-    per_file = src.where(F.col(col).isNotNull()) \
-        .groupBy(file_col).agg(F.min_by(F.year(F.timestamp_seconds(F.col(col).cast("bigint"))), order).alias("_y"))
-    out = df.join(per_file, file_col, "inner")
-    return out.withColumn("year", F.coalesce(F.col("year"), F.col("_y")) if "year" in df.columns
-                          else F.col("_y")).drop("_y")
+    src = df.select(file_col, col, (F.col(order_col) if order_col else _position(df)).alias("_at"))
+    first = src.where(F.col(col).isNotNull()).groupBy(file_col).agg(
+        F.min_by(F.year(F.timestamp_seconds(F.col(col).cast("bigint"))), "_at").alias("_y"))
+    return _with_years(df, first, file_col)
 
 
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
