@@ -75,7 +75,7 @@ def test_against_brute_force(spark, seed, window, gram, hot):
         {c: F.lit("clash") for c in ("id", "row", "key", "runs", "kept", "n_words")}).repartition(6)
     want = by_hand(rows, window)
     assert sum(w[2] for w in want) > 100
-    assert result(df, window=window, gram=gram, hot=hot, bitmap_bits=1 << 10, shard_words=300) == want
+    assert result(df, window=window, gram=gram, hot=hot, spread=1 + hot % 3, bitmap_bits=1 << 10, shard_words=300) == want
 
 
 def test_empty_and_single(spark):

@@ -12,9 +12,12 @@ few of them:
 * Keys of one document only are left out. A bitmap of fixed size tells the
   tasks which keys may be in several; what it lets through wrongly is dropped
   by the aggregate that follows.
-* A key with more than ``HOT`` runs (a passage that very many documents have)
-  is refined: its windows stand alone, keyed by the hash of all their words, so
-  no key holds more different passages than that.
+* A key with more than ``HOT`` runs that are not nearly all equal (a passage
+  in very many different documents) is refined: its windows stand alone, keyed
+  by the hash of all their words. Whether runs are equal is read off a sketch
+  of 64 bits for each key (one bit for each run's hash); with ``SPREAD`` of
+  them set there are some 180 different runs, so a key that is not refined
+  holds at most ``HOT`` or a few hundred different passages.
 * Equal runs of words (exact copies) are one reference passage, owned by the
   smallest id.
 
@@ -54,6 +57,7 @@ GRAM = 8
 #: runs of one key beyond which its windows are keyed one by one; grows with
 #: the input so that at most ``MOST_HOT`` keys are hot (8 MB sent to the tasks)
 HOT, MOST_HOT = 2_000, 1_000_000
+SPREAD = 60
 #: bits of the map of keys that several documents may have (8 MB)
 BITMAP_BITS = 1 << 26
 SHARD_WORDS = 60_000
@@ -107,6 +111,37 @@ def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
     return keys & np.int64(bits - 1)
 
 
+class Runs:
+    """The runs of windows of one text that share a key: ``key``, first window
+    ``at``, windows ``n`` and hash of the words ``content``, as arrays."""
+
+    def __init__(self, text: str, window: int, gram: int) -> None:
+        words = text.encode().split()
+        self.key = self.at = self.n = self.content = np.zeros(0, dtype=np.int64)
+        if len(words) < window:
+            return
+        keys = window_keys(_hashes(words), window, gram)
+        self.at, self.n = _runs(keys, window - gram + 1)
+        self.key = keys[self.at]
+        self.joined, self.window = b" ".join(words), window
+        self.ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+        self.begins = np.concatenate([[0], self.ends[:-1] + 1])
+
+    def hashed(self) -> "Runs":
+        """With ``content`` filled in."""
+        from xxhash import xxh3_64_intdigest
+
+        if len(self.at):
+            begins, ends = self.begins[self.at].tolist(), self.ends[self.at + self.n + self.window - 2].tolist()
+            self.content = np.fromiter((xxh3_64_intdigest(self.joined[b:e]) for b, e in zip(begins, ends)),
+                                       dtype=np.uint64, count=len(begins)).view(np.int64)
+        return self
+
+    def keep(self, some: np.ndarray) -> "Runs":
+        self.key, self.at, self.n = self.key[some], self.at[some], self.n[some]
+        return self
+
+
 class Candidates:
     """Runs of windows whose keys may be in several documents."""
 
@@ -117,52 +152,40 @@ class Candidates:
         """(key, hash of the words, first window, windows) of each run."""
         from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
-        words = text.encode().split()
-        if len(words) < self.window:
-            return []
-        x = _hashes(words)
-        keys = window_keys(x, self.window, self.gram)
-        at, n = _runs(keys, self.window - self.gram + 1)
-        bucket = _bucket(keys[at], 8 * len(self.bitmap))
-        some = self.bitmap[bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1 > 0
-        at, n = at[some], n[some]
-        if not len(at):
-            return []
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-        begins = np.concatenate([[0], ends[:-1] + 1])
-        single = np.isin(keys[at], self.hot)
-        out = []
-        for a, k in zip(at[single].tolist(), n[single].tolist()):
+        runs = Runs(text, self.window, self.gram)
+        bucket = _bucket(runs.key, 8 * len(self.bitmap))
+        runs.keep(self.bitmap[bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1 > 0)
+        single, out = np.isin(runs.key, self.hot), []
+        for a, k in zip(runs.at[single].tolist(), runs.n[single].tolist()):
             for i in range(a, a + k):
-                run = joined[begins[i]:ends[i + self.window - 1]]
+                run = runs.joined[runs.begins[i]:runs.ends[i + self.window - 1]]
                 out.append((xxh64_intdigest(run) - 2**63, xxh3_64_intdigest(run) - 2**63, i, 1))
-        at, n = at[~single], n[~single]
-        for key, i, k, b, e in zip(keys[at].tolist(), at.tolist(), n.tolist(), begins[at].tolist(),
-                                   ends[at + n + self.window - 2].tolist()):
-            out.append((key, xxh3_64_intdigest(joined[b:e]) - 2**63, i, k))
-        return out
+        runs.keep(~single).hashed()
+        return out + list(zip(runs.key.tolist(), runs.content.tolist(), runs.at.tolist(), runs.n.tolist()))
 
 
 def _key_counts(src: DataFrame, window: int, gram: int) -> DataFrame:
-    """``key, n`` (runs) and ``several`` (whether in more than one document) of every key that occurs twice."""
+    """``key, n`` (runs), ``several`` (whether in more than one document) and
+    ``spread`` (bits of the sketch) of every key that occurs twice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            keys, ids, counts = [], [], []
+            out: list[list] = [[], [], [], []]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = text.encode().split()
-                if len(words) >= window:
-                    found = window_keys(_hashes(words), window, gram)
-                    found, n = np.unique(found[_runs(found, window - gram + 1)[0]], return_counts=True)
-                    keys.append(found)
-                    counts.append(n)
-                    ids.append(np.full(len(found), doc_id))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, ids, counts)],
-                                                 names=["key", "id", "n"])
-
-    rows = src.mapInArrow(run, "key bigint, id bigint, n bigint")
-    return rows.groupBy("key").agg(F.sum("n").alias("n"), (F.min("id") < F.max("id")).alias("several")).filter("n > 1")
+                runs = Runs(text, window, gram).hashed()
+                if len(runs.key):
+                    order = np.argsort(runs.key)
+                    key = runs.key[order]
+                    at = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+                    bits = np.uint64(1) << (runs.content[order].view(np.uint64) & np.uint64(63))
+                    for column, v in zip(out, (key[at], np.full(len(at), doc_id), np.diff(np.append(at, len(key))),
+                                               np.bitwise_or.reduceat(bits, at).view(np.int64))):
+                        column.append(v)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["key", "id", "n", "bits"])
+
+    rows = src.mapInArrow(run, "key bigint, id bigint, n bigint, bits bigint")
+    return rows.groupBy("key").agg(F.sum("n").alias("n"), (F.min("id") < F.max("id")).alias("several"),
+                                   F.bit_count(F.bit_or("bits")).alias("spread")).filter("n > 1")
 
 
 def _bitmap(counts: DataFrame, bits: int) -> np.ndarray:
@@ -179,12 +202,13 @@ def _bitmap(counts: DataFrame, bits: int) -> np.ndarray:
 _RUN = pa.struct([("key", pa.int64()), ("content", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
 
 
-def _candidates(spark: SparkSession, src: DataFrame, window: int, gram: int, hot: int, bits: int) -> DataFrame:
+def _candidates(spark: SparkSession, src: DataFrame, window: int, gram: int, hot: int, spread: int, bits: int) -> DataFrame:
     """``row, id, text, runs`` of every document, written."""
     counts = written(spark, _key_counts(src, window, gram), "window-keys")
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(hot, total // MOST_HOT)
-    hot_keys = np.array([r[0] for r in counts.filter((F.col("n") > least) & F.col("several")).select("key").collect()], dtype=np.int64)
+    different = (F.col("n") > least) & F.col("several") & (F.col("spread") >= spread)
+    hot_keys = np.array([r[0] for r in counts.filter(different).select("key").collect()], dtype=np.int64)
     shared = spark.sparkContext.broadcast((np.sort(hot_keys), _bitmap(counts, bits)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,11 +290,12 @@ def _matched(passages: DataFrame, window: int) -> DataFrame:
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = WINDOW,
-                   gram: int = GRAM, hot: int = HOT, bitmap_bits: int = BITMAP_BITS, shard_words: int = SHARD_WORDS) -> DataFrame:
+                   gram: int = GRAM, hot: int = HOT, spread: int = SPREAD, bitmap_bits: int = BITMAP_BITS,
+                   shard_words: int = SHARD_WORDS) -> DataFrame:
     """``id_col, n_words, n_removed, kept`` (the words that stay, joined by one
     space) and ``spans`` (first word and words of each removed span) of every row."""
     src = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("id"), text_or_empty(text).alias("text"))
-    found = _candidates(spark, src, window, gram, hot, bitmap_bits)
+    found = _candidates(spark, src, window, gram, hot, spread, bitmap_bits)
     answers = _matched(_passages(spark, found, window, shard_words), window)
     runs = found.select("row", "id", F.inline("runs")).join(answers, ["key", "content"])
     removed = F.filter(F.transform("owners", lambda o, i: F.when(o < F.col("id"), F.col("at") + i)), lambda x: x.isNotNull())
