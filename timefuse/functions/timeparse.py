@@ -265,26 +265,109 @@ def _parse_one(c: Column, fmt: str) -> Column:
     return F.when(c.rlike(guard), value)
 
 
-# Fallback shapes a general parser still reads (X5), after ``/`` became ``-``:
-# ISO with less or more than seconds, month-first dashed dates, half-day
-# clocks, month names in either order (weekday and GMT optional), 14-digit stamps.
-_MONTH_NAME = "[A-Za-z]{3,9}"
-_CLOCK = r"(?: \d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d{1,9})?)?)?"
-FALLBACK_PATTERNS = [
-    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}(?:Z|[+-]\d{2}:?\d{2})$", ["yyyy-M-d'T'H:mXXX", "yyyy-M-d'T'H:mXX"]),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", ["M-d-yyyy"]),
-    (r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{1,2}$", ["M-d-yyyy H:m"]),
-    (r"^\d{14}$", ["yyyyMMddHHmmss"]),
-    (r"^\d{4}-\d{1,2}$", ["yyyy-M"]),
-    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}(?::\d{1,2}(?::\d{1,2}(?:\.\d{1,9})?)?)?$",
-     ["yyyy-M-d'T'H[:m[:s[.SSSSSS]]]", "yyyy-M-d'T'H:m:s.S", "yyyy-M-d'T'H:m:s.SSS"]),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}(?::\d{1,2})? ?(?i:am|pm)$", ["yyyy-M-d h:m[:s][ ]a"]),
-    (r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{1,2}(?::\d{1,2})? ?(?i:am|pm)$", ["M-d-yyyy h:m[:s][ ]a"]),
-    (r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{1,2}:\d{1,2}(?:\.\d{1,9})?$", ["M-d-yyyy H:m:s[.SSSSSS]", "M-d-yyyy H:m:s.SSS",
-                                                                         "M-d-yyyy H:m:s.S"]),
-    (rf"^{_MONTH_NAME} \d{{1,2}},? \d{{4}}{_CLOCK}$", ["MMM d[,] yyyy[ H:m[:s]]", "MMMM d[,] yyyy[ H:m[:s]]"]),
-    (rf"^\d{{1,2}} {_MONTH_NAME} \d{{4}}{_CLOCK}$", ["d MMM yyyy[ H:m[:s]]", "d MMMM yyyy[ H:m[:s]]"]),
-]
+# The date grammar of X5. A text is read as words of these classes; what is left
+# after them must be numbers and separators.
+_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+_MONTH = r"(?<![a-z])(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?" \
+         r"|nov(?:ember)?|dec(?:ember)?)(?![a-z])\.?"
+_WEEKDAY = r"(?<![a-z])(?:mon|tue(?:s)?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?(?![a-z])\.?"
+_FILLER = r"(?<![a-z])(?:at|on|and|of|ad)(?![a-z])"
+# a zone name says nothing to a general parser, unless it is UTC's
+_ZONE_NAME = r"(?<=\d) (?!(?:AM|PM|UTC|GMT|" + "|".join(m.upper() for m in _MONTHS) + r"|MON|TUE|WED|THU|FRI|SAT|SUN)\b)[A-Z]{3,5}$"
+_HALF_DAY = r"(?:([ap])\.?m\.?(?![a-z]))?"
+_CLOCK = r"(?<![\d:])(\d{1,2}):(\d{1,2})(?::(\d{1,2})?(?:[.,](\d{1,9}))?)? ?" + _HALF_DAY \
+    + r" ?(?:(z|utc|gmt)(?![a-z]))? ?(?:([+-])(\d{1,2})(?::?(\d{2}))?(?![\d:-]))?"
+# other spellings of a clock, brought to digits and colons: compact after a
+# compact date, hours alone after T or before am/pm, 13h45m30s
+_CLOCK_SPELLINGS = [(r"\b(\d{4})(\d{2})(\d{2})[t ]?(\d{2})(\d{2})(\d{2})(?!\d)", "$1-$2-$3 $4:$5:$6"),
+                    (r"\b(\d{4})(\d{2})(\d{2})t(\d{2})(\d{2})(?!\d)", "$1-$2-$3 $4:$5"),
+                    (r"(\d)t(\d{1,2})(?=$|z|[+-])", "$1 $2:0"), (r"(?<=\d)t(?=\d)", " "),
+                    (r"(?<![\d:.,])(\d{1,2}) ?([ap])\.?m\b", "$1:0 $2m"), (r"(\d{1,2})h(\d{1,2})m(?:(\d{1,2})s)?", "$1:$2:$3"),
+                    (r"(\d)(?:st|nd|rd|th)(?![a-z])", "$1")]
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often it is read."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _date_of(rest: Column) -> Column:
+    """(y, m, d) of a text without its clock, NULL if it is no date.
+
+    A month's name settles the month; of two numbers beside it the one that can
+    be no day is the year, else the last one, or the first if the name comes
+    last. Of three numbers the first is the year if it can be no day, else the
+    day if it can be no month, else the month. A year of up to two digits is
+    within 1969-2068, as in the listed formats."""
+    month = F.regexp_extract(rest, _MONTH, 1)
+    before = F.size(F.regexp_extract_all(F.regexp_extract(rest, "^(.*?)" + _MONTH, 1), F.lit(r"\d+"), 0))
+    numbers = F.transform(F.regexp_extract_all(F.regexp_replace(rest, _MONTH, " "), F.lit(r"\d+"), 0),
+                          lambda x: F.struct(x.try_cast("int").alias("v"), (F.length(x) > 2).alias("long")))
+    number = F.struct(F.when(month != "", (F.instr(F.lit("".join(_MONTHS)), F.substring(month, 1, 3)) + 2) / 3).cast("int").alias("m"),
+                      before.alias("before"), numbers.alias("n"),
+                      (F.regexp_replace(rest, _MONTH, " ").rlike(r"^[\d .,;'-]*$") & (F.regexp_count(rest, F.lit(_MONTH)) < 2)).alias("ok"))
+
+    def assembled(x: Column) -> Column:
+        n = x["n"]
+        a, b, c = (F.get(n, F.lit(i)) for i in range(3))
+        year = lambda z: z["long"] | (z["v"] > 31)
+        ymd = lambda y, m, d: F.struct(y.cast("int").alias("y"), m.cast("int").alias("m"), d.cast("int").alias("d"))
+        one, named, count = F.lit(1), x["m"].isNotNull(), F.size(n)
+        return F.when(named & (count == 1) & year(a), ymd(a["v"], x["m"], one)) \
+            .when(named & (count == 2) & year(a), ymd(a["v"], x["m"], b["v"])) \
+            .when(named & (count == 2) & (year(b) | (x["before"] < 2)), ymd(b["v"], x["m"], a["v"])) \
+            .when(named & (count == 2), ymd(a["v"], x["m"], b["v"])) \
+            .when(named, None) \
+            .when((count == 3) & year(a), ymd(a["v"], b["v"], c["v"])) \
+            .when((count == 3) & (a["v"] > 12), ymd(c["v"], b["v"], a["v"])) \
+            .when(count == 3, ymd(c["v"], a["v"], b["v"])) \
+            .when((count == 2) & year(a), ymd(a["v"], b["v"], one)) \
+            .when((count == 2) & year(b), ymd(b["v"], a["v"], one))
+
+    return _let(number, lambda x: F.when(x["ok"], assembled(x)))
+
+
+def parse_fallback(c: Column) -> Column:
+    """What a general date parser reads, by a grammar; else NULL.
+
+    The words of the text are classified: clock (with fraction, half day, zone),
+    month name, weekday, ordinal, filler, number. Weekdays and fillers say
+    nothing, the clock and the zone are taken out, and the numbers are placed
+    around the month (see ``_date_of``). A text with any other word, with two
+    clocks, or of an impossible date is NULL; so is a date without a year, and
+    words that mean the time of reading (now, today).
+
+    Few texts come here, so each step is a lambda over the result of the one
+    before: nothing is evaluated twice and the generated code stays small."""
+    plain = F.lower(F.trim(F.regexp_replace(normalize_separators(F.trim(c)), _ZONE_NAME, "")))
+    for pattern, to in _CLOCK_SPELLINGS:
+        plain = F.regexp_replace(plain, pattern, to)
+    quarter = r"^(\d{4})[ -]?q([1-4])$"
+
+    def instant(x: Column) -> Column:
+        part = lambda i: F.nullif(F.regexp_extract(x, _CLOCK, i), F.lit(""))
+        rest = F.trim(F.regexp_replace(x, "|".join([_CLOCK, _WEEKDAY, _FILLER, r"^(?:utc|gmt)|(?<=\d)z$"]), " "))
+        clock = F.struct(*[part(i).alias(n) for i, n in enumerate(["h", "m", "s", "f", "half", "utc", "sign", "zh", "zm"], 1)],
+                         rest.alias("rest"), F.regexp_count(x, F.lit(_CLOCK)).alias("clocks"))
+        return _let(clock, lambda t: _let(_date_of(t["rest"]), lambda d: F.when(t["clocks"] <= 1, placed(t, d))))
+
+    def placed(t: Column, d: Column) -> Column:
+        year = F.when(d["y"] < 69, d["y"] + 2000).when(d["y"] < 100, d["y"] + 1900).when(d["y"] <= 9999, d["y"])
+        number = lambda n: F.coalesce(t[n].cast("int"), F.lit(0))
+        h, half = number("h"), t["half"]
+        hour = F.when(half.isNull(), h).when(h > 12, None).otherwise(h % 12 + F.when(half == "p", 12).otherwise(0))
+        seconds = F.concat(F.coalesce(t["s"], F.lit("0")), F.lit("."), F.substring(F.coalesce(t["f"], F.lit("0")), 1, 6))
+        at = F.try_make_timestamp(year, d["m"], d["d"], hour, number("m"), F.when(number("s") < 60, seconds.cast("decimal(8,6)")))
+        # "UTC+2" is read the other way round, as POSIX writes zones
+        ahead = F.when((t["sign"] == "+") == t["utc"].isin("utc", "gmt"), -1).when(t["sign"].isNotNull() & t["utc"].isNull(),
+                                                                                    F.when(t["sign"] == "+", 1).otherwise(-1)).otherwise(1)
+        minutes = ahead * (number("zh") * 60 + number("zm"))
+        return F.when(t["sign"].isNull(), at).when(F.abs(minutes) < 1440, at - F.make_dt_interval(mins=minutes))
+
+    month = (F.regexp_extract(plain, quarter, 2).try_cast("int") - 1) * 3 + 1
+    return F.when(plain.rlike(quarter), F.try_make_timestamp(F.regexp_extract(plain, quarter, 1).try_cast("int"), month, F.lit(1),
+                                                             F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)"))) \
+        .otherwise(_let(plain, instant))
 
 
 def _shape_tokens(fmt: str) -> list[list[str]]:
@@ -365,22 +448,6 @@ def _multi_format_by_name(text_col: str, key_col: str, formats: tuple[str, ...],
     return parse_multi_format(F.col(text_col), list(formats), key=F.col(key_col))
 
 
-def parse_fallback(c: Column) -> Column:
-    """The extra shapes a generic parser accepts; else NULL.
-
-    Few texts come here, so the shapes are tried inside a lambda over the one
-    cleaned text: it is cleaned once, and the generated code of the whole
-    parser stays small."""
-    # "Tue, 15 Aug 2023 13:45:30 GMT": the weekday and the zero zone say nothing more
-    cleaned = _microseconds(F.regexp_replace(c, r"^[A-Za-z]{3,9}, (?=\d)| (?:GMT|UTC)$", ""))
-
-    def tried(x: Column) -> Column:
-        return F.coalesce(*[F.when(x.rlike(guard), F.coalesce(*[F.try_to_timestamp(x, F.lit(p)) for p in pats]))
-                            for guard, pats in FALLBACK_PATTERNS])
-
-    return F.get(F.transform(F.array(cleaned), tried), F.lit(0))
-
-
 def parse_time_text(c: Column, hourly_suffix: bool = True) -> Column:
     """X1-X5 in the reference's order; returns TIMESTAMP_NTZ in UTC, not truncated."""
     s = c.cast("string")

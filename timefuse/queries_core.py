@@ -219,18 +219,54 @@ def q_parse_multi_format(spark, sf):
     return tp.parse_time_column(staged, "text", "parsed").select("event_id", "fmt", "parsed")
 
 
-@register("parse_fallback", """
-SELECT event_id, CASE event_id % 3 WHEN 0 THEN date_trunc('minute', ts) WHEN 1 THEN date_trunc('day', ts)
-                 ELSE date_trunc('second', ts) END AS parsed FROM events
+# Texts put together from the parts of a time, not from any parser's patterns:
+# what each spells (to the day, minute, second, millisecond) is its oracle.
+_MONTH_NAMES = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+_DAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+
+
+def _spelled(ts):
+    """(precision, text) of the spellings of a time."""
+    y, m, d, h = (f(ts).cast("string") for f in (F.year, F.month, F.dayofmonth, F.hour))
+    two = lambda f: F.lpad(f(ts).cast("string"), 2, "0")
+    name = F.element_at(F.array(*map(F.lit, _MONTH_NAMES)), F.month(ts))
+    short, day_name = F.substring(name, 1, 3), F.element_at(F.array(*map(F.lit, _DAY_NAMES)), F.weekday(ts) + 1)
+    half, twelve = F.when(F.hour(ts) < 12, "AM").otherwise("PM"), ((F.hour(ts) + 11) % 12 + 1).cast("string")
+    ordinal = F.when(F.dayofmonth(ts).isin(1, 21, 31), "st").when(F.dayofmonth(ts).isin(2, 22), "nd") \
+        .when(F.dayofmonth(ts).isin(3, 23), "rd").otherwise("th")
+    clock = F.concat_ws(":", two(F.hour), two(F.minute), two(F.second))
+    milli = F.lpad((F.unix_millis(ts) % 1000).cast("string"), 3, "0")
+    ahead = ts + F.expr("INTERVAL '5:30' HOUR TO MINUTE")
+    c = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    return [("day", c(name, " ", d, ", ", y)), ("minute", c(name, " ", d, ", ", y, " ", twelve, ":", two(F.minute), " ", half)),
+            ("day", c(d, "-", short, "-", y)), ("second", c(y, "-", m, "-", d, " ", clock, " EST")),
+            ("second", c(day_name, ", ", d, " ", F.upper(short), " ", y, " ", clock, " GMT")),
+            ("hour", c(d, ordinal, " of ", name, ", ", y, ", ", twelve, F.lower(half))), ("month", c(short, ". ", y)),
+            ("second", c(F.substring(day_name, 1, 3), " ", short, " ", d, " ", clock, " ", y)),
+            ("millisecond", c(F.date_format(ahead, "yyyy"), "/", F.month(ahead).cast("string"), "/", F.dayofmonth(ahead).cast("string"), "T",
+                              F.hour(ahead).cast("string"), ":", F.lpad(F.minute(ahead).cast("string"), 2, "0"), ":", two(F.second), ".", milli, "+0530")),
+            ("second", c(two(F.month), "-", two(F.dayofmonth), "-", y, " ", twelve, ":", two(F.minute), ":", two(F.second), half)),
+            ("second", c(clock, " ", d, " ", name, " ", y)), ("day", c(m, "/", d, "/", F.substring(y, 3, 2))),
+            ("minute", c(y, two(F.month), two(F.dayofmonth), "T", two(F.hour), two(F.minute))),
+            ("none", c("around ", name, " ", y)), ("none", c(y, "-", m, "-", d, " ", "25:", two(F.minute))),
+            ("none", c("31 ", F.lit("February"), " ", y)), ("none", c(day_name, " ", clock))]
+
+
+_SPELLINGS = ["day", "minute", "day", "second", "second", "hour", "month", "second", "millisecond", "second", "second", "day", "minute",
+              "none", "none", "none", "none"]
+
+
+@register("parse_fallback", f"""
+SELECT event_id, CASE list_value({", ".join(f"'{x}'" for x in _SPELLINGS)})[CAST(event_id % {len(_SPELLINGS)} AS INTEGER) + 1]
+                 WHEN 'month' THEN date_trunc('month', ts) WHEN 'day' THEN date_trunc('day', ts) WHEN 'hour' THEN date_trunc('hour', ts)
+                 WHEN 'minute' THEN date_trunc('minute', ts) WHEN 'second' THEN date_trunc('second', ts)
+                 WHEN 'millisecond' THEN date_trunc('millisecond', ts) END AS parsed FROM events
 """)
 def q_parse_fallback(spark, sf):
     ev = load(spark, sf, "events")
-    ts = F.col("ts").cast("timestamp")
-    k = F.col("event_id") % 3
-    text = F.when(k == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm'Z'")) \
-            .when(k == 1, F.date_format(ts, "MM-dd-yyyy")) \
-            .otherwise(F.date_format(ts, "yyyyMMddHHmmss"))
-    return ev.select("event_id", tp.parse_fallback(text).cast("timestamp_ntz").alias("parsed"))
+    spelled = [text for _, text in _spelled(F.col("ts").cast("timestamp"))]
+    text = F.element_at(F.array(*spelled), (F.col("event_id") % len(spelled) + 1).cast("int"))
+    return ev.select("event_id", text.alias("text")).select("event_id", tp.parse_fallback(F.col("text")).cast("timestamp_ntz").alias("parsed"))
 
 
 @register("standardize_time", f"""
