@@ -145,16 +145,14 @@ def test_one_hot_unknown_is_all_zero(spark):
     assert [(r.c_x, r.c_y) for r in out] == [(1.0, 0.0), (0.0, 0.0), (0.0, 0.0)]
 
 
-@pytest.mark.parametrize("accuracy,max_bracket_rows", [(10, 4_000_000), (100, 4_000_000), (10, 0)])
-def test_exact_quantiles_bracket_path(spark, accuracy, max_bracket_rows):
-    # large enough relative to the accuracy to take the bracketed path; a
-    # zero bound sends the brackets through the range-partitioned ranking
+@pytest.mark.parametrize("accuracy", [10, 100, 10_000])
+def test_exact_quantiles_by_refinement(spark, accuracy):
+    # a coarse first sketch leaves wide brackets, which take several passes
     rnd = random.Random(11)
     vals = [float(rnd.randint(0, 2000)) / 7 for _ in range(3000)] + [5.0] * 1000  # a hot value
     df = spark.createDataFrame([(v, -v) for v in vals], "x double, y double")
     qs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = {(r.column_name, r.q): r.quantile for r in profile.exact_quantiles(df, ["x", "y"], qs, accuracy,
-                                                                            max_bracket_rows).collect()}
+    got = {(r.column_name, r.q): r.quantile for r in profile.exact_quantiles(df, ["x", "y"], qs, accuracy).collect()}
     for c, arr in (("x", np.array(vals)), ("y", -np.array(vals))):
         for q in qs:
             assert got[(c, q)] == pytest.approx(np.quantile(arr, q)), (c, q)

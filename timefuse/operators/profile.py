@@ -4,12 +4,14 @@ into one task."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, FloatType, NumericType, StringType
 
-from ..plans.ordered import prefix_sums
-
 
 def _stack(row: DataFrame, names: list[str], value_cols: dict[str, str], label: str = "column_name") -> DataFrame:
     """Turn a one-row frame with per-column aggregates into one row per column.
@@ -31,130 +33,118 @@ def long_values(df: DataFrame, cols: list[str], group: str = "column_name", valu
                                           for c in cols])).alias("_kv")).select("_kv.*")
 
 
-def _ranked_values(long: DataFrame, group_cols: list[str]) -> DataFrame:
-    """(group..., value, lo_rank, hi_rank): 0-based rank range of each distinct
-    value inside its group, from the range-partitioned running count."""
-    counts = long.groupBy(*group_cols, "value").agg(F.count(F.lit(1)).alias("cnt"))
-    ranked = prefix_sums(counts, [*group_cols, "value"], ["cnt"])
-    n = counts.groupBy(*group_cols).agg(F.sum("cnt").alias("n"))
-    w = Window.orderBy(*group_cols).rowsBetween(Window.unboundedPreceding, -1)
-    off = n.withColumn("off", F.coalesce(F.sum("n").over(w), F.lit(0)))  # one row per group
-    return ranked.join(F.broadcast(off.select(*group_cols, "off")), group_cols) \
-                 .select(*group_cols, "value", (F.col("cum_cnt") - F.col("off") - F.col("cnt")).alias("lo_rank"),
-                         (F.col("cum_cnt") - F.col("off") - 1).alias("hi_rank"))
-
+#: values of a bracket that one pass tells apart
+GRID = 400
 
-def _ranked_in_brackets(inside: DataFrame) -> DataFrame:
-    """(bk, value, lo_rank, hi_rank) of the rows of each bracket, by a window
-    per bracket. Duplicates collapse to (value, multiplicity) on the map side
-    first; the caller has checked that no bracket holds more rows than a
-    task can sort."""
-    counts = inside.groupBy("bk", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    w = Window.partitionBy("bk").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = F.sum("cnt").over(w)
-    return counts.select("bk", "value", (upto - F.col("cnt")).alias("lo_rank"), (upto - 1).alias("hi_rank"))
 
+def _probes(qs: list[float], accuracy: int) -> list[float]:
+    """Three shares for each quantile: it, and a bit more than the sketch's error to either side."""
+    m = 1.2 / accuracy
+    return [p for q in qs for p in (max(0.0, q - m), q, min(1.0, q + m))]
 
-def _values_at(ranked: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
-    """Interpolated quantile for each target row (keys, q, r_lo, r_hi, frac).
 
-    One join finds the ranked rows holding either wanted rank; the targets
-    are (#columns x #quantiles) rows, a proven small broadcast. The pick of
-    the two values is an aggregate over at most two rows per target."""
-    r, t = ranked.alias("r"), F.broadcast(targets.alias("t"))
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & (F.col(f"r.{k}") == F.col(f"t.{k}"))
+#: of the sketches inside brackets: GRID values or fewer are kept exactly
+FINE = 25 * GRID
 
-    def holds(rank_col: str):
-        return (F.col(f"t.{rank_col}") >= F.col("r.lo_rank")) & (F.col(f"t.{rank_col}") <= F.col("r.hi_rank"))
 
-    hits = r.join(t, cond & (holds("r_lo") | holds("r_hi"))).select(
-        F.col("t.column_name").alias("column_name"), F.col("t.q").alias("q"), F.col("t.frac").alias("frac"),
-        F.when(holds("r_lo"), F.col("r.value")).alias("v_lo"), F.when(holds("r_hi"), F.col("r.value")).alias("v_hi"))
-    res = hits.groupBy("column_name", "q", "frac").agg(F.max("v_lo").alias("v_lo"), F.max("v_hi").alias("v_hi"))
-    return res.select("column_name", "q", (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("quantile"))
+def _slots(df: DataFrame, borders: dict[str, list[float]], inner: dict[str, set[int]]) -> dict[str, dict]:
+    """Of each column, the known values at each border (slot 2i + 1 is border i)
+    and between them (slot 2i is below border i): their number, and ``GRID``
+    values at even shares of those in the ``inner`` slots. One aggregate for all
+    columns; the driver receives a row for each slot."""
+    cells = []
+    for c, at in borders.items():
+        v = F.col(f"`{c}`").cast("double")
+        slot = F.when(v.isNull() | F.isnan(v), None)
+        for i, x in enumerate(at):
+            slot = slot.when(v < x, 2 * i).when(v == x, 2 * i + 1)
+        slot = slot.otherwise(2 * len(at))
+        cells.append(F.struct(F.lit(c).alias("c"), slot.alias("slot"), F.when(slot.isin(sorted(inner[c])), v).alias("v")))
+    long = df.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("slot is not null")
+    rows = long.groupBy("c", "slot").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(
+        "v", [(i + 0.5) / GRID for i in range(GRID)], FINE).alias("grid")).collect()
+    out: dict[str, dict] = {c: {} for c in borders}
+    for r in rows:
+        out[r["c"]][r["slot"]] = (r["n"], r["grid"])
+    return out
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], accuracy: int = 10000,
-                    max_bracket_rows: int = 4_000_000) -> DataFrame:
-    """Exact linear-interpolation quantiles of several columns.
-
-    ``percentile_approx`` (rank error <= n / accuracy) brackets every wanted
-    rank; one aggregate counts the rows below each bracket; only the rows in
-    a bracket (a few per ten thousand) are reduced to (value, multiplicity),
-    ranked and joined with the small (column, quantile) table. Brackets whose
-    exact row count (known from the counting pass) is at most
-    ``max_bracket_rows`` are ranked by a window per bracket; larger ones by the
-    range-partitioned running count. Small inputs, or a bracket that misses
-    its rank, take the ordered path over all values. Nothing unbounded is
-    gathered into one task.
-    Output: column_name, q, quantile.
+                    first: dict[str, tuple[int, list[float]]] | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles of several columns: ``column_name, q, quantile``.
+
+    Each wanted rank has a bracket of values, from a quantile sketch at first.
+    A pass counts the values at the borders of all brackets of all columns and
+    between them, and takes ``GRID`` even quantiles of those inside. A border,
+    or at most that many values between two, gives its rank's value exactly; a
+    larger bracket shrinks a hundredfold, and a value that very many rows share
+    becomes a border. So the passes grow with the logarithm of the rows, two up
+    to some 800,000, and nothing is sorted, shuffled by value or gathered: the
+    same at every size. ``first`` are (known values, sketch at ``_probes``)
+    where the caller has them.
     """
-    spark = df.sparkSession
-    long = long_values(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    margin = 3.0 / accuracy
-    lo_q = [max(0.0, q - margin) for q in qs]
-    hi_q = [min(1.0, q + margin) for q in qs]
-    stats = {r.column_name: r for r in long.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("value", [*lo_q, *hi_q], accuracy).alias("b")).collect()}
+    spark, inf = df.sparkSession, float("inf")
+    if first is None:
+        known = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in cols}
+        r = df.agg(*[F.count(known[c]).alias(f"n{i}") for i, c in enumerate(cols)],
+                   *[F.percentile_approx(known[c], _probes(qs, accuracy), accuracy).alias(f"b{i}") for i, c in enumerate(cols)]).first()
+        first = {c: (r[f"n{i}"], r[f"b{i}"]) for i, c in enumerate(cols)}
+    wanted: dict[str, dict[int, set[float]]] = {}
+    for c in cols:
+        n, b = first[c]
+        for i, q in enumerate(qs if n else []):
+            pos = q * (n - 1)
+            for rank in {int(pos // 1), int(-(-pos // 1))}:
+                wanted.setdefault(c, {})[rank] = {b[3 * i], b[3 * i + 2]}
+    value: dict[str, dict[int, float]] = {c: {} for c in cols}
+    while any(wanted.values()):
+        borders = {c: sorted(set().union(*w.values())) for c, w in wanted.items() if w}
+        inner = {c: {2 * i for i, x in enumerate(at) if any(min(p) < x <= max(p) for p in wanted[c].values())}
+                 for c, at in borders.items()}
+        found = _slots(df, borders, inner)
+        for c, at in borders.items():
+            below, left = 0, {}
+            for slot in range(2 * len(at) + 1):
+                n, grid = found[c].get(slot, (0, None))
+                i = slot // 2
+                for rank in [r for r in wanted[c] if below <= r < below + n]:
+                    share = (rank - below + 0.5) / n
+                    if slot % 2:
+                        value[c][rank] = at[i]
+                    elif grid and (n <= GRID or grid[0] == grid[-1]):
+                        value[c][rank] = grid[min(GRID - 1, int(share * GRID))]
+                    elif grid:
+                        reach = 1.5 + GRID / FINE
+                        low, high = int(share * GRID - reach), int(share * GRID + reach) + 1
+                        left[rank] = {at[i - 1], grid[max(low, 0)], grid[min(high, GRID - 1)], at[i]}
+                    else:  # the sketch missed the rank
+                        left[rank] = {at[i - 1] if i else -inf, at[i] if i < len(at) else inf}
+                below += n
+            wanted[c] = left
     rows = []
     for c in cols:
-        st = stats.get(c)
-        if st is None:
-            continue
-        for i, q in enumerate(qs):
-            pos = q * (st.n - 1)
-            rows.append((c, i, float(q), int(pos // 1), int(-(-pos // 1)), float(pos - pos // 1),
-                         float(st.b[i]), float(st.b[len(qs) + i])))
-    if not rows:
-        return spark.createDataFrame([], "column_name string, q double, quantile double")
-    tdf = spark.createDataFrame(rows, "column_name string, qi int, q double, r_lo long, r_hi long, frac double, "
-                                      "b_lo double, b_hi double")
-    small = sum(st.n for st in stats.values()) <= 4 * accuracy
-    if not small:
-        # one pass: rows below each bracket, rows inside it
-        aggs = []
-        for k, (c, _, _, _, _, _, blo, bhi) in enumerate(rows):
-            is_col = F.col("column_name") == c
-            aggs.append(F.count(F.when(is_col & (F.col("value") < blo), 1)).alias(f"below{k}"))
-            aggs.append(F.count(F.when(is_col & F.col("value").between(blo, bhi), 1)).alias(f"inside{k}"))
-        cnt = long.agg(*aggs).first()
-        ok = True
-        offs = []
-        for k, (c, i, q, r_lo, r_hi, frac, blo, bhi) in enumerate(rows):
-            below, inside = cnt[f"below{k}"], cnt[f"inside{k}"]
-            ok = ok and below <= r_lo and r_hi < below + inside
-            offs.append(below)
-        if ok:
-            # rows of each bracket, tagged with the bracket's index
-            tags = F.array_compact(F.array(*[F.when((F.col("column_name") == c) & F.col("value").between(blo, bhi), F.lit(k))
-                                             for k, (c, i, q, _, _, _, blo, bhi) in enumerate(rows)]))
-            inside = long.select("column_name", "value", F.explode(tags).alias("bk"))
-            widest = max(cnt[f"inside{k}"] for k in range(len(rows)))
-            ranked = _ranked_in_brackets(inside) if widest <= max_bracket_rows else _ranked_values(inside, ["bk"])
-            shifted = spark.createDataFrame(
-                [(k, c, q, r_lo - offs[k], r_hi - offs[k], frac) for k, (c, i, q, r_lo, r_hi, frac, _, _) in enumerate(rows)],
-                "bk int, column_name string, q double, r_lo long, r_hi long, frac double")
-            return _values_at(ranked, shifted, ["bk"])
-    ranked = _ranked_values(long, ["column_name"])
-    return _values_at(ranked, tdf.select("column_name", "q", "r_lo", "r_hi", "frac"), ["column_name"])
+        for q in qs if first[c][0] else []:
+            pos = q * (first[c][0] - 1)
+            low, high = value[c][int(pos // 1)], value[c][int(-(-pos // 1))]
+            rows.append((c, float(q), low if low == high else low + (pos - pos // 1) * (high - low)))
+    return spark.createDataFrame(rows, "column_name string, q double, quantile double")
 
 
 def target_describe(df: DataFrame, cols: list[str]) -> DataFrame:
-    """A3: count, mean, std (sample), min, 25/50/75 %, max per numeric column; NaN is unknown."""
-    df = nan_to_null(df, cols)
-    aggs = []
+    """A3: count, mean, std (sample), min, 25/50/75 %, max per numeric column; NaN is unknown.
+    The first pass of the quantiles is that of the other statistics."""
+    qs, accuracy, aggs = [0.25, 0.5, 0.75], 10000, []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    basic = _stack(df.agg(*aggs), cols, {"count": "n{i}", "mean": "m{i}", "std": "s{i}", "min": "lo{i}", "max": "hi{i}"})
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75]) \
-        .groupBy("column_name").pivot("q", [0.25, 0.5, 0.75]).agg(F.first("quantile"))
-    q = q.withColumnsRenamed({"0.25": "p25", "0.5": "p50", "0.75": "p75"})
-    return basic.join(F.broadcast(q), "column_name", "left")  # one row per column
+        x = F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
+                 F.max(x).alias(f"hi{i}"), F.percentile_approx(x, _probes(qs, accuracy), accuracy).alias(f"b{i}")]
+    r = df.agg(*aggs).first()
+    quantiles = {(x["column_name"], x["q"]): x["quantile"] for x in exact_quantiles(
+        df, cols, qs, accuracy, {c: (r[f"n{i}"], r[f"b{i}"]) for i, c in enumerate(cols)}).collect()}
+    rows = [(c, r[f"n{i}"], r[f"m{i}"], r[f"s{i}"], r[f"lo{i}"], *[quantiles.get((c, q)) for q in qs], r[f"hi{i}"])
+            for i, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(
+        rows, "column_name string, count bigint, mean double, std double, min double, p25 double, p50 double, p75 double, max double")
 
 
 def describe_strings(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -167,30 +157,66 @@ def describe_strings(df: DataFrame, cols: list[str]) -> DataFrame:
                                          F.max("freq").alias("freq"))
 
 
-def guarded_corr(x, y):
-    """Pearson over pairwise-complete rows; NULL (not an error) for a constant side."""
-    both = x.isNotNull() & y.isNotNull()
-    sx = F.stddev_samp(F.when(both, x))
-    sy = F.stddev_samp(F.when(both, y))
-    return F.covar_samp(x, y) / F.nullif(sx * sy, F.lit(0.0))
-
-
 def nan_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """NaN cells of floating-point columns as NULL: both mean "unknown"."""
     floats = [f.name for f in df.schema if isinstance(f.dataType, (DoubleType, FloatType)) and (cols is None or f.name in cols)]
     return df.withColumns({c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in floats}) if floats else df
 
 
+def pair_moments(df: DataFrame, targets: list[str], cols: list[str]) -> DataFrame:
+    """``target, column_name, n, sx, sy, sxx, syy, sxy``: sums over the rows
+    where both are known, of values moved by a constant of each column.
+
+    Each Arrow batch is six matrix products of the values, their squares and
+    the masks of known cells; sums add up over tasks in one small exchange.
+    The constants are medians of the first rows: any value of the column's own
+    size keeps its digits, and a constant column is exactly zero."""
+    names = list(dict.fromkeys([*targets, *cols]))
+    at = [names.index(t) for t in targets]
+    near = df.select([F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(names)]).limit(1000)
+    near = near.agg(*[F.percentile_approx(F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)), 0.5, 10000).alias(c)
+                      for c in near.columns]).first()
+    away = np.array([near[i] or 0.0 for i in range(len(names))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, len(at), len(names)))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns]) - away
+            known = np.isfinite(x)
+            x, m = np.where(known, x, 0.0), known.astype(float)
+            xt, mt = x[:, at], m[:, at]
+            total += [mt.T @ m, xt.T @ m, mt.T @ x, (xt * xt).T @ m, mt.T @ (x * x), xt.T @ x]
+        t, c = np.divmod(np.arange(len(at) * len(names)), len(names))
+        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(c, pa.int32()), *(pa.array(s.ravel()) for s in total)],
+                                         names=["t", "c", *_SUMS])
+
+    src = df.select([F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+    sums = src.mapInArrow(run, "t int, c int, " + ", ".join(f"{s} double" for s in _SUMS))
+    named = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), F.col(i) + 1)
+    return sums.groupBy("t", "c").agg(*[F.sum(s).alias(s) for s in _SUMS]) \
+        .select(named(targets, "t").alias("target"), named(names, "c").alias("column_name"), *_SUMS)
+
+
+_SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+
 def target_correlations(df: DataFrame, targets: list[str], features: list[str]) -> DataFrame:
-    """A4: correlation of each target with every target and numeric feature,
-    one aggregate for all pairs; (target, column_name, corr). NaN is unknown."""
-    cols = list(dict.fromkeys([*targets, *features]))
-    df = nan_to_null(df, cols)
-    pairs = [(t, c) for t in targets for c in cols]
-    row = df.agg(*[guarded_corr(F.col(t).cast("double"), F.col(c).cast("double")).alias(f"c{i}")
-                   for i, (t, c) in enumerate(pairs)])
-    parts = ", ".join(f"'{t}', '{c}', c{i}" for i, (t, c) in enumerate(pairs))
-    return row.selectExpr(f"stack({len(pairs)}, {parts}) as (target, column_name, corr)")
+    """A4: correlation of each target with every target and numeric feature over
+    the rows where both are known, all pairs from one pass at any number of
+    columns; (target, column_name, corr). NaN and infinity are unknown; of a
+    column that does not vary over those rows it is NULL."""
+    def left(square: str, total: str):
+        raw = F.col(square) - F.col(total) * F.col(total) / F.col("n")
+        return F.when(raw > F.col(square) * 1e-13, raw)  # what is left of a constant is rounding
+
+    m = pair_moments(df, targets, list(dict.fromkeys([*targets, *features]))).where("n > 1")
+    corr = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(left("sxx", "sx") * left("syy", "sy"))
+    pairs = df.sparkSession.createDataFrame([(t, c) for t in targets for c in dict.fromkeys([*targets, *features])],
+                                            "target string, column_name string")
+    return pairs.join(m.select("target", "column_name", F.when(F.abs(corr) > 1, F.sign(corr)).otherwise(corr).alias("corr")),
+                      ["target", "column_name"], "left")
 
 
 def rank_correlations(corrs: DataFrame) -> DataFrame:

@@ -200,11 +200,11 @@ def fill_ordered(df: DataFrame, cols: list[str], order_cols: list[str], directio
                                  *[F.min_by(c, known[c]).alias(f"_first_{c}") for c in cols if direction == "both"])
     lower = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
     upper = Window.orderBy(F.col(PID).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    everywhere = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # after a forward pass only the rows before the first non-null stay null;
-    # their backward value is the first non-null of all
+    # their backward value is the first one in their own or a later range
+    onward = Window.orderBy(F.col(PID).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carry = summary.select(PID, *[F.last(c, ignorenulls=True).over(upper if reverse else lower).alias(f"_c_{c}") for c in cols],
-                           *[F.first(f"_first_{c}", ignorenulls=True).over(everywhere).alias(f"_b_{c}")
+                           *[F.last(f"_first_{c}", ignorenulls=True).over(onward).alias(f"_b_{c}")
                              for c in cols if direction == "both"])
     again = F.lag(F.col("_k")).over(w).eqNullSafe(F.col("_k"))
     out = d.withColumn("_k", key).withColumns({**{c: F.last(c, ignorenulls=True).over(run) for c in cols}, "_again": again}) \

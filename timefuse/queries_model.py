@@ -60,6 +60,23 @@ def q_target_correlations(spark, sf):
     return c.withColumn("corr", r6("corr"))
 
 
+# every column unknown in rows of its own
+_GAPPY_CORR = """(SELECT CASE WHEN l_orderkey % 3 <> 0 THEN l_extendedprice END AS l_extendedprice, CASE WHEN l_partkey % 5 <> 0 THEN l_quantity END AS l_quantity,
+  CASE WHEN l_suppkey % 7 <> 1 THEN l_tax END AS l_tax, CASE WHEN l_linenumber <> 2 THEN l_discount END AS l_discount, 0.25 AS same FROM lineitem)"""
+_GAPPY_COLS = ["l_extendedprice", "l_tax", "l_quantity", "l_discount", "same"]
+
+
+@register("target_correlations_gappy", _union_all([
+    f"SELECT '{t}' AS target, '{c}' AS column_name, round(covar_samp({t}, {c}) / nullif(stddev_samp({t}) FILTER (WHERE {c} IS NOT NULL) * "
+    f"stddev_samp({c}) FILTER (WHERE {t} IS NOT NULL), 0), 6) + 0.0 AS corr FROM {_GAPPY_CORR}"
+    for t in _GAPPY_COLS[:2] for c in _GAPPY_COLS]))
+def q_target_correlations_gappy(spark, sf):
+    df = load(spark, sf, "lineitem").selectExpr(
+        "CASE WHEN l_orderkey % 3 <> 0 THEN l_extendedprice END AS l_extendedprice", "CASE WHEN l_partkey % 5 <> 0 THEN l_quantity END AS l_quantity",
+        "CASE WHEN l_suppkey % 7 <> 1 THEN l_tax END AS l_tax", "CASE WHEN l_linenumber <> 2 THEN l_discount END AS l_discount", "0.25D AS same")
+    return profile.target_correlations(df, _GAPPY_COLS[:2], _GAPPY_COLS[2:]).withColumn("corr", r6("corr"))
+
+
 @register("rank_correlations", "SELECT target, column_name, round(corr, 6) + 0.0 AS corr, "
           "row_number() OVER (PARTITION BY target ORDER BY corr DESC NULLS LAST, column_name) AS rank FROM (" + _union_all([
               f"SELECT '{t}' AS target, '{c}' AS column_name, {_corr_sql(t, c)} AS corr FROM lineitem"
