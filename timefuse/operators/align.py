@@ -2,8 +2,8 @@
 
 The daily tables hold one row per day between the first and last day, so
 their size is bounded by the time span, not by the data volume. Joins write
-the right side as a small table first. It is broadcast when its counted size is
-within ``BROADCAST_CELLS``, and the big side then stays where it is; a larger
+the right side as a small table first. It is broadcast when its measured bytes are
+within ``BROADCAST_BYTES``, and the big side then stays where it is; a larger
 one is joined by an ordinary shuffle join, in which the NULL keys of a null-safe
 join are kept apart (see ``multi_left_join``).
 """
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from ..session import written
+from ..session import BROADCAST_BYTES, join_side, written
 from .schema import numeric_columns
 
 # Fixed values from the reference: event categories that have a time keeper
@@ -25,8 +25,6 @@ REFERENCE_CATEGORIES = [
 ]
 
 DAY = "_day"
-#: rows x columns of a right side that is broadcast (64 MB of numbers)
-BROADCAST_CELLS = 8 << 20
 
 
 def _mean(df: DataFrame, c: str):
@@ -79,22 +77,20 @@ def prefix_columns(df: DataFrame, prefix: str, key: str = "ts") -> DataFrame:
     return df.select(*[F.col(c) if c == key else F.col(c).alias(f"{prefix}_{c}") for c in df.columns])
 
 
-def _right_side(base: DataFrame, right: DataFrame, most_cells: int) -> tuple[DataFrame, bool]:
-    """The right side as a written table, and whether its counted size allows a broadcast."""
-    table = written(base.sparkSession, right, "join-side")
-    small = table.count() * max(1, len(table.columns)) <= most_cells
-    return (F.broadcast(table) if small else table), small
+def _right_side(base: DataFrame, right: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """The right side as a written table, and whether its measured size allows a broadcast."""
+    return join_side(written(base.sparkSession, right, "join-side"), most)
 
 
 def multi_left_join(base: DataFrame, sources: list[tuple[str, DataFrame]], key: str = "ts",
                     null_safe: bool = False, skip_empty: bool = False,
-                    broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
+                    broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """J1 (+J3): base left-joined to each source on equal time, in order.
 
     Right columns are prefixed by the source name up front, so names never
     collide; fan-out of several right rows per key is kept. ``skip_empty``
     leaves out sources without rows (as the reference does). Right sides within
-    ``broadcast_cells`` are broadcast, so the base is never shuffled for them.
+    ``broadcast_bytes`` are broadcast, so the base is never shuffled for them.
     Beyond that, a null-safe join takes the base rows without a key out of the
     shuffle: they have one partner set, which is joined to them as its own
     (broadcast) side when it is a single row, as after an aggregate."""
@@ -102,7 +98,7 @@ def multi_left_join(base: DataFrame, sources: list[tuple[str, DataFrame]], key:
     for name, src in sources:
         if src is None or (skip_empty and src.isEmpty()):
             continue
-        right, small = _right_side(base, prefix_columns(src, name, key).withColumnRenamed(key, "_rk"), broadcast_cells)
+        right, small = _right_side(base, prefix_columns(src, name, key).withColumnRenamed(key, "_rk"), broadcast_bytes)
         if small or not null_safe:
             cond = out[key].eqNullSafe(right["_rk"]) if null_safe else out[key] == right["_rk"]
             out = out.join(right, cond, "left").drop("_rk")
@@ -120,16 +116,16 @@ def multi_left_join(base: DataFrame, sources: list[tuple[str, DataFrame]], key:
 
 
 def align_left_join(base: DataFrame, daily: DataFrame, name: str, key: str = "ts",
-                    grain: str = "day", broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
+                    grain: str = "day", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Each base row joined to the aggregate of its day (or other grain)."""
     def bucket(c):
         return F.to_date(c) if grain == "day" else F.date_trunc(grain, c).cast("timestamp_ntz")
     right = prefix_columns(daily, name, key)
-    right, _ = _right_side(base, right.withColumn("_g", bucket(F.col(key))).drop(key), broadcast_cells)
+    right, _ = _right_side(base, right.withColumn("_g", bucket(F.col(key))).drop(key), broadcast_bytes)
     return base.withColumn("_g", bucket(F.col(key))).join(right, "_g", "left").drop("_g")
 
 
 def null_safe_left_join(base: DataFrame, other: DataFrame, name: str, key: str = "ts",
-                        broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
+                        broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Left join where NULL keys match NULL keys (as pandas merge does)."""
-    return multi_left_join(base, [(name, other)], key, null_safe=True, broadcast_cells=broadcast_cells)
+    return multi_left_join(base, [(name, other)], key, null_safe=True, broadcast_bytes=broadcast_bytes)

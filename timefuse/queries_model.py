@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .operators import encode, evaluate, impute, linear, profile, text
 from .queries_core import EVENTS_GAPPY_SQL, UNION_SQL, cust_supp, events_gappy
 from .catalog import register
+from .session import scratch_path
 from .sources import scan
 from .tables import load, r6, rounded
 
@@ -187,6 +188,40 @@ def q_tfidf(spark, sf):
     return text.tfidf(load(spark, sf, "documents"), "doc_id", "text").withColumn("weight", r6("weight"))
 
 
+@register("tfidf_transform", r"""
+WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
+fitted AS (SELECT doc_id FROM documents WHERE source <> 'src1'),
+dfq AS (SELECT term, count(*) AS df FROM tf WHERE doc_id IN (SELECT doc_id FROM fitted) GROUP BY term),
+w AS (SELECT tf.doc_id, tf.term, tf.tf * (ln(CAST(1 + (SELECT count(*) FROM fitted) AS DOUBLE) / (1 + dfq.df)) + 1) AS w FROM tf JOIN dfq USING (term)
+      WHERE doc_id NOT IN (SELECT doc_id FROM fitted))
+SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) + 0.0 AS weight FROM w
+""")
+def q_tfidf_transform(spark, sf):
+    """The documents of one source, by the stored vocabulary of all others."""
+    docs, path = load(spark, sf, "documents").select("doc_id", "text", "source"), scratch_path(spark, "vocabulary")
+    text.tfidf_fit(docs.where("source = 'src1'"), "text", path)
+    text.tfidf_fit(docs.where("source <> 'src1'"), "text", path)  # the newest version counts
+    new = docs.where("source = 'src1' or source is null")
+    return text.tfidf_transform(new, "doc_id", "text", text.tfidf_vocabulary(spark, path)).withColumn("weight", r6("weight"))
+
+
+@register("one_hot_sparse", """
+SELECT l_orderkey, l_linenumber, CASE WHEN p.code IS NULL THEN 0 ELSE 1 END AS n, p.code, CASE WHEN p.code IS NOT NULL THEN 1.0 END AS v
+FROM lineitem LEFT JOIN (SELECT l_partkey, CAST(row_number() OVER (ORDER BY l_partkey) - 1 AS INTEGER) AS code
+  FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01')) p USING (l_partkey)
+""")
+def q_one_hot_sparse(spark, sf):
+    """Parts as categories, fitted on the early lines; the join is by shuffle and by broadcast, half of the rows each."""
+    li = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
+    table = encode.category_table(li.where("l_shipdate < timestamp_ntz'1998-01-01'"), "l_partkey")
+    halves = [encode.one_hot_sparse(li.where(f"l_orderkey % 2 = {i}"), "l_partkey", table, "hot", broadcast_bytes=most)
+              for i, most in ((0, 0), (1, 1 << 26))]
+    out = halves[0].unionByName(halves[1])
+    code = F.get(F.map_keys("hot"), F.lit(0))
+    return out.select("l_orderkey", "l_linenumber", F.size("hot").alias("n"), code.alias("code"), F.get(F.map_values("hot"), F.lit(0)).alias("v"))
+
+
 @register("category_codes", f"""
 SELECT c_custkey, s_suppkey, CASE WHEN c_mktsegment IS NULL THEN -1 ELSE
   CAST(dense_rank() OVER (PARTITION BY c_mktsegment IS NULL ORDER BY c_mktsegment) - 1 AS INTEGER) END AS c_mktsegment

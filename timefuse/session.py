@@ -103,3 +103,34 @@ def written(spark: SparkSession, df, name: str):
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: bytes of a table that is broadcast
+BROADCAST_BYTES = 64 << 20
+
+
+def table_bytes(table) -> int:
+    """The bytes of a table's rows, about as Spark holds them: eight for each
+    column, and the length of texts and of nested values (as JSON)."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    size = F.lit(16)
+    for f in table.schema:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + 8 + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            size = size + 8 + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            size = size + 8
+    return table.agg(F.sum(size.cast("bigint"))).first()[0] or 0
+
+
+def join_side(table, most: int = BROADCAST_BYTES):
+    """A written table for a join, marked for a broadcast if its measured bytes
+    allow one; and whether they do."""
+    from pyspark.sql import functions as F
+
+    small = table_bytes(table) <= most
+    return (F.broadcast(table) if small else table), small

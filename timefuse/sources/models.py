@@ -14,11 +14,12 @@ exactly in any order, so nothing is lost and nothing counts twice.
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import linear
 from .ledger import Ledger
@@ -136,3 +137,30 @@ class ModelLog:
 def state_table(spark: SparkSession, state: ModelState) -> DataFrame:
     """The state as a table (``STATE``)."""
     return spark.createDataFrame(state.rows(), STATE)
+
+
+class TableLog:
+    """Versions of one table (a vocabulary, categories) under a folder, published as model versions are."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self.ledger = Ledger(spark, f"{self.path}/_versions")
+
+    def publish(self, table: DataFrame) -> DataFrame:
+        """Write ``table`` as the next version and read it back."""
+        folder = f"{self.path}/version-{uuid.uuid4().hex}"
+        table.write.parquet(folder)
+        entry = {"folder": folder.rsplit("/", 1)[1], "schema": table.schema.json()}
+        number = max(map(int, self.ledger.keys()), default=-1) + 1
+        while self.ledger.commit(f"{number:012d}", entry) != entry:
+            number += 1
+        return self.load(number)
+
+    def load(self, version: int | None = None) -> DataFrame | None:
+        known = self.ledger.keys()
+        key = f"{version:012d}" if version is not None else known[-1] if known else None
+        entry = self.ledger.get(key) if key in known else None
+        if entry is None:
+            return None
+        schema = StructType.fromJson(json.loads(entry["schema"]))
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{entry['folder']}")
