@@ -42,10 +42,15 @@ def impute_mode(df: DataFrame, cols: list[str]) -> DataFrame:
 MODEL_CELLS = 1 << 24
 
 
-def impute_regression(df: DataFrame, cols: list[str], predictors: list[str] | None = None) -> DataFrame:
-    """NULL numeric cells predicted by a regression on the other numeric
-    columns (their NULLs read as their mean), fitted on the rows where the
-    column is known; columns without any known value are left as they are.
+def _value(c: str):
+    return F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
+
+
+def fit_imputer(df: DataFrame, cols: list[str], predictors: list[str] | None = None) -> dict:
+    """I1 as a fitted state: ``means`` of the columns with any known value, and
+    in ``models`` the regression of each column that has unknown cells on the
+    other predictors (their unknown cells read as their mean), fitted on the
+    rows where the column is known.
 
     One aggregate gives the means and the columns that need a model at all, and
     one pass the statistics of all models (a further pass for each
@@ -53,30 +58,47 @@ def impute_regression(df: DataFrame, cols: list[str], predictors: list[str] | No
     pool = predictors if predictors is not None else numeric_columns(df)
     names = list(dict.fromkeys([*cols, *pool]))
     if not names:
-        return df
-    value = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in names}
-    r = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(value[c]).alias(f"m{i}") for i, c in enumerate(names)],
-               *[F.count(value[c]).alias(f"k{i}") for i, c in enumerate(names)]).first()
+        return {"means": {}, "models": {}}
+    r = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(_value(c)).alias(f"m{i}") for i, c in enumerate(names)],
+               *[F.count(_value(c)).alias(f"k{i}") for i, c in enumerate(names)]).first()
     means = {c: r[f"m{i}"] for i, c in enumerate(names) if r[f"k{i}"]}
     wanted = [c for i, c in enumerate(names) if c in cols and 0 < r[f"k{i}"] < r["n"]]
-    if not wanted:
-        return df.withColumns({c: F.col(f"`{c}`").cast("double") for c in cols if c in means})
     usable = [p for p in pool if p in means]
     groups = [Group(c, [*[p for p in usable if p != c], c], [c], {p: means[p] for p in usable if p != c}) for c in wanted]
-    block = max(1, MODEL_CELLS // (len(usable) + 1) ** 2)
-    filled = {c: value[c] for c in cols if c in means}
+    block, models = max(1, MODEL_CELLS // (len(usable) + 1) ** 2), {}
     for i in range(0, len(groups), block):
         rows = group_stats(df, groups[i:i + block]).collect()  # model size
         for g in groups[i:i + block]:
-            c, preds = g.model, g.columns[:-1]
-            model = solve([x for x in rows if x["model"] == c], preds, [c])[c]
-            e = F.lit(model[INTERCEPT])
-            for p in preds:
-                e = e + F.lit(model[p]) * F.coalesce(value[p], F.lit(means[p]))
-            filled[c] = F.coalesce(value[c], e)
+            models[g.model] = solve([x for x in rows if x["model"] == g.model], g.columns[:-1], [g.model])[g.model]
+    return {"means": means, "models": models}
+
+
+def apply_imputer(df: DataFrame, state: dict, cols: list[str]) -> DataFrame:
+    """Unknown cells of ``cols`` by the fitted models, else by the fitted means;
+    expressions alone, no data is looked at. Columns without any known value stay."""
+    means, filled = state["means"], {}
+    for c in cols:
+        if c in state["models"]:
+            e = F.lit(state["models"][c][INTERCEPT])
+            for p, b in state["models"][c].items():
+                if p != INTERCEPT:
+                    e = e + F.lit(b) * F.coalesce(_value(p) if p in df.columns else F.lit(None).cast("double"), F.lit(means[p]))
+            filled[c] = F.coalesce(_value(c), e)
+        elif c in means:
+            filled[c] = F.coalesce(_value(c), F.lit(means[c]).cast("double"))
     return df.withColumns(filled)
 
 
+def impute_regression(df: DataFrame, cols: list[str], predictors: list[str] | None = None) -> DataFrame:
+    """NULL numeric cells predicted by a regression on the other numeric
+    columns (their NULLs read as their mean), fitted on the rows where the
+    column is known; columns without any known value are left as they are."""
+    state = fit_imputer(df, cols, predictors)
+    if not state["models"]:
+        return df.withColumns({c: F.col(f"`{c}`").cast("double") for c in cols if c in state["means"]})
+    return apply_imputer(df, state, cols)
+
+
 def fill_missing_columns(df: DataFrame, numeric: list[str], categorical: list[str],
                          targets: list[str]) -> DataFrame:
     """I4: absent features get defaults (numeric 0, categorical 'missing');

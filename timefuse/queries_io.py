@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import timeparse as tp
 from .operators import align, linear
-from .plans import forecast, preprocess
+from .plans import forecast, preprocess, train
 from .queries_model import LIN_SQL, LIN_X, LIN_Y
 from .catalog import register
 from .session import scratch_path
@@ -103,6 +103,59 @@ def q_combine_csv_trees(spark, sf):
                            r6("space_l_quantity").alias("space_l_quantity"), r6("space_l_discount").alias("space_l_discount"))
 
 
+_M12_TREE = """
+base AS (SELECT o_orderkey, o_custkey, o_totalprice, CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice END AS mostly_null,
+                CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice * 2 END AS humidity, o_orderdate AS ts FROM orders),
+c AS (SELECT CAST(l_shipdate AS DATE) AS d, avg(l_quantity) FILTER (WHERE l_returnflag = 'A') AS cq, avg(l_tax) FILTER (WHERE l_returnflag = 'A') AS ct,
+             avg(l_quantity) FILTER (WHERE l_returnflag = 'R') AS fq, avg(l_tax) FILTER (WHERE l_returnflag = 'R') AS ft FROM lineitem GROUP BY 1),
+s AS (SELECT CAST(l_shipdate AS DATE) AS d, avg(l_discount) AS sd FROM lineitem GROUP BY 1),
+j AS (SELECT base.*, cq, ct, fq, ft, sd FROM base LEFT JOIN c ON CAST(ts AS DATE) = c.d LEFT JOIN s ON CAST(ts AS DATE) = s.d)"""
+_M12_FEATS = {"o_orderkey": "o_orderkey", "o_custkey": "o_custkey", "space_l_discount": "sd", "near_earth_CME_l_quantity": "cq",
+              "near_earth_CME_l_tax": "ct", "near_earth_FLR_l_quantity": "fq", "near_earth_FLR_l_tax": "ft"}
+_M12_NULL = "(SELECT 100.0 * count(*) FILTER (WHERE {e} IS NULL) / count(*) FROM j) > 50"
+
+
+@register("combine_profile", f"WITH {_M12_TREE}, r AS (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS target, '{c}' AS column_name, {_M12_NULL.format(e=e)} AS sparse, covar_samp({t}, {e}) / nullif(stddev_samp({t}) FILTER (WHERE {e} IS NOT NULL) * "
+    f"stddev_samp({e}) FILTER (WHERE {t} IS NOT NULL), 0) AS corr FROM j"
+    for t in ("o_totalprice", "humidity") for c, e in {"o_totalprice": "o_totalprice", "humidity": "humidity", **_M12_FEATS}.items()) + """)
+SELECT 'correlation' AS kind, target, column_name, round(corr, 6) + 0.0 AS value FROM r WHERE NOT sparse OR column_name IN ('o_totalprice', 'humidity')
+UNION ALL SELECT 'thin target', 'visibility', NULL, CAST(count(*) FILTER (WHERE o_orderkey <= 40) AS DOUBLE) FROM orders
+UNION ALL SELECT 'dropped', NULL, 'mostly_null', NULL
+""" + "".join(f"UNION ALL SELECT 'dropped', NULL, '{c}', NULL WHERE EXISTS (SELECT 1 FROM r WHERE column_name = '{c}' AND sparse)\n" for c in _M12_FEATS))
+def q_combine_profile(spark, sf):
+    """M12 over all three trees: what it drops (a sparse column, a target with too few values) and the correlations it ranks."""
+    from .plans.combine import load_and_combine
+    root = scratch_path(spark, "csv-trees")
+    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def put(df, folder, name):
+        """One CSV file of that name, as the trees of the reference's layout hold them."""
+        at = scratch_path(spark, "csv-file")
+        df.coalesce(1).write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(at)
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        part = next(f.getPath() for f in fs.listStatus(hadoop(at)) if f.getPath().getName().endswith(".csv"))
+        fs.mkdirs(hadoop(f"{root}/{folder}"))
+        fs.rename(part, hadoop(f"{root}/{folder}/{name}"))
+
+    o = load(spark, sf, "orders").select(
+        F.col("o_orderdate").alias("UTC_DATE"), "o_orderkey", "o_custkey", "o_totalprice", F.expr("if(o_orderkey % 4 = 0, o_totalprice, null)").alias("mostly_null"),
+        F.expr("if(o_orderkey % 2 = 0, o_totalprice * 2, null)").alias("humidity"), F.expr("if(o_orderkey <= 40, 1.5, null)").alias("visibility"))
+    put(o, "base", "town.csv")
+    li = load(spark, sf, "lineitem").withColumnRenamed("l_shipdate", "startTime")
+    put(li.select("startTime", "l_discount"), "log", "space_events_2024.csv")
+    for cat, flag in (("CME", "A"), ("FLR", "R"), ("XYZ", "N")):
+        put(li.where(F.col("l_returnflag") == flag).select("l_tax", "startTime", "l_quantity"), "kinds", f"{cat}-2024.csv")
+    res = load_and_combine(spark, f"{root}/base", f"{root}/log", f"{root}/kinds", targets=["o_totalprice", "humidity", "visibility"],
+                           categories=["CME", "FLR"])
+    dropped = [c for c in ["mostly_null", *_M12_FEATS] if c not in res.data.columns]
+    out = res.correlations.select(F.lit("correlation").alias("kind"), "target", "column_name", r6("corr").alias("value"))
+    thin = res.thin_targets.where("not kept").select(F.lit("thin target").alias("kind"), "target", F.lit(None).cast("string").alias("column_name"),
+                                                     F.col("non_null").cast("double").alias("value"))
+    gone = spark.createDataFrame([("dropped", None, c, None) for c in dropped], out.schema)
+    return out.unionByName(thin).unionByName(gone)
+
+
 @register("year_from_content", """
 SELECT event_id, event_type AS category, CAST(year(ts) AS INTEGER) AS year FROM events
 """)
@@ -302,6 +355,117 @@ def q_preprocess(spark, sf):
     return rounded(out, [c for c in state.features if c in _PRE_NUM])
 
 
+# The whole chain on rows with unknown cells everywhere: a time as text under one
+# of the source spellings, a column without any value, an unknown target, number,
+# category and digit text, and a prose column. Fitted on the even events, stored
+# with a model, read back and applied to all of them.
+_CHAIN_SRC = """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS startTime, CASE WHEN event_id % 7 <> 0 THEN CAST(user_id AS DOUBLE) END AS load,
+  CASE WHEN event_id % 3 <> 0 THEN value END AS value, CAST(event_id % 50 AS DOUBLE) AS qty, CAST(NULL AS DOUBLE) AS nothing,
+  CASE WHEN event_id % 11 <> 0 THEN event_type END AS event_type, CASE WHEN event_id % 5 <> 0 THEN 'n' || (event_id % 13) END AS code,
+  CASE WHEN event_id % 4 <> 0 THEN event_type || ' of ' || (event_id % 3) || 'x ' || event_type END AS note, ts FROM events"""
+_CHAIN_NUM = ["value", "qty", "code", "year", "month", "day", "hour", "day_of_week"]
+_CHAIN_TERMS = 3
+CHAIN_SQL = f"""
+WITH s AS ({_CHAIN_SRC}), c AS (SELECT *, TRY_CAST(regexp_extract(code, '([0-9]+)', 1) AS DOUBLE) AS cn, CAST(year(ts) AS DOUBLE) AS year,
+  CAST(month(ts) AS DOUBLE) AS month, CAST(day(ts) AS DOUBLE) AS day, CAST(hour(ts) AS DOUBLE) AS hour, CAST(isodow(ts) - 1 AS DOUBLE) AS dow FROM s),
+f AS (SELECT * FROM c WHERE event_id % 2 = 0 AND load IS NOT NULL),
+m AS (SELECT regr_slope(value, qty) AS b, regr_intercept(value, qty) AS a, avg(cn) AS cm,
+             (SELECT event_type FROM f WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS mode FROM f),
+tok AS (SELECT event_id, unnest(regexp_extract_all(lower(note), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM c),
+tf AS (SELECT event_id, term, count(*) AS n FROM tok GROUP BY ALL),
+voc AS (SELECT term, row_number() OVER (ORDER BY sum(n) DESC, term) AS k, ln(CAST(1 + (SELECT count(*) FROM f) AS DOUBLE) / (1 + count(*))) + 1 AS idf
+        FROM tf WHERE event_id IN (SELECT event_id FROM f) GROUP BY term QUALIFY k <= {_CHAIN_TERMS}),
+w AS (SELECT event_id, k, n * idf AS w FROM tf JOIN voc USING (term)),
+t AS (SELECT event_id, {", ".join(f"sum(CASE WHEN k = {k} THEN w END) / sqrt(sum(w * w)) AS t{k}" for k in range(1, _CHAIN_TERMS + 1))} FROM w GROUP BY 1),
+x AS (SELECT c.event_id, load, coalesce(value, a + b * qty) AS value, qty, coalesce(cn, cm) AS code, year, month, day, hour, dow AS day_of_week,
+      {", ".join(f"coalesce(t{k}, 0) AS t{k}" for k in range(1, _CHAIN_TERMS + 1))}, coalesce(event_type, mode) AS event_type FROM c CROSS JOIN m LEFT JOIN t USING (event_id)),
+z AS (SELECT {", ".join(f"avg({c}) AS m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}" for c in [*_CHAIN_NUM, *[f't{k}' for k in range(1, _CHAIN_TERMS + 1)]])}
+      FROM x WHERE event_id IN (SELECT event_id FROM f))
+SELECT event_id, load, {", ".join(f"round(({c} - m_{c}) / s_{c}, 6) + 0.0 AS {c}" for c in [*_CHAIN_NUM, *[f't{k}' for k in range(1, _CHAIN_TERMS + 1)]])},
+       {", ".join(f"CASE WHEN event_type = '{v}' THEN 1.0 ELSE 0.0 END AS event_type_{v}" for v in _PRE_CATS)} FROM x, z
+"""
+
+
+@register("preprocess_chain", CHAIN_SQL)
+def q_preprocess_chain(spark, sf):
+    ev = load(spark, sf, "events")
+    gone = lambda n, c: F.when(F.col("event_id") % n != 0, c)
+    src = ev.select(
+        "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("startTime"), gone(7, F.col("user_id").cast("double")).alias("load"),
+        gone(3, F.col("value")).alias("value"), (F.col("event_id") % 50).cast("double").alias("qty"), F.lit(None).cast("double").alias("nothing"),
+        gone(11, F.col("event_type")).alias("event_type"), gone(5, F.concat(F.lit("n"), (F.col("event_id") % 13).cast("string"))).alias("code"),
+        gone(4, F.concat("event_type", F.lit(" of "), (F.col("event_id") % 3).cast("string"), F.lit("x "), "event_type")).alias("note"))
+    roles = preprocess.Roles(targets=["load"], numeric=["value", "qty", "nothing"], categorical=["event_type"], text=["code"], prose=["note"],
+                             time_text="UTC_DATE")
+    state = preprocess.fit(src.where("event_id % 2 = 0"), roles, fill="model", rename=True, terms=_CHAIN_TERMS)
+    path = scratch_path(spark, "model")
+    sinks.sink_model_state(spark, path, {"load": {"intercept": 0.0}}, state.scaler, None, preparation=state.to_json())
+    stored = preprocess.PreprocessState.from_json(sinks.load_model(spark, path).preparation)
+    out = preprocess.transform(src, stored, keep=["event_id"])
+    terms = {f"note_{t}": f"t{k}" for k, (t, _) in enumerate(stored.vocabulary["note"], 1)}
+    out = out.withColumnsRenamed(terms)
+    return rounded(out, [*_CHAIN_NUM, *terms.values()])
+
+
+# A model trained with scaled features and targets is the plain regression in the end.
+@register("train_and_forecast", f"""
+WITH {EV_MODEL_CTE}, f AS ({FUTURE_SQL})
+SELECT f.datetime, round(m.a + m.b * f.hour, 6) + 0.0 AS value, 0.0 AS humidity FROM f, m
+""")
+def q_train_and_forecast(spark, sf):
+    """Train, store, forecast the next hours from the stored version, write them as JSON and read them back."""
+    ev, path, sink = load(spark, sf, "events"), scratch_path(spark, "model"), scratch_path(spark, "horizon-json")
+    train.train(spark, ev.select("ts", "value"), preprocess.Roles(targets=["value"], numeric=[], calendar=["hour"]), path)
+    train.forecast_json(spark, path, _horizon_start(spark, sf), ["value", "humidity"], sink)
+    return rounded(sinks.read_json_by_time(spark, sink, "value double, humidity double"), ["value"])
+
+
+def _three_sources(spark, sf):
+    """Events as the base series; orders as an event log; lineitem as event categories, all in January 2024."""
+    day = lambda k: F.expr(f"timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast({k} % 30 as int))")
+    log = load(spark, sf, "orders").select(day("o_orderkey").alias("ts"), "o_totalprice")
+    kinds = load(spark, sf, "lineitem").select(day("l_orderkey").alias("ts"), "l_returnflag", "l_quantity")
+
+    def by_category(d):
+        daily = align.daily_mean_by_category(d, "l_returnflag", cols=["l_quantity"], allowed=["A", "R"])
+        return daily.groupBy("ts").pivot("l_returnflag", ["A", "R"]).agg(F.first("l_quantity"))
+
+    return [("space", log, lambda d: align.daily_mean(d, cols=["o_totalprice"])), ("near_earth", kinds, by_category)]
+
+
+_THREE_CTE = """o AS (SELECT CAST(o_orderkey % 30 AS INTEGER) AS d, avg(o_totalprice) AS p FROM orders GROUP BY 1),
+q AS (SELECT CAST(l_orderkey % 30 AS INTEGER) AS d, avg(l_quantity) FILTER (WHERE l_returnflag = 'A') AS a,
+             avg(l_quantity) FILTER (WHERE l_returnflag = 'R') AS r FROM lineitem GROUP BY 1),
+e AS (SELECT events.*, o.p, q.a, q.r FROM events LEFT JOIN o ON CAST(ts AS DATE) = DATE '2024-01-01' + o.d
+      LEFT JOIN q ON CAST(ts AS DATE) = DATE '2024-01-01' + q.d)"""
+
+
+@register("load_sources_for_date", f"""
+WITH {_THREE_CTE} SELECT event_id, ts, round(p, 6) + 0.0 AS space_o_totalprice, round(a, 6) + 0.0 AS near_earth_A, round(r, 6) + 0.0 AS near_earth_R
+FROM e WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11'
+""")
+def q_load_sources_for_date(spark, sf):
+    out = train.load_sources_for_date(load(spark, sf, "events").select("event_id", "ts"), _three_sources(spark, sf), "2024-01-10")
+    return rounded(out, ["space_o_totalprice", "near_earth_A", "near_earth_R"])
+
+
+@register("predict_for_date_three_sources", f"""
+WITH {_THREE_CTE}, m AS (SELECT regr_intercept(value, p) AS a, regr_slope(value, p) AS b FROM e)
+SELECT ts, event_id, round(m.a + m.b * p, 6) + 0.0 AS value FROM e, m
+WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11' ORDER BY ts, event_id LIMIT 1
+""")
+def q_predict_for_date_three_sources(spark, sf):
+    """A model of the combined sources, stored, and its prediction for one day's rows from all three."""
+    ev, sources, path = load(spark, sf, "events"), _three_sources(spark, sf), scratch_path(spark, "model")
+    combined = ev
+    for name, rows, aggregate in sources:
+        combined = align.align_left_join(combined, aggregate(rows), name)
+    roles = preprocess.Roles(targets=["value"], numeric=["space_o_totalprice"], calendar=[], order_by=["ts", "event_id"])
+    train.train(spark, combined.select("ts", "event_id", "value", "space_o_totalprice"), roles, path)
+    day = train.load_sources_for_date(ev, sources, "2024-01-10")
+    return rounded(train.predict_day(spark, path, day, ["ts", "event_id"]), ["value"])
+
+
 # ---------------------------------------------------------------------------
 # Streaming (L1, L2): a CSV directory derived from events, read as a stream
 # ---------------------------------------------------------------------------
