@@ -5,7 +5,8 @@ a test item become candidates when they share a seed, the rolling hash of
 ``MIN_MATCH`` neighbouring words. Of a candidate pair, the longest common run
 of words that are not yet marked is marked on both sides, again and again,
 until none of ``MIN_MATCH`` words is left (running Karp-Rabin matching with a
-falling search length). Runs may lie in any order, so a passage with its parts
+falling search length; of equally long runs the first in the document, then in
+the item). Runs may lie in any order, so a passage with its parts
 swapped is caught. A pair counts when the tiles cover ``MIN_COVERAGE`` of the
 item's words.
 
@@ -20,6 +21,7 @@ rows without an id keep a null id; other columns are not read.
 
 from __future__ import annotations
 
+import heapq
 import re
 import uuid
 from collections import defaultdict
@@ -61,45 +63,70 @@ def _runs(free: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(total[size:] - total[:-size] == size) if len(free) >= size else np.zeros(0, dtype=np.int64)
 
 
+def _starts(doc: np.ndarray, item: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Places (d, p) where a common run of ``size`` or more words begins, by the
+    hashes of all runs. Marked words are -1 in ``doc`` and -2 in ``item``.
+
+    Pairs of equal hash whose words in front agree too lie inside a run that
+    began before; they are sorted out in bulk, so texts of one word repeated
+    cost one comparison of arrays and not a search from every pair."""
+    if size > len(item) or size > len(doc):
+        return
+    hd, hi = _hashes(doc, size), _hashes(item, size)
+    at_d, at_i = _runs(doc >= 0, size), _runs(item >= 0, size)
+    at_d = at_d[np.isin(hd[at_d], hi[at_i])]
+    order = at_i[np.argsort(hi[at_i], kind="stable")]
+    low, high = (np.searchsorted(hi[order], hd[at_d], side) for side in ("left", "right"))
+    front_d, front_i = np.concatenate([[-3], doc])[at_d], np.concatenate([[-4], item])
+    by_hash = np.argsort(low, kind="stable")
+    cut = np.flatnonzero(np.diff(low[by_hash])) + 1
+    for group in np.split(by_hash, cut) if len(by_hash) else []:
+        places = order[low[group[0]]:high[group[0]]]
+        for k in range(0, len(group), step := max(1, (1 << 22) // len(places))):
+            part = group[k:k + step]
+            d, p = np.nonzero(front_d[part][:, None] != front_i[places][None, :])
+            yield from zip(at_d[part][d].tolist(), places[p].tolist())
+
+
+def _common(doc: np.ndarray, item: np.ndarray, d: int, p: int) -> int:
+    """The words that agree from (d, p) on."""
+    n, most, step = 0, min(len(doc) - d, len(item) - p), 16
+    while n < most:
+        end = min(n + step, most)
+        other = np.flatnonzero(doc[d + n:d + end] != item[p + n:p + end])
+        if len(other):
+            return n + int(other[0])
+        n, step = end, 4 * step
+    return n
+
+
 def tiles(doc: np.ndarray, item: np.ndarray, min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
-    """(place in ``doc``, place in ``item``, words) of the greedy tiles."""
-    free_d, free_i = doc >= 0, item >= 0
+    """(place in ``doc``, place in ``item``, words) of the greedy tiles: always
+    the longest common run of unmarked words, of equally long ones that with the
+    smallest place in ``doc``, then in ``item``."""
+    doc, item = np.where(doc >= 0, doc, -1), np.where(item >= 0, item, -2)
     found: list[tuple[int, int, int]] = []
     size = max(min_match, min(len(item), 32))
     while True:
-        # runs of `size` words by their hash, extended as far as both sides agree and are free
-        by_hash = defaultdict(list)
-        if size <= len(item):
-            h = _hashes(item, size)
-            for p in _runs(free_i, size).tolist():
-                by_hash[int(h[p])].append(p)
-        longest, matches = 0, []
-        if by_hash and size <= len(doc):
-            h = _hashes(doc, size)
-            starts = _runs(free_d, size)
-            starts = starts[np.isin(h[starts], np.fromiter(by_hash, dtype=np.uint64, count=len(by_hash)))]
-            for d in starts.tolist():
-                for p in by_hash[int(h[d])]:
-                    if d and p and free_d[d - 1] and free_i[p - 1] and doc[d - 1] == item[p - 1]:
-                        continue  # not the start of its run
-                    n, most = 0, min(len(doc) - d, len(item) - p)
-                    while n < most and free_d[d + n] and free_i[p + n] and doc[d + n] == item[p + n]:
-                        n += 1
-                    if n >= size:
-                        matches.append((n, d, p))
-                        longest = max(longest, n)
+        queue = [(-n, d, p) for d, p in _starts(doc, item, size) if (n := _common(doc, item, d, p)) >= size]
+        longest = -min(queue, default=(0,))[0]
         if longest > 2 * size:
             size = longest
             continue
-        again = False
-        for n, d, p in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            if free_d[d:d + n].all() and free_i[p:p + n].all():
-                free_d[d:d + n] = free_i[p:p + n] = False
+        heapq.heapify(queue)
+        while queue:
+            n, d, p = heapq.heappop(queue)
+            n = -n
+            free = (doc[d:d + n] >= 0) & (item[p:p + n] >= 0)
+            if free.all():
+                doc[d:d + n], item[p:p + n] = -1, -2
                 found.append((d, p, n))
-            else:
-                again = True  # what is left of it may still be long enough
-        if again:
-            continue
+                continue
+            # what is left of it goes back at its own length
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]])))
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                if b - a >= size:
+                    heapq.heappush(queue, (a - b, d + a, p + a))
         if size == min_match:
             return found
         size = max(min_match, size // 2) if size > 2 * min_match else min_match
