@@ -15,13 +15,16 @@ separator is what ends a record in either format.
 Defined results: null or empty html is a record without payload; a null id has
 no ``X-Page-Id`` and comes back null; of equal payloads the record with the
 largest id is the response, among equal ids the first by identifier; records
-cut off by the end of a file are returned with ``complete`` false; lines that
-are no header are skipped up to the next one; empty tables give no row; other
+cut off by the end of a file, or by a damaged gzip member, which ends it, are
+returned with ``complete`` false; lines that are no header are skipped up to the
+next one, and no bytes make a reader fail; fields that a header does not have
+are null and left out of the WARC record; empty tables give no row; other
 columns are not carried.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -76,6 +79,11 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, html: str = "html",
     rows.mapInArrow(run, "value string").write.format("text").options(compression="gzip", lineSep="\n").save(path)
 
 
+def _count(text: str) -> int | None:
+    """A number of bytes: ASCII digits and nothing else."""
+    return int(text) if re.fullmatch("[0-9]{1,18}", text) else None
+
+
 class _Stream:
     """Lines and byte runs of a plain or gzipped file held in memory, unpacked step by step."""
 
@@ -87,10 +95,13 @@ class _Stream:
     def _unpack(content: bytes, step: int) -> Iterator[bytes]:
         while content:
             z = zlib.decompressobj(31)
-            while content and not z.eof:
-                yield z.decompress(content, step)
-                content = z.unconsumed_tail or z.unused_data
-            yield z.flush()
+            try:
+                while content and not z.eof:
+                    yield z.decompress(content, step)
+                    content = z.unconsumed_tail or z.unused_data
+                yield z.flush()
+            except zlib.error:  # damaged: what follows has no known place
+                return
 
     def _more(self) -> bool:
         part = next(self.parts, None)
@@ -136,21 +147,22 @@ def arc_records(content: bytes, packed: bool) -> Iterator[tuple]:
         named, own = words[0].startswith("filedesc://"), names
         if named and (opening or len(words) != len(names)):  # its own line has the fields of the version that it declares
             own = next((f.split() for f in ARC_FIELDS.values() if len(f.split()) == len(words)), names)
-        if len(words) != len(own) or not words[-1].isdigit():
+        size = _count(words[-1])
+        if len(words) != len(own) or size is None:
             continue
-        fields, block = dict(zip(own, words)), stream.take(int(words[-1]))
+        fields, block = dict(zip(own, words)), stream.take(size)
         # a page may have such a url too: a version block opens the file, or declares fields further on
         if named and not block.startswith(b"HTTP/"):
             lines = block.decode("utf-8", "replace").split("\n")
-            declares = lines[0][:1].isdigit() and len(lines) > 1 and lines[1].startswith("URL ")
+            declares = re.match("([0-9]{1,4}) ", lines[0]) if len(lines) > 1 and lines[1].startswith("URL ") else None
             if opening or declares:
                 fields[VERSION_BLOCK] = "yes"
                 version = next((v for v, f in ARC_FIELDS.items() if f.split() == own), version)
                 names = own
                 if declares:
-                    version, names = int(lines[0].split(" ")[0]), lines[1].split()
+                    version, names = int(declares[1]), lines[1].split()
         opening = False
-        yield place, version, fields, block, len(block) == int(words[-1])
+        yield place, version, fields, block, len(block) == size
 
 
 _ARC = pa.schema([("file", pa.string()), ("place", pa.int64()), ("version", pa.int32()), ("url", pa.string()),
@@ -192,8 +204,8 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
                 def rows(name=name, content=content):
                     for place, version, f, block, complete in arc_records(content.as_py(), name.endswith(".gz")):
                         head, payload = _parted(block)
-                        yield {"file": name.rsplit("/", 1)[-1], "place": place, "version": version, "url": f["URL"],
-                               "ip": f["IP-address"], "date": f["Archive-date"], "mime": f["Content-type"],
+                        yield {"file": name.rsplit("/", 1)[-1], "place": place, "version": version, "url": f.get("URL"),
+                               "ip": f.get("IP-address"), "date": f.get("Archive-date"), "mime": f.get("Content-type"),
                                "status": f.get("Result-code"), "head": head, "payload": payload, "complete": complete,
                                "about": VERSION_BLOCK in f}
                 yield from _batched(rows(), _ARC)
@@ -216,7 +228,7 @@ def convert(spark: SparkSession, arc: DataFrame, min_payload: int = 0) -> DataFr
     """
     made = arc.withColumns({
         "digest": base32_sha1(F.col("payload")), "bytes": F.octet_length("payload").cast("bigint"),
-        "number": header_value(F.col("head"), "X-Page-Id").cast("bigint"),
+        "number": header_value(F.col("head"), "X-Page-Id").try_cast("bigint"),
         "record": F.regexp_replace(F.md5(F.concat_ws(" ", "file", F.col("place").cast("string"))),
                                    "(.{8})(.{4})(.{4})(.{4})(.{12})", "urn:uuid:$1-$2-$3-$4-$5"),
         "when": F.regexp_replace(F.rpad("date", 14, "0"), r"(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d).*", "$1-$2-$3T$4:$5:$6Z"),
@@ -233,7 +245,7 @@ def convert(spark: SparkSession, arc: DataFrame, min_payload: int = 0) -> DataFr
     same = F.col("first").isNotNull() & (F.col("bytes") >= min_payload) & (F.col("first.record") != F.col("record"))
 
     def field(name: str, value: Column) -> Column:
-        return F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))
+        return F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n")), F.lit(""))
 
     block = F.when(same, F.col("head")).otherwise(F.concat("head", "payload"))
     revisit = F.concat(
@@ -272,8 +284,8 @@ def warc_records(content: bytes, packed: bool) -> Iterator[tuple[dict[str, str],
         while (line := stream.line()) and line != b"\r":
             name, _, value = line.decode("utf-8", "replace").partition(":")
             fields[name.strip().lower()] = value.strip()
-        n = int(fields.get("content-length", "0"))
-        block = stream.take(n)
+        n = _count(fields.get("content-length", "0"))
+        block = stream.take(n or 0)
         yield fields, block, len(block) == n
 
 
@@ -290,11 +302,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 def rows(name=name, content=content):
                     for f, block, complete in warc_records(content.as_py(), name.endswith(".gz")):
                         head, payload = _parted(block)
-                        size = f.get("x-payload-length", "")
+                        size = _count(f.get("x-payload-length", ""))
                         yield {"type": f.get("warc-type"), "record": f.get("warc-record-id"), "date": f.get("warc-date"),
                                "url": f.get("warc-target-uri"), "payload_digest": f.get("warc-payload-digest"),
                                "refers_to": f.get("warc-refers-to"),
-                               "payload_length": int(size) if size.isdigit() else None, "head": head,
+                               "payload_length": size, "head": head,
                                "payload": payload, "complete": complete}
                 yield from _batched(rows(), _WARC)
 
