@@ -199,21 +199,24 @@ def near_duplicates(spark: SparkSession, df: DataFrame, text: str = "text", id_c
 
 
 def keep_one(spark: SparkSession, df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row of each component, a row with its smallest id. Rows of a repeated
-    id are written with a number, and the first of a component's rows stays, so
-    rows of one id in two components are told apart. Rows without an id cannot
-    be told apart by one and stay."""
+    """One row of each component, a row with its smallest id; a row without an
+    id where no row of the component has one. Rows of a repeated id (or of
+    none) are written with a number, and the first of a component's rows stays,
+    so rows of one id in two components are told apart."""
     fps, by_fp = _labelled(spark, df, text, id_col, SHINGLE, DENSE)
-    first = F.coalesce((F.col(id_col) == F.col("component_id")).cast("int"), F.lit(0))
+    first = F.col(id_col).eqNullSafe(F.col("component_id")).cast("int")
     kept = written(spark, fps.join(by_fp, "fp").groupBy(id_col).agg(F.count("*").alias("__rows"), F.max(first).alias("__first"))
-                   .filter("__first = 1").drop("__first"), "kept")
-    # the ids kept grow with the input: never broadcast
-    once = df.join(kept.filter("__rows = 1").select(id_col).hint("merge"), id_col, "left_semi").select(df.columns)
+                   .filter("__first = 1").select(F.col(id_col).alias("__kept"), "__rows"), "kept")
+
+    def of(ids: DataFrame) -> DataFrame:
+        # the ids kept grow with the input: never broadcast
+        return df.join(ids.select("__kept").hint("merge"), F.col(id_col).cast("bigint").eqNullSafe(F.col("__kept")), "left_semi")
+
+    once = of(kept.filter("__rows = 1"))
     if (kept.agg(F.max("__rows")).first()[0] or 0) > 1:
-        again = df.join(kept.filter("__rows > 1").select(id_col).hint("merge"), id_col, "left_semi").select(df.columns)
-        again = written(spark, again.withColumn("__row", F.monotonically_increasing_id()), "repeated-ids")
+        again = written(spark, of(kept.filter("__rows > 1")).withColumn("__row", F.monotonically_increasing_id()), "repeated-ids")
         rows = fingerprints(again, text, "__row").join(by_fp, "fp").select("__row", "component", "component_id")
-        rows = rows.join(again.select("__row", F.col(id_col).alias("__id")), "__row").filter("__id = component_id")
+        rows = rows.join(again.select("__row", F.col(id_col).cast("bigint").alias("__id")), "__row").filter("__id <=> component_id")
         rows = written(spark, rows.groupBy("component").agg(F.min("__row").alias("__row")).select("__row"), "kept-rows")
         once = once.unionByName(again.join(rows.hint("merge"), "__row", "left_semi").select(df.columns))
-    return once.unionByName(df.filter(F.col(id_col).isNull()))
+    return once
