@@ -21,13 +21,6 @@ FORECAST_PERIODS = [("monthly", 30), ("daily", 1), ("weekly", 7), ("yearly", 365
 HORIZON_HOURS = 365 * 24
 
 
-def periods_table(spark: SparkSession, as_of) -> DataFrame:
-    """(forecast_period, days_ahead, forecast_date) for the fixed periods."""
-    p = spark.createDataFrame(FORECAST_PERIODS, "forecast_period string, days_ahead int")
-    a = as_of if hasattr(as_of, "_jc") else F.lit(as_of).cast("timestamp_ntz")
-    return p.withColumn("forecast_date", tp.horizon_start(a, F.col("days_ahead")))
-
-
 def forecast_periods(data: DataFrame, coefs: dict, spark: SparkSession, as_of, key: str = "ts",
                      run_ts=None) -> DataFrame:
     """M6: for each period, the rows before its start date scored and tagged.

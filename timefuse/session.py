@@ -21,7 +21,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
-    # MIN/MAX/COUNT of raw columns from Parquet footers (e.g. the day spine)
+    # MIN/MAX/COUNT of raw columns from Parquet footers
     "spark.sql.parquet.aggregatePushdown": "true",
     # HotSpot does not JIT methods above 8000 bytecodes; wider generated code
     # (the 57-format time parser, wide feature projections) falls back to
