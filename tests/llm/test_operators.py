@@ -207,7 +207,7 @@ def test_rows_of_one_id_in_two_components(spark):
     kept = simhash.keep_one(spark, df)
     assert kept.columns == df.columns and kept.schema["doc_id"].dataType == df.schema["doc_id"].dataType
     got = sorted(r.component for r in kept.collect())
-    assert got in ([1, 2, 3, 5, 6, 8, 10], [1, 2, 3, 5, 7, 8, 10])
+    assert got in ([1, 2, 3, 5, 6, 8], [1, 2, 3, 5, 7, 8])  # row 10 has no id and the text of row 1
 
 
 def test_fingerprint_bits():

@@ -34,6 +34,7 @@ names are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +59,6 @@ FLUSH = 1 << 21
 SCORED_BYTES = 2 << 20
 #: segments of counts in one Arrow batch
 SENT = 8
-#: words whose hash a worker remembers
-MEMORY = 1 << 18
 SEED = 7
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 #: the hash of the end of a text; a text's first word follows it
@@ -72,47 +71,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        if len(self) >= MEMORY:
-            self.clear()
-        h = self[word] = xxh64_intdigest(word, SEED)
-        return h
-
-
-_hashes = _Hashes()
-
-
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
-
+def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens (each text's words, then the end) and the number of each text's tokens."""
+    from xxhash import xxh64_intdigest
 
-def numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the distinct tokens, the number of each token (each text's
-    words, then the end) in them, and the number of each text's tokens."""
-    ids = _Numbers()
     parts, sizes = [], np.zeros(len(texts), dtype=np.int64)
     for i, t in enumerate(texts):
         words = t.translate(LOWER_BYTES).split()
-        n = np.empty(len(words) + 1, dtype=np.int64)
-        n[:-1] = np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
-        n[-1] = -1  # the end is the last of the distinct tokens
+        n = np.empty(len(words) + 1, dtype=np.uint64)
+        n[:-1] = np.fromiter(map(xxh64_intdigest, words, repeat(SEED)), dtype=np.uint64, count=len(words))
+        n[-1] = END
         parts.append(n)
         sizes[i] = len(n)
-    hashes = np.empty(len(ids) + 1, dtype=np.uint64)
-    hashes[:-1] = np.fromiter(map(_hashes.__getitem__, ids), dtype=np.uint64, count=len(ids))
-    hashes[-1] = END
-    return hashes, np.concatenate([*parts, np.zeros(0, dtype=np.int64)]), sizes
+    return np.concatenate([*parts, np.zeros(0, dtype=np.uint64)]), sizes
 
 
-def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens (each text's words, then the end) and the number of each text's tokens."""
-    hashes, which, sizes = numbered(texts)
-    return hashes[which], sizes
+def numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct tokens, the number of each token (each text's
+    words, then the end) in them, and the number of each text's tokens."""
+    tokens, sizes = token_hashes(texts)
+    hashes, which = np.unique(tokens, return_inverse=True)
+    return hashes, which, sizes
 
 
 def pair_hashes(tokens: np.ndarray) -> np.ndarray:
@@ -221,11 +200,13 @@ class Filter:
         return LEVEL_COUNT[self.levels(keys)]
 
 
-def count_grams(spark: SparkSession, train: DataFrame, text: str = "text",
-                segment_chars: int = SEGMENT_CHARS) -> tuple[DataFrame, int]:
-    """One row per segment: its words with exact counts and its parts of the filter; and the segments' bits."""
+def count_grams(spark: SparkSession, train: DataFrame, text: str = "text", segment_chars: int = SEGMENT_CHARS,
+                docs: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """One row per segment: its words with exact counts and its parts of the
+    filter; and the segments' bits, from the larger of training text and ``docs``."""
     src = train.select(text_or_empty(text).alias("t"))
-    chars = src.agg(F.sum(F.length("t"))).first()[0] or 0
+    chars = max(df.agg(F.sum(F.length("t"))).first()[0] or 0
+                for df in (src, *([docs.select(text_or_empty(text).alias("t"))] if docs is not None else [])))
     bits = max(6, (chars // segment_chars).bit_length())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,7 +331,7 @@ def score(spark: SparkSession, train: DataFrame, docs: DataFrame, text: str = "t
           filter_bytes: int = FILTER_BYTES, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
     """``docs`` without the text, with ``n_tokens``, ``n_known`` (of a word seen
     in training), ``train_tokens``, ``base_score`` and ``score`` (log10)."""
-    model, bits = count_grams(spark, train, text, segment_chars)
+    model, bits = count_grams(spark, train, text, segment_chars, docs)
     sums = model.agg(F.sum("n"), F.sum("types")).first()
     total, types = int(sums[0] or 0), int(sums[1] or 0)
     weight = total + ADD * (types + 1)
@@ -362,7 +343,7 @@ def score(spark: SparkSession, train: DataFrame, docs: DataFrame, text: str = "t
         state = _with_levels(spark, state, block)
     # the first pass over the pairs gives both the rows of documents and, with a segment, runs of (row, word) to look up there
     out_schema = docs.select(*rest).selectExpr(
-        "*", "0L __row", "0L n_tokens", "0L __known", "0D __base", "0D score", "0L __segment", "x'' __rows", "x'' __words") \
+        "*", "0L __row", "0L n_tokens", "0L __known", "0D __base", "0D score", "0L __segment", "x'' __rows", "x'' __words", "x'' __times") \
         .schema
     for f in out_schema:
         f.nullable = True
@@ -406,18 +387,22 @@ def score(spark: SparkSession, train: DataFrame, docs: DataFrame, text: str = "t
                         [*b.slice(first, n).columns[:n_rest], pa.array(found), pa.array(sizes),
                          pa.array(np.bincount(doc, known, n).astype(np.int64)), pa.array(np.bincount(doc, base, n)),
                          pa.array(np.bincount(doc, p, n)),
-                         pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
+                         pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.binary())] * 3], names=names)
                     rare = np.flatnonzero(~known)
                     if len(rare):
-                        rare = rare[np.argsort(tokens[rare], kind="stable")]
-                        cut, keys, rows = _cut(tokens[rare], bits), tokens[rare].astype("<u8"), found[doc[rare]].astype("<i8")
+                        t, d = tokens[rare], doc[rare]
+                        order = np.lexsort((d, t))
+                        t, d = t[order], d[order]
+                        once = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (d[1:] != d[:-1])]))
+                        times = np.diff(np.append(once, len(t))).astype("<u4")
+                        cut, keys, rows = _cut(t[once], bits), t[once].astype("<u8"), found[d[once]].astype("<i8")
                         some = np.flatnonzero(cut[1:] > cut[:-1]).tolist()
                         yield pa.RecordBatch.from_arrays(
                             [*[pa.nulls(len(some), c.type) for c in b.columns[:n_rest]],
                              *[pa.nulls(len(some), pa.int64())] * 3, *[pa.nulls(len(some), pa.float64())] * 2,
                              pa.array(some, pa.int64()),
-                             pa.array([rows[cut[i]:cut[i + 1]].tobytes() for i in some], pa.binary()),
-                             pa.array([keys[cut[i]:cut[i + 1]].tobytes() for i in some], pa.binary())], names=names)
+                             *[pa.array([x[cut[i]:cut[i + 1]].tobytes() for i in some], pa.binary()) for x in (rows, keys, times)]],
+                            names=names)
 
         return written(spark, state.mapInArrow(run, out_schema), "scored")
 
@@ -444,24 +429,26 @@ def score(spark: SparkSession, train: DataFrame, docs: DataFrame, text: str = "t
     def look_up(key: tuple, wanted: pa.Table, counted: pa.Table) -> pa.Table:
         rows = np.concatenate([np.frombuffer(x, "<i8") for x in wanted["rows"].to_pylist()] or [np.zeros(0, "<i8")])
         keys = np.concatenate([np.frombuffer(x, "<u8") for x in wanted["words"].to_pylist()] or [np.zeros(0, "<u8")])
+        times = np.concatenate([np.frombuffer(x, "<u4") for x in wanted["times"].to_pylist()] or [np.zeros(0, "<u4")])
         words = np.frombuffer(b"".join(counted["words"].to_pylist()), "<u8")
         counts = np.frombuffer(b"".join(counted["word_counts"].to_pylist()), "<i8")
         exact = _looked_up(keys, words, counts)
         docs_, which = np.unique(rows, return_inverse=True)
         n = len(docs_)
         return pa.table({"row": docs_.astype(np.int64),
-                         "known": np.bincount(which, exact > 0, n).astype(np.int64),
-                         "base": np.bincount(which, np.log10((exact + ADD) / weight), n).astype(np.float64)})
+                         "known": np.bincount(which, times * (exact > 0), n).astype(np.int64),
+                         "base": np.bincount(which, times * np.log10((exact + ADD) / weight), n).astype(np.float64)})
 
     rare = scored.filter("__segment is not null").select(
-        F.col("__segment").alias("segment"), F.col("__rows").alias("rows"), F.col("__words").alias("words"))
+        F.col("__segment").alias("segment"), F.col("__rows").alias("rows"), F.col("__words").alias("words"),
+        F.col("__times").alias("times"))
     sums = rare.groupBy("segment").cogroup(model.select("segment", "words", "word_counts").groupBy("segment")) \
         .applyInArrow(look_up, "row bigint, known bigint, base double").withColumn("score", F.lit(0.0))
     for part in more:
         sums = sums.unionByName(part)
     sums = sums.groupBy(F.col("row").alias("__row")).agg(
         F.sum("known").alias("__rare"), F.sum("base").alias("__rare_base"), F.sum("score").alias("__more"))
-    out = scored.filter("__segment is null").drop("__segment", "__rows", "__words").join(sums, "__row", "left")
+    out = scored.filter("__segment is null").drop("__segment", "__rows", "__words", "__times").join(sums, "__row", "left")
     return out.select(
         *rest, "n_tokens", (F.col("__known") + F.coalesce("__rare", F.lit(0))).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
