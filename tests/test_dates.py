@@ -1,6 +1,7 @@
 """The date grammar (X5): texts spelled without the parser, the texts a general parser reads, and pandas."""
 import datetime as dt
 import random
+import re
 import warnings
 
 import pandas as pd
@@ -92,3 +93,37 @@ def test_known_texts(read):
 def test_standardize_time_keeps_what_the_grammar_reads(spark):
     df = spark.createDataFrame([(1, "Tuesday, August 15, 2023 1:45 PM"), (2, "nonsense"), (3, None), (4, "1692107130")], "i int, t string")
     assert {r.i: r.ts for r in tp.standardize_time(df, "t").collect()} == {1: AT, 4: dt.datetime(2023, 8, 15, 13, 45, 30)}
+
+
+def by_strptime(text):
+    """The first format of the list that Python's own parser takes, as UTC."""
+    for fmt in tp.reachable_formats():
+        try:
+            t = dt.datetime.strptime(text, fmt)
+        except ValueError:
+            continue
+        return t.astimezone(dt.timezone.utc).replace(tzinfo=None) if t.tzinfo else t
+    return None
+
+
+def test_listed_formats_against_strptime(spark):
+    """Texts of all 57 formats written by Python, days up to 12 (where the order of
+    formats decides) and beyond, several zones; and texts that just miss a format."""
+    rng, texts = random.Random(5), []
+    for fmt in tp.reachable_formats():
+        for k in range(12):
+            t = dt.datetime(rng.randrange(1970, 2038), rng.randrange(1, 13), rng.randrange(1, 13) if k % 2 else rng.randrange(13, 29),
+                            rng.randrange(24), rng.randrange(60), rng.randrange(60), rng.randrange(10**6))
+            text = t.replace(tzinfo=dt.timezone.utc).strftime(fmt)
+            if "%z" in fmt:
+                text = text.replace("+0000", rng.choice(["+0000", "+0200", "-0530", "+01:30", "Z"]))
+            texts.append(text)
+            if k < 2:
+                at = rng.randrange(len(text))
+                texts += [text[:at] + rng.choice("9x-: ") + text[at + 1:], text + rng.choice([" x", "9"])]
+    # white space is brought to one blank before; of a fraction, digits beyond the sixth are cut off
+    texts = [" ".join(t.split()) for t in texts if not re.search(r"\.\d{7}", t)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r.p for r in df.select("i", tp.parse_multi_format(F.col("t")).cast("timestamp_ntz").alias("p")).orderBy("i").collect()]
+    wrong = [(t, by_strptime(t), g) for t, g in zip(texts, got) if by_strptime(t) != g]
+    assert wrong == []

@@ -267,13 +267,13 @@ def _parse_one(c: Column, fmt: str) -> Column:
 
 # The date grammar of X5. A text is read as words of these classes; what is left
 # after them must be numbers and separators.
-_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+_SHORT_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 _MONTH = r"(?<![a-z])(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?" \
          r"|nov(?:ember)?|dec(?:ember)?)(?![a-z])\.?"
 _WEEKDAY = r"(?<![a-z])(?:mon|tue(?:s)?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?(?![a-z])\.?"
 _FILLER = r"(?<![a-z])(?:at|on|and|of|ad)(?![a-z])"
 # a zone name says nothing to a general parser, unless it is UTC's
-_ZONE_NAME = r"(?<=\d) (?!(?:AM|PM|UTC|GMT|" + "|".join(m.upper() for m in _MONTHS) + r"|MON|TUE|WED|THU|FRI|SAT|SUN)\b)[A-Z]{3,5}$"
+_ZONE_NAME = r"(?<=\d) (?!(?:AM|PM|UTC|GMT|" + "|".join(m.upper() for m in _SHORT_MONTHS) + r"|MON|TUE|WED|THU|FRI|SAT|SUN)\b)[A-Z]{3,5}$"
 _HALF_DAY = r"(?:([ap])\.?m\.?(?![a-z]))?"
 _CLOCK = r"(?<![\d:])(\d{1,2}):(\d{1,2})(?::(\d{1,2})?(?:[.,](\d{1,9}))?)? ?" + _HALF_DAY \
     + r" ?(?:(z|utc|gmt)(?![a-z]))? ?(?:([+-])(\d{1,2})(?::?(\d{2}))?(?![\d:-]))?"
@@ -303,7 +303,7 @@ def _date_of(rest: Column) -> Column:
     before = F.size(F.regexp_extract_all(F.regexp_extract(rest, "^(.*?)" + _MONTH, 1), F.lit(r"\d+"), 0))
     numbers = F.transform(F.regexp_extract_all(F.regexp_replace(rest, _MONTH, " "), F.lit(r"\d+"), 0),
                           lambda x: F.struct(x.try_cast("int").alias("v"), (F.length(x) > 2).alias("long")))
-    number = F.struct(F.when(month != "", (F.instr(F.lit("".join(_MONTHS)), F.substring(month, 1, 3)) + 2) / 3).cast("int").alias("m"),
+    number = F.struct(F.when(month != "", (F.instr(F.lit("".join(_SHORT_MONTHS)), F.substring(month, 1, 3)) + 2) / 3).cast("int").alias("m"),
                       before.alias("before"), numbers.alias("n"),
                       (F.regexp_replace(rest, _MONTH, " ").rlike(r"^[\d .,;'-]*$") & (F.regexp_count(rest, F.lit(_MONTH)) < 2)).alias("ok"))
 
