@@ -82,7 +82,7 @@ def _starts(doc: np.ndarray, item: np.ndarray, size: int) -> Iterator[tuple[int,
     cut = np.flatnonzero(np.diff(low[by_hash])) + 1
     for group in np.split(by_hash, cut) if len(by_hash) else []:
         places = order[low[group[0]]:high[group[0]]]
-        for k in range(0, len(group), step := max(1, (1 << 22) // len(places))):
+        for k in range(0, len(group), step := max(1, (1 << 17) // len(places))):
             part = group[k:k + step]
             d, p = np.nonzero(front_d[part][:, None] != front_i[places][None, :])
             yield from zip(at_d[part][d].tolist(), places[p].tolist())
