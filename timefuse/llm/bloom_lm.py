@@ -253,7 +253,8 @@ def count_grams(spark: SparkSession, train: DataFrame, text: str = "text", segme
                                           ("word_bits", pa.int64()), ("word_part", pa.binary()),
                                           ("pair_bits", pa.int64()), ("pair_part", pa.binary())]))
 
-    model = runs.groupBy("segment").applyInArrow(
+    # as many partitions as segments: a task's share stays as it is when the corpus grows
+    model = runs.repartition(1 << bits, "segment").groupBy("segment").applyInArrow(
         merge, "segment bigint, words binary, word_counts binary, n bigint, types bigint, "
                "word_bits bigint, word_part binary, pair_bits bigint, pair_part binary")
     return written(spark, model, "model"), bits
@@ -442,7 +443,9 @@ def score(spark: SparkSession, train: DataFrame, docs: DataFrame, text: str = "t
     rare = scored.filter("__segment is not null").select(
         F.col("__segment").alias("segment"), F.col("__rows").alias("rows"), F.col("__words").alias("words"),
         F.col("__times").alias("times"))
-    sums = rare.groupBy("segment").cogroup(model.select("segment", "words", "word_counts").groupBy("segment")) \
+    # again one partition a segment on both sides
+    counted = model.select("segment", "words", "word_counts").repartition(1 << bits, "segment")
+    sums = rare.repartition(1 << bits, "segment").groupBy("segment").cogroup(counted.groupBy("segment")) \
         .applyInArrow(look_up, "row bigint, known bigint, base double").withColumn("score", F.lit(0.0))
     for part in more:
         sums = sums.unionByName(part)
