@@ -339,11 +339,14 @@ def parse_fallback(c: Column) -> Column:
 
     Few texts come here, so each step is a lambda over the result of the one
     before: nothing is evaluated twice and the generated code stays small."""
-    plain = F.lower(F.trim(F.regexp_replace(normalize_separators(F.trim(c)), _ZONE_NAME, "")))
-    for pattern, to in _CLOCK_SPELLINGS:
-        plain = F.regexp_replace(plain, pattern, to)
     quarter = r"^(\d{4})[ -]?q([1-4])$"
 
+    def plain(x: Column) -> Column:
+        out = F.lower(F.trim(F.regexp_replace(normalize_separators(F.trim(x)), _ZONE_NAME, "")))
+        for pattern, to in _CLOCK_SPELLINGS:
+            out = F.regexp_replace(out, pattern, to)
+        return out
+
     def instant(x: Column) -> Column:
         part = lambda i: F.nullif(F.regexp_extract(x, _CLOCK, i), F.lit(""))
         rest = F.trim(F.regexp_replace(x, "|".join([_CLOCK, _WEEKDAY, _FILLER, r"^(?:utc|gmt)|(?<=\d)z$"]), " "))
@@ -364,10 +367,13 @@ def parse_fallback(c: Column) -> Column:
         minutes = ahead * (number("zh") * 60 + number("zm"))
         return F.when(t["sign"].isNull(), at).when(F.abs(minutes) < 1440, at - F.make_dt_interval(mins=minutes))
 
-    month = (F.regexp_extract(plain, quarter, 2).try_cast("int") - 1) * 3 + 1
-    return F.when(plain.rlike(quarter), F.try_make_timestamp(F.regexp_extract(plain, quarter, 1).try_cast("int"), month, F.lit(1),
-                                                             F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)"))) \
-        .otherwise(_let(plain, instant))
+    def read(x: Column) -> Column:
+        month = (F.regexp_extract(x, quarter, 2).try_cast("int") - 1) * 3 + 1
+        first = F.try_make_timestamp(F.regexp_extract(x, quarter, 1).try_cast("int"), month, F.lit(1), F.lit(0), F.lit(0),
+                                     F.lit(0).cast("decimal(8,6)"))
+        return F.when(x.rlike(quarter), first).otherwise(_let(x, instant))
+
+    return _let(c, lambda x: _let(plain(x), read))
 
 
 def _shape_tokens(fmt: str) -> list[list[str]]:
@@ -448,6 +454,12 @@ def _multi_format_by_name(text_col: str, key_col: str, formats: tuple[str, ...],
     return parse_multi_format(F.col(text_col), list(formats), key=F.col(key_col))
 
 
+@lru_cache(maxsize=64)
+def _fallback_by_name(text_col: str, jvm: int) -> Column:
+    """The X5 expression over a named column, built once per JVM (see ``_multi_format_by_name``)."""
+    return parse_fallback(F.col(text_col))
+
+
 def parse_time_text(c: Column, hourly_suffix: bool = True) -> Column:
     """X1-X5 in the reference's order; returns TIMESTAMP_NTZ in UTC, not truncated."""
     s = c.cast("string")
@@ -486,9 +498,8 @@ def parse_time_column(df, col: str, out: str = "ts", hourly_suffix: bool = True,
     p_multi = f"_{out}_multi"
     staged = staged.withColumn(p_multi, _multi_format_by_name(tmp, key, tuple(reachable_formats()), jvm_id()))
     # the fallback shapes only run for rows nothing else parsed (coalesce is lazy)
-    fb = parse_fallback(t)
-    ts = F.coalesce(parse_epoch(t), _in_range(F.col(p_multi)), F.when(fb.between(F.lit(MIN_TS).cast("timestamp"),
-                                                                                 F.lit(MAX_TS).cast("timestamp")), fb))
+    fb = _fallback_by_name(tmp, jvm_id())
+    ts = F.coalesce(parse_epoch(t), _in_range(F.col(p_multi)), _let(fb, _in_range))
     ts = ts.cast("timestamp_ntz")
     keep = [F.col(f"`{c}`") for c in df.columns if c != out]
     staged = staged.withColumn(out, ts).drop(tmp, key, p_multi)

@@ -185,7 +185,9 @@ w AS (SELECT tf.doc_id, tf.term, tf.tf * (ln(CAST(1 + n.n AS DOUBLE) / (1 + dfq.
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) + 0.0 AS weight FROM w
 """)
 def q_tfidf(spark, sf):
-    return text.tfidf(load(spark, sf, "documents"), "doc_id", "text").withColumn("weight", r6("weight"))
+    # the table is a file of one row group, so one task would read and count all of it: the caller deals it out
+    docs = load(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
+    return text.tfidf(docs, "doc_id", "text").withColumn("weight", r6("weight"))
 
 
 @register("tfidf_transform", r"""
