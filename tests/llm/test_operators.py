@@ -183,6 +183,14 @@ def test_links_give_all_components(spark, dense):
     assert sorted(sorted(g) for g in comps.values()) == brute_components(fps)
 
 
+def test_keys_are_made_in_tasks_of_bounded_size(spark):
+    """A file of few bytes holds fingerprints of very many keys: not one task makes and counts them all."""
+    fps = spark.range(0, 45_000, 1, 1).select(F.xxhash64("id").alias("fp"))
+    for made in (simhash._keyed(fps), simhash._dealt(fps.limit(1000).coalesce(1), simhash.DENSE)):
+        rows = [r["n"] for r in made.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert len(rows) >= 4 and max(rows) <= 1.3 * simhash.TASK_KEYS
+
+
 def test_near_duplicates_of_edge_rows(spark, docs):
     rows = simhash.near_duplicates(spark, docs).collect()
     assert len(rows) == docs.count()

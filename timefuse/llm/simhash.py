@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import LOWER_BYTES, connected_components, text_or_empty, written
+from .common import LOWER_BYTES, connected_components, slices, text_or_empty, written
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -41,6 +41,10 @@ SEED = 42
 SEGMENTS = (22, 21, 21)
 #: fingerprints within two bits of a given one: 1 + 64 + 64 * 63 / 2
 DENSE = 2081
+#: keys (or hub rows) that one task makes, and counts in an aggregate, about 80 MB
+TASK_KEYS = 600_000
+#: keys that a fingerprint has, about
+KEYS = 60
 _CHUNK = 1 << 16
 
 
@@ -70,7 +74,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 def fingerprints(df: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """``id_col`` and ``fp`` (the fingerprint as a bigint) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = np.fromiter((fingerprint(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()),
                               dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
@@ -115,6 +119,12 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def _dealt(written_fps: DataFrame, each: int) -> DataFrame:
+    """Fingerprints in as many tasks as the rows made of them need, ``each`` of
+    one: a file of a few MB holds the fingerprints of millions of such rows."""
+    return written_fps.select("fp").repartition(1 + written_fps.count() * each // TASK_KEYS, "fp")
+
+
 def _keyed(distinct: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +134,7 @@ def _keyed(distinct: DataFrame) -> DataFrame:
                 row, key = golay_keys(part.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row])], names=["key", "fp"])
 
-    return distinct.select("fp").mapInArrow(run, "key bigint, fp bigint")
+    return _dealt(distinct, KEYS).mapInArrow(run, "key bigint, fp bigint")
 
 
 def _hub_links(spark: SparkSession, members: DataFrame) -> DataFrame:
@@ -151,7 +161,8 @@ def _hub_links(spark: SparkSession, members: DataFrame) -> DataFrame:
                     [pa.array(hubs.view(np.int64)), pa.array(np.full(len(hubs), fp).view(np.int64)),
                      pa.array(np.arange(len(hubs)) < 65)], names=["hub", "fp", "centre"])
 
-    rows = members.select("fp").distinct().mapInArrow(run, "hub bigint, fp bigint, centre boolean")
+    distinct = written(spark, members.select("fp").distinct(), "hub-members")
+    rows = _dealt(distinct, DENSE).mapInArrow(run, "hub bigint, fp bigint, centre boolean")
     centres = rows.groupBy("hub").agg(F.min(F.when(F.col("centre"), F.col("fp"))).alias("a"),
                                       F.count("*").alias("n")).filter("a is not null and n > 1")
     links = rows.join(centres, "hub").filter("a <> fp").select("a", F.col("fp").alias("b")).distinct()
