@@ -116,3 +116,32 @@ def test_files_with_unlike_headers(spark, tmp_path):
     assert sorted((r.alpha, r.beta) for r in typed.where("beta is not null").collect()) == [(1.0, "x"), (2.5, "y")]
     assert scan.read_csv_by_header(spark, f"{tmp_path}/t", "none*.csv") is None
     assert scan.scan_csv_tree(spark, str(tmp_path), {"t": "/nowhere/"}, "alpha double").count() == 0
+
+
+def test_types_of_cells(spark):
+    """A column is what all its known cells are; whole numbers among numbers are numbers, truth values are not."""
+    rows = [("1", "1", "true", "1", "true", None, "x", "1"), (" +2 ", " .5e3", "False ", "true", "2.5", None, "1", None), (None,) * 8]
+    cells = spark.createDataFrame(rows, ", ".join(f"c{i} string" for i in range(8)))
+    got = scan.typed(cells, ("c7",))
+    assert [f.dataType.simpleString() for f in got.schema] == ["bigint", "double", "boolean", "string", "string", "string", "string", "string"]
+    assert tuple(got.collect()[1])[:3] == (2, 500.0, False)
+
+
+def test_profiled_trees_are_written_by_all_tasks(spark, tmp_path):
+    """One task that writes a whole tree does not get shorter with more machines."""
+    from conftest import SF_SMALL
+    from timefuse.queries_io import q_combine_profile
+    from timefuse.tables import load
+    for t in ("orders", "lineitem"):
+        load(spark, SF_SMALL, t).repartition(3).write.parquet(f"{tmp_path}/{t}.parquet")
+    path = spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    trees = lambda: {f.getPath().toString() for f in fs.listStatus(path) if f.getPath().getName().startswith("csv-trees")}
+    before = trees()
+    got = sorted(map(tuple, q_combine_profile(spark, str(tmp_path)).collect()), key=repr)
+    new = trees() - before
+    assert len(new) == 1
+    for folder, start in (("base", "town-"), ("log", "space_events_2024-"), ("kinds", "CME-2024-")):
+        names = [f.getPath().getName() for f in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{next(iter(new))}/{folder}"))]
+        assert sum(n.startswith(start) and n.endswith(".csv") for n in names) > 1
+    assert got == sorted(map(tuple, q_combine_profile(spark, SF_SMALL).collect()), key=repr)

@@ -130,22 +130,23 @@ def q_combine_profile(spark, sf):
     fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def put(df, folder, name):
-        """One CSV file of that name, as the trees of the reference's layout hold them."""
+        """CSV files of that name and a number, one of each task that has rows, in the reference's layout of trees."""
         at = scratch_path(spark, "csv-file")
-        df.coalesce(1).write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(at)
+        df.write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(at)
         hadoop = spark._jvm.org.apache.hadoop.fs.Path
-        part = next(f.getPath() for f in fs.listStatus(hadoop(at)) if f.getPath().getName().endswith(".csv"))
+        parts = sorted(f.getPath().getName() for f in fs.listStatus(hadoop(at)) if f.getPath().getName().endswith(".csv"))
         fs.mkdirs(hadoop(f"{root}/{folder}"))
-        fs.rename(part, hadoop(f"{root}/{folder}/{name}"))
+        for i, part in enumerate(parts):
+            fs.rename(hadoop(f"{at}/{part}"), hadoop(f"{root}/{folder}/{name}-{i:05d}.csv"))
 
     o = load(spark, sf, "orders").select(
         F.col("o_orderdate").alias("UTC_DATE"), "o_orderkey", "o_custkey", "o_totalprice", F.expr("if(o_orderkey % 4 = 0, o_totalprice, null)").alias("mostly_null"),
         F.expr("if(o_orderkey % 2 = 0, o_totalprice * 2, null)").alias("humidity"), F.expr("if(o_orderkey <= 40, 1.5, null)").alias("visibility"))
-    put(o, "base", "town.csv")
+    put(o, "base", "town")
     li = load(spark, sf, "lineitem").withColumnRenamed("l_shipdate", "startTime")
-    put(li.select("startTime", "l_discount"), "log", "space_events_2024.csv")
+    put(li.select("startTime", "l_discount"), "log", "space_events_2024")
     for cat, flag in (("CME", "A"), ("FLR", "R"), ("XYZ", "N")):
-        put(li.where(F.col("l_returnflag") == flag).select("l_tax", "startTime", "l_quantity"), "kinds", f"{cat}-2024.csv")
+        put(li.where(F.col("l_returnflag") == flag).select("l_tax", "startTime", "l_quantity"), "kinds", f"{cat}-2024")
     res = load_and_combine(spark, f"{root}/base", f"{root}/log", f"{root}/kinds", targets=["o_totalprice", "humidity", "visibility"],
                            categories=["CME", "FLR"])
     dropped = [c for c in ["mostly_null", *_M12_FEATS] if c not in res.data.columns]

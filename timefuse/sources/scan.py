@@ -164,11 +164,12 @@ def typed(cells: DataFrame, leave: tuple[str, ...] = ()) -> DataFrame:
     columns = [f.name for f in cells.schema if isinstance(f.dataType, StringType) and f.name not in leave]
     if not columns:
         return cells
-    kinds = (("bigint", _WHOLE), ("double", _NUMBER), ("boolean", _TRUTH))
-    r = cells.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(columns)],
-                  *[F.sum(F.col(f"`{c}`").rlike(rx).cast("bigint")).alias(f"{kind}{i}")
-                    for i, c in enumerate(columns) for kind, rx in kinds]).first()
-    types = {c: next((kind for kind, _ in kinds if 0 < r[f"n{i}"] == r[f"{kind}{i}"]), None) for i, c in enumerate(columns)}
+    # a flag for each kind of cell; a cell is matched until one pattern fits, and once
+    flag = {c: F.when(F.col(f"`{c}`").rlike(_WHOLE), 1).when(F.col(f"`{c}`").rlike(_NUMBER), 2)
+            .when(F.col(f"`{c}`").rlike(_TRUTH), 4).otherwise(8) for c in columns}
+    r = cells.agg(*[F.bit_or(F.when(F.col(f"`{c}`").isNotNull(), flag[c])).alias(f"k{i}") for i, c in enumerate(columns)]).first()
+    kinds = {1: "bigint", 2: "double", 3: "double", 4: "boolean"}
+    types = {c: kinds.get(r[f"k{i}"]) for i, c in enumerate(columns)}
     return cells.withColumns({c: F.trim(F.col(f"`{c}`")).cast(kind) for c, kind in types.items() if kind})
 
 
