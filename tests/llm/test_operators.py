@@ -252,6 +252,26 @@ def test_encoder_agrees_with_the_library(tk):
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == tk.encode_ordinary(t)
 
 
+def test_encoder_memory_is_bounded_and_forgets_rightly(tk, monkeypatch):
+    """Half a million different pieces cost a worker less than 60 MB beside the vocabulary, and full tables give the same ids."""
+    def own():
+        return sum(int(x) for line in open("/proc/self/smaps_rollup") if line.startswith("Pss_Anon") for x in line.split()[1:2]) >> 10
+
+    rng = random.Random(5)
+    enc, held = bpe.Encoder(queries.VOCABULARY, public_tokenizers.PATTERN), own()
+    for _ in range(250):
+        enc.encode("".join(" " + "".join(rng.choices("abcdefgh", k=7)) for _ in range(1_800)))
+    assert own() - held < 60
+    for name, value in (("RECENT", 3), ("PIECES", 8), ("PIECE_BYTES", 100), ("PAIRS", 16)):
+        monkeypatch.setattr(bpe, name, value)
+    for dtype in ("<u4", "<u2"):
+        enc = bpe.Encoder(queries.VOCABULARY, public_tokenizers.PATTERN, dtype)
+        for n in range(1, 120):
+            t = "".join(rng.choice(["the ", " é", "\U0001f600" * 50, "ab" * n, "\n", "9", "한 "]) for _ in range(n))
+            assert np.frombuffer(enc.encode(t), dtype).tolist() == tk.encode_ordinary(t)
+            assert len(enc) <= 3 and enc.known.n <= 8
+
+
 def test_encode_and_decode_rows(spark, docs, tk):
     out = bpe.decode(bpe.encode(docs, queries.VOCABULARY, public_tokenizers.PATTERN), queries.VOCABULARY)
     got = sorted((str(r.doc_id), bytes(r.decoded), np.frombuffer(r.ids, "<u4").tolist()) for r in out.collect())

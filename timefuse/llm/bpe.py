@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import slices, text_or_empty
 
-#: entries of the per-worker memories of pieces and token pairs; they are emptied when full
-MEMORY = 1 << 19
-#: longer pieces (in characters) are not remembered
+#: pieces that a worker remembers as objects once they return (some 20 MB), and as bytes: pieces and their length (36 MB at most)
+RECENT, PIECES, PIECE_BYTES = 1 << 17, 1 << 19, 32 << 20
+#: places of the worker's table of token pairs, a power of two (8 MB)
+PAIRS, SPREAD = 1 << 20, 40_503
+#: longer pieces (in characters, of four bytes at most) are not remembered
 REMEMBERED = 48
 
 
@@ -61,19 +63,21 @@ class Vocabulary:
         for token, rank in self.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
         self.automaton.make_automaton()
-        self._follows: dict[tuple[int, int], bool] = {}
+        self.pairs = array("q", [-1]) * PAIRS
 
     def follows(self, left: int, right: int) -> bool:
-        """Whether ``right`` may follow ``left``; -1 stands for the start."""
-        key = (left, right)
-        known = self._follows.get(key)
-        if known is None:
-            if len(self._follows) >= MEMORY:
-                self._follows.clear()
+        """Whether ``right`` may follow ``left``; -1 stands for the start.
+
+        An answer is kept with its pair in one place of the table, where the
+        next pair of that place replaces it."""
+        pair = (left + 1 << 32) + (right << 1)
+        known = self.pairs[at := left * SPREAD + right & PAIRS - 1] ^ pair
+        if known not in (0, 1):
             head = [] if left < 0 else [left]
             data = b"".join(self.tokens[t] for t in [*head, right])
-            known = self._follows[key] = plain_merge(data, self.ranks) == [*head, right]
-        return known
+            known = plain_merge(data, self.ranks) == [*head, right]
+            self.pairs[at] = pair | known
+        return bool(known)
 
 
 class PrefixTable:
@@ -98,13 +102,16 @@ class PrefixTable:
 
     def _fill(self, start: int, same_from: int = 0, old: array | None = None) -> None:
         voc, last, agree = self.vocabulary, self.last, 0
+        pairs, follows = voc.pairs, voc.follows
         window = max(0, start - voc.longest)
         for end, (token, size) in voc.automaton.iter(self.data[window:].decode("latin-1")):
             end += window
             if end != len(last):  # before the start, or this prefix has its token
                 continue
-            before = end - size
-            if voc.follows(last[before] if before >= 0 else -1, token):
+            left = last[end - size] if end >= size else -1
+            # 1 and 0 are the table's yes and no, anything else is another pair
+            known = pairs[left * SPREAD + token & PAIRS - 1] ^ (left + 1 << 32) + (token << 1)
+            if known == 1 or known and follows(left, token):
                 last.append(token)
                 if old is not None and end >= same_from:
                     agree = agree + 1 if old[end - same_from] == token else 0
@@ -120,23 +127,60 @@ class PrefixTable:
         return out[::-1]
 
 
+class Pieces:
+    """Pieces and their packed ids in one buffer, found by a table of places: an
+    eighth of the memory of as many objects. Emptied when full."""
+
+    def __init__(self, width: int) -> None:
+        self.width = width
+        self.clear()
+
+    def clear(self) -> None:
+        self.places, self.buffer, self.n = array("i", [-1]) * (2 * PIECES), bytearray(), 0
+
+    def get(self, piece: bytes) -> bytes | None:
+        buffer, places, at, size = self.buffer, self.places, hash(piece) % len(self.places), len(piece)
+        while (place := places[at]) >= 0:
+            if buffer[place] == size and buffer.startswith(piece, place + 2):
+                start = place + 2 + size
+                return bytes(buffer[start:start + self.width * buffer[place + 1]])
+            at = (at + 1) % len(places)
+        return None
+
+    def add(self, piece: bytes, packed: bytes) -> None:
+        """Add a piece that is not there, of 255 bytes at most."""
+        if self.n >= PIECES or len(self.buffer) >= PIECE_BYTES:
+            self.clear()
+        at = hash(piece) % len(self.places)
+        while self.places[at] >= 0:
+            at = (at + 1) % len(self.places)
+        self.places[at] = len(self.buffer)
+        self.buffer += bytes((len(piece), len(packed) // self.width)) + piece + packed
+        self.n += 1
+
+
 class Encoder(dict):
-    """Ids of whole texts as packed little-endian integers; as a dict, the memory of pieces."""
+    """Ids of whole texts as packed little-endian integers; as a dict, the memory of recent pieces."""
 
     def __init__(self, path: str, pattern: str, dtype: str = "<u4") -> None:
         import regex
 
         super().__init__()
         self.vocabulary, self.dtype = Vocabulary(path), dtype
+        self.known = Pieces(np.dtype(dtype).itemsize)
         self.pieces = regex.compile(pattern).findall
 
     def __missing__(self, piece: str) -> bytes:
-        data = piece.encode()
-        whole = self.vocabulary.ranks.get(data)
-        ids = [whole] if whole is not None else PrefixTable(self.vocabulary, data).ids()
-        packed = np.array(ids, dtype=self.dtype).tobytes()
-        if len(piece) <= REMEMBERED:
-            if len(self) >= MEMORY:
+        data, short = piece.encode(), len(piece) <= REMEMBERED
+        packed = self.known.get(data) if short else None
+        if packed is None:
+            whole = self.vocabulary.ranks.get(data)
+            ids = [whole] if whole is not None else PrefixTable(self.vocabulary, data).ids()
+            packed = np.array(ids, dtype=self.dtype).tobytes()
+            if short:
+                self.known.add(data, packed)
+        else:  # met again
+            if len(self) >= RECENT:
                 self.clear()
             self[piece] = packed
         return packed
