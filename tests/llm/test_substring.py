@@ -78,6 +78,23 @@ def test_against_brute_force(spark, seed, window, gram, hot):
     assert result(df, window=window, gram=gram, hot=hot, spread=1 + hot % 3, bitmap_bits=1 << 10, shard_words=300) == want
 
 
+def test_a_passage_in_very_many_texts_is_a_few_runs_of_each(spark, monkeypatch):
+    """No row for each window of a passage that thousands of different texts and near copies have."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(90)]
+    rows = []
+    for i in range(2_500):
+        w = list(passage)
+        if i % 3 == 0:
+            w[rng.randrange(90)] = f"new{i}"
+        rows.append((i, " ".join([f"a{i}-{k}" for k in range(30)] + w + [f"b{i}-{k}" for k in range(30)])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    seen, runs_of = [], substring._runs_of
+    monkeypatch.setattr(substring, "_runs_of", lambda *a: seen.append(runs_of(*a)) or seen[-1])
+    assert result(df, hot=1_000) == by_hand(rows, 50)
+    assert seen[0].count() < 8 * len(rows)
+
+
 def test_empty_and_single(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert result(none) == []

@@ -13,8 +13,11 @@ few of them:
   tasks which keys may be in several; what it lets through wrongly is dropped
   by the aggregate that follows.
 * A key with more than ``HOT`` runs that are not nearly all equal (a passage
-  in very many different documents) is refined: its windows stand alone, keyed
-  by the hash of all their words. Whether runs are equal is read off a sketch
+  in very many different documents) is refined: a bitmap tells which of its
+  windows may be in several documents, and what neighbours of these are left
+  are its runs. So what surrounds a passage goes, and equal passages are equal
+  runs. If more than ``HOT`` different ones are left, the windows stand alone,
+  keyed by the hash of all their words. Whether runs are equal is read off a sketch
   of 64 bits for each key (one bit for each run's hash); with ``SPREAD`` of
   them set there are some 180 different runs, so a key that is not refined
   holds at most ``HOT`` or a few hundred different passages.
@@ -149,19 +152,20 @@ class Candidates:
         self.hot, self.bitmap, self.window, self.gram = hot, bitmap, window, gram
 
     def of(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(key, hash of the words, first window, windows) of each run."""
+        """(key, hash of the words, first window, windows, None) of each run; of
+        those with a hot key, the windows with that key at the end."""
         from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
         runs = Runs(text, self.window, self.gram)
         bucket = _bucket(runs.key, 8 * len(self.bitmap))
         runs.keep(self.bitmap[bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1 > 0)
         single, out = np.isin(runs.key, self.hot), []
-        for a, k in zip(runs.at[single].tolist(), runs.n[single].tolist()):
+        for hot, a, k in zip(runs.key[single].tolist(), runs.at[single].tolist(), runs.n[single].tolist()):
             for i in range(a, a + k):
                 run = runs.joined[runs.begins[i]:runs.ends[i + self.window - 1]]
-                out.append((xxh64_intdigest(run) - 2**63, xxh3_64_intdigest(run) - 2**63, i, 1))
+                out.append((xxh64_intdigest(run) - 2**63, xxh3_64_intdigest(run) - 2**63, i, 1, hot))
         runs.keep(~single).hashed()
-        return out + list(zip(runs.key.tolist(), runs.content.tolist(), runs.at.tolist(), runs.n.tolist()))
+        return out + [(*r, None) for r in zip(runs.key.tolist(), runs.content.tolist(), runs.at.tolist(), runs.n.tolist())]
 
 
 def _key_counts(src: DataFrame, window: int, gram: int) -> DataFrame:
@@ -199,7 +203,7 @@ def _bitmap(counts: DataFrame, bits: int) -> np.ndarray:
     return out.view(np.uint8)
 
 
-_RUN = pa.struct([("key", pa.int64()), ("content", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
+_RUN = pa.struct([("key", pa.int64()), ("content", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("hot", pa.int64())])
 
 
 def _candidates(spark: SparkSession, src: DataFrame, window: int, gram: int, hot: int, spread: int, bits: int) -> DataFrame:
@@ -215,18 +219,63 @@ def _candidates(spark: SparkSession, src: DataFrame, window: int, gram: int, hot
         find = Candidates(*shared.value, window, gram)
         for b in slices(batches):
             runs = [find.of(t) for t in b.column(1).to_pylist()]
-            flat = list(zip(*(r for of_text in runs for r in of_text))) or [[]] * 4
+            flat = list(zip(*(r for of_text in runs for r in of_text))) or [[]] * 5
             fields = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(flat, _RUN)], fields=list(_RUN))
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in runs])]), pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, fields)], names=["id", "text", "runs"])
 
-    out = src.mapInArrow(run, "id bigint, text string, runs array<struct<key:bigint,content:bigint,at:int,n:int>>")
+    out = src.mapInArrow(run, "id bigint, text string, runs array<struct<key:bigint,content:bigint,at:int,n:int,hot:bigint>>")
     return written(spark, out.withColumn("row", F.monotonically_increasing_id()), "window-runs")
 
 
-def _passages(spark: SparkSession, found: DataFrame, window: int, shard_words: int) -> DataFrame:
+def regrouped(windows: list[dict], bitmap: np.ndarray, alone: np.ndarray, longest: int) -> Iterator[tuple[int, int, int, int]]:
+    """Runs, as from ``Candidates.of``, of the neighbours among one text's windows
+    under hot keys that the bitmap has; windows of the keys ``alone`` stay single."""
+    from xxhash import xxh3_64_intdigest
+
+    key, content, at, hot = (np.array([w[c] for w in windows], dtype=np.int64) for c in ("key", "content", "at", "hot"))
+    bucket = _bucket(key, 8 * len(bitmap))
+    some = bitmap[bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1 > 0
+    key, content, at, hot = key[some], content[some], at[some], hot[some]
+    if not len(key):
+        return
+    apart = np.concatenate([[0], np.cumsum((np.diff(at) != 1) | (np.diff(hot) != 0))])
+    for i, n in zip(*(x.tolist() for x in _runs(apart, longest))):
+        if len(alone) and np.isin(hot[i], alone):
+            yield from zip(key[i:i + n].tolist(), content[i:i + n].tolist(), at[i:i + n].tolist(), [1] * n)
+        else:
+            words = xxh3_64_intdigest(key[i:i + n].tobytes() + content[i:i + n].tobytes()) - 2**63
+            yield int(hot[i]), words, int(at[i]), n
+
+
+def _runs_of(spark: SparkSession, found: DataFrame, window: int, gram: int, hot: int, bits: int) -> DataFrame:
+    """``row, id, key, content, at, n`` of every run; those with hot keys regrouped and written."""
+    whole = found.select("row", "id", F.inline("runs")).filter("hot is null").drop("hot")
+    cut = found.select("row", "id", F.filter("runs", lambda r: r["hot"].isNotNull()).alias("runs")).filter("size(runs) > 0")
+    shared = cut.select("id", F.inline("runs")).groupBy("key").agg((F.min("id") < F.max("id")).alias("several"))
+    bitmap = spark.sparkContext.broadcast(_bitmap(shared, bits))
+
+    def written_runs(alone: list[int]) -> DataFrame:
+        single = spark.sparkContext.broadcast(np.array(alone, dtype=np.int64))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches):
+                out = [(row, doc_id, *r) for row, doc_id, windows in zip(*(c.to_pylist() for c in b.columns))
+                       for r in regrouped(windows, bitmap.value, single.value, window - gram + 1)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 4 + [pa.int32()] * 2)],
+                                                     names=["row", "id", "key", "content", "at", "n"])
+
+        return written(spark, cut.mapInArrow(run, "row bigint, id bigint, key bigint, content bigint, at int, n int"), "hot-runs")
+
+    again = written_runs([])
+    many = again.groupBy("key", "content").agg(F.count("*")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot)
+    alone = [r[0] for r in many.select("key").collect()]
+    return whole.unionByName(written_runs(alone) if alone else again)
+
+
+def _passages(spark: SparkSession, found: DataFrame, runs: DataFrame, window: int, shard_words: int) -> DataFrame:
     """``shard, key, content, owner, last, words``: each different run of words under a key of several documents."""
-    runs = found.select("row", "id", F.inline("runs"))
     distinct = runs.groupBy("key", "content").agg(
         F.min("id").alias("owner"), F.max("id").alias("last"), F.min(F.struct("row", "at", "n")).alias("place"))
     several = distinct.groupBy("key").agg(F.min("owner").alias("a"), F.max("last").alias("b")).filter("a < b").select("key")
@@ -296,8 +345,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, text: str = "text", id_
     space) and ``spans`` (first word and words of each removed span) of every row."""
     src = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("id"), text_or_empty(text).alias("text"))
     found = _candidates(spark, src, window, gram, hot, spread, bitmap_bits)
-    answers = _matched(_passages(spark, found, window, shard_words), window)
-    runs = found.select("row", "id", F.inline("runs")).join(answers, ["key", "content"])
+    runs = _runs_of(spark, found, window, gram, hot, bitmap_bits)
+    answers = _matched(_passages(spark, found, runs, window, shard_words), window)
+    runs = runs.join(answers, ["key", "content"])
     removed = F.filter(F.transform("owners", lambda o, i: F.when(o < F.col("id"), F.col("at") + i)), lambda x: x.isNotNull())
     removed = runs.select("row", removed.alias("at")).filter("size(at) > 0") \
         .groupBy("row").agg(F.flatten(F.collect_list("at")).alias("windows"))
