@@ -280,6 +280,15 @@ def test_encode_and_decode_rows(spark, docs, tk):
     assert bpe.encode(docs.limit(0), queries.VOCABULARY, public_tokenizers.PATTERN).count() == 0
 
 
+def test_encode_and_decode_in_one_worker_a_task(spark, docs, capsys):
+    """The round trip is one Python step of its stage, with the rows of the two operators one after the other."""
+    twice = bpe.decode(bpe.encode(docs, queries.VOCABULARY, public_tokenizers.PATTERN), queries.VOCABULARY)
+    once = bpe.encode(docs, queries.VOCABULARY, public_tokenizers.PATTERN, decoded="decoded")
+    assert once.schema == twice.schema and sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
+    queries.encoded(docs).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+
+
 @pytest.mark.parametrize("block", [5, 64, token_scan.BLOCK_TOKENS])
 def test_token_scan_across_blocks(spark, docs, tk, block):
     path = scratch_path(spark, "tokens")

@@ -108,8 +108,8 @@ def op5_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded(docs: DataFrame) -> DataFrame:
     """Digests of the token ids and of what they decode to."""
-    ids = bpe.encode(docs.select("doc_id", "text"), VOCABULARY, public_tokenizers.PATTERN)
-    return bpe.decode(ids, VOCABULARY).select(
+    ids = bpe.encode(docs.select("doc_id", "text"), VOCABULARY, public_tokenizers.PATTERN, decoded="decoded")
+    return ids.select(
         "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -55,7 +55,7 @@ def write_token_files(df: DataFrame, path: str, vocabulary: str, pattern: str, s
         for b in slices(batches):
             numbers, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_digits(n) + enc.encode(t) for n, t in zip(numbers, texts)], pa.binary())], names=["value"])
+                [pa.array([_digits(n) + x for n, x in zip(numbers, enc.encode_all(texts))], pa.binary())], names=["value"])
 
     rows = df.select(F.col(id_col).cast("bigint"), text_or_empty(text)).mapInArrow(run, "value binary")
     end = np.array([separator], dtype="<u2").tobytes().decode("latin-1")
