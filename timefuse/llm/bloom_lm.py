@@ -34,7 +34,6 @@ names are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -73,17 +72,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens (each text's words, then the end) and the number of each text's tokens."""
-    from xxhash import xxh64_intdigest
+    from xxhash import xxh64_digest
 
-    parts, sizes = [], np.zeros(len(texts), dtype=np.int64)
+    parts, sizes, end = [], np.zeros(len(texts), dtype=np.int64), int(END).to_bytes(8)
     for i, t in enumerate(texts):
         words = t.translate(LOWER_BYTES).split()
-        n = np.empty(len(words) + 1, dtype=np.uint64)
-        n[:-1] = np.fromiter(map(xxh64_intdigest, words, repeat(SEED)), dtype=np.uint64, count=len(words))
-        n[-1] = END
-        parts.append(n)
-        sizes[i] = len(n)
-    return np.concatenate([*parts, np.zeros(0, dtype=np.uint64)]), sizes
+        parts.append(b"".join([xxh64_digest(w, SEED) for w in words]))
+        parts.append(end)
+        sizes[i] = len(words) + 1
+    return np.frombuffer(b"".join(parts), ">u8").astype(np.uint64), sizes
 
 
 def numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,16 +179,19 @@ class Filter:
         level = np.zeros(len(keys), dtype=np.int64)
         live = np.arange(len(keys))
         segment = (keys >> np.uint64(64 - self.shift)).astype(np.int64) if self.shift else np.zeros(len(keys), dtype=int)
+        start, size = self.start[segment], self.size[segment]
         for n in range(1, MOST_LEVELS + 1):
-            place, step = _hashed(keys[live], n)
-            start, size = self.start[segment[live]], self.size[segment[live]]
+            place, step = _hashed(keys, n)
+            # all places of a level together: most keys have them all, and keeping the others out costs more than to look
+            there = np.ones(len(keys), dtype=np.uint8)
             for _ in range(HASHES):
                 at = start + (place % size).astype(np.int64)
-                there = np.flatnonzero(self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-                live, start, size, step = live[there], start[there], size[there], step[there]
-                place = place[there] + step
-            if not len(live):
+                there &= self.data[at >> 3] >> (at & 7).astype(np.uint8)
+                place += step
+            more = np.flatnonzero(there)
+            if not len(more):
                 break
+            live, keys, start, size = live[more], keys[more], start[more], size[more]
             level[live] = n
         return level
 
