@@ -100,9 +100,9 @@ class Trie:
         found = self.keys[place]
         out = np.where(found == keys, self.nodes[place], 0)
         again = np.flatnonzero((found != keys) & (found >= 0))
+        place, keys = place[again], keys[again]
         while len(again):
-            place = place[again] + 1 & self.mask if len(place) > len(again) else place + 1 & self.mask
-            keys = keys[again] if len(keys) > len(again) else keys
+            place = place + 1 & self.mask
             found = self.keys[place]
             same = found == keys
             out[again[same]] = self.nodes[place[same]]
